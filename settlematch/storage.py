@@ -26,14 +26,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once its successor stands."""
-    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
-    folder = shared_folder(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.rsplit("/", 1)[0].replace("file:///", "file:/").endswith(folder.replace("file:///", "file:/").removeprefix("file:")):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
