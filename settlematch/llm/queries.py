@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlematch.llm import mpeg, packing, pii, sharding
+from settlematch.llm import mpeg, packing, pii, quality, sharding, toxicity
 from settlematch.llm.common import table, text_of
 
 
@@ -22,6 +22,18 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.probe_column(mpeg.store_text(table(spark, sf_dir, "documents")))
 
 
+def op3_nearest_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored for quality by its labelled neighbours."""
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")), 0.3)
+
+
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored for toxicity by its maximum-scoring segments."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")), 0.5)
+
+
 def op9_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level BPE ids in sequences of at most 1024."""
     import public_tokenizers
@@ -35,5 +47,5 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op9_large_item_packing, op10_pii_deobfuscation)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op7_toxic_segments, op9_large_item_packing, op10_pii_deobfuscation)}
 ORACLE_SQL: dict[str, str] = {}
