@@ -31,6 +31,11 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SPACES).split()
 
 
+def stems(word: bytes) -> list[bytes]:
+    """Longer to shorter beginnings of a word, marked so that they differ from whole words."""
+    return [b"^" + word[:n] for n in (6, 5, 4) if len(word) > n]
+
+
 def cluster_key(words: list[bytes]) -> int:
     """Smallest hash of five words in a row, alike for near copies, so that they can count once."""
     if len(words) < 5:
@@ -46,8 +51,8 @@ def log_odds(word_t: np.ndarray, word_c: np.ndarray, total_t: float, total_c: fl
     return odds, odds / np.sqrt(1 / t + 1 / c)
 
 
-def maximal_segments(scores: list[tuple[int, float]], drift: float, n: int) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of ``n`` tokens, in one pass.
+def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a text's tokens, in one pass.
 
     scores: position and value of the tokens that have a score; the others have ``drift`` (< 0).
     Candidates are kept with the running totals before and after them; a new one is joined with
@@ -86,14 +91,36 @@ class Scorer:
     intercept: float
     significance: float
 
+    def value(self, word: bytes) -> float | None:
+        """A word's own score, or that of its longest scored beginning."""
+        get = self.words.get
+        if (s := get(word)) is not None:
+            return s
+        return next((s for x in stems(word) if (s := get(x)) is not None), None)
+
+    def scored(self, words: list[bytes]) -> list[tuple[int, float]]:
+        memo = self.__dict__.setdefault("_memo", {})
+        if len(memo) > 300_000:
+            memo.clear()
+        out = []
+        for i, w in enumerate(words):
+            if w in memo:
+                s = memo[w]
+            else:
+                s = memo[w] = self.value(w)
+            if s is not None:
+                out.append((i, s))
+        return out
+
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
         """-ln p of the best sum of segments, and the significant segments."""
-        get = self.words.get
-        scored = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
+        return self.weigh(self.scored(words), len(words))
+
+    def weigh(self, scored: list[tuple[int, float]], n: int) -> tuple[float, list[tuple[int, int, float]]]:
         if not any(s > 0 for _, s in scored):
             return 0.0, []
-        segments = maximal_segments(scored, self.drift, len(words))
-        level = math.log(self.scale * max(len(words), 1))
+        segments = maximal_segments(scored, self.drift)
+        level = math.log(self.scale * max(n, 1))
         best = sorted((self.rate * s - level for *_, s in segments), reverse=True)
         most, total = 0.0, 0.0
         for r, x in enumerate(best, 1):
@@ -106,15 +133,15 @@ class Scorer:
         return most, [x for x in segments if self.rate * x[2] - level >= strong]
 
     def score(self, evidence: float) -> float:
-        return round(1 / (1 + math.exp(-max(min(self.slope * evidence + self.intercept, 60), -60))), 6)
+        return round(1 / (1 + math.exp(-max(min(self.slope * math.log1p(evidence) + self.intercept, 60), -60))), 6)
 
 
-def fit_words(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, *, strength: float, least_z: float) -> dict[bytes, float]:
+def fit_words(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int, *, strength: float, least_z: float) -> dict[bytes, float]:
     if not counts or not n_toxic or not n_clean:
         return {}
     t, c = (np.array([x[i] for x in counts], np.float64) for i in (1, 2))
     odds, z = log_odds(t, c, n_toxic, n_clean, strength)
-    return {w.encode(): float(o) for (w, *_), o, z_ in zip(counts, odds, z, strict=True) if abs(z_) >= least_z}
+    return {w: float(o) for (w, *_), o, z_ in zip(counts, odds, z, strict=True) if abs(z_) >= least_z}
 
 
 def calibrate(words: dict[bytes, float], texts: list[tuple[list[float], int, int]], drift: float, significance: float) -> Scorer:
@@ -138,24 +165,33 @@ def calibrate(words: dict[bytes, float], texts: list[tuple[list[float], int, int
         low, high = (mid, high) if moment(mid) < 0 else (low, mid)
     model.rate = max(min(low, 3.0), 0.05)
     # scale: the median of n * exp(-rate * best score) over clean texts is ln 2 / scale
-    best = [max([0.0, *(s for *_, s in maximal_segments(list(zip(map(int, x[0][::2]), x[0][1::2], strict=True)), drift, x[1]))]) for x in clean]
+    best = [max([0.0, *(s for *_, s in maximal_segments(list(zip(map(int, x[0][::2]), x[0][1::2], strict=True)), drift))]) for x in clean]
     model.scale = float(np.clip(math.log(2) / np.median([x[1] * math.exp(-model.rate * b) for x, b in zip(clean, best, strict=True)]), 1e-4, 1.0))
     return model
 
 
 def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, with a small ridge that keeps separable data finite."""
-    w = np.array([0.1, 0.0])
+    """Slope and intercept by damped Newton steps, with a small ridge that keeps separable data finite."""
     a = np.column_stack([x, np.ones_like(x)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (mass * (p - y)) + 1e-2 * w
-        h = (a * (mass * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(h, g)
+    share = float(np.clip((mass * y).sum() / mass.sum(), 1e-3, 1 - 1e-3))
+    w = np.array([0.0, math.log(share / (1 - share))])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((mass * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * w @ w)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
+        g = a.T @ (mass * (p - y)) + w
+        h = (a * (mass * p * (1 - p))[:, None]).T @ a + np.eye(2)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, vocabulary: int = 20000, strength: float = 50.0, least_z: float = 3.5, drift: float = -0.05, significance: float = 0.05) -> Scorer:
+def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, vocabulary: int = 20000, strength: float = 50.0, least_z: float = 4.5, drift: float = -0.05, significance: float = 0.05) -> Scorer:
     """Fit on at most 2 x ``per_class`` labelled texts, near copies counting once.
 
     Words are counted by Spark; the driver sees the ``vocabulary`` most telling ones, and for the
@@ -163,46 +199,39 @@ def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per
     """
     totals = {r["y"]: r["n"] for r in labels.where(F.col(column).isin(0, 1) & ~held_out()).groupBy(F.col(column).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n")).collect()}
     sample = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column, per_class)), "doc_id")
-    schema = pa.schema([("y", pa.int32()), ("key", pa.int64()), ("words", pa.list_(pa.string()))])
+    schema = pa.schema([("y", pa.int32()), ("key", pa.int64()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
         for batch in blocks(batches):
             found = [tokens(t) for t in batch.column("text").to_pylist()]
-            yield record_batch(schema, {"y": batch.column("y"), "key": [cluster_key(w) for w in found], "words": [[x.decode() for x in set(w)] for w in found]})
+            yield record_batch(schema, {"y": batch.column("y"), "key": [cluster_key(w) for w in found], "words": [list({x for w in set(f) for x in (w, *stems(w))}) for f in found]})
 
-    one = written(sample.mapInArrow(run, "y int, key long, words array<string>").dropDuplicates(["y", "key"]))
+    one = written(sample.mapInArrow(run, "y int, key long, words array<binary>").dropDuplicates(["y", "key"]))
     sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
     by_word = one.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.col("t") + F.col("c") >= 3)
     gap = F.abs(F.col("t") / max(n_t, 1) - F.col("c") / max(n_c, 1)) / F.sqrt(F.col("t") + F.col("c"))
-    counts = [(r["word"], r["t"], r["c"]) for r in by_word.orderBy(gap.desc(), "word").limit(vocabulary).collect()]
+    counts = [(bytes(r["word"]), r["t"], r["c"]) for r in by_word.orderBy(gap.desc(), "word").limit(vocabulary).collect()]
     words = fit_words(counts, n_t, n_c, strength=strength, least_z=least_z)
 
+    lookup = Scorer(words, drift, 1.0, 1.0, 1.0, 0.0, significance)
+
     def scan(batches):
         for batch in blocks(batches):
             found = [tokens(t) for t in batch.column("text").to_pylist()]
-            flat = [[float(v) for i, w in enumerate(x) if w in words for v in (i, words[w])] for x in found]
+            flat = [[float(v) for pair in lookup.scored(x) for v in pair] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([cluster_key(x) for x in found], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["y", "key", "n", "flat"])
 
     seen = sorted(sample.mapInArrow(scan, "y int, key long, n long, flat array<double>").dropDuplicates(["y", "key"]).collect(), key=lambda r: (r["key"], r["y"]))
     model = calibrate(words, [(r["flat"], r["n"], r["y"]) for r in seen], drift, significance)
     if n_t and n_c:
-        spread = {v: k for k, v in words.items()}
-        x = np.array([model.evidence(_replay(r["flat"], r["n"], spread))[0] for r in seen])
+        x = np.log1p([model.weigh(list(zip(map(int, r["flat"][::2]), r["flat"][1::2], strict=True)), r["n"])[0] for r in seen])
         y = np.array([r["y"] for r in seen], np.float64)
         mass = np.where(y == 1, totals[1] / n_t, totals[0] / n_c)
         model.slope, model.intercept = logistic(x, y, mass / mass.mean())
     return model
 
 
-def _replay(flat: list[float], n: int, words: dict[float, bytes]) -> list[bytes]:
-    """A token list with the scored words in their places."""
-    out = [b""] * n
-    for at, value in zip(flat[::2], flat[1::2], strict=True):
-        out[int(at)] = words[value]
-    return out
-
-
 def score(documents: DataFrame, model: Scorer, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and the significant passages as [first word, last word + 1].
 
