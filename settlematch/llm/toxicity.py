@@ -136,12 +136,12 @@ class Scorer:
         return round(1 / (1 + math.exp(-max(min(self.slope * math.log1p(evidence) + self.intercept, 60), -60))), 6)
 
 
-def fit_words(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int, *, strength: float, least_z: float) -> dict[bytes, float]:
+def fit_words(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int, *, strength: float, least_z: float, least_odds: float) -> dict[bytes, float]:
     if not counts or not n_toxic or not n_clean:
         return {}
     t, c = (np.array([x[i] for x in counts], np.float64) for i in (1, 2))
     odds, z = log_odds(t, c, n_toxic, n_clean, strength)
-    return {w: float(o) for (w, *_), o, z_ in zip(counts, odds, z, strict=True) if abs(z_) >= least_z}
+    return {w: float(o) for (w, *_), o, z_ in zip(counts, odds, z, strict=True) if abs(z_) >= least_z and abs(o) >= least_odds}
 
 
 def calibrate(words: dict[bytes, float], texts: list[tuple[list[float], int, int]], drift: float, significance: float) -> Scorer:
@@ -191,7 +191,7 @@ def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, flo
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, vocabulary: int = 20000, strength: float = 50.0, least_z: float = 4.5, drift: float = -0.05, significance: float = 0.05) -> Scorer:
+def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, vocabulary: int = 20000, strength: float = 50.0, least_z: float = 4.5, least_odds: float = 1.0, drift: float = -0.05, significance: float = 0.05) -> Scorer:
     """Fit on at most 2 x ``per_class`` labelled texts, near copies counting once.
 
     Words are counted by Spark; the driver sees the ``vocabulary`` most telling ones, and for the
@@ -212,7 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per
     by_word = one.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.col("t") + F.col("c") >= 3)
     gap = F.abs(F.col("t") / max(n_t, 1) - F.col("c") / max(n_c, 1)) / F.sqrt(F.col("t") + F.col("c"))
     counts = [(bytes(r["word"]), r["t"], r["c"]) for r in by_word.orderBy(gap.desc(), "word").limit(vocabulary).collect()]
-    words = fit_words(counts, n_t, n_c, strength=strength, least_z=least_z)
+    words = fit_words(counts, n_t, n_c, strength=strength, least_z=least_z, least_odds=least_odds)
 
     lookup = Scorer(words, drift, 1.0, 1.0, 1.0, 0.0, significance)
 
