@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlematch.llm import jaccard, mpeg, packing, pii, quality, sharding, toxicity
+from settlematch.llm import jaccard, mpeg, packing, pii, quality, sharding, sitetree, toxicity
 from settlematch.llm.common import table, text_of
 
 
@@ -39,6 +39,11 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")), 0.5)
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level BPE ids in sequences of at most 1024."""
     import public_tokenizers
@@ -52,5 +57,5 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op5_ngram_jaccard, op7_toxic_segments, op9_large_item_packing, op10_pii_deobfuscation)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op5_ngram_jaccard, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
 ORACLE_SQL: dict[str, str] = {}
