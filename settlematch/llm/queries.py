@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlematch.llm import jaccard, mpeg, packing, pii, quality, sharding, sitetree, toxicity
+from settlematch.llm import iblt, jaccard, mpeg, packing, pii, quality, sharding, sitetree, toxicity
 from settlematch.llm.common import table, text_of
 
 
@@ -28,6 +28,11 @@ def op3_nearest_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")), 0.3)
 
 
+def op4_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of every text and its edited version."""
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents linked by 85 % of their 4-word shingles."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
@@ -57,5 +62,5 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op5_ngram_jaccard, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op4_iblt_fingerprints, op5_ngram_jaccard, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
 ORACLE_SQL: dict[str, str] = {}
