@@ -15,14 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of the stored sketch; retries take CELLS * 4, CELLS * 16, ...
+#: Cells of the stored sketch; retries take GROWTH times as many each. Roomy sketches peel in two or three rounds.
 CELLS = 24
-LEVELS = 9
+GROWTH = 16
+ROOM = 6
+LEVELS = 5
 ROUNDS = 64
 #: A paragraph is a line; lines longer than this many characters are cut behind the next sentence or clause mark.
-LONG = 120
+LONG = 200
 _PIECES = rf"[^\n]{{{LONG},}}?[.!?,|](?=\s|$)|[^\n]+"
-_CELL = "struct<cell:bigint,count:bigint,key:bigint,check:bigint>"
 
 
 def digests(text: Column) -> Column:
@@ -47,22 +48,28 @@ def _entries(keys: Column, size: Column, sign: Column | int) -> Column:
 
 
 def _merged(entries: Column) -> Column:
-    """Entries of one cell added up; empty cells are left out. Sorted by cell."""
-    none = F.lit(None).cast(_CELL)
-    start = F.struct(F.expr(f"cast(array() as array<{_CELL}>)").alias("done"), none.alias("now"))
+    """Entries of one cell added up; empty cells are left out. Sorted by cell.
 
-    def add(state: Column, x: Column) -> Column:
-        now = state["now"]
-        both = F.struct(x["cell"].alias("cell"), (now["count"] + x["count"]).alias("count"), now["key"].bitwiseXOR(x["key"]).alias("key"), now["check"].bitwiseXOR(x["check"]).alias("check"))
-        return F.when(now["cell"] == x["cell"], F.struct(state["done"].alias("done"), both.alias("now"))).otherwise(
-            F.struct(F.when(_empty(now), state["done"]).otherwise(F.concat(state["done"], F.array(now))).alias("done"), x.alias("now"))
-        )
+    Sorting brings a cell's entries together; each run of them is then folded by itself.
+    """
+
+    def folded(run: Column, cell: Column) -> Column:
+        start = F.struct(cell.alias("cell"), *[F.lit(0).cast("long").alias(n) for n in ("count", "key", "check")])
+        return F.aggregate(run, start, lambda x, y: F.struct(x["cell"].alias("cell"), (x["count"] + y["count"]).alias("count"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
-    return F.aggregate(F.sort_array(entries), start, add, lambda s: F.when(_empty(s["now"]), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    def runs(rows: Column, starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(starts, k + 1), F.size(rows)) - at
+            return F.when(n == 1, F.get(rows, at)).otherwise(folded(F.slice(rows, at + 1, n), F.get(rows, at)["cell"]))
 
+        return F.filter(F.transform(starts, one), lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
-def _empty(cell: Column) -> Column:
-    return cell.isNull() | ((cell["count"] == 0) & (cell["key"] == 0) & (cell["check"] == 0))
+    def sorted_rows(rows: Column) -> Column:
+        places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(rows, i - 1)["cell"] != F.get(rows, i)["cell"]))
+        return _let(starts, lambda at: runs(rows, at))
+
+    return _let(F.sort_array(entries), sorted_rows)
 
 
 def sketch(keys: Column, size: Column) -> Column:
@@ -82,46 +89,47 @@ def _let(value: Column, use) -> Column:
 
 
 def peeled(cells: Column, size: Column) -> Column:
-    """struct(ok, found): whether the difference was read off whole, and its digests with their sign."""
-    found = F.expr("cast(array() as array<struct<key:bigint,count:bigint>>)")
+    """struct(ok, plus, minus): whether the difference was read off whole, and its digests by sign."""
+    none = F.expr("cast(array() as array<bigint>)")
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"])))
-        named = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("key"), c["count"].alias("count"))))
 
-        def remove(keys: Column) -> Column:
-            third = (size / 3).cast("long")
-            gone = F.flatten(F.transform(keys, lambda q: F.array(*[F.struct((F.pmod(F.xxhash64(q["key"], F.lit(i), size), third) + third * i).alias("cell"), (-q["count"]).alias("count"), q["key"].alias("key"), _check(q["key"]).alias("check")) for i in range(3)])))
-            return F.when(F.size(keys) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(
-                F.struct(_merged(F.concat(state["cells"], gone)).alias("cells"), F.concat(state["found"], keys).alias("found"), F.lit(False).alias("stuck"))
-            )
+        def signed(found: Column, sign: int) -> Column:
+            return F.array_distinct(F.transform(F.filter(found, lambda c: c["count"] == sign), lambda c: c["key"]))
+
+        def remove(named: Column) -> Column:
+            gone = F.concat(state["cells"], _entries(named["plus"], size, -1), _entries(named["minus"], size, 1))
+            return F.struct(_merged(gone).alias("cells"), F.concat(state["plus"], named["plus"]).alias("plus"), F.concat(state["minus"], named["minus"]).alias("minus"), F.lit(False).alias("stuck"))
 
-        return F.when(state["stuck"] | (F.size(state["cells"]) == 0), state).otherwise(_let(named, remove))
+        stuck = F.struct(state["cells"].alias("cells"), state["plus"].alias("plus"), state["minus"].alias("minus"), F.lit(True).alias("stuck"))
+        named = _let(pure, lambda found: F.struct(signed(found, 1).alias("plus"), signed(found, -1).alias("minus")))
+        return F.when(state["stuck"] | (F.size(state["cells"]) == 0), state).otherwise(_let(named, lambda x: F.when(F.size(x["plus"]) + F.size(x["minus"]) == 0, stuck).otherwise(remove(x))))
 
-    start = F.struct(cells.alias("cells"), found.alias("found"), F.lit(False).alias("stuck"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["found"].alias("found")))
+    start = F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus"), F.lit(False).alias("stuck"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """struct(ok, found) for two arrays of digests whose CELLS-sketches are at hand.
+    """struct(ok, plus, minus) for two arrays of digests whose CELLS-sketches are at hand.
 
     The stored sketches are tried first; on failure both are rebuilt larger, skipping sizes
-    below the number of digests, and with other cell places each time.
+    below ROOM times the number of digests, and with other cell places each time.
     """
     small = F.lit(CELLS).cast("long")
     most = F.size(a) + F.size(b)
 
     def attempt(last: Column, level: Column) -> Column:
-        size = (F.lit(CELLS) * F.pow(F.lit(4.0), level)).cast("long")
+        size = (F.lit(CELLS) * F.pow(F.lit(float(GROWTH)), level)).cast("long")
         again = peeled(_merged(F.concat(_entries(a, size, 1), _entries(b, size, -1))), size)
-        return F.when(last["ok"] | ((size < most) & (level < LEVELS)), last).otherwise(again)
+        return F.when(last["ok"] | ((size < most * ROOM) & (level < LEVELS)), last).otherwise(again)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), peeled(subtracted(cells_a, cells_b), small), attempt)
 
 
 def likeness(a: Column, b: Column, found: Column) -> Column:
     """Shared digests over all digests of both; 1 where neither has any."""
-    both, apart = F.size(a) + F.size(b), F.size(found)
+    both, apart = F.size(a) + F.size(b), F.size(found["plus"]) + F.size(found["minus"])
     return F.when(both == 0, 1.0).otherwise(((both - apart) / (both + apart)).cast("double"))
 
 
@@ -170,11 +178,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     small = F.lit(CELLS).cast("long")
     rows = rows.withColumns({f"{x}cells": sketch(F.col(f"{x}keys"), small) for x in ("", "edited_", "next_")})
     rows = rows.withColumns({f"{x}diff": difference(F.col("keys"), F.col(f"{x}keys"), F.col("cells"), F.col(f"{x}cells")) for x in ("edited_", "next_")})
-    near = {x: F.when(F.col(f"{x}diff")["ok"], likeness(F.col("keys"), F.col(f"{x}keys"), F.col(f"{x}diff")["found"])).otherwise(0.0) for x in ("edited_", "next_")}
-    found = F.col("edited_diff")["found"]
+    near = {x: F.when(F.col(f"{x}diff")["ok"], likeness(F.col("keys"), F.col(f"{x}keys"), F.col(f"{x}diff"))).otherwise(0.0) for x in ("edited_", "next_")}
+    found = F.col("edited_diff")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         written_out(F.col("cells")).alias("fingerprint"), written_out(F.col("edited_cells")).alias("edited_fingerprint"),
         near["edited_"].alias("near_edited"), near["next_"].alias("near_next"),
-        F.size(F.filter(found, lambda x: x["count"] > 0)).alias("removed_paragraphs"), F.size(F.filter(found, lambda x: x["count"] < 0)).alias("added_paragraphs"),
+        F.size(found["plus"]).alias("removed_paragraphs"), F.size(found["minus"]).alias("added_paragraphs"),
     )
