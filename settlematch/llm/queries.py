@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlematch.llm import iblt, jaccard, mpeg, packing, pii, quality, sharding, sitetree, toxicity
+from settlematch.llm import iblt, jaccard, mpeg, packing, pii, quality, segmentations, sharding, sitetree, toxicity
 from settlematch.llm.common import table, text_of
 
 
@@ -38,6 +38,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every conversation turn."""
+    import public_tokenizers
+
+    drawn = segmentations.sample_segmentations(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"])
+    return drawn.select("conv_id", "turn", "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "log_prob", "inclusion", "decodes")
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored for toxicity by its maximum-scoring segments."""
     documents = table(spark, sf_dir, "documents")
@@ -62,5 +70,5 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op4_iblt_fingerprints, op5_ngram_jaccard, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op4_iblt_fingerprints, op5_ngram_jaccard, op6_gumbel_segmentations, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
 ORACLE_SQL: dict[str, str] = {}
