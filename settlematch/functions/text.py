@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 UTR = r"\b[A-Z]{4}\d{6,12}\b"
 INVOICE = r"INV-\d{4}-\d{4,6}"
@@ -72,7 +73,7 @@ def _distance(a: str, b: str, cap: int) -> int:
     return min(old[-1], cap + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _distances(a: pd.Series, b: pd.Series, cap: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _distance(x, y, c) for x, y, c in zip(a, b, cap, strict=True)], dtype="Int32")
 
