@@ -28,6 +28,8 @@ from settlematch.operators.components import components
 from settlematch.storage import written
 
 TILE = 1024
+#: Pairs of bands with no more sets than this give their pairs outright, without bitmaps.
+FEW = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,8 +58,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """One bit per hash in 64 x 2^k bits, at least as many as there are hashes."""
-    words = 1 << max(0, math.ceil(math.log2(max(len(hashes), 64) / 64)))
+    """One bit per hash in 64 x 2^k bits, at least eight for each hash, so that few fall together."""
+    words = 1 << max(0, math.ceil(math.log2(max(len(hashes), 8) / 8)))
     out = np.zeros(words, np.uint64)
     at = hashes % np.uint64(words * 64)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -178,43 +180,92 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * o >= num * (len(x) + len(y) - o)
 
 
-def _first_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that join what is not joined yet, within each tile; exact."""
+def _runs(batches, column: str):
+    """Tables of the rows with one value of ``column``, from batches sorted by it; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column(column)[0].as_py() != values[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["id"].to_numpy(), table["n"].to_numpy()))
-        ids = table["id"].to_numpy()[order]
-        sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].take(order).to_pylist()]
-        tile = _Tile([len(s) for s in sets], [bitmap(s).tobytes() for s in sets], num, den)
-        root, edges = np.arange(len(ids)), []
-        reach = np.searchsorted(tile.n, tile.n * den // num, side="right")
-        for i in range(len(ids)):
-            if (root[i + 1 : reach[i]] == root[i]).all():
-                continue
-            for j in tile.partners(i, reach[i]).tolist():
-                if root[j] != root[i] and _linked(sets[i], sets[j], num, den):
-                    edges.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())}, schema=_EDGES)
 
-    return rows.groupBy("key", "tile").applyInArrow(run, "a long, b long")
+def _dealt(rows: DataFrame, *group: str) -> DataFrame:
+    """``rows`` with the rows of a group side by side, in order of size; groups are bounded by TILE."""
+    rows = rows.withColumn("group", F.xxhash64(*group))
+    return rows.repartition("group").sortWithinPartitions("group", "n", "id")
 
 
-def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of unconnected sets in one pair of tiles whose bitmaps allow the wanted overlap."""
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return record_batch(_EDGES, {"a": [x for x, _ in edges], "b": [x for _, x in edges]})
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["id"].to_numpy(), table["n"].to_numpy()))
-        n, ids, part, comp = (table[c].to_numpy()[order] for c in ("n", "id", "side", "comp"))
-        tile = _Tile(n, table["bits"].take(order).to_pylist(), num, den)
-        reach, out = np.searchsorted(n, n.astype(np.int64) * den // num, side="right"), []
-        for i in range(len(ids)):
-            js = tile.partners(i, reach[i])
-            js = js[(comp[js] != comp[i]) & ((part[i] == 2) | (part[js] != part[i]))]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist()]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())}, schema=_EDGES)
 
-    return rows.groupBy("key", "tile_a", "tile_b").applyInArrow(run, "a long, b long").distinct()
+def _first_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that join what is not joined yet, within each tile; exact."""
+
+    def run(batches):
+        edges = []
+        for table in _runs(batches, "group"):
+            if table.num_rows < 2:
+                continue
+            ids = table["id"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+            tile = _Tile([len(s) for s in sets], [bitmap(s).tobytes() for s in sets], num, den)
+            root = np.arange(len(ids))
+            reach = np.searchsorted(tile.n, tile.n * den // num, side="right")
+            for i in range(len(ids)):
+                if (root[i + 1 : reach[i]] == root[i]).all():
+                    continue
+                for j in tile.partners(i, reach[i]).tolist():
+                    if root[j] != root[i] and _linked(sets[i], sets[j], num, den):
+                        edges.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+            if len(edges) > 50_000:
+                yield _edge_batch(edges)
+                edges = []
+        yield _edge_batch(edges)
+
+    return _dealt(rows, "key", "tile").select("group", "id", "hashes").mapInArrow(run, "a long, b long")
+
+
+def _candidates(rows: DataFrame, num: int, den: int, with_bits: bool) -> DataFrame:
+    """Pairs of unconnected sets of one pair of tiles that may have the wanted overlap.
+
+    A pair whose first common hash stands at these places of its orders has at most the rest in
+    common; with bits, the bitmaps' bound is taken too.
+    """
+
+    def run(batches):
+        out = []
+        for table in _runs(batches, "group"):
+            if table.num_rows < 2:
+                continue
+            n, ids, part, comp, pos = (table[c].to_numpy() for c in ("n", "id", "side", "comp", "pos"))
+            n = n.astype(np.int64)
+            reach = np.searchsorted(n, n * den // num, side="right")
+            if (comp == comp[0]).all() or (reach <= np.arange(1, len(n) + 1)).all():
+                continue
+            tile, left = _Tile(n, table["bits"].to_pylist(), num, den) if with_bits else None, n - pos
+            for i in range(len(ids)):
+                if reach[i] <= i + 1:
+                    continue
+                js = tile.partners(i, reach[i]) if tile else np.arange(i + 1, reach[i])
+                fits = np.minimum(left[i], left[js]) >= _least_overlap(n[i], n[js], num, den)
+                js = js[fits & (comp[js] != comp[i]) & ((part[i] == 2) | (part[js] != part[i]))]
+                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist()]
+            if len(out) > 50_000:
+                yield _edge_batch(out)
+                out = []
+        yield _edge_batch(out)
+
+    columns = ["group", "id", "n", "side", "comp", "pos", *["bits"] * with_bits]
+    return _dealt(rows, "key", "tile_a", "tile_b").select(columns).mapInArrow(run, "a long, b long")
 
 
 def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,19 +274,22 @@ def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     Bands grow by den/num, so sets that can match lie in one band or two neighbours. A band of
     more than TILE sets of one key is cut by a hash of the id. ``side`` is 2 in a pair of a tile
     with itself, where all pairs count, and 0 or 1 elsewhere, where only pairs across do.
+    ``large`` tells pairs of bands with more than FEW sets.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
     rows = rows.withColumn("band", band)
-    cuts = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"))
-    near = cuts.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)).alias("band"), F.struct(F.col("band").alias("of"), "cuts").alias("x"))
-    known = cuts.join(near.groupBy("key", "band").agg(F.collect_list("x").alias("x")), ["key", "band"]).drop("cuts")  # at most three bands each
-    own = F.element_at(F.filter("x", lambda x: x["of"] == F.col("band")), 1)["cuts"]
-    rows = rows.join(known, ["key", "band"]).withColumn("cut", F.pmod(F.xxhash64("id"), own).cast("int"))
+    cuts = rows.groupBy("key", "band").agg(F.count("*").alias("m")).withColumn("cuts", F.ceil(F.col("m") / TILE).cast("int"))
+    near = cuts.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)).alias("band"), F.struct(F.col("band").alias("of"), "cuts", "m").alias("x"))
+    # at most three bands each; one with nothing near it, and a lone row's own band, need no tile
+    known = cuts.join(near.groupBy("key", "band").agg(F.collect_list("x").alias("x")), ["key", "band"])
+    known = known.withColumn("x", F.filter("x", lambda x: (x["of"] != F.col("band")) | (F.col("m") > 1))).where(F.size("x") > 0).select("key", "band", F.col("cuts").alias("own"), "m", "x")
+    rows = rows.join(known, ["key", "band"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
     mine = F.struct("band", "cut")
-    others = F.flatten(F.transform("x", lambda x: F.transform(F.sequence(F.lit(0), x["cuts"] - 1), lambda c: F.struct(x["of"].alias("band"), c.alias("cut")))))
+    others = F.flatten(F.transform("x", lambda x: F.transform(F.sequence(F.lit(0), x["cuts"] - 1), lambda c: F.struct(F.struct(x["of"].alias("band"), c.alias("cut")).alias("tile"), (F.when(x["of"] == F.col("band"), F.col("m")).otherwise(F.col("m") + x["m"]) > FEW).alias("large")))))
     rows = rows.withColumn("me", mine).withColumn("other", F.explode(others))
-    side = F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1)
-    return rows.withColumns({"side": side, "tile_a": F.least("me", "other"), "tile_b": F.greatest("me", "other")}).drop("me", "other", "x", "band", "cut")
+    me, other = F.col("me"), F.col("other")["tile"]
+    side = F.when(me == other, 2).when(me < other, 0).otherwise(1)
+    return rows.select("key", "id", "n", "pos", "comp", side.alias("side"), F.least(me, other).alias("tile_a"), F.greatest(me, other).alias("tile_b"), F.col("other")["large"].alias("large"))
 
 
 def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
@@ -263,9 +317,25 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     joined = written(components(first))
 
     # the prefix filter on what is still apart
-    seen = unique.select("id", "n", F.explode("prefix").alias("key")).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("comp"))
+    seen = unique.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
     seen = written(seen.join(seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi"))
-    pairs = written(_candidates(_tile_pairs(seen, num, den).join(unique.select("id", "bits"), "id"), num, den))
+    tiled = written(_tile_pairs(seen, num, den))
+    bits = unique.select("id", "bits")
+    large = _candidates(tiled.where("large").join(bits, "id"), num, den, True)
+    few = written(_candidates(tiled.where("not large"), num, den, False).distinct())
+
+    def screen(batches):
+        for batch in batches:
+            ok = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                if n > m:
+                    x, y, n, m = y, x, m, n
+                ok.append(len(_Tile([n, m], [x, y], num, den).partners(0, 2)) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = [unique.select(F.col("id").alias(i), F.col("bits").alias(v), F.col("n").alias(c)) for i, v, c in (("a", "x", "n"), ("b", "y", "m"))]
+    few = few.join(ends[0], "a").join(ends[1], "b").mapInArrow(screen, "a long, b long")
+    pairs = written(large.unionByName(few).distinct())
     whole = _hashes_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
     whole = written(whole)
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
