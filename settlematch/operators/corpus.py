@@ -62,7 +62,7 @@ def stratified_component_split(profile: DataFrame, quotas: dict[str, float], pay
         return pd.DataFrame(rows, columns=["component", "split"])
 
     kind = dict(profile.dtypes)["component"]
-    return profile.groupBy(F.lit(1)).applyInPandas(deal, f"component {kind}, split string")
+    return profile.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"component {kind}, split string")
 
 
 def deal_extras(rows: DataFrame, key: str, shares: dict[str, int], seed: int = 0) -> DataFrame:

@@ -41,11 +41,11 @@ _UTR = pick("{0}", "'HDFC'", "'ICIC'", "'SBIN'", "'AXIS'", "'UTIB'") + " || " +
 
 
 def setl(n: str) -> str:
-    return _SETL.format(n)
+    return _SETL.format(f"({n})")
 
 
 def utr(n: str) -> str:
-    return "(" + _UTR.format(n) + ")"
+    return "(" + _UTR.format(f"({n})") + ")"
 
 
 def tables(since: str) -> list[tuple[str, str]]:
