@@ -35,7 +35,7 @@ class Vocabulary:
     -log(r + 10), times ``sharpness``. Characters without a piece are spelled in byte pieces.
     """
 
-    def __init__(self, model: str, sharpness: float = 0.5, most_cached: int = 200_000):
+    def __init__(self, model: str, sharpness: float = 0.5, most_cached: int = 20_000):
         import sentencepiece
 
         reader = sentencepiece.SentencePieceProcessor(model_file=model)
