@@ -6,6 +6,7 @@ The SQL is written apart from the operators; only the source tables are shared t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -16,8 +17,9 @@ from settlematch.functions import calendar, ids, money, stats, text
 from settlematch.operators import assemble, audit, baselines, breakdown, corpus, decisions, exact, fuzzy, quality, score, views
 from settlematch.operators.assign import greedy_assign
 from settlematch.operators.baselines import BANK, INVOICE
+from settlematch.sources import files
 from settlematch.sources.testdata import oracle_prefix, sources
-from settlematch.storage import written
+from settlematch.storage import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,6 +236,78 @@ def _wilson(t: Inputs) -> DataFrame:
 ORACLE_SQL["wilson_interval"] = oracle_prefix() + " SELECT method, " + wilson("kk", "n", "share") + " FROM (SELECT CASE WHEN k % 20 < 11 THEN 'upi' WHEN k % 20 < 16 THEN 'card' WHEN k % 20 < 19 THEN 'netbanking' ELSE 'wallet' END AS method, count(*) AS n, count(*) FILTER (tds > 0) AS kk FROM base_paid GROUP BY 1) y"
 
 
+# --- files: the derived sources written as the formats' files and read back -------------------
+
+
+def _folder(t: Inputs) -> str:
+    return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
+
+
+def _as_files(t: Inputs) -> str:
+    """The three sources as CSV folders; columns that the derived tables lack are blank."""
+    blank = F.lit("")
+    gateway = t["gateway"].withColumns({"card_network": blank, "currency": F.lit("INR"), "description": blank})
+    bank = t["bank"].withColumns({"posted_date": F.col("value_date"), "balance": F.lit(0), "ref_no": blank})
+    ledger = t["invoices"].withColumns({"customer_name": blank, "tax_amount": F.lit(0), "currency": F.lit("INR"), "due_date": F.col("issue_date"), "po_number": blank, "status": F.lit("paid"), "notes": blank})
+    folder = _folder(t)
+    files.write_sources(folder, gateway, bank, ledger)
+    return folder
+
+
+@query("SELECT entity_type, entity_id, payment_id, order_id, order_receipt, method, amount, fee, tax, tds, credit, debit, settlement_id, settlement_utr, created_at, captured_at, settled_at FROM gateway")
+def read_gateway(t: Inputs) -> DataFrame:
+    return files.load_split(t.spark, _as_files(t))["gateway"].drop("card_network", "currency", "description")
+
+
+@query("SELECT txn_id, value_date, narration, utr, credit, debit FROM bank")
+def read_bank(t: Inputs) -> DataFrame:
+    return files.load_split(t.spark, _as_files(t))["bank"].select("txn_id", "value_date", "narration", "utr", "credit", "debit")
+
+
+@query("SELECT invoice_id, customer_id, order_id, invoice_amount, issue_date FROM invoices")
+def read_invoices(t: Inputs) -> DataFrame:
+    return files.load_split(t.spark, _as_files(t))["invoices"].select("invoice_id", "customer_id", "order_id", "invoice_amount", "issue_date")
+
+
+@query("SELECT payment_id, counterpart_id FROM truth_bank UNION ALL SELECT payment_id, counterpart_id FROM truth_invoice")
+def read_truth(t: Inputs) -> DataFrame:
+    """The truth as JSON documents, one per 2000 payments, flattened again."""
+    edges = t["truth_bank"].groupBy("payment_id").agg(F.collect_list("counterpart_id").alias("bank_txn_ids"))
+    links = t["truth"].join(edges, "payment_id", "left").select(F.expr("k div 2000").alias("part"), F.struct("payment_id", F.when(F.col("has_invoice"), F.col("invoice_id")).alias("invoice_id"), F.coalesce("bank_txn_ids", F.expr("cast(array() as array<string>)")).alias("bank_txn_ids")).alias("link"))
+    folder = _folder(t)
+    links.groupBy("part").agg(F.collect_list("link").alias("links")).select("links").write.option("maxRecordsPerFile", 1).json(folder)
+    found = files.read_truth(t.spark, folder)
+    return found["bank_edges"].unionByName(found["invoice_edges"])
+
+
+@query("SELECT kind AS section, tag AS name, count(DISTINCT payment_id) AS n FROM truth_tags GROUP BY 1, 2")
+def read_manifest(t: Inputs) -> DataFrame:
+    """Tag counts as a manifest file, read back as rows."""
+    counts = t["truth_tags"].groupBy("kind", "tag").agg(F.count_distinct("payment_id").alias("n"))
+    per_kind = counts.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("m"))
+    body = per_kind.agg(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("manifest"))
+    folder = _folder(t)
+    body.write.json(folder)
+    return files.read_manifest(t.spark, folder)
+
+
+@query()
+def read_transcript(t: Inputs) -> DataFrame:
+    """The derived call log as JSON lines; the last good record of each key."""
+    folder = _folder(t)
+    _transcript(_questions(t)).write.json(folder)
+    return decisions.latest_answers(files.read_transcript(t.spark, folder)).select("prompt_hash", "seq", "response_text")
+
+
+@query()
+def write_results(t: Inputs) -> DataFrame:
+    """Matches and exceptions written by leg and by reason, and counted from the files."""
+    folder = _folder(t)
+    files.write_results(folder, *t.layered)
+    a = t.spark.read.parquet(f"{folder}/matches").groupBy(F.col("link_type").alias("part")).count()
+    return a.unionByName(t.spark.read.parquet(f"{folder}/exceptions").groupBy(F.col("reason").alias("part")).count())
+
+
 # --- views -----------------------------------------------------------------------------------
 
 
