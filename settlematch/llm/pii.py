@@ -34,7 +34,12 @@ SIGNS = {"at": "@", "dot": ".", "plus": "+", "dash": "-"}
 
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "²³¹٠-٩۰-۹०-९​-‍⁠․⁰-₉①-⑨﻿！-～\U0001d400-\U0001d7ff]")
 _DIGITS = re.compile(rf"(?:\b(?:plus)\s+)?(?<![A-Za-z])(?:{_WORD})(?:[\s,.-]+(?:dot|dash|plus|{_WORD}|[0-9]+)\b){{3,}}", re.I)
-_ATDOT = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+(at|dot)\s+(?=[A-Za-z0-9])", re.I)
+_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
+_BARE = re.compile(r"\s+(at|dot)\s+", re.I)
+# Endings that tell an address in bare words from prose.
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "de", "fr", "es", "uk", "us", "ca", "ch", "at", "nl", "example")
+#: An address or a dotted number in bare words, whole.
+_SPOKEN = re.compile(rf"[a-z0-9._%+-]+(?:\s+dot\s+[a-z0-9_%+-]+)*\s+at\s+[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})(?![a-z0-9])|[0-9]+(?:(?:\s+dot\s+|\.)[0-9]+){{3}}", re.I)
 _HINT = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])", re.I)
 _WINDOW = 120
@@ -138,7 +143,8 @@ def rewrite(text: str, start: int = 0) -> Rewritten:
     out.edited([(i, i + 1, new) for i, c in enumerate(out.text) if ord(c) > 127 and (new := plain_letter(c)) is not None])
     out.edited([x for m in _DIGITS.finditer(out.text) for x in _unspelled(m)])
     if _HINT.search(out.text):
-        out.edited([(m.start(), m.end(), SIGNS[(m[1] or m[2]).lower()]) for m in _ATDOT.finditer(out.text)])
+        out.edited([(m.start(), m.end(), SIGNS[m[1].lower()]) for m in _BRACKETED.finditer(out.text)])
+        out.edited([(m.start() + w.start(), m.start() + w.end(), SIGNS[w[1].lower()]) for m in _SPOKEN.finditer(out.text) for w in _BARE.finditer(m[0])])
     return out
 
 
