@@ -238,7 +238,8 @@ def _candidates(rows: DataFrame, num: int, den: int, with_bits: bool) -> DataFra
     """Pairs of unconnected sets of one pair of tiles that may have the wanted overlap.
 
     A pair whose first common hash stands at these places of its orders has at most the rest in
-    common; with bits, the bitmaps' bound is taken too.
+    common. With bits, the bitmaps' bound is taken too, and ``head``, what stands before the
+    hash in each order, keeps a pair to the group of its first common hash.
     """
 
     def run(batches):
@@ -252,19 +253,20 @@ def _candidates(rows: DataFrame, num: int, den: int, with_bits: bool) -> DataFra
             if (comp == comp[0]).all() or (reach <= np.arange(1, len(n) + 1)).all():
                 continue
             tile, left = _Tile(n, table["bits"].to_pylist(), num, den) if with_bits else None, n - pos
+            heads = [set(h) for h in table["head"].to_pylist()] if with_bits else []
             for i in range(len(ids)):
                 if reach[i] <= i + 1:
                     continue
                 js = tile.partners(i, reach[i]) if tile else np.arange(i + 1, reach[i])
                 fits = np.minimum(left[i], left[js]) >= _least_overlap(n[i], n[js], num, den)
                 js = js[fits & (comp[js] != comp[i]) & ((part[i] == 2) | (part[js] != part[i]))]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist()]
+                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist() if not heads or heads[i].isdisjoint(heads[j])]
             if len(out) > 50_000:
                 yield _edge_batch(out)
                 out = []
         yield _edge_batch(out)
 
-    columns = ["group", "id", "n", "side", "comp", "pos", *["bits"] * with_bits]
+    columns = ["group", "id", "n", "side", "comp", "pos", *(["bits", "head"] if with_bits else [])]
     return _dealt(rows, "key", "tile_a", "tile_b").select(columns).mapInArrow(run, "a long, b long")
 
 
@@ -320,8 +322,8 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     seen = unique.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
     seen = written(seen.join(seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi"))
     tiled = written(_tile_pairs(seen, num, den))
-    bits = unique.select("id", "bits")
-    large = _candidates(tiled.where("large").join(bits, "id"), num, den, True)
+    large = tiled.where("large").join(unique.select("id", "bits", "prefix"), "id").withColumn("head", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
+    large = _candidates(large, num, den, True)
     few = written(_candidates(tiled.where("not large"), num, den, False).distinct())
 
     def screen(batches):
