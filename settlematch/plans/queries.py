@@ -413,13 +413,13 @@ for _name, _rule in fuzzy.INVOICE_RULES:
     _rule_query(_name, _rule, "invoice")
 
 
-def greedy_sql(edges: str) -> str:
+def greedy_sql(edges: str, ed: str = "ed", gr: str = "gr") -> str:
     """Sequential claim-once over a table of edges (subject_id, rank, counterpart_id) as a recursion over subjects."""
-    return f"""ed AS MATERIALIZED (SELECT DISTINCT dense_rank() OVER (ORDER BY subject_id) AS i, subject_id, rank, counterpart_id FROM ({edges}) e),
-gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS claimed, CAST(NULL AS INT) AS rank, CAST(NULL AS VARCHAR) AS got
+    return f"""{ed} AS MATERIALIZED (SELECT DISTINCT dense_rank() OVER (ORDER BY subject_id) AS i, subject_id, rank, counterpart_id FROM ({edges}) e),
+{gr} AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS claimed, CAST(NULL AS INT) AS rank, CAST(NULL AS VARCHAR) AS got
   UNION ALL SELECT g.i + 1, CASE WHEN w.c IS NULL THEN g.claimed ELSE list_append(g.claimed, w.c) END, w.rank, w.c
-  FROM gr g LEFT JOIN LATERAL (SELECT rank, min(counterpart_id) AS c FROM ed WHERE ed.i = g.i + 1 AND NOT list_contains(g.claimed, ed.counterpart_id) GROUP BY rank HAVING count(*) = 1 ORDER BY rank LIMIT 1) w ON TRUE
-  WHERE g.i < (SELECT max(i) FROM ed))"""
+  FROM {gr} g LEFT JOIN LATERAL (SELECT rank, min(counterpart_id) AS c FROM {ed} x WHERE x.i = g.i + 1 AND NOT list_contains(g.claimed, x.counterpart_id) GROUP BY rank HAVING count(*) = 1 ORDER BY rank LIMIT 1) w ON TRUE
+  WHERE g.i < (SELECT max(i) FROM {ed}))"""
 
 
 def _edges_sql(rules) -> str:
@@ -427,7 +427,13 @@ def _edges_sql(rules) -> str:
     return " UNION ALL ".join(f"SELECT subject_id, {i} AS rank, counterpart_id FROM ({RULE_SQL[n]}) r{i}" for i, (n, _) in enumerate(rules))
 
 
-_FREE_BANK = "WITH RECURSIVE " + oracle_prefix().removeprefix("WITH ") + "," + LEFT_BANK + ", free AS (SELECT * FROM bank WHERE txn_id NOT IN (SELECT txn_id FROM l1b)), open_batches AS (SELECT * FROM batches WHERE settlement_id NOT IN (SELECT settlement_id FROM l1b)), tok AS (SELECT txn_id, unnest(list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}\\d{6,12}\\b'))) AS token FROM free), " + greedy_sql(_edges_sql(fuzzy.BANK_RULES).replace("FROM batches b ", "FROM open_batches b ").replace("FROM batches ", "FROM open_batches ").replace("JOIN bank ON", "JOIN free ON").replace("FROM bank WHERE", "FROM free WHERE"))
+def rule_case(rules, rank: str) -> str:
+    return f"CASE {rank} " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(rules)) + " END"
+
+
+RECURSIVE = "WITH RECURSIVE " + oracle_prefix().removeprefix("WITH ") + ","
+GREEDY_BANK = LEFT_BANK + ", free_bank AS MATERIALIZED (SELECT * FROM bank WHERE txn_id NOT IN (SELECT txn_id FROM l1b)), open_batches AS MATERIALIZED (SELECT * FROM batches WHERE settlement_id NOT IN (SELECT settlement_id FROM l1b)), tok AS (SELECT txn_id, unnest(list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}\\d{6,12}\\b'))) AS token FROM free_bank), " + greedy_sql(_edges_sql(fuzzy.BANK_RULES).replace("FROM batches b ", "FROM open_batches b ").replace("FROM batches ", "FROM open_batches ").replace("JOIN bank ON", "JOIN free_bank ON").replace("FROM bank WHERE", "FROM free_bank WHERE"), "edb", "grb")
+GREEDY_INVOICE = ID_JOIN + ", l1i AS (SELECT payment_id, counterpart_id FROM id_edges WHERE link_type = 'payment_to_invoice'), open_payments AS MATERIALIZED (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM l1i)), free_invoices AS MATERIALIZED (SELECT * FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM l1i)), " + greedy_sql(_edges_sql(fuzzy.INVOICE_RULES).replace("FROM payments ", "FROM open_payments ").replace("JOIN invoices ", "JOIN free_invoices ").replace("FROM invoices ", "FROM free_invoices "), "edi", "gri")
 
 
 @query(name="l2_greedy_assign_bank")
@@ -439,7 +445,7 @@ def _greedy_bank(t: Inputs) -> DataFrame:
     return greedy_assign(fuzzy.candidates(left, free, fuzzy.BANK_RULES)).select("subject_id", "counterpart_id")
 
 
-ORACLE_SQL["l2_greedy_assign_bank"] = _FREE_BANK + " SELECT DISTINCT e.subject_id, g.got AS counterpart_id FROM gr g JOIN ed e ON e.i = g.i WHERE g.got IS NOT NULL"
+ORACLE_SQL["l2_greedy_assign_bank"] = RECURSIVE + GREEDY_BANK + " SELECT DISTINCT e.subject_id, g.got AS counterpart_id FROM grb g JOIN edb e ON e.i = g.i WHERE g.got IS NOT NULL"
 
 
 @query(name="l2_greedy_assign_invoice")
@@ -451,6 +457,9 @@ def _greedy_invoice(t: Inputs) -> DataFrame:
     return greedy_assign(fuzzy.candidates(left, free, fuzzy.INVOICE_RULES)).select("subject_id", "counterpart_id", "rule")
 
 
+ORACLE_SQL["l2_greedy_assign_invoice"] = RECURSIVE + GREEDY_INVOICE + f" SELECT DISTINCT e.subject_id, g.got AS counterpart_id, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')} AS rule FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL"
+
+
 # --- recorded decisions ----------------------------------------------------------------------
 
 
@@ -525,6 +534,27 @@ def l3_resume_plan(t: Inputs) -> DataFrame:
 # --- assembly --------------------------------------------------------------------------------
 
 
+LAYERED = RECURSIVE + GREEDY_BANK + "," + GREEDY_INVOICE + "," + TRUTH + f""",
+res_bank AS (SELECT settlement_id, txn_id, 'l1_utr_column_join' AS rule, 'l1_exact' AS layer FROM l1b UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.BANK_RULES, 'g.rank')}, 'l2_fuzzy' FROM grb g JOIN edb e ON e.i = g.i WHERE g.got IS NOT NULL),
+res_inv AS (SELECT payment_id, counterpart_id AS invoice_id, 'l1_order_id_join' AS rule, 'l1_exact' AS layer FROM l1i UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')}, 'l2_fuzzy' FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL),
+riders AS (SELECT payment_id, unnest(sids) AS settlement_id, unnest(range(1, len(sids) + 1)) AS pos FROM payments),
+parts AS (SELECT r.payment_id, r.settlement_id, r.pos, b.txn_id, b.rule, b.layer, """ + "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + " END".replace("CASE rule", "CASE b.rule") + """ AS confidence FROM riders r LEFT JOIN res_bank b USING (settlement_id)),
+tied AS (SELECT payment_id, list(txn_id ORDER BY txn_id) FILTER (txn_id IS NOT NULL) AS cs, arg_min(layer, (confidence, pos)) FILTER (txn_id IS NOT NULL) AS layer, min(confidence) AS confidence, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rule, count(txn_id) AS hit, count(*) AS legs FROM parts GROUP BY 1),
+matches AS (SELECT 'payment_to_bank' AS link_type, payment_id, cs, layer, rule, confidence, hit + CASE WHEN hit < legs THEN 1 ELSE 0 END AS lines FROM tied WHERE hit > 0
+    UNION ALL SELECT 'payment_to_invoice', payment_id, [invoice_id], layer, rule, """ + "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + " END" + """, 1 FROM res_inv),
+lay_edges AS (SELECT DISTINCT link_type, payment_id, unnest(cs) AS counterpart_id FROM matches),
+opened AS (SELECT 'payment' AS subject_type, payment_id AS subject_id, 'payment_to_bank' AS link_type, 'no_candidate' AS reason, 'settlement ' || settlement_id || ' could not be tied to a bank credit' AS detail FROM parts WHERE txn_id IS NULL
+    UNION ALL SELECT 'payment', payment_id, 'payment_to_invoice', 'no_candidate', 'no invoice could be tied to this payment' FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM res_inv)
+    UNION ALL SELECT 'bank_txn', txn_id, 'payment_to_bank', 'unmatched_counterpart', 'bank credit claimed by no settlement batch' FROM bank WHERE txn_id NOT IN (SELECT counterpart_id FROM lay_edges)
+    UNION ALL SELECT 'invoice', invoice_id, 'payment_to_invoice', 'unmatched_counterpart', 'invoice claimed by no payment' FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM lay_edges))
+"""
+ORACLE_SQL["run_layered"] = LAYERED + "SELECT 'm_' || substr(sha1(link_type || '|' || payment_id || '|' || array_to_string(cs, ',') || '|' || rule), 1, 12) AS match_id, link_type, payment_id, array_to_string(cs, ',') AS counterparts, layer, rule, CAST(confidence AS DOUBLE) AS confidence, CAST(lines AS INT) AS lines FROM matches"
+ORACLE_SQL["run_layered_summary"] = LAYERED + "SELECT link_type, layer, rule, count(*) AS payments, CAST(sum(len(cs)) AS BIGINT) AS edges FROM matches GROUP BY ALL"
+ORACLE_SQL["build_exceptions"] = LAYERED + "SELECT 'x_' || substr(sha1(subject_type || '|' || subject_id || '|' || link_type || '|' || reason), 1, 12) AS exception_id, * FROM opened"
+ORACLE_SQL["layer3_payment_count"] = LAYERED + "SELECT count(DISTINCT payment_id) AS payments FROM matches WHERE layer = 'l3_llm'"
+ORACLE_SQL["write_results"] = LAYERED + "SELECT link_type AS part, count(*) AS count FROM matches GROUP BY 1 UNION ALL SELECT reason, count(*) FROM opened GROUP BY 1"
+
+
 @query()
 def run_layered(t: Inputs) -> DataFrame:
     matches, _ = t.layered
