@@ -89,7 +89,9 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or make.__name__
         QUERIES[key] = lambda spark, sf_dir: make(Inputs(spark, sf_dir))
         QUERIES[key].__doc__ = make.__doc__
-        if sql:
+        if sql and sql.startswith("WITH"):
+            ORACLE_SQL[key] = sql
+        elif sql:
             ORACLE_SQL[key] = oracle_prefix() + (", " if sql.lstrip().startswith("--with") else "\n") + sql.replace("--with", "", 1)
         return make
 
@@ -236,6 +238,42 @@ def _wilson(t: Inputs) -> DataFrame:
 ORACLE_SQL["wilson_interval"] = oracle_prefix() + " SELECT method, " + wilson("kk", "n", "share") + " FROM (SELECT CASE WHEN k % 20 < 11 THEN 'upi' WHEN k % 20 < 16 THEN 'card' WHEN k % 20 < 19 THEN 'netbanking' ELSE 'wallet' END AS method, count(*) AS n, count(*) FILTER (tds > 0) AS kk FROM base_paid GROUP BY 1) y"
 
 
+@query("SELECT payment_id, entity_id, settlement_id, CAST(substr(created_at, 1, 10) AS DATE) AS created_on, CAST(substr(created_at, 12, 2) AS INT) - 6 + CASE WHEN CAST(substr(created_at, 15, 2) AS INT) >= 30 THEN 1 ELSE 0 END < 0 AS utc_is_a_day_earlier FROM gateway")
+def parse_timestamp(t: Inputs) -> DataFrame:
+    """The row's own date, and whether the instant's UTC date is another."""
+    created = views.local_date(F.col("created_at"))
+    instant = F.try_to_timestamp("created_at").cast("date")
+    return t["gateway"].select("payment_id", "entity_id", "settlement_id", created.alias("created_on"), (instant < created).alias("utc_is_a_day_earlier"))
+
+
+@query("SELECT txn_id, b.utr AS utr, length(b.utr) >= 10 AND length(b.utr) < length(whole) AND starts_with(whole, b.utr) AS truncated FROM (SELECT txn_id, substr(utr, 1, CAST(8 + credit % 9 AS INT)) AS utr, utr AS whole FROM bank WHERE utr IS NOT NULL) b")
+def is_truncation_of(t: Inputs) -> DataFrame:
+    """UTRs cut to 8 to 16 characters against themselves."""
+    cut = F.expr("substring(utr, 1, cast(8 + credit % 9 as int))")
+    return t["bank"].where("utr is not null").select("txn_id", cut.alias("utr"), text.is_truncation_of(cut, F.col("utr")).alias("truncated"))
+
+
+@query("SELECT txn_id, 'x_' || substr(sha1('bank_txn|' || txn_id || '|None|unmatched_counterpart'), 1, 12) AS exception_id FROM bank")
+def exception_id(t: Inputs) -> DataFrame:
+    """Ids of exceptions without a link."""
+    return t["bank"].select("txn_id", ids.exception_id(F.lit("bank_txn"), F.col("txn_id"), F.lit(None).cast("string"), F.lit("unmatched_counterpart")).alias("exception_id"))
+
+
+@query("SELECT k, CASE k % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 ELSE 0.5 END AS confidence, CASE WHEN k % 4 = 0 THEN 0.0 ELSE CAST(gross AS DOUBLE) / (k % 4) END AS share FROM base_orders")
+def confidence_for(t: Inputs) -> DataFrame:
+    """Confidence of known and unknown rules, and a division by what may be zero."""
+    rule = F.when(F.col("k") % 3 == 0, "l2_utr_fuzzy").when(F.col("k") % 3 == 1, "l2_invoice_amount_date_window").otherwise("unknown")
+    return t["base_orders"].select("k", stats.confidence_for(rule).alias("confidence"), stats.safe_div(F.col("gross").cast("double"), F.col("k") % 4).alias("share"))
+
+
+@query("SELECT b, CASE WHEN b % 4 = 3 THEN 0.0 ELSE ((100 + b % 50 + 0.10 * (b % 30) + 1.25 * (b % 20)) * 0.5 + (20 + b % 7) * 4.0) / 1000000 END AS usd FROM base_batches")
+def call_cost_usd(t: Inputs) -> DataFrame:
+    """Cost of each call of the derived log; an unknown model costs nothing."""
+    b = F.col("b")
+    rate = F.when(b % 4 == 3, F.lit(None).cast("double"))
+    return t["base_batches"].select("b", stats.call_cost_usd(100 + b % 50, 20 + b % 7, b % 30, b % 20, rate.otherwise(0.5), rate.otherwise(4.0)).alias("usd"))
+
+
 # --- files: the derived sources written as the formats' files and read back -------------------
 
 
@@ -500,24 +538,38 @@ def _questions(t: Inputs) -> DataFrame:
     return t.once("questions", lambda: written(decisions.l3_render_questions(decisions.l3_bank_candidates(t.batches, t.bank))))
 
 
-@query("--with " + BATCHES + "," + L3_BANK + " SELECT settlement_id AS subject_id, count(*) AS offered FROM l3c GROUP BY 1")
+def _rupees(x: str) -> str:
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(abs({x}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0')"
+
+
+_SHORT = "(total - credit)"
+_HUNDREDTHS = f"(CASE WHEN {_SHORT} < 0 THEN -1 ELSE 1 END * ((2 * abs({_SHORT}) * 10000 + total) // (2 * total)))"
+QUESTIONS = "--with " + BATCHES + "," + L3_BANK + f""",
+qs AS (SELECT settlement_id AS subject_id, count(*) AS offered, 'batch ' || settlement_id || ' total ' || {_rupees('total')} || chr(10) || string_agg('credit ' || txn_id || ' | ' || {_rupees('credit')} || ' | on ' || CAST(value_date AS VARCHAR) || ' | short by ' || {_rupees(_SHORT)} || ' (' || {_rupees(_HUNDREDTHS)} || '%)', chr(10) ORDER BY txn_id) AS question, min(txn_id) AS first FROM l3c GROUP BY settlement_id, total),
+q AS (SELECT *, substr(sha256('{decisions.SYSTEM}' || chr(0) || question), 1, 20) AS prompt_hash FROM qs),
+tn AS (SELECT *, CAST('0x' || substr(prompt_hash, 1, 6) AS BIGINT) AS n, '{{"chosen_id":"' || first || '","confidence":0.9,"reasoning":"closest total"}}' AS good FROM q),
+ta AS (SELECT *, CASE WHEN n % 11 = 0 OR n % 7 > 2 THEN 'good' WHEN n % 7 = 0 THEN 'broken' WHEN n % 7 = 1 THEN 'unknown' ELSE 'none' END AS kind, n % 11 <> 0 AND n % 5 = 0 AS missed FROM tn)
+"""
+
+
+@query(QUESTIONS + "SELECT subject_id, offered, question, prompt_hash FROM q")
 def l3_render_questions(t: Inputs) -> DataFrame:
-    return _questions(t).select("subject_id", "offered")
+    return _questions(t).select("subject_id", "offered", "question", "prompt_hash")
 
 
-@query()
+@query(QUESTIONS + """SELECT subject_id, prompt_hash, missed, CASE WHEN missed THEN NULL WHEN kind = 'good' THEN good WHEN kind = 'broken' THEN 'not json' WHEN kind = 'unknown' THEN '{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}' ELSE '{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}' END AS response_text FROM ta""")
 def l3_replay_join(t: Inputs) -> DataFrame:
     q = _questions(t)
     return decisions.l3_replay_join(q, _transcript(q)).select("subject_id", "prompt_hash", "response_text", "missed")
 
 
-@query()
+@query(QUESTIONS + "SELECT subject_id, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence, CASE kind WHEN 'good' THEN 'closest total' WHEN 'unknown' THEN 'guess' WHEN 'none' THEN 'none fits' END AS reasoning, kind <> 'broken' AS valid FROM ta WHERE NOT missed")
 def l3_validate_decision(t: Inputs) -> DataFrame:
     q = _questions(t)
     return decisions.l3_validate_decision(decisions.l3_replay_join(q, _transcript(q)).where("not missed").select("subject_id", "response_text")).drop("response_text")
 
 
-@query()
+@query(QUESTIONS + "SELECT subject_id, chosen_id, outcome, CASE WHEN outcome = 'accepted' THEN CAST(0.9 AS DOUBLE) * CAST(0.85 AS DOUBLE) END AS confidence FROM (SELECT subject_id, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE WHEN kind = 'none' THEN 'declined' WHEN kind = 'good' AND row_number() OVER (PARTITION BY kind, first ORDER BY subject_id) = 1 THEN 'accepted' ELSE 'not_offered' END AS outcome FROM ta WHERE NOT missed AND kind <> 'broken') x")
 def l3_accept(t: Inputs) -> DataFrame:
     q = _questions(t)
     valid = decisions.l3_validate_decision(decisions.l3_replay_join(q, _transcript(q)).where("not missed").select("subject_id", "response_text"))
@@ -525,7 +577,7 @@ def l3_accept(t: Inputs) -> DataFrame:
     return decisions.l3_accept(valid, offered)
 
 
-@query()
+@query(QUESTIONS + "SELECT subject_id, prompt_hash FROM ta WHERE missed")
 def l3_resume_plan(t: Inputs) -> DataFrame:
     q = _questions(t)
     return decisions.l3_resume_plan(q, _transcript(q)).select("subject_id", "prompt_hash")
@@ -588,6 +640,22 @@ def invoice_matches(t: Inputs) -> DataFrame:
     return assemble.invoice_matches(exact.l1_order_id_join(t.payments, t.invoices)).select("match_id", "payment_id")
 
 
+@query(LAYERED + "SELECT settlement_id AS subject_id, txn_id AS counterpart_id, layer, rule FROM res_bank")
+def resolve_bank_leg(t: Inputs) -> DataFrame:
+    return assemble.resolve_bank_leg(t.batches, t.bank).select("subject_id", "counterpart_id", "layer", "rule")
+
+
+@query(LAYERED + "SELECT payment_id AS subject_id, invoice_id AS counterpart_id, layer, rule FROM res_inv")
+def resolve_invoice_leg(t: Inputs) -> DataFrame:
+    return assemble.resolve_invoice_leg(t.payments, t.invoices).select("subject_id", "counterpart_id", "layer", "rule")
+
+
+@query("--with " + ID_JOIN + " SELECT payment_id, counterpart_id || ': the ledger''s order id equals the payment''s on one invoice only' AS line FROM id_edges WHERE link_type = 'payment_to_invoice'")
+def evidence_lines(t: Inputs) -> DataFrame:
+    """Evidence of the order id join, a line per match."""
+    return assemble.invoice_matches(exact.l1_order_id_join(t.payments, t.invoices)).select("payment_id", F.explode("evidence").alias("line"))
+
+
 # --- scoring: the identifier join against the truth ------------------------------------------
 
 
