@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from settlematch.functions.ids import exception_id, match_id
 from settlematch.functions.stats import THRESHOLD
 from settlematch.operators import exact, fuzzy
-from settlematch.operators.assign import greedy_assign
 from settlematch.operators.baselines import BANK, INVOICE, as_edges, unmatched_counterparts
 from settlematch.storage import written
 
 
-def _leg(subjects: DataFrame, subject: str, rows: DataFrame, name: str, first, rules) -> DataFrame:
+def _leg(subjects: DataFrame, subject: str, rows: DataFrame, name: str, first, second) -> DataFrame:
     """Exact links, then fuzzy ones among what is left; written, since both later steps read it."""
     done = written(first(subjects, rows))
     left = subjects.join(done.select(F.col("subject_id").alias(subject)), subject, "left_anti")
     free = rows.join(done.select(F.col("counterpart_id").alias(name)).distinct(), name, "left_anti")
-    return written(done.unionByName(greedy_assign(fuzzy.candidates(left, free, rules))))
+    return written(done.unionByName(second(left, free)))
 
 
 def resolve_bank_leg(batches: DataFrame, bank: DataFrame) -> DataFrame:
-    return _leg(batches, "settlement_id", bank, "txn_id", exact.l1_utr_column_join, fuzzy.BANK_RULES)
+    return _leg(batches, "settlement_id", bank, "txn_id", exact.l1_utr_column_join, fuzzy.assign_batches)
 
 
 def resolve_invoice_leg(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    return _leg(payments, "payment_id", invoices, "invoice_id", exact.l1_order_id_join, fuzzy.INVOICE_RULES)
+    return _leg(payments, "payment_id", invoices, "invoice_id", exact.l1_order_id_join, fuzzy.assign_invoices)
 
 
 def evidence(rule: Column, counterpart: Column) -> Column:

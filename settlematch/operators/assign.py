@@ -8,40 +8,98 @@ subject and are settled by an aggregate; the rest are solved one component at a
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlematch.functions.stats import confidence_for
 from settlematch.operators.components import components
 from settlematch.storage import written
 
-#: Edges of one component that a task may take on; a larger one stops the job rather than be cut.
+#: Rows of one component that a task may take on; a larger one stops the job rather than be cut.
 MOST_EDGES = 5_000_000
 
 
-def greedy(edges: list[tuple[str, int, str]]) -> list[tuple[str, int, str]]:
-    """(subject, rank, counterpart) edges -> the winning ones."""
+@dataclass
+class DayWindow:
+    """A last rule whose candidates are counterparts of one amount, dated at most ``length`` days before the subject.
+
+    It is kept as the two sides, never as pairs, since one amount may have very many of both.
+    subjects: subject_id, amount, day; rows: counterpart_id, amount, day (days as whole numbers).
+    """
+
+    rule: str
+    rank: int
+    length: int
+    subjects: DataFrame
+    rows: DataFrame
+
+
+def greedy(edges: list[tuple[str, int, str]], wanted: dict[str, tuple[int, int]] | None = None, stock: dict[str, tuple[int, int]] | None = None, rank: int = 0, length: int = 0) -> list[tuple[str, int, str]]:
+    """(subject, rank, counterpart) edges -> the winning ones.
+
+    ``wanted`` (subject -> amount, day) and ``stock`` (counterpart -> amount, day) stand for the
+    edges of a :class:`DayWindow` of that rank, which is tried last.
+    """
+    wanted, stock = wanted or {}, stock or {}
     offers: dict[str, dict[int, set[str]]] = {}
-    for subject, rank, counterpart in edges:
-        offers.setdefault(subject, {}).setdefault(rank, set()).add(counterpart)
+    for subject, r, counterpart in edges:
+        offers.setdefault(subject, {}).setdefault(r, set()).add(counterpart)
+    shelves: dict[int, list[tuple[int, str]]] = {}
+    for counterpart, (amount, day) in stock.items():
+        shelves.setdefault(amount, []).append((day, counterpart))
+    for shelf in shelves.values():
+        shelf.sort()
     claimed, won = set(), []
-    for subject in sorted(offers):
-        for rank in sorted(offers[subject]):
-            free = offers[subject][rank] - claimed
+    for subject in sorted(offers.keys() | wanted.keys()):
+        got = None
+        for r in sorted(offers.get(subject, ())):
+            free = offers[subject][r] - claimed
             if len(free) == 1:
-                counterpart = free.pop()
-                claimed.add(counterpart)
-                won.append((subject, rank, counterpart))
+                got = (subject, r, free.pop())
                 break
+        if got is None and subject in wanted:
+            amount, day = wanted[subject]
+            shelf = shelves.get(amount, [])
+            first = bisect_left(shelf, (day - length,))
+            if bisect_left(shelf, (day + 1,)) - first == 1:
+                got = (subject, rank, shelf[first][1])
+        if got:
+            won.append(got)
+            claimed.add(got[2])
+            if got[2] in stock:
+                amount, day = stock[got[2]]
+                shelf = shelves[amount]
+                del shelf[bisect_left(shelf, (day, got[2]))]
     return won
 
 
-def greedy_assign(edges: DataFrame) -> DataFrame:
+def _sides(window: DayWindow) -> DataFrame:
+    """kind, id, amount, day and the run of days they lie in: runs of one amount are more than ``length`` days apart."""
+    key = ["amount"]
+    left = window.subjects.select(F.lit("s").alias("kind"), F.col("subject_id").alias("id"), "amount", "day").join(window.rows.select("amount").distinct(), key, "left_semi")
+    right = window.rows.select(F.lit("c").alias("kind"), F.col("counterpart_id").alias("id"), "amount", "day").join(window.subjects.select("amount").distinct(), key, "left_semi")
+    line = Window.partitionBy("amount").orderBy("day", "kind", "id")
+    cut = F.coalesce((F.col("day") - F.lag("day").over(line) > window.length).cast("int"), F.lit(0))
+    both = left.unionByName(right).withColumn("cut", cut).withColumn("run", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("node", F.concat_ws("|", F.lit("w"), F.col("amount").cast("string"), F.col("run").cast("string"))).drop("cut", "run")
+    useful = both.groupBy("node").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("node")
+    return both.join(useful, "node", "left_semi")
+
+
+def greedy_assign(edges: DataFrame, window: DayWindow | None = None) -> DataFrame:
     """subject_id, rank, rule, counterpart_id (distinct candidate edges) -> at most one row per subject and counterpart."""
     edges = written(edges.select("subject_id", "rank", "rule", "counterpart_id").distinct())
-    wanted = edges.groupBy("counterpart_id").agg((F.min("subject_id") != F.max("subject_id")).alias("shared"))
-    flagged = edges.join(wanted, "counterpart_id")
+    sides = written(_sides(window)) if window else None
+    shared = edges.groupBy("counterpart_id").agg((F.min("subject_id") != F.max("subject_id")).alias("shared"))
+    flagged = edges.join(shared, "counterpart_id")
+    if window:
+        in_window = sides.select("kind", "id").distinct()
+        flagged = flagged.join(in_window.where("kind = 'c'").select(F.col("id").alias("counterpart_id"), F.lit(True).alias("c")), "counterpart_id", "left").join(in_window.where("kind = 's'").select(F.col("id").alias("subject_id"), F.lit(True).alias("s")), "subject_id", "left")
+        flagged = flagged.withColumn("shared", F.col("shared") | F.col("c").isNotNull() | F.col("s").isNotNull()).drop("c", "s")
     contested = flagged.groupBy("subject_id").agg(F.max("shared").alias("contested"))
     flagged = written(flagged.drop("shared").join(contested, "subject_id"))
 
@@ -49,22 +107,31 @@ def greedy_assign(edges: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("rank", "rule", "counterpart_id"), "rank").alias("won")
     alone = alone.groupBy("subject_id").agg(first).select("subject_id", "won.*")
 
-    disputed = flagged.where("contested").drop("contested")
-    if disputed.isEmpty():
+    subject, counterpart = F.concat(F.lit("s:"), "subject_id"), F.concat(F.lit("c:"), "counterpart_id")
+    disputed = flagged.where("contested")
+    none = {"amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}
+    work = disputed.select(subject.alias("a"), counterpart.alias("b"), F.lit("e").alias("kind"), "subject_id", "rank", "rule", "counterpart_id", *[v.alias(k) for k, v in none.items()])
+    if window:
+        own = F.concat(F.col("kind"), F.lit(":"), F.col("id"))
+        work = work.unionByName(sides.select(own.alias("a"), F.col("node").alias("b"), "kind", F.col("id").alias("subject_id"), F.lit(window.rank).alias("rank"), F.lit(window.rule).alias("rule"), F.lit("").alias("counterpart_id"), F.col("amount").cast("long").alias("amount"), F.col("day").cast("int").alias("day")))
+    if work.isEmpty():
         return _dressed(alone)
-    graph = disputed.select(F.concat(F.lit("s:"), "subject_id").alias("a"), F.concat(F.lit("c:"), "counterpart_id").alias("b"))
-    label = components(graph).where("node like 's:%'").select(F.expr("substring(node, 3)").alias("subject_id"), "component")
-    disputed = disputed.join(label, "subject_id")
-    largest = disputed.groupBy("component").count().agg(F.max("count")).head()[0]
+    work = written(work)
+    label = components(work.select("a", "b")).select(F.col("node").alias("a"), "component")
+    work = work.join(label, "a").drop("a", "b")
+    largest = work.groupBy("component").count().agg(F.max("count")).head()[0]
     if largest > MOST_EDGES:
-        raise ValueError(f"a component has {largest} candidate edges; raise MOST_EDGES or narrow the rules")
+        raise ValueError(f"a component has {largest} candidate rows; raise MOST_EDGES or narrow the rules")
+    rank, length = (window.rank, window.length) if window else (0, 0)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         rules = dict(zip(part["rank"], part.rule, strict=True))
-        won = greedy(list(zip(part.subject_id, part["rank"], part.counterpart_id, strict=True)))
+        pairs, buyers, sold = (part[part.kind == k] for k in "esc")
+        sides_ = [{i: (int(a), int(d)) for i, a, d in zip(x.subject_id, x.amount, x.day, strict=True)} for x in (buyers, sold)]
+        won = greedy(list(zip(pairs.subject_id, pairs["rank"], pairs.counterpart_id, strict=True)), *sides_, rank, length)
         return pd.DataFrame([(s, r, rules[r], c) for s, r, c in won], columns=["subject_id", "rank", "rule", "counterpart_id"])
 
-    solved = disputed.groupBy("component").applyInPandas(solve, "subject_id string, rank int, rule string, counterpart_id string")
+    solved = work.groupBy("component").applyInPandas(solve, "subject_id string, rank int, rule string, counterpart_id string")
     return _dressed(alone.unionByName(solved))
 
 

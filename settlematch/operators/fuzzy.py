@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlematch.functions.text import SHORTEST_PREFIX, extract_utrs, find_id_like, is_truncation_of, normalise_id, one_edit_keys
+from settlematch.operators.assign import DayWindow, greedy_assign
 
 TOLERANCE, DATE_WINDOW, ISSUE_WINDOW = 10, 2, 14
 
@@ -100,6 +101,26 @@ INVOICE_RULES: list[Rule] = [
 ]
 
 
+def amount_window(payments: DataFrame, invoices: DataFrame) -> DayWindow:
+    """The last invoice rule by its two sides, for assignment without its pairs."""
+    day = F.lit("1970-01-01").cast("date")
+    return DayWindow(
+        "l2_invoice_amount_date_window", len(INVOICE_RULES) - 1, ISSUE_WINDOW,
+        payments.where("captured_on is not null").select(F.col("payment_id").alias("subject_id"), F.col("gross").alias("amount"), F.datediff("captured_on", day).alias("day")),
+        invoices.where("issue_date is not null").select(F.col("invoice_id").alias("counterpart_id"), F.col("invoice_amount").alias("amount"), F.datediff("issue_date", day).alias("day")),
+    )
+
+
+def assign_batches(batches: DataFrame, bank: DataFrame) -> DataFrame:
+    """Claim-once links of unresolved batches to free credits."""
+    return greedy_assign(candidates(batches, bank, BANK_RULES))
+
+
+def assign_invoices(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Claim-once links of unresolved payments to free invoices."""
+    return greedy_assign(candidates(payments, invoices, INVOICE_RULES[:-1]), amount_window(payments, invoices))
+
+
 def candidates(subjects: DataFrame, rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """subject_id, rank, rule, counterpart_id over all rules."""
     out = None

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from settlematch.functions import calendar, ids, money, stats, text
 from settlematch.operators import assemble, audit, baselines, breakdown, corpus, decisions, exact, fuzzy, quality, score, views
-from settlematch.operators.assign import greedy_assign
 from settlematch.operators.baselines import BANK, INVOICE
 from settlematch.sources import files
 from settlematch.sources.testdata import oracle_prefix, sources
@@ -480,7 +479,7 @@ def _greedy_bank(t: Inputs) -> DataFrame:
     done = written(exact.l1_utr_column_join(t.batches, t.bank))
     left = t.batches.join(done.select(F.col("subject_id").alias("settlement_id")), "settlement_id", "left_anti")
     free = t.bank.join(done.select(F.col("counterpart_id").alias("txn_id")).distinct(), "txn_id", "left_anti")
-    return greedy_assign(fuzzy.candidates(left, free, fuzzy.BANK_RULES)).select("subject_id", "counterpart_id")
+    return fuzzy.assign_batches(left, free).select("subject_id", "counterpart_id")
 
 
 ORACLE_SQL["l2_greedy_assign_bank"] = RECURSIVE + GREEDY_BANK + " SELECT DISTINCT e.subject_id, g.got AS counterpart_id FROM grb g JOIN edb e ON e.i = g.i WHERE g.got IS NOT NULL"
@@ -492,7 +491,7 @@ def _greedy_invoice(t: Inputs) -> DataFrame:
     done = written(exact.l1_order_id_join(t.payments, t.invoices))
     left = t.payments.join(done.select(F.col("subject_id").alias("payment_id")), "payment_id", "left_anti")
     free = t.invoices.join(done.select(F.col("counterpart_id").alias("invoice_id")).distinct(), "invoice_id", "left_anti")
-    return greedy_assign(fuzzy.candidates(left, free, fuzzy.INVOICE_RULES)).select("subject_id", "counterpart_id", "rule")
+    return fuzzy.assign_invoices(left, free).select("subject_id", "counterpart_id", "rule")
 
 
 ORACLE_SQL["l2_greedy_assign_invoice"] = RECURSIVE + GREEDY_INVOICE + f" SELECT DISTINCT e.subject_id, g.got AS counterpart_id, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')} AS rule FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL"

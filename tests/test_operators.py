@@ -79,6 +79,14 @@ def test_assignment_is_the_sequential_one(spark):
     assert len({c for _, c in got}) == len(got)
 
 
+def test_window_without_pairs_is_the_same_assignment(spark):
+    rng = random.Random(3)
+    pay = payment(spark, *[{"payment_id": f"p{i:03}", "order_id": rng.choice([None, f"order_{rng.randrange(12)}"]), "gross": rng.choice([100, 200, 300]), "captured_on": DAY + dt.timedelta(rng.randrange(150))} for i in range(90)])
+    inv = invoice(spark, *[{"invoice_id": f"INV-2026-{i:05}", "order_id": rng.choice([None, f"ORDER_{rng.randrange(12)}"]), "invoice_amount": rng.choice([100, 200, 300, 400]), "issue_date": DAY + dt.timedelta(rng.randrange(150))} for i in range(70)])
+    by_pairs = pairs(greedy_assign(fuzzy.candidates(pay, inv, fuzzy.INVOICE_RULES)))
+    assert pairs(fuzzy.assign_invoices(pay, inv)) == by_pairs and len(by_pairs) > 20
+
+
 def test_assignment_of_nothing(spark):
     assert pairs(greedy_assign(spark.createDataFrame([], "subject_id string, rank int, rule string, counterpart_id string"))) == []
 
@@ -177,4 +185,4 @@ def test_scores(spark):
 def test_results_do_not_depend_on_partitions(spark, parts):
     pay = payment(spark, *[{"payment_id": f"p{i}", "order_id": None, "gross": 100} for i in range(5)]).repartition(parts)
     inv = invoice(spark, *[{"invoice_id": f"INV-2026-0000{i}", "order_id": None, "invoice_amount": 100} for i in range(1)]).repartition(parts)
-    assert pairs(greedy_assign(fuzzy.candidates(pay, inv, fuzzy.INVOICE_RULES))) == [("p0", "INV-2026-00000")]
+    assert pairs(fuzzy.assign_invoices(pay, inv)) == [("p0", "INV-2026-00000")]
