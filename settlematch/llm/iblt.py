@@ -142,7 +142,7 @@ def written_out(cells: Column) -> Column:
     return F.concat(F.lit(f"iblt{CELLS}:"), F.array_join(F.transform(cells, lambda c: F.concat(wide(c["cell"], 2), wide(c["count"], 4), wide(c["key"], 16), wide(c["check"], 8))), ""))
 
 
-def with_next(documents: DataFrame, rows_each: int = 4096) -> DataFrame:
+def with_next(documents: DataFrame, rows_each: int = 512) -> DataFrame:
     """``documents`` (doc_id, text, keys) with ``next_text`` and ``next_keys`` of the next doc_id; the last takes the first.
 
     Ids are cut into ranges of about ``rows_each``; each range also gets a copy of the first row
