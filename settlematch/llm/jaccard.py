@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from settlematch.llm.common import blocks, record_batch
 from settlematch.operators.components import components
-from settlematch.storage import written
+from settlematch.storage import discard, written
 
 TILE = 1024
 #: Pairs of bands with no more sets than this give their pairs outright, without bitmaps.
@@ -119,7 +119,7 @@ def frequent_shingles(documents: DataFrame, width: int, *, docs: int = 20_000, l
 
 
 def _hashes_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id`` and its whole sorted set, for the ids asked for."""
+    """``id`` and its whole sorted set, for the ids asked for; repeated rows repeat, which adds no link."""
     schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches):
@@ -127,7 +127,7 @@ def _hashes_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield record_batch(schema, {"id": batch.column("doc_id"), "hashes": [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]})
 
     wanted = documents.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "id long, hashes binary")
 
 
 def _least_overlap(x, y, num: int, den: int):
@@ -307,6 +307,8 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     full = sets.where("n > 0 and doc_id is not null")
     same = written(full.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("id")))
     unique = written(full.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "low", "prefix", "bits"))
+    slim = written(sets.select("doc_id", "n", "set_a", "set_b"))
+    discard(sets)
 
     # groups of one smallest hash, in tiles that all hold the group's first member
     groups = unique.groupBy(F.col("low").alias("key")).agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
@@ -316,12 +318,14 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     members = members.withColumn("tile", F.explode(F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own)))).select("key", "tile", "id", "n")
     members = written(members)
     first = written(_first_links(members.join(_hashes_of(docs, members.select("id").distinct(), width), "id"), num, den))
+    discard(members)
     joined = written(components(first))
 
     # the prefix filter on what is still apart
     seen = unique.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
     seen = written(seen.join(seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi"))
     tiled = written(_tile_pairs(seen, num, den))
+    discard(seen)
     large = tiled.where("large").join(unique.select("id", "bits", "prefix"), "id").withColumn("head", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
     large = _candidates(large, num, den, True)
     few = written(_candidates(tiled.where("not large"), num, den, False).distinct())
@@ -338,6 +342,8 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     ends = [unique.select(F.col("id").alias(i), F.col("bits").alias(v), F.col("n").alias(c)) for i, v, c in (("a", "x", "n"), ("b", "y", "m"))]
     few = few.join(ends[0], "a").join(ends[1], "b").mapInArrow(screen, "a long, b long")
     pairs = written(large.unionByName(few).distinct())
+    discard(tiled)
+    discard(unique)
     whole = _hashes_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
     whole = written(whole)
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -350,7 +356,7 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     second = both.mapInArrow(verify, "a long, b long")
     last = components(first.unionByName(second))
     found = same.join(last.select(F.col("node").alias("id"), "component"), "id", "left").select("n", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
-    out = sets.select("doc_id", "n", "set_a", "set_b").join(found, ["n", "set_a", "set_b"], "left")
+    out = slim.join(found, ["n", "set_a", "set_b"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
