@@ -328,8 +328,8 @@ def read_manifest(t: Inputs) -> DataFrame:
     return files.read_manifest(t.spark, folder)
 
 
-@query()
-def read_transcript(t: Inputs) -> DataFrame:
+@query(name="read_transcript")
+def _read_transcript(t: Inputs) -> DataFrame:
     """The derived call log as JSON lines; the last good record of each key."""
     folder = _folder(t)
     _transcript(_questions(t)).write.json(folder)
@@ -576,6 +576,9 @@ def l3_accept(t: Inputs) -> DataFrame:
     return decisions.l3_accept(valid, offered)
 
 
+ORACLE_SQL["read_transcript"] = oracle_prefix() + ", " + QUESTIONS.removeprefix("--with") + """SELECT prompt_hash, CAST(CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS seq, CASE kind WHEN 'good' THEN good WHEN 'broken' THEN 'not json' WHEN 'unknown' THEN '{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}' ELSE '{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}' END AS response_text FROM ta WHERE NOT missed"""
+
+
 @query(QUESTIONS + "SELECT subject_id, prompt_hash FROM ta WHERE missed")
 def l3_resume_plan(t: Inputs) -> DataFrame:
     q = _questions(t)
@@ -688,7 +691,15 @@ def exception_reasons(t: Inputs) -> DataFrame:
     return score.exception_reasons(t.id_join.where("reason is not null"))
 
 
-@query()
+CARD = LAYERED + ", answers AS (SELECT DISTINCT 'identifier_join' AS matcher, link_type, payment_id, counterpart_id FROM id_edges UNION ALL SELECT 'layered', link_type, payment_id, counterpart_id FROM lay_edges" + "".join(f" UNION ALL SELECT matcher, link_type, payment_id, counterpart_id FROM ({_baseline_sql(d).split(PAYMENTS, 1)[1]}) z{int(d)} WHERE counterpart_id IS NOT NULL" for d in (True, False)) + """),
+asked AS (SELECT matcher, link_type, payment_id, counterpart_id FROM truth_edges, (SELECT DISTINCT matcher FROM answers) m),
+joint AS (SELECT matcher, link_type, payment_id, t IS NOT NULL AS in_truth, p IS NOT NULL AS in_pred FROM (SELECT *, 1 AS t FROM asked) a FULL JOIN (SELECT *, 1 AS p FROM answers) b USING (matcher, link_type, payment_id, counterpart_id)),
+pp AS (SELECT matcher, link_type, payment_id, count(*) FILTER (in_truth) AS n_truth, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth AND in_pred) AS n_both, bool_and(in_truth = in_pred) AS exact FROM joint GROUP BY 1, 2, 3),
+s AS (SELECT matcher, link_type, CAST(sum(n_truth) AS BIGINT) AS truth_edges, CAST(sum(n_pred) AS BIGINT) AS predicted_edges, CAST(sum(n_both) AS BIGINT) AS true_positives, count(*) FILTER (n_truth > 0) AS resolvable, count(*) FILTER (n_truth > 0 AND exact) AS exactly_resolved, count(*) FILTER (n_truth > 0 AND n_pred > 0) AS matched FROM pp GROUP BY 1, 2)
+SELECT *, """ + ", ".join((ratio("true_positives", "predicted_edges", "precision"), wilson("true_positives", "predicted_edges", "precision"), ratio("true_positives", "truth_edges", "recall"), wilson("true_positives", "truth_edges", "recall"), ratio("2 * true_positives", "(predicted_edges + truth_edges)", "f1"), ratio("matched", "resolvable", "match_rate"))) + " FROM s"
+
+
+@query(CARD)
 def scorecard(t: Inputs) -> DataFrame:
     """All four matchers side by side: precision and recall per leg."""
     matches, _ = t.layered
