@@ -130,14 +130,15 @@ def host_column(url: str = "url"):
     return F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
 
 
-def observations(page: str) -> set[tuple[str, int, int]]:
-    """(path, kind, value) of one page. Kind 0: the path occurs; 1: a hash of its children's layout; 2: a hash of text directly in it."""
-    seen, text = set(), {}
+def observations(page: str) -> tuple[int, set[tuple[str, int, int]]]:
+    """A hash of the text outside furniture, and (path, kind, value) of one page. Kind 0: the path occurs; 1: a hash of its children's layout; 2: a hash of text directly in it."""
+    seen, text, said = set(), {}, []
     for event, node, part in parse(page):
         if node.drop or not node.path:
             continue
         if event == "text":
             text.setdefault(node.path, []).append(part)
+            said.append(part)
         elif event == "end":
             seen.add((node.path, 0, 0))
             names = [n for i, n in enumerate(node.children) if not i or n != node.children[i - 1]]
@@ -145,16 +146,17 @@ def observations(page: str) -> set[tuple[str, int, int]]:
             whole = " ".join("".join(text.pop(node.path, [])).split())
             if whole:
                 seen.add((node.path, 2, xxhash.xxh64_intdigest(whole) >> 1))
-    return seen
+    return xxhash.xxh64_intdigest(" ".join("".join(said).split())) >> 1, seen
 
 
-_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
+_SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
 
 
 def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
-    """host, path and composite importance (0 to 1) of every element path of every host.
+    """host, path and composite importance (0 to 1) of every element path on two or more pages of a host.
 
-    A path seen on one page has importance 1. Layouts: entropy over the pages' layouts, to the
+    Pages of a host that say the same count once: copies are no template. A path seen on one
+    page has importance 1; it is only summed into its parent. Layouts: entropy over the pages' layouts, to the
     base of the number of pages. Contents: one minus the mean entropy of the texts' spread over
     pages. Parents mix their own layout entropy with their children's importance, weighted by
     damping to the power of the number of layouts.
@@ -164,27 +166,29 @@ def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
         for batch in blocks(batches, 128):
             out = {name: [] for name in _SEEN.names}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, kind, value in observations(page or ""):
-                    for name, x in zip(_SEEN.names, (host, path, kind, value), strict=True):
+                digest, seen = observations(page or "")
+                for path, kind, value in seen:
+                    for name, x in zip(_SEEN.names, (host, digest, path, kind, value), strict=True):
                         out[name].append(x)
             yield record_batch(_SEEN, out)
 
-    counts = pages.select(host_column().alias("host"), "html").mapInArrow(run, "host string, path string, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    counts = pages.select(host_column().alias("host"), "html").mapInArrow(run, "host string, page long, path string, kind int, value long").distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     # one row per path: pages, entropy of layouts, mean spread of texts
     every = F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages")
     log = F.log(F.col("n").cast("double"))
-    facts = counts.groupBy("host", "path").agg(
+    facts = written(counts.groupBy("host", "path").agg(
         every,
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("laid"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * log)).alias("n_log_n"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("layouts"),
         F.avg(F.when(F.col("kind") == 2, log)).alias("spread"),
-    )
+    ))
+    once = facts.where("pages < 2").groupBy("host", F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count("*").alias("once"))
     many = F.log(F.col("pages").cast("double"))
-    facts = facts.select(
-        "host", "path", "pages", "layouts",
-        F.when(F.col("pages") < 2, 1.0).otherwise((F.log(F.col("laid").cast("double")) - F.col("n_log_n") / F.col("laid")) / many).alias("layout"),
-        F.when(F.col("pages") < 2, F.when(F.col("spread").isNotNull(), 1.0)).otherwise(1 - F.col("spread") / many).alias("content"),
+    facts = facts.where("pages > 1").join(once, ["host", "path"], "left").select(
+        "host", "path", "pages", "layouts", F.coalesce("once", F.lit(0)).alias("once"),
+        ((F.log(F.col("laid").cast("double")) - F.col("n_log_n") / F.col("laid")) / many).alias("layout"),
+        (1 - F.col("spread") / many).alias("content"),
     )
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,13 +197,15 @@ def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
             parts = [*below.get(r.path, [])]
             if r.content is not None and not math.isnan(r.content):
                 parts.append((r.pages, r.content))
+            if r.once:
+                parts.append((r.once, 1.0))
             weight = damping**r.layouts if parts else 1.0
             inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else 0.0
             value[r.path] = min(max((1 - weight) * inner + weight * max(r.layout, inner if parts else 0), 0.0), 1.0)
             below.setdefault(r.path.rsplit("/", 1)[0], []).append((r.pages, value[r.path]))
         return pd.DataFrame({"host": rows.host.iloc[0], "path": list(value), "importance": list(value.values())})
 
-    # one row per path of a host: as many as its templates have element paths, not as it has pages
+    # one row per path that pages of a host share; paths of a single page (ids in names) are summed above
     return facts.groupBy("host").applyInPandas(compose, "host string, path string, importance double")
 
 

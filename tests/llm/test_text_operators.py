@@ -242,3 +242,18 @@ def test_site_furniture_is_found_without_names(spark):
         assert all("Shop" not in got[i] and got[i].count("\n") == 1 for i in range(30))
         assert got[100] == got[101] == "" and got[102] == "a < b & c <" and got[103].startswith("Head & line")
     assert sitetree.extract(df.where("false")).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    pages = [(i, f"http://c.example/{i}", f"<body><div class=x1>Text of article {i % 2} in many copies.</div><div class=x2 id=post-{i}><p>end {i % 2}</p></div></body>") for i in range(100)]
+    df = spark.createDataFrame([*pages, *[(200 + i, "http://two.example/", "<div>same</div>") for i in range(2)]], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
+    assert all(got[i] == f"Text of article {i % 2} in many copies.\nend {i % 2}" for i in range(100))
+    assert got[200] == got[201] == "same"
+
+
+def test_paths_of_one_page_are_folded(spark):
+    pages = [(i, f"http://f.example/{i}", f"<body><div>Shop</div><div id=post-{i}><p>words {i}</p></div></body>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["path"] for r in sitetree.importance(df).collect()} == {"/body", "/body/div"}
+    assert {r["text"] for r in sitetree.extract(df).collect()} == {f"words {i}" for i in range(40)}
