@@ -4,9 +4,10 @@ The pages of one host are merged into a tree of element paths. A path that lays
 the same way everywhere, and whose content repeats from page to page, is part of the site and
 not of the page: its composite importance (entropy of layouts, and one minus the entropy of
 contents over pages, combined bottom-up) is low, and its branch is removed from each page. What
-elements say of themselves counts too: navigation, headers, footers, asides, forms, scripts and
-elements named after adverts, notices or comments go at once, and an article or main element is
-never removed on statistics alone.
+elements say of themselves counts too. Navigation, headers, footers, asides, forms, scripts and
+elements named after adverts, notices or comments go at once: their text differs from page to
+page too often for statistics. An article or main element is a prior of so many pages: for what
+is inside it, and against what is outside on a page that has one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "figcaption"}
 NOT_TEXT = frozenset("head script style noscript template textarea title nav header footer aside form button select option menu dialog iframe object embed svg math audio video canvas map fieldset label input search".split())
 MAIN = frozenset(("article", "main"))
+#: As many pages of importance 1 (in an article or main element) or 0 (outside of it) are added to those seen.
+PRIOR = 8
+_IN_MAIN = r"/(article|main|[^/]*\[main\])([./]|$)"
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|popup\w*|modal|cookie\w*|consent\w*|gdpr|notice\w*|newsletter\w*|subscribe\w*|subscription\w*|signup|login|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|header|masthead|footer|copyright|comments?|comment-\w+|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|widget\w*|skip)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S)
@@ -94,7 +98,8 @@ def parse(page: str):
         name = tag + ("." + ".".join(sorted(label.split())) if label else "")
         drop = top.drop or tag in NOT_TEXT or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(label and tag not in ("html", "body") and tag not in MAIN | {"p"} and _NAMED.search(label)) or bool(label and tag == "article" and re.search(r"comment|reply", label, re.I))
         top.children.append(name)
-        node = Node(tag, name, f"{top.path}/{name}", drop, (top.main or tag in MAIN or attrs.get("role", "").lower() == "main") and not drop)
+        mine = name + "[main]" if tag not in MAIN and attrs.get("role", "").lower() == "main" else name
+        node = Node(tag, name, f"{top.path}/{mine}", drop, (top.main or tag in MAIN or attrs.get("role", "").lower() == "main") and not drop)
         if tag in VOID:
             if tag == "hr":
                 yield "break", node, None
@@ -153,7 +158,7 @@ _SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.stri
 
 
 def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
-    """host, path and composite importance (0 to 1) of every element path on two or more pages of a host.
+    """host, path, pages and composite importance (0 to 1) of every element path on two or more pages of a host.
 
     Pages of a host that say the same count once: copies are no template. A path seen on one
     page has importance 1; it is only summed into its parent. Layouts: entropy over the pages' layouts, to the
@@ -203,55 +208,79 @@ def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
             inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else 0.0
             value[r.path] = min(max((1 - weight) * inner + weight * max(r.layout, inner if parts else 0), 0.0), 1.0)
             below.setdefault(r.path.rsplit("/", 1)[0], []).append((r.pages, value[r.path]))
-        return pd.DataFrame({"host": rows.host.iloc[0], "path": list(value), "importance": list(value.values())})
+        return rows[["host", "path", "pages"]].assign(importance=rows.path.map(value))
 
     # one row per path that pages of a host share; paths of a single page (ids in names) are summed above
-    return facts.groupBy("host").applyInPandas(compose, "host string, path string, importance double")
+    return facts.groupBy("host").applyInPandas(compose, "host string, path string, pages long, importance double")
 
 
-def main_text(page: str, removed: frozenset[str] | set[str]) -> str:
-    """Blocks of the page's main content, one line each. removed: low-importance paths of its host."""
-    lines: list[tuple[bool, str]] = []
+def judged(tree: DataFrame, least: float) -> DataFrame:
+    """Of every host, the paths of :func:`importance` that are removed, and the ones that stay beside an article or main element."""
+    inside = F.col("path").rlike(_IN_MAIN)
+    seen, prior = F.col("pages") * F.col("importance"), F.col("pages") + PRIOR
+    removed = F.when(inside, (seen + PRIOR) / prior).otherwise(F.col("importance")) < least
+    beside = ~inside & (seen / prior >= least)
+    return tree.groupBy("host").agg(F.collect_set(F.when(removed, F.col("path"))).alias("removed"), F.collect_set(F.when(beside, F.col("path"))).alias("beside")).where((F.size("removed") > 0) | (F.size("beside") > 0))
+
+
+def main_text(page: str, removed: frozenset[str] | set[str], beside: frozenset[str] | set[str] = frozenset()) -> str:
+    """Blocks of the page's main content, one line each.
+
+    removed: paths of its host that go; beside: those that stay outside an article or main
+    element where the page has one. Where both leave nothing, such an element stays whole.
+    """
+    lines: list[tuple[int, str]] = []
     current: list[str] = []
-    state = [False, False]  # of the block being gathered: kept, main
+    state = [_OUTSIDE]  # standing of the block being gathered
 
     def flush():
         line = " ".join(html.unescape("".join(current)).split())
-        if line and state[0]:
-            lines.append((state[1], line))
+        if line:
+            lines.append((state[0], line))
         current.clear()
 
-    gone: dict[str, bool] = {}
+    standing: dict[str, int] = {}
     for event, node, part in parse(page):
         if event == "text":
             if node.drop:
                 continue
-            if node.path not in gone:
+            if node.path not in standing:
                 steps = node.path.split("/")
-                gone[node.path] = not node.main and any("/".join(steps[:k]) in removed for k in range(2, len(steps) + 1))
-            if gone[node.path]:
+                gone = any("/".join(steps[:k]) in removed for k in range(2, len(steps) + 1))
+                standing[node.path] = (_REMOVED if node.main else None) if gone else _INSIDE if node.main else _BESIDE if node.path in beside else _OUTSIDE
+            now = standing[node.path]
+            if now is None:
                 continue
+            if current and (now == _REMOVED) != (state[0] == _REMOVED):
+                flush()
             if not current:
-                state[:] = [True, node.main]
+                state[0] = now
             current.append(part)
         elif event == "break" or node.tag in BLOCK:
             flush()
     flush()
-    main = any(m for m, _ in lines)
-    return "\n".join(line for m, line in lines if m or not main)
+    found = {x for x, _ in lines}
+    if _INSIDE in found:
+        kept = {_INSIDE, _BESIDE}
+    elif _REMOVED in found:
+        kept = {_BESIDE} if _BESIDE in found else {_REMOVED}
+    else:
+        kept = {_OUTSIDE, _BESIDE}
+    return "\n".join(line for x, line in lines if x in kept)
 
 
+_REMOVED, _OUTSIDE, _BESIDE, _INSIDE = range(4)
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def extract(pages: DataFrame, *, least: float = 0.5, broadcast_rows: int = 50_000, salts: int = 64) -> DataFrame:
     """page_id, url, text and n_chars of every page; empty where nothing is left (null html too).
 
-    Hosts' removal lists travel by broadcast while they are at most ``broadcast_rows`` rows, and
+    Hosts' lists of paths travel by broadcast while they are at most ``broadcast_rows`` rows, and
     by a join salted over ``salts`` beyond, so that a host with most of the pages is not one
     task. Pages with a null or broken url share one nameless host. Repeated rows repeat.
     """
-    low = written(importance(pages).where(F.col("importance") < least).groupBy("host").agg(F.collect_set("path").alias("removed")))
+    low = written(judged(importance(pages), least))
     rows = pages.select("page_id", "url", "html", host_column().alias("host"))
     if low.count() <= broadcast_rows:
         rows = rows.join(F.broadcast(low), "host", "left")
@@ -261,7 +290,7 @@ def extract(pages: DataFrame, *, least: float = 0.5, broadcast_rows: int = 50_00
 
     def run(batches):
         for batch in blocks(batches, 128):
-            texts = [main_text(page or "", set(removed or ())) for page, removed in zip(batch.column("html").to_pylist(), batch.column("removed").to_pylist(), strict=True)]
+            texts = [main_text(page or "", set(removed or ()), set(beside or ())) for page, removed, beside in zip(*(batch.column(c).to_pylist() for c in ("html", "removed", "beside")), strict=True)]
             yield record_batch(_TEXT, {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": list(map(len, texts))})
 
-    return rows.select("page_id", "url", "html", "removed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "removed", "beside").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -257,3 +257,19 @@ def test_paths_of_one_page_are_folded(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r["path"] for r in sitetree.importance(df).collect()} == {"/body", "/body/div"}
     assert {r["text"] for r in sitetree.extract(df).collect()} == {f"words {i}" for i in range(40)}
+
+
+def test_importance_decides_inside_and_outside_articles(spark):
+    def page(i):
+        return f"<body><div class=z1>{'Shop Blog'}</div><div class=z2>lead {i} of the story</div><article><div class=q7>Sign here for offers</div><p>body {i}</p></article></body>"
+
+    pages = [(i, f"http://t.example/{i}", page(i)) for i in range(40)]
+    pages += [(100, "http://one.example/", page(100))]  # without statistics the tags decide
+    pages += [(200 + i, f"http://alike.example/{i}", f"<body><div role=main><p>all the same</p></div><footer>{i}</footer><i hidden>{i}</i></body>") for i in range(20)]
+    pages += [(300 + i, f"http://near.example/{i}", f"<body><main><p>all the same</p><b>{'x' * (i > 18)}</b></main></body>") for i in range(20)]
+    pages += [(400 + i, f"http://role.example/{i}", f"<body><div role=main><div>Sign here</div><p>body {i}</p></div></body>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"lead {i} of the story\nbody {i}" for i in range(40))
+    assert got[100] == "Sign here for offers\nbody 100"
+    assert {got[i] for i in range(200, 220)} == {"all the same"} and got[300] == "all the same"
+    assert all(got[400 + i] == f"body {i}" for i in range(40))
