@@ -171,7 +171,7 @@ def _windows(text: str) -> list[tuple[int, int]]:
 
 
 def disguised_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Spans that only the rewritten text shows. Any that overlaps a plain one is left out."""
+    """Spans that only the rewritten text shows, also around the plain rest of one; none inside another of its kind."""
     found = []
     for s, e in _windows(text):
         new = rewrite(text[s:e], s)
@@ -180,7 +180,7 @@ def disguised_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[
         for kind, find in FINDERS.items():
             for hit in find(new.text):
                 a, b = new.source(hit)
-                if text[a:b] != new.text[hit[0] : hit[1]] and not any(a < y and x < b for x, _, y in (*taken, *found)):
+                if text[a:b] != new.text[hit[0] : hit[1]] and not any(k == kind and x <= a and b <= y for x, k, y in (*taken, *found)):
                     found.append((a, kind, b))
     return found
 

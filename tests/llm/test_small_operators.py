@@ -219,3 +219,19 @@ def test_pii_rows(spark):
     assert got.count() == len(rows()) and pii.find_pii(empty(spark)).count() == 0
     clean = spark.createDataFrame([(1, "to a.b@c.de or +49 30 1234567", 1), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redact(clean).collect()] == [(1, "to [EMAIL] or [PHONE]", 21), (2, None, None)]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "plain", "shown"),
+    [
+        ("to jоhn@example.com now", "email", "hn@example.com", "jоhn@example.com"),
+        ("to john@example.cоm now", "email", "john@example.c", "john@example.cоm"),
+        ("call +49 30 123 45６7 8", "phone", "+49 30 123 45", "+49 30 123 45６7 8"),
+        ("card 4012 8888 8888 1881 ０１１", "card", "4012 8888 8888 1881", "4012 8888 8888 1881 ０１１"),
+    ],
+)
+def test_partly_disguised_identifiers(text, kind, plain, shown):
+    base, spans = pii.all_spans(text)
+    assert [(text[s:e], k) for s, k, e in base] == [(plain, kind)]
+    assert sorted((text[s:e], k) for s, k, e in spans) == sorted([(plain, kind), (shown, kind)])
+    assert pii.redacted(text, spans) == text.replace(shown, f"[{kind.upper()}]")
