@@ -36,12 +36,31 @@ _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "²³¹٠-٩۰-۹०-९​-
 _DIGITS = re.compile(rf"(?:\b(?:plus)\s+)?(?<![A-Za-z])(?:{_WORD})(?:[\s,.-]+(?:dot|dash|plus|{_WORD}|[0-9]+)\b){{3,}}", re.I)
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
 _BARE = re.compile(r"\s+(at|dot)\s+", re.I)
-# Endings that tell an address in bare words from prose.
+# Endings that tell an address in bare words from prose, also behind a written dot.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "de", "fr", "es", "uk", "us", "ca", "ch", "at", "nl", "example")
+# Other endings in use, which count behind a spoken dot.
+MORE_ENDINGS = ENDINGS + tuple(
+    "app dev name pro mobi shop online site store tech cloud xyz page blog news wiki test ac ad ae af ag ai al am ao ar as au az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz cc cd cf cg ci cl cm cn cr cu cv cy cz dj dk dm do dz ec ee eg er et fi fj fm fo ga gd ge gg gh gi gl gm gn gq gr gt gu gy hk hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mr mt mu mv mw mx my mz na ne ng ni no np nr nu nz om pa pe pg ph pk pl pm pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr st su sv sy sz tc td tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu ws ye za zm zw".split()
+)
+#: Words of prose that stand between "at" and "dot", as in "look at the dot".
+_NO_HOST = r"(?!(?:the|an?|this|that|these|those|each|every|any|no|one|some|its?|his|her|their|our|your|my|which|what|another)\s+dot\b)"
+_LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:\s+dot\s+[a-z0-9_%+-]+)*"
+_DOMAIN = r"[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*"
+#: What prose lacks: a sign, a spoken dot or digits among letters; in a domain a hyphen, digits or a third part.
+_LOCAL_SHAPE = r"(?=[a-z0-9_%+-]*[a-z0-9](?:\s+dot\s+|[._%+-])[a-z0-9]|[a-z]+[0-9]|[0-9]+[a-z])"
+_DOMAIN_SHAPE = r"(?=[a-z0-9]+-[a-z0-9]|[a-z]+[0-9]|[0-9]+[a-z]|[a-z0-9-]+(?:\s+dot\s+|\.)[a-z0-9-]+\s+dot\s)"
 #: An address or a dotted number in bare words, whole.
-_SPOKEN = re.compile(rf"[a-z0-9._%+-]+(?:\s+dot\s+[a-z0-9_%+-]+)*\s+at\s+[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})(?![a-z0-9])|[0-9]+(?:(?:\s+dot\s+|\.)[0-9]+){{3}}", re.I)
+_SPOKEN = re.compile(
+    "|".join([
+        rf"{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN}\s+dot\s+(?:{'|'.join(MORE_ENDINGS)})(?![a-z0-9])",
+        rf"{_LOCAL}\s+at\s+{_DOMAIN}(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})(?![a-z0-9])",
+        rf"(?<![a-z0-9._%+-]){_LOCAL_SHAPE}{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN}\s+dot\s+[a-z]{{2,}}(?![a-z0-9])",
+        rf"{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN_SHAPE}{_DOMAIN}\s+dot\s+[a-z]{{2,}}(?![a-z0-9])",
+        r"[0-9]+(?:(?:\s+dot\s+|\.)[0-9]+){3}",
+    ]),
+    re.I,
+)
 _HINT = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])", re.I)
 _WINDOW = 120
 
 
@@ -150,15 +169,11 @@ def rewrite(text: str, start: int = 0) -> Rewritten:
 
 def _windows(text: str) -> list[tuple[int, int]]:
     """Stretches around anything that looks like a disguise, widened to whole words and merged."""
-    marks = [] if text.isascii() else [m.start() for m in _FOREIGN.finditer(text)]
-    low = text.lower() if "dot" in text or "DOT" in text or "Dot" in text or "at" in text else ""
-    if low and len(low) == len(text) and ("dot" in low or any(b + "at" in low or b + " at" in low for b in "[({<")):
-        marks += [m.start() for m in _HINT.finditer(text)]
-    words = [m.start() for m in _SPELLED.finditer(text)]
-    marks += [a for i, a in enumerate(words[3:], 3) if a - words[i - 3] < _WINDOW]
+    marks = [] if text.isascii() else [m.span() for m in _FOREIGN.finditer(text)]
+    marks += [m.span() for hint in (_HINT, _DIGITS) for m in hint.finditer(text)]
     out: list[list[int]] = []
-    for m in sorted(marks):
-        s, e = max(0, m - _WINDOW), min(len(text), m + _WINDOW)
+    for a, b in sorted(marks):
+        s, e = max(0, a - _WINDOW), min(len(text), b + _WINDOW)
         while s > 0 and not text[s - 1].isspace():
             s -= 1
         while e < len(text) and not text[e].isspace():

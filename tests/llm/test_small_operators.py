@@ -235,3 +235,27 @@ def test_partly_disguised_identifiers(text, kind, plain, shown):
     assert [(text[s:e], k) for s, k, e in base] == [(plain, kind)]
     assert sorted((text[s:e], k) for s, k, e in spans) == sorted([(plain, kind), (shown, kind)])
     assert pii.redacted(text, spans) == text.replace(shown, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "shown"),
+    [
+        ("\u0130stanbul: write to x [at] y (dot) com.", "email", "x [at] y (dot) com"),
+        ("MAIL: USER [AT] EXAMPLE.COM", "email", "USER [AT] EXAMPLE.COM"),
+        ("mail user (At) example.com", "email", "user (At) example.com"),
+        ("write to anna at firma dot it, please", "email", "anna at firma dot it"),
+        ("write to anna at firma dot co dot jp", "email", "anna at firma dot co dot jp"),
+        ("write to anna dot b at firma dot museum", "email", "anna dot b at firma dot museum"),
+        ("write to anna at my-firma dot museum", "email", "anna at my-firma dot museum"),
+        ("card four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("card four" + 30 * " " + "1 1 1 1 1 1 1 1 1 1 1 1 1 1" + 90 * " " + "one", "card", "four" + 30 * " " + "1 1 1 1 1 1 1 1 1 1 1 1 1 1" + 90 * " " + "one"),
+    ],
+)
+def test_disguises_are_not_lost_to_pre_checks(text, kind, shown):
+    assert (shown, kind) in [(text[s:e], k) for s, k, e in pii.all_spans(text)[1]]
+
+
+def test_prose_with_at_and_dot_is_left_alone():
+    for text in ("Look at the dot in the middle", "a point at every dot on it", "We met at noon. The dot is red", "end. at a dot to", "one 1 two"):
+        assert pii.all_spans(text)[1] == []
+    assert pii.all_spans("x" * 200_000 + " dot y at " + "z" * 200_000)[1] == []
