@@ -223,6 +223,15 @@ def test_segmentations_decode(spark):
     assert segmentations.sample_segmentations(df.where("false"), MODEL, ["conv_id"]).count() == 0
 
 
+def test_segmentation_query_covers_documents(spark):
+    from settlematch.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.op6_gumbel_segmentations(spark, folder).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in got if r["sample"] == 0} == ids and all(r["decodes"] for r in got)
+
+
 # --- pages ---
 
 PAGE = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One\n two<br>three<p><b>Four <i>five</i></p><ul><li>a<li>b</ul><form>sign up</form><div class='comments'><p>first!</p></div></article><aside>More</aside><footer>&copy; x</footer></body></html>"
