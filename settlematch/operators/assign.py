@@ -4,23 +4,38 @@ Subjects are taken in id order and rules in rank order; the first rule that leav
 exactly one unclaimed candidate wins and claims it. A decision depends only on who else wants the
 same counterparts, so components of the candidate graph are independent: most are a single
 subject and are settled by an aggregate; the rest are solved one component at a time.
+
+A rule by amount and date links everything of a common price over its whole history, so its
+subjects are first narrowed to those that can win by it at all. Before the time (subject id) at
+which another rule may first claim a counterpart, only the window can have claimed it. So a
+subject that sees u counterparts not yet open to other rules needs u - 1 earlier window winners
+within reach, and the first winner of all needs u = 1. The set that follows from this rule, grown
+from nothing, holds every winner. On one amount and day it is always the latest ids, so a task
+needs only the top few ids of each day of an amount: its input is bounded by the calendar. On a
+common price next to nothing is left; on a rare one windows seldom meet. The parts of the other
+rules' graph that no such subject can disturb are settled first, on their own.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlematch.functions.stats import confidence_for
 from settlematch.operators.components import components
+from settlematch.operators.runs import solve_runs
 from settlematch.storage import written
 
-#: Rows of one component that a task may take on; a larger one stops the job rather than be cut.
-MOST_EDGES = 5_000_000
+#: Ids of one amount and day, from the latest on, that narrowing looks at; any number gives the same result.
+TOP = 16
+#: Amounts with fewer subjects are not narrowed.
+COMMON = 8
+#: Stands for a counterpart that no other rule can claim: behind every id.
+NEVER = "\U0010ffff"
 
 
 @dataclass
@@ -77,62 +92,130 @@ def greedy(edges: list[tuple[str, int, str]], wanted: dict[str, tuple[int, int]]
     return won
 
 
-def _sides(window: DayWindow) -> DataFrame:
-    """kind, id, amount, day and the run of days they lie in: runs of one amount are more than ``length`` days apart."""
-    key = ["amount"]
-    left = window.subjects.select(F.lit("s").alias("kind"), F.col("subject_id").alias("id"), "amount", "day").join(window.rows.select("amount").distinct(), key, "left_semi")
-    right = window.rows.select(F.lit("c").alias("kind"), F.col("counterpart_id").alias("id"), "amount", "day").join(window.subjects.select("amount").distinct(), key, "left_semi")
-    line = Window.partitionBy("amount").orderBy("day", "kind", "id")
-    cut = F.coalesce((F.col("day") - F.lag("day").over(line) > window.length).cast("int"), F.lit(0))
-    both = left.unionByName(right).withColumn("cut", cut).withColumn("run", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("node", F.concat_ws("|", F.lit("w"), F.col("amount").cast("string"), F.col("run").cast("string"))).drop("cut", "run")
-    useful = both.groupBy("node").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("node")
-    return both.join(useful, "node", "left_semi")
+def _parts(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``part``, a number that linked edges share, and ``alone``: the part is one subject."""
+    shared = edges.groupBy("counterpart_id").agg((F.min("subject_id") != F.max("subject_id")).alias("shared"))
+    contested = edges.join(shared, "counterpart_id").groupBy("subject_id").agg((~F.max("shared")).alias("alone"))
+    flagged = written(edges.join(contested, "subject_id"))
+    disputed = flagged.where("not alone")
+    pair = disputed.select(F.xxhash64(F.lit("s"), "subject_id").alias("a"), F.xxhash64(F.lit("c"), "counterpart_id").alias("b"))
+    label = components(pair).select("node", "component")
+    own = F.xxhash64(F.lit("s"), "subject_id")
+    joined = disputed.withColumn("node", own).join(label, "node").drop("node").withColumnRenamed("component", "part")
+    return flagged.where("alone").withColumn("part", own).unionByName(joined)
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Winning edges of whole parts."""
+    n = edges.where("alone").groupBy("subject_id", "rank", "rule").agg(F.count("*").alias("n"), F.min("counterpart_id").alias("counterpart_id")).where("n = 1")
+    first = F.min_by(F.struct("rank", "rule", "counterpart_id"), "rank").alias("won")
+    alone = n.groupBy("subject_id").agg(first).select("subject_id", "won.*")
+    none = {"kind": F.lit("e"), "amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}
+    return alone.unionByName(_solved(edges.where("not alone").withColumns(none), "part", 0, 0))
+
+
+def _solved(work: DataFrame, group: str, rank: int, length: int) -> DataFrame:
+    """Each group solved in memory: edges (kind e), and both sides of the window (kinds s and c)."""
+
+    def solve(part: dict[str, list]) -> list[tuple]:
+        rows = list(zip(*(part[c] for c in ("kind", "subject_id", "rank", "rule", "counterpart_id", "amount", "day")), strict=True))
+        rules = {r: rule for _, _, r, rule, *_ in rows}
+        pairs = [(s, r, c) for k, s, r, _, c, _, _ in rows if k == "e"]
+        wanted, stock = {s: (a, d) for k, s, _, _, _, a, d in rows if k == "s"}, {c: (a, d) for k, _, _, _, c, a, d in rows if k == "c"}
+        return [(s, r, rules[r], c) for s, r, c in greedy(pairs, wanted, stock, rank, length)]
+
+    return solve_runs(work.select(group, "kind", "subject_id", "rank", "rule", "counterpart_id", "amount", "day"), group, [], solve, "subject_id string, rank int, rule string, counterpart_id string")
+
+
+def _days(length: int, sign: int) -> Column:
+    """``day`` and the ``length`` days after (sign 1) or before it (-1), one row each."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(length)), lambda i: F.col("day") + sign * i))
+
+
+def latest_winners(firsts: dict[int, list[str]], subjects: dict[int, list[str]], length: int, top: int = TOP) -> dict[int, int]:
+    """Per day, how many of its latest subjects may win by the window.
+
+    firsts: per day of counterparts, the ids from which another rule may claim them, latest first;
+    subjects: ids per day, latest first. Both hold the ``top`` latest; where all of a day's are
+    taken, later ones beyond count as taken too.
+    """
+    size = dict.fromkeys(subjects, 0)
+    seen, shut = {}, {}
+    for day in subjects:
+        lists = [firsts[x] for x in range(day - length, day + 1) if x in firsts]
+        seen[day] = sorted(y for x in lists for y in x)
+        shut[day] = max((x[1] for x in lists if len(x) > 1), default="")  # two of one day are always seen together
+    todo = {day for day in subjects if seen[day]}
+    while todo:
+        day = todo.pop()
+        ids, before = subjects[day], size[day]
+        near = [e for e in range(day - length, day + length + 1) if e in size]
+        while size[day] < len(ids) and (own := ids[size[day]]) > shut[day]:
+            needed = len(seen[day]) - bisect_left(seen[day], own) - 1
+            if needed > 0 and all(size[e] < top for e in near) and sum(t < own for e in near for t in subjects[e][: size[e]]) < needed:
+                break
+            size[day] += 1
+        if size[day] > before:
+            todo.update(e for e in near if e != day and seen[e])
+    return size
+
+
+def live_subjects(edges: DataFrame, window: DayWindow) -> DataFrame:
+    """The window's subjects that may win by it: those of rare amounts, and the ones that :func:`latest_winners` leaves."""
+    first = edges.groupBy("counterpart_id").agg(F.min("subject_id").alias("id"))
+    common = window.subjects.groupBy("amount").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("amount")
+    rows = window.rows.join(first, "counterpart_id", "left").select("amount", "day", F.lit("c").alias("kind"), F.coalesce("id", F.lit(NEVER)).alias("id"))
+    both = rows.unionByName(window.subjects.select("amount", "day", F.lit("s").alias("kind"), F.col("subject_id").alias("id"))).join(common, "amount", "left_semi")
+    latest = Window.partitionBy("amount", "day", "kind").orderBy(F.desc("id"))
+    tops = both.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= TOP).groupBy("amount", "day", "kind").agg(F.reverse(F.sort_array(F.collect_list("id"))).alias("ids"))
+    length = window.length
+
+    def narrow(part: dict[str, list]) -> list[tuple]:
+        rows = list(zip(part["kind"], part["day"], part["ids"], strict=True))
+        subjects = {d: x for k, d, x in rows if k == "s"}
+        size = latest_winners({d: x for k, d, x in rows if k == "c"}, subjects, length)
+        return [(part["amount"][0], d, "" if n == TOP else subjects[d][n - 1]) for d, n in size.items() if n]
+
+    since = solve_runs(tops, "amount", [], narrow, "amount long, day int, since string")
+    rare = window.subjects.join(common, "amount", "left_anti")
+    return rare.unionByName(window.subjects.join(since, ["amount", "day"]).where("subject_id >= since").drop("since"))
 
 
 def greedy_assign(edges: DataFrame, window: DayWindow | None = None) -> DataFrame:
-    """subject_id, rank, rule, counterpart_id (distinct candidate edges) -> at most one row per subject and counterpart."""
-    edges = written(edges.select("subject_id", "rank", "rule", "counterpart_id").distinct())
-    sides = written(_sides(window)) if window else None
-    shared = edges.groupBy("counterpart_id").agg((F.min("subject_id") != F.max("subject_id")).alias("shared"))
-    flagged = edges.join(shared, "counterpart_id")
-    if window:
-        in_window = sides.select("kind", "id").distinct()
-        flagged = flagged.join(in_window.where("kind = 'c'").select(F.col("id").alias("counterpart_id"), F.lit(True).alias("c")), "counterpart_id", "left").join(in_window.where("kind = 's'").select(F.col("id").alias("subject_id"), F.lit(True).alias("s")), "subject_id", "left")
-        flagged = flagged.withColumn("shared", F.col("shared") | F.col("c").isNotNull() | F.col("s").isNotNull()).drop("c", "s")
-    contested = flagged.groupBy("subject_id").agg(F.max("shared").alias("contested"))
-    flagged = written(flagged.drop("shared").join(contested, "subject_id"))
-
-    alone = flagged.where("not contested").groupBy("subject_id", "rank", "rule").agg(F.count("*").alias("n"), F.min("counterpart_id").alias("counterpart_id")).where("n = 1")
-    first = F.min_by(F.struct("rank", "rule", "counterpart_id"), "rank").alias("won")
-    alone = alone.groupBy("subject_id").agg(first).select("subject_id", "won.*")
-
-    subject, counterpart = F.concat(F.lit("s:"), "subject_id"), F.concat(F.lit("c:"), "counterpart_id")
-    disputed = flagged.where("contested")
-    none = {"amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}
-    work = disputed.select(subject.alias("a"), counterpart.alias("b"), F.lit("e").alias("kind"), "subject_id", "rank", "rule", "counterpart_id", *[v.alias(k) for k, v in none.items()])
-    if window:
-        own = F.concat(F.col("kind"), F.lit(":"), F.col("id"))
-        work = work.unionByName(sides.select(own.alias("a"), F.col("node").alias("b"), "kind", F.col("id").alias("subject_id"), F.lit(window.rank).alias("rank"), F.lit(window.rule).alias("rule"), F.lit("").alias("counterpart_id"), F.col("amount").cast("long").alias("amount"), F.col("day").cast("int").alias("day")))
-    if work.isEmpty():
-        return _dressed(alone)
-    work = written(work)
-    label = components(work.select("a", "b")).select(F.col("node").alias("a"), "component")
-    work = work.join(label, "a").drop("a", "b")
-    largest = work.groupBy("component").count().agg(F.max("count")).head()[0]
-    if largest > MOST_EDGES:
-        raise ValueError(f"a component has {largest} candidate rows; raise MOST_EDGES or narrow the rules")
-    rank, length = (window.rank, window.length) if window else (0, 0)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        rules = dict(zip(part["rank"], part.rule, strict=True))
-        pairs, buyers, sold = (part[part.kind == k] for k in "esc")
-        sides_ = [{i: (int(a), int(d)) for i, a, d in zip(x.subject_id, x.amount, x.day, strict=True)} for x in (buyers, sold)]
-        won = greedy(list(zip(pairs.subject_id, pairs["rank"], pairs.counterpart_id, strict=True)), *sides_, rank, length)
-        return pd.DataFrame([(s, r, rules[r], c) for s, r, c in won], columns=["subject_id", "rank", "rule", "counterpart_id"])
-
-    solved = work.groupBy("component").applyInPandas(solve, "subject_id string, rank int, rule string, counterpart_id string")
-    return _dressed(alone.unionByName(solved))
+    """subject_id, rank, rule, counterpart_id (candidate edges), and a last rule by ``window`` -> at most one row per subject and counterpart."""
+    edges = written(_parts(written(edges.select("subject_id", "rank", "rule", "counterpart_id").distinct())))
+    if window is None:
+        return _dressed(_settled(edges))
+    known = F.col("amount").isNotNull() & F.col("day").isNotNull()
+    window = replace(window, subjects=written(window.subjects.where(known)), rows=written(window.rows.where(known)))
+    live = written(live_subjects(edges, window))
+    seen = live.groupBy("amount", "day").agg(F.min("subject_id").alias("by")).select("amount", _days(window.length, -1).alias("day"), "by").groupBy("amount", "day").agg(F.min("by").alias("by"))
+    stock = written(window.rows.join(seen, ["amount", "day"]))
+    last = edges.groupBy("part").agg(F.max("subject_id").alias("last"))
+    late = edges.join(stock.select("counterpart_id", "by"), "counterpart_id").groupBy("part").agg(F.min("by").alias("by")).join(last, "part").where("by <= last").select("part")
+    edges = written(edges.join(late.withColumn("late", F.lit(True)), "part", "left"))
+    done = written(_settled(edges.where("late is null").drop("late")))
+    rest = replace(window, subjects=live.join(done, "subject_id", "left_anti"), rows=stock.drop("by").join(done, "counterpart_id", "left_anti"))
+    return _dressed(done.unionByName(_rest(edges.where("late").drop("late"), rest)))
+
+
+def _rest(edges: DataFrame, window: DayWindow) -> DataFrame:
+    """Live subjects with the counterparts they see, and the edges tied to them."""
+    days = window.subjects.select("amount", "day").distinct()
+    line = Window.partitionBy("amount").orderBy("day")  # one row a day
+    cut = F.coalesce((F.col("day") - F.lag("day").over(line) > window.length).cast("int"), F.lit(0))
+    days = days.withColumn("cut", cut).withColumn("run", F.sum("cut").over(line)).select("amount", "day", F.xxhash64(F.lit("w"), "amount", "run").alias("node"))
+    buyers = written(window.subjects.join(days, ["amount", "day"]))
+    sold = written(window.rows.join(days.select("amount", _days(window.length, -1).alias("day"), "node").distinct(), ["amount", "day"]))
+    tied = edges.join(buyers.select("subject_id", "node"), "subject_id").select("part", "node").unionByName(edges.join(sold.select("counterpart_id", "node"), "counterpart_id").select("part", "node"))
+    label = components(tied.distinct(), "part", "node")
+    rule = {"rank": F.lit(window.rank), "rule": F.lit(window.rule)}
+    no = {"subject_id": F.lit(""), "counterpart_id": F.lit("")}
+    sides = [x.withColumns(rule | {k: v for k, v in no.items() if k not in x.columns}).withColumn("kind", F.lit(kind)) for x, kind in ((buyers, "s"), (sold, "c"))]
+    pairs = edges.withColumnRenamed("part", "node").drop("alone").withColumns({"kind": F.lit("e"), "amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")})
+    work = functools.reduce(DataFrame.unionByName, [*sides, pairs])
+    work = work.join(label, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    return _solved(work, "group", window.rank, window.length)
 
 
 def _dressed(won: DataFrame) -> DataFrame:
