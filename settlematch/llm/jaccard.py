@@ -284,7 +284,7 @@ def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     near = cuts.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)).alias("band"), F.struct(F.col("band").alias("of"), "cuts", "m").alias("x"))
     # at most three bands each; one with nothing near it, and a lone row's own band, need no tile
     known = cuts.join(near.groupBy("key", "band").agg(F.collect_list("x").alias("x")), ["key", "band"])
-    known = known.withColumn("x", F.filter("x", lambda x: (x["of"] != F.col("band")) | (F.col("m") > 1))).where(F.size("x") > 0).select("key", "band", F.col("cuts").alias("own"), "m", "x")
+    known = written(known.withColumn("x", F.filter("x", lambda x: (x["of"] != F.col("band")) | (F.col("m") > 1))).where(F.size("x") > 0).select("key", "band", F.col("cuts").alias("own"), "m", "x"))
     rows = rows.join(known, ["key", "band"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
     mine = F.struct("band", "cut")
     others = F.flatten(F.transform("x", lambda x: F.transform(F.sequence(F.lit(0), x["cuts"] - 1), lambda c: F.struct(F.struct(x["of"].alias("band"), c.alias("cut")).alias("tile"), (F.when(x["of"] == F.col("band"), F.col("m")).otherwise(F.col("m") + x["m"]) > FEW).alias("large")))))
@@ -300,10 +300,32 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     Two documents link when den * overlap >= num * union of their ``width``-word shingle sets;
     component_id is the smallest doc_id reachable by links, the row's own included. Documents
     without words (null and empty texts too) link with nothing. Rows with a null doc_id get a
-    null component; repeated ids are one node.
+    null component. Rows that share an id are one node, which has the links of all their texts.
     """
     docs = documents.select("doc_id", "text")
     sets = written(describe(docs, width, num, den, frequent_shingles(docs, width)))
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("x"), F.max(F.struct("n", "set_a", "set_b")).alias("y")).where("x <> y").select("doc_id")
+    several = written(several)
+    if several.isEmpty():
+        return _linked_components(docs, sets, width, num, den)
+    # ids with several texts: each text is a node of its own first, and nodes of one id are joined afterwards
+    flagged = docs.join(several.withColumn("several", F.lit(True)), "doc_id", "left")
+    nodes = written(flagged.select("doc_id", "text", F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("node")))
+    by_node = nodes.select(F.col("node").alias("doc_id"), "text")
+    sets = written(describe(by_node, width, num, den, frequent_shingles(by_node, width)))
+    found = _linked_components(by_node, sets, width, num, den).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+    rows = written(nodes.select("doc_id", "node").join(found, "node", "left"))
+    bound = components(rows.where("doc_id is not null").select(F.xxhash64(F.lit("id"), "doc_id").alias("a"), F.xxhash64(F.lit("of"), "component_id").alias("b")))
+    rows = rows.withColumn("key", F.xxhash64(F.lit("id"), "doc_id")).join(bound.select(F.col("node").alias("key"), "component"), "key", "left")
+    least = rows.where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = rows.where("doc_id is not null").drop("component_id").join(least, "component")
+    null = nodes.where("doc_id is null").select("doc_id", "text")
+    null = describe(null, width, num, den, np.zeros(0, np.uint64)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return known.select("doc_id", "n_shingles", "component_id").unionByName(null)
+
+
+def _linked_components(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The same for ids that have one text each; ``sets`` describes them."""
     full = sets.where("n > 0 and doc_id is not null")
     same = written(full.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("id")))
     unique = written(full.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "low", "prefix", "bits"))
@@ -311,7 +333,8 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
     discard(sets)
 
     # groups of one smallest hash, in tiles that all hold the group's first member
-    groups = unique.groupBy(F.col("low").alias("key")).agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
+    # tables that a skewed key is joined with are written first: adaptive execution splits a join of two plain shuffles only
+    groups = written(unique.groupBy(F.col("low").alias("key")).agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"))
     members = unique.select(F.col("low").alias("key"), "id", "n").join(groups, "key")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
@@ -323,7 +346,8 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
 
     # the prefix filter on what is still apart
     seen = unique.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
-    seen = written(seen.join(seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi"))
+    shared = written(seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    seen = written(seen.join(shared, "key", "left_semi"))
     tiled = written(_tile_pairs(seen, num, den))
     discard(seen)
     large = tiled.where("large").join(unique.select("id", "bits", "prefix"), "id").withColumn("head", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
@@ -340,7 +364,7 @@ def jaccard_components(documents: DataFrame, *, width: int, num: int, den: int)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ends = [unique.select(F.col("id").alias(i), F.col("bits").alias(v), F.col("n").alias(c)) for i, v, c in (("a", "x", "n"), ("b", "y", "m"))]
-    few = few.join(ends[0], "a").join(ends[1], "b").mapInArrow(screen, "a long, b long")
+    few = written(few.join(ends[0], "a").join(ends[1], "b").mapInArrow(screen, "a long, b long"))
     pairs = written(large.unionByName(few).distinct())
     discard(tiled)
     discard(unique)
