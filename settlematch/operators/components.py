@@ -19,7 +19,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        after = written(_to_smaller(_to_larger(now)))
+        after = written(_to_smaller(_to_larger(now, mark[0]), mark[0]))
         discard(now)
         now, last, mark = after, mark, _mark(after)
         if mark == last:
@@ -33,13 +33,27 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())
 
 
-def _to_larger(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+#: From so many edges on, the table of smallest neighbours is written before it is joined. A join
+#: of two plain shuffles is one whose hubs adaptive execution splits; below an aggregate it is not.
+MANY = 1_000_000
 
 
-def _to_smaller(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, n: int) -> DataFrame:
+    """Smallest neighbour of every node that has a smaller one."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return written(least) if n >= MANY else least
+
+
+def _to_larger(edges: DataFrame, n: int) -> DataFrame:
+    """Every node hands its larger neighbours to its smallest one, or keeps them if it is smaller itself."""
+    least = _smallest(edges, n).withColumnRenamed("a", "b")
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _to_smaller(edges: DataFrame, n: int) -> DataFrame:
+    """Every node hands its smaller neighbours to the smallest of them, and keeps that one."""
+    if n >= MANY:
+        edges = written(edges)
+    least = _smallest(edges, n)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
