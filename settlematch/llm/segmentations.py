@@ -4,204 +4,389 @@ The pieces that match a text form a lattice; every path is a segmentation with t
 pieces' scores. Adding independent Gumbel noise to all paths and taking the k best is sampling k
 segmentations without replacement. The noise is drawn top-down, best first: a set of paths has
 the maximum of its noisy scores distributed as a Gumbel at its log-sum-exp, so the best path of
-all is drawn first, what remains is split into sets that leave it at each of its steps, and a
-queue always opens the set of the highest maximum. Exact backward sums are the heuristic, so no
+all is drawn first, what remains is split into sets that leave it at each of its steps, and the
+set of the highest maximum is always opened next. Exact backward sums are the heuristic, so no
 set is opened in vain. The noise of the first path not taken is the threshold from which each
 taken path's inclusion probability follows.
+
+All texts of a block are worked on together: the lattices of its distinct words are one table of
+nodes, and a step of every walk under way is drawn at once.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from settlematch.llm.common import blocks, record_batch
+from settlematch.llm.common import byte_blocks, record_batch
 
 SPACE = "▁"
-#: Stands for a literal U+2581 of the text, which has no piece and is spelled in bytes.
-LITERAL = ""
+#: Code of a literal U+2581 of the text, which has no piece and is spelled in bytes; beyond all characters.
+LITERAL = 0x110000
+#: Bytes of text worked on together; their words' lattices take some sixty times as much.
+BLOCK = 1 << 21
+SHORT = 100
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def uniform(seeds: np.ndarray, stream: int, places: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that depend on seed, stream and place alone, whatever else is drawn."""
+    z = seeds + _ODD * (places.astype(np.uint64) + np.uint64(stream << 40))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+class Table:
+    """Whole numbers (not negative) by keys of 64 bits, looked up for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = self._place(keys[left], step)
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]] = keys[left[won]], values[left[won]]
+            left, step = np.delete(left, won), step + 1
+
+    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return (((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = self._place(keys[left], step)
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, step = left[~hit & (found >= 0)], step + 1
+        return out
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model file with unigram scores.
+    """Pieces of a SentencePiece model file with unigram scores, as a trie.
 
     The files hold merge ranks, not probabilities: a piece of rank r gets the Zipf-law score
     -log(r + 10), times ``sharpness``. Characters without a piece are spelled in byte pieces.
     """
 
-    def __init__(self, model: str, sharpness: float = 0.5, most_cached: int = 20_000):
+    def __init__(self, model: str, sharpness: float = 0.5):
         import sentencepiece
 
         reader = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.ids, self.bytes, self.pieces = {}, [0] * 256, []
+        self.sharpness, self.bytes, self.ids, self.raw = sharpness, [0] * 256, {}, []
         for i in range(reader.get_piece_size()):
             piece = reader.id_to_piece(i)
-            self.pieces.append(piece)
+            self.raw.append(piece.replace(SPACE, " ").encode())
             if reader.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
+                self.raw[-1] = bytes([int(piece[3:5], 16)])
             elif not (reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i)):
                 self.ids[piece] = i
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.ids))
-        self.sharpness, self.cache, self.most_cached = sharpness, {}, most_cached
+        self.scores = np.array([self.score(i) for i in range(len(self.raw))])
+        steps, ends = {}, {}
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
+            ends[state] = i
+        self.steps = Table(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32))
+        self.piece_at = np.full(len(steps) + 1, -1, np.int32)
+        self.piece_at[list(ends)] = list(ends.values())
 
     def score(self, piece_id: int) -> float:
         return -self.sharpness * math.log(piece_id + 10)
 
-    def word(self, text: str) -> Word:
-        found = self.cache.get(text)
-        if found is None:
-            if len(self.cache) >= self.most_cached:
-                self.cache.clear()
-            found = self.cache[text] = Word(self, text)
-        return found
-
-    def words(self, text: str) -> list[Word]:
-        """The lattice as a chain: no piece goes from a letter over a space, so words are independent."""
-        out, waiting = [], ""
-        for part in text.replace(SPACE, LITERAL).split(" "):
-            waiting += SPACE
-            if part:
-                out.append(self.word(waiting + part))
-                waiting = ""
-        if waiting:
-            out.append(self.word(waiting))
-        return out
+    def spelled(self, code: int) -> list[int]:
+        return [self.bytes[b] for b in (SPACE if code == LITERAL else chr(code)).encode("utf-8", "surrogatepass")]
+
+
+class Lattice:
+    """The lattices of a block's distinct words: a node for each place of a word and one behind it.
+
+    No piece goes from a letter over a space, so a text is a chain of words that do not depend on
+    each other. ``rest`` is the log-sum over the ways from a node to its word's end; ``odds`` has the
+    running probabilities of the next piece by length; ``unit`` names it.
+    """
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a segmentation: byte pieces are joined as UTF-8, spaces restored, the leading one dropped."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(SPACE, " ").encode() for i in ids)
-        return raw.decode("utf-8", "replace")[1:]
-
-
-class Word:
-    """Lattice of one word: edges by position, backward log-sums and the odds of each edge."""
-
-    __slots__ = ("edges", "odds", "rest", "size")
-
-    def __init__(self, vocabulary: Vocabulary, text: str):
-        n = self.size = len(text)
-        self.edges: list[list[tuple[int, tuple[int, ...], float]]] = []
-        for i in range(n):
-            out = []
-            for j in range(i + 1, min(n, i + vocabulary.longest) + 1):
-                k = vocabulary.ids.get(text[i:j])
-                if k is not None:
-                    out.append((j, (k,), vocabulary.score(k)))
-            if not out or out[0][0] != i + 1:
-                spelled = tuple(vocabulary.bytes[b] for b in text[i].replace(LITERAL, SPACE).encode("utf-8", "surrogatepass"))
-                out.insert(0, (i + 1, spelled, sum(map(vocabulary.score, spelled))))
-            self.edges.append(out)
-        self.rest = [0.0] * (n + 1)
-        self.odds: list[list[float]] = [[]] * n
-        for i in range(n - 1, -1, -1):
-            values = [s + self.rest[j] for j, _, s in self.edges[i]]
-            top = max(values)
-            weights = [math.exp(v - top) for v in values]
-            total = math.fsum(weights)
-            self.rest[i] = top + math.log(total)
-            running, up = [], 0.0
-            for w in weights:
-                up += w / total
-                running.append(up)
-            self.odds[i] = running
-
-
-def _log_minus(total: float, parts: list[float]) -> float:
-    """log(exp(total) - sum of exp(parts)); -inf where nothing is left."""
-    left = 1.0 - math.fsum(math.exp(p - total) for p in parts)
-    return total + math.log(left) if left > 1e-12 else -math.inf
-
-
-class Sampler:
-    """Gumbel top-k over the segmentations of one text."""
-
-    def __init__(self, words: list[Word], seed: int):
-        self.words, self.rng = words, np.random.Generator(np.random.Philox(key=seed))
-        self.after = [*np.cumsum([w.rest[0] for w in reversed(words)])[::-1].tolist(), 0.0]
-        self.queue: list = []
-        self.serial = 0
-
-    def _below(self, place: float, limit: float, noise: float) -> float:
-        """A Gumbel at ``place`` that is known to be below ``limit``."""
-        return -float(np.logaddexp(-limit, math.log(noise) - place))
-
-    def _walk(self, w: int, at: int, steps: list[tuple[int, int, int]]) -> None:
-        """Draw the rest of a path from position ``at`` of word ``w``."""
-        words = self.words
-        draws = iter(self.rng.random(sum(x.size for x in words[w:]) - at).tolist())
-        while w < len(words):
-            word = words[w]
-            while at < word.size:
-                e = min(bisect_right(word.odds[at], next(draws)), len(word.odds[at]) - 1)
-                steps.append((w, at, e))
-                at = word.edges[at][e][0]
-            w, at = w + 1, 0
-
-    def _open(self, steps: list[tuple[int, int, int]], first: int, limit: float, keep: int) -> None:
-        """Queue the sets of paths that follow ``steps`` and leave it at a step from ``first`` on; the best ``keep``."""
-        words, so_far, places = self.words, 0.0, []
-        for i, (w, at, e) in enumerate(steps):
-            word = words[w]
-            edges, score = word.edges[at], word.edges[at][e][2]
-            if i >= first and len(edges) > 1:
-                odds = word.odds[at]
-                left = 1.0 - (odds[e] - (odds[e - 1] if e else 0.0))
-                if left > 1e-12:
-                    places.append((so_far + word.rest[at] + math.log(left) + self.after[w + 1], i, so_far))
-            so_far += score
-        if not places:
+    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+        inside = np.fromiter(map(len, words), np.int64, len(words))
+        self.size = inside + 1
+        self.first = np.cumsum(self.size + 1) - self.size - 1
+        n = int((self.size + 1).sum())
+        code, inner, letter = np.full(n, ord(SPACE), np.int64), np.ones(n, bool), np.ones(n, bool)
+        inner[self.first + self.size] = False
+        letter[self.first + self.size] = letter[self.first] = False
+        own = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        own[own == ord(SPACE)] = LITERAL
+        own[own == 32] = ord(SPACE)  # spaces before a word belong to it
+        code[letter] = own
+        left = np.repeat(self.first + self.size, self.size + 1) - np.arange(n)
+        self._pieces(vocabulary, code, inner, left)
+        self._sums(left)
+
+    def _pieces(self, v: Vocabulary, code: np.ndarray, inner: np.ndarray, left: np.ndarray) -> None:
+        """``unit``: what each length from each node is, -1 where it is nothing."""
+        n, pieces = len(code), len(v.raw)
+        at, state, found = np.flatnonzero(inner), np.zeros(int(inner.sum()), np.int64), []
+        for length in range(1, v.longest + 1):
+            fits = left[at] >= length
+            at, state = at[fits], state[fits]
+            state = v.steps.get(state << 21 | code[at + length - 1]).astype(np.int64)
+            at, state = at[state >= 0], state[state >= 0]
+            if not len(at):
+                break
+            piece = v.piece_at[state]
+            found.append((at[piece >= 0], piece[piece >= 0]))
+        self.width = max(len(found), 1)
+        self.unit = np.full((n, self.width), -1, np.int32)
+        for k, (p, piece) in enumerate(found):
+            self.unit[p, k] = piece
+        # characters without a piece: units of their own behind the pieces
+        bare = np.flatnonzero(inner & (self.unit[:, 0] < 0))
+        strange, which = np.unique(code[bare], return_inverse=True)
+        self.unit[bare, 0] = pieces + which
+        spelled = [v.spelled(int(c)) for c in strange]
+        self.scores = np.concatenate([v.scores, [sum(map(v.score, s)) for s in spelled], [-np.inf]])  # -1 takes the last
+        self.ids = np.concatenate([np.arange(pieces), np.array([i for s in spelled for i in s], np.int64)])
+        self.n_ids = np.concatenate([np.ones(pieces, np.int64), np.array([len(s) for s in spelled], np.int64)])
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+
+    def _sums(self, left: np.ndarray) -> None:
+        """``rest`` and ``odds``, from the words' ends backwards; as plain sums near the end, as log-sums beyond SHORT places."""
+        n, width = self.unit.shape
+        self.rest, self.odds = np.zeros(n + width), np.ones((n, width), np.float32)
+        plain, weights = np.ones(n + width), np.exp(self.scores)
+        order = np.argsort(left.astype(np.int32), kind="stable")
+        order = order[left[order] > 0]
+        steps = np.arange(1, width + 1)
+        for nodes in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(order) else []:
+            far = int(left[nodes[0]])
+            w = min(width, far)
+            unit, to = self.unit[nodes, :w], nodes[:, None] + steps[:w]
+            if far <= SHORT:
+                running = np.cumsum(weights[unit] * plain[to], axis=1)
+                plain[nodes] = running[:, -1]
+                self.rest[nodes] = np.log(running[:, -1])
+            else:
+                values = self.scores[unit] + self.rest[to]
+                top = values.max(axis=1)
+                running = np.cumsum(np.exp(values - top[:, None]), axis=1)
+                self.rest[nodes] = top + np.log(running[:, -1])
+            running /= running[:, -1:].copy()
+            self.odds[nodes, :w] = running
+        last = width - 1 - np.argmax((self.unit >= 0)[:, ::-1], axis=1)
+        self.odds[np.arange(n), last] = np.inf  # rounding never leaves a draw without a piece
+
+    def score(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.scores[self.unit[nodes, lengths - 1]]
+
+    def chance(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probability of the piece of that length at each node."""
+        return np.exp(self.score(nodes, lengths) + self.rest[nodes + lengths] - self.rest[nodes])
+
+    def spelled(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Ids of a path."""
+        units = self.unit[nodes, lengths - 1]
+        n = self.n_ids[units]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return self.ids[np.repeat(self.first_id[units], n) + inside].astype(np.int32)
+
+
+class _Numbers(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class Block:
+    """Texts side by side: which words they consist of, and the walks drawn for them."""
+
+    def __init__(self, vocabulary: Vocabulary, texts: list[str]):
+        self.v, numbers, chains = vocabulary, _Numbers(), []
+        for text in texts:
+            parts = text.split(" ") if text else []
+            if parts and ("  " in text or not parts[0] or not parts[-1]):
+                parts = _spaced(parts)
+            chains.append([numbers[p] for p in parts])
+        self.lattice = x = Lattice(vocabulary, list(numbers)) if numbers else None
+        self.words = np.array([w for c in chains for w in c], np.int64)
+        count = np.array([len(c) for c in chains], np.int64)
+        self.text_of = np.repeat(np.arange(len(texts)), count)
+        self.first_word = np.concatenate([[0], np.cumsum(count)])
+        if not x:
+            self.total = np.zeros(len(texts))
             return
-        noise = self.rng.exponential(size=len(places))
-        scores = -np.logaddexp(-limit, np.log(noise) - np.array([p for p, _, _ in places]))
-        best = np.argsort(-scores, kind="stable")[:keep]
-        for b in best.tolist():
-            _, i, before = places[b]
-            self._push(float(scores[b]), steps, i, before, {steps[i][2]})
-
-    def _push(self, value: float, steps: list, at: int, before: float, without: set[int]) -> None:
-        self.serial += 1
-        heapq.heappush(self.queue, (-value, self.serial, steps, at, before, without))
-
-    def top(self, k: int) -> tuple[list[tuple[float, list[int]]], float]:
-        """[(log-probability, ids), ...] of the k best noisy paths, and the noisy log-probability of the next."""
-        if not self.words:
-            return [(0.0, [])], -math.inf
-        total = self.after[0]
-        value = total + float(self.rng.gumbel())
-        steps: list[tuple[int, int, int]] = []
-        self._walk(0, 0, steps)
-        out = [self._emit(steps, total)]
-        self._open(steps, 0, value, k)
-        while self.queue and len(out) < k:
-            value, _, old, at, before, without = heapq.heappop(self.queue)
-            value = -value
-            w, pos, _ = old[at]
-            word = self.words[w]
-            others = [e for e in range(len(word.edges[pos])) if e not in without]
-            weights = np.array([word.edges[pos][e][2] + word.rest[word.edges[pos][e][0]] for e in others])
-            odds = np.cumsum(np.exp(weights - weights.max()))
-            e = others[min(int(np.searchsorted(odds, self.rng.random() * odds[-1], side="right")), len(others) - 1)]
-            steps = [*old[:at], (w, pos, e)]
-            self._walk(w, word.edges[pos][e][0], steps)
-            out.append(self._emit(steps, total))
-            gone = without | {e}
-            if len(gone) < len(word.edges[pos]):
-                place = before + _log_minus(word.rest[pos], [word.edges[pos][x][2] + word.rest[word.edges[pos][x][0]] for x in gone]) + self.after[w + 1]
-                if place > -math.inf:
-                    self._push(self._below(place, value, self.rng.exponential()), steps, at, before, gone)
-            self._open(steps, at + 1, value, k)
-        return out, -self.queue[0][0] - total if self.queue else -math.inf
-
-    def _emit(self, steps: list[tuple[int, int, int]], total: float) -> tuple[float, list[int]]:
-        edges = [self.words[w].edges[at][e] for w, at, e in steps]
-        return math.fsum(s for _, _, s in edges) - total, [i for _, ids, _ in edges for i in ids]
+        sums = x.rest[x.first[self.words]]
+        running = np.concatenate([[0.0], np.cumsum(sums)])
+        self.total = running[self.first_word[1:]] - running[self.first_word[:-1]]
+        #: Log-sum of the words behind each word of its text, and its place in the text.
+        self.after = running[self.first_word[1:]][self.text_of] - running[1:]
+        places = np.concatenate([[0], np.cumsum(x.size[self.words])])
+        self.place = places[:-1] - places[self.first_word[:-1]][self.text_of]
+
+    def walk(self, words: np.ndarray, nodes: np.ndarray, seeds: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps (word place, node, length) drawn from each node to the end of its word, in order of ``words``."""
+        x = self.lattice
+        begin = x.first[self.words[words]]
+        behind = begin + x.size[self.words[words]]
+        seed, offset = seeds[self.text_of[words]], self.place[words] - begin
+        live, at, rounds = np.arange(len(words)), nodes, []
+        live = live[at < behind]
+        at = at[at < behind]
+        while len(live):
+            u = uniform(seed[live], stream, offset[live] + at)
+            length = (x.odds[at] <= u[:, None]).sum(axis=1) + 1
+            rounds.append((live, at, length))
+            at = at + length
+            more = at < behind[live]
+            live, at = live[more], at[more]
+        steps = np.zeros(len(words), np.int64)
+        for who, _, _ in rounds:
+            steps[who] += 1
+        start = np.cumsum(steps) - steps
+        out = [np.zeros(int(steps.sum()), np.int64) for _ in range(3)]
+        for r, (who, at, length) in enumerate(rounds):
+            to = start[who] + r
+            out[0][to], out[1][to], out[2][to] = words[who], at, length
+        return tuple(out)
+
+
+def _spaced(parts: list[str]) -> list[str]:
+    """Words of a text with runs of spaces: all spaces before a word belong to it."""
+    out, waiting = [], -1
+    for part in parts:
+        waiting += 1
+        if part:
+            out.append(" " * waiting + part)
+            waiting = -1
+    return [*out, " " * waiting] if waiting >= 0 else out
+
+
+class _Path:
+    """One drawn segmentation: its steps and the sums of scores before each."""
+
+    __slots__ = ("before", "length", "node", "word")
+
+    def __init__(self, word: np.ndarray, node: np.ndarray, length: np.ndarray, scores: np.ndarray):
+        self.word, self.node, self.length = word, node, length
+        self.before = np.concatenate([[0.0], np.cumsum(scores)])
+
+
+def _noisy(place: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbels at ``place`` that are known to be below ``limit``."""
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp(-limit, np.log(-np.log(u)) - place)
+
+
+def draw(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) -> list[tuple[list[tuple[float, np.ndarray]], float]]:
+    """Per text: [(log-probability, ids), ...] of the k best noisy paths, and the noisy log-probability of the next."""
+    block = Block(vocabulary, texts)
+    out: list[tuple[list, float]] = [([(0.0, np.zeros(0, np.int32))] if not t else [], -math.inf) for t in texts]
+    busy = [i for i, t in enumerate(texts) if t]
+    if not busy:
+        return out
+    x, seed = block.lattice, np.array(seeds, np.uint64)
+    value = dict(zip(busy, (block.total[busy] - np.log(-np.log(uniform(seed[busy], 0, np.zeros(len(busy), np.int64))))).tolist(), strict=True))
+    every = np.arange(len(block.words))
+    word, node, length = block.walk(every, x.first[block.words], seed, 2)
+    bounds = np.searchsorted(block.text_of[word], np.arange(len(texts) + 1))
+    paths: dict[int, list[_Path]] = {}
+    for i in busy:
+        s = slice(bounds[i], bounds[i + 1])
+        paths[i] = [_Path(word[s], node[s], length[s], x.score(node[s], length[s]))]
+    sets: dict[int, list[tuple]] = {i: [] for i in busy}  # value, path, step, lengths left out
+    fresh = [(i, 0) for i in busy]  # text, first step that may be left
+    for t in range(k):
+        _open(block, paths, sets, fresh, value, seed, 3 + 4 * t, k)
+        if t + 1 == k:
+            break
+        fresh, turns = [], []
+        for i in [i for i, _ in _pairs(sets)]:
+            best = max(range(len(sets[i])), key=lambda j: sets[i][j][0])
+            value[i], path, step, without = sets[i].pop(best)
+            turns.append((i, path, step, without))
+        _turn(block, paths, sets, turns, value, seed, 4 + 4 * t)
+        fresh = [(i, step + 1) for i, _, step, _ in turns]
+    for i in busy:
+        total = float(block.total[i])
+        out[i][0].extend((float(p.before[-1]) - total, x.spelled(p.node, p.length)) for p in paths[i])
+        if sets[i]:
+            out[i] = (out[i][0], max(s[0] for s in sets[i]) - total)
+    return out
+
+
+def _pairs(sets: dict[int, list]) -> list[tuple[int, list]]:
+    return [(i, s) for i, s in sets.items() if s]
+
+
+def _open(block: Block, paths: dict, sets: dict, fresh: list, value: dict, seed: np.ndarray, stream: int, keep: int) -> None:
+    """Add, for each fresh path, the best ``keep`` sets of paths that follow it and leave it at a step from the first on."""
+    x, rows = block.lattice, [(i, first, paths[i][-1]) for i, first in fresh if first < len(paths[i][-1].node)]
+    if not rows:
+        return
+    word, node, length = (np.concatenate([getattr(p, c)[f:] for _, f, p in rows]) for c in ("word", "node", "length"))
+    before = np.concatenate([p.before[f:-1] for _, f, p in rows])
+    count = np.array([len(p.node) - f for _, f, p in rows])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = 1.0 - x.chance(node, length)
+        place = before + x.rest[node] + np.where(left > 1e-12, np.log(np.maximum(left, 1e-300)), -np.inf) + block.after[word]
+    owner = block.text_of[word]
+    u = uniform(seed[owner], stream, block.place[word] + node - x.first[block.words[word]])
+    limit = np.repeat([value[i] for i, _, _ in rows], count)
+    noisy = np.where(np.isneginf(place), -np.inf, _noisy(place, limit, u))
+    start = np.cumsum(count) - count
+    for _ in range(keep):
+        best = np.maximum.reduceat(noisy, start)
+        at = np.flatnonzero(noisy == np.repeat(best, count))
+        at = at[np.concatenate([[True], np.diff(np.searchsorted(start, at, side="right")) > 0])]
+        for j, (i, first, _) in zip(at.tolist(), rows, strict=True):
+            if noisy[j] > -math.inf:
+                step = first + j - int(start[np.searchsorted(start, j, side="right") - 1])
+                sets[i].append((float(noisy[j]), len(paths[i]) - 1, step, (int(length[j]),)))
+        noisy[at] = -np.inf
+
+
+def _turn(block: Block, paths: dict, sets: dict, turns: list, value: dict, seed: np.ndarray, stream: int) -> None:
+    """Draw a path of each opened set, and put back what is left of the set without it."""
+    x, heads = block.lattice, []
+    starts, words = [], []
+    for i, path, step, without in turns:
+        p = paths[i][path]
+        at, w = int(p.node[step]), int(p.word[step])
+        choice = [k for k, u in enumerate(x.unit[at].tolist(), 1) if u >= 0 and k not in without]
+        weight = x.chance(np.full(len(choice), at), np.array(choice))
+        mine = np.full(1, seed[i])
+        u = uniform(mine, stream, np.array([0, 1]) + 2 * step)
+        length = choice[min(int(np.searchsorted(np.cumsum(weight), u[0] * weight.sum(), side="right")), len(choice) - 1)]
+        gone = (*without, length)
+        left = float(weight.sum() - weight[choice.index(length)])
+        if len(choice) > 1 and left > 1e-12:
+            place = float(p.before[step]) + x.rest[at] + math.log(left) + block.after[w]
+            sets[i].append((float(_noisy(np.array([place]), np.array([value[i]]), u[1:])[0]), path, step, gone))
+        heads.append((i, p, step, at, w, length))
+        rest = np.arange(w, block.first_word[i + 1])
+        words.append(rest)
+        starts.append(np.concatenate([[at + length], x.first[block.words[rest[1:]]]]))
+    if not turns:
+        return
+    word, node, length = block.walk(np.concatenate(words), np.concatenate(starts), seed, stream + 1)
+    owner, texts = block.text_of[word], [i for i, *_ in heads]
+    begin, behind = np.searchsorted(owner, texts), np.searchsorted(owner, texts, side="right")
+    for (i, p, step, at, w, own), lo, hi in zip(heads, begin.tolist(), behind.tolist(), strict=True):
+        s = slice(lo, hi)
+        steps = [np.concatenate([a[:step], [b], c[s]]) for a, b, c in ((p.word, w, word), (p.node, at, node), (p.length, own, length))]
+        paths[i].append(_Path(*steps, x.score(steps[1], steps[2])))
 
 
 def inclusion(log_probability: float, threshold: float) -> float:
@@ -209,6 +394,11 @@ def inclusion(log_probability: float, threshold: float) -> float:
     return 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(log_probability - threshold, 700.0)))
 
 
+def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
+    """Text of a segmentation: byte pieces are joined as UTF-8, spaces restored, the leading one dropped."""
+    return b"".join(map(vocabulary.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
+
 _VOCABULARIES: dict[tuple[str, float], Vocabulary] = {}
 
 
@@ -225,22 +415,22 @@ def sample_segmentations(rows: DataFrame, model: str, keys: list[str], *, k: int
     One row each: keys, sample (0: drawn first), ids, log_prob, inclusion, and whether the ids
     decode to the text. Texts with fewer segmentations give all of them, with inclusion 1; null
     and empty texts give one, without pieces. Rows that share a key and a text give the same.
+    Other columns are left out; one of the names above can be no key.
     """
     schema = pa.schema([*((c, pa.int64()) for c in keys), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("decodes", pa.bool_())])
 
     def run(batches):
         pieces = vocabulary(model, sharpness)
-        for batch in blocks(batches, 256):
+        for batch in byte_blocks(batches, BLOCK, rows=1 << 20):
             out = {name: [] for name in schema.names}
-            for text, *key in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in keys), strict=True):
-                text = text or ""
-                drawn, threshold = Sampler(pieces.words(text) if text else [], xxhash.xxh64_intdigest(repr((seed, key)))).top(k)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            own = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            seeds = [xxhash.xxh64_intdigest(repr((seed, list(key)))) for key in own]
+            for text, key, (drawn, threshold) in zip(texts, own, draw(pieces, texts, seeds, k), strict=True):
                 for i, (log_probability, ids) in enumerate(drawn):
-                    values = (*key, i, ids, round(log_probability, 6), round(inclusion(log_probability, threshold), 9), pieces.decode(ids) == text if ids else not text)
+                    values = (*key, i, ids, round(log_probability, 6), round(inclusion(log_probability, threshold), 9), decode(pieces, ids) == text if len(ids) else not text)
                     for name, value in zip(schema.names, values, strict=True):
                         out[name].append(value)
             yield record_batch(schema, out)
 
     return rows.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), "sample int, ids array<int>, log_prob double, inclusion double, decodes boolean"]))
-
-
