@@ -4,7 +4,8 @@ A *transducer* rewrites a stretch of text and keeps, for every character it emit
 range it came from: look-alike letters and digits become ASCII, runs of spelled digits become
 digits, "at" and "dot" in brackets or between address parts become their signs. Detectors run on
 the rewritten text and each hit is mapped back through those ranges, so spans always count code
-points of the source.
+points of the source. Every step is linear in the text: patterns begin where a run begins and never
+give back what they took, and an address in words is read outwards from its "at", label by label.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from settlematch.llm.common import blocks, record_batch
+from settlematch.llm.common import byte_blocks, record_batch
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: The sign with the domain behind it; the part before it is one run of these letters.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches: a match can only begin where a run of digits does, and no run is given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -30,38 +34,22 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρ", "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXoavp", strict=True))
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(SPELLED)
-SIGNS = {"at": "@", "dot": ".", "plus": "+", "dash": "-"}
+SIGNS = {"at": "@", "dot": "."}
 
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "²³¹٠-٩۰-۹०-९​-‍⁠․⁰-₉①-⑨﻿！-～\U0001d400-\U0001d7ff]")
-_DIGITS = re.compile(rf"(?:\b(?:plus)\s+)?(?<![A-Za-z])(?:{_WORD})(?:[\s,.-]+(?:dot|dash|plus|{_WORD}|[0-9]+)\b){{3,}}", re.I)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
-_BARE = re.compile(r"\s+(at|dot)\s+", re.I)
-# Endings that tell an address in bare words from prose, also behind a written dot.
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "de", "fr", "es", "uk", "us", "ca", "ch", "at", "nl", "example")
-# Other endings in use, which count behind a spoken dot.
-MORE_ENDINGS = ENDINGS + tuple(
-    "app dev name pro mobi shop online site store tech cloud xyz page blog news wiki test ac ad ae af ag ai al am ao ar as au az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz cc cd cf cg ci cl cm cn cr cu cv cy cz dj dk dm do dz ec ee eg er et fi fj fm fo ga gd ge gg gh gi gl gm gn gq gr gt gu gy hk hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mr mt mu mv mw mx my mz na ne ng ni no np nr nu nz om pa pe pg ph pk pl pm pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr st su sv sy sz tc td tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu ws ye za zm zw".split()
-)
-#: Words of prose that stand between "at" and "dot", as in "look at the dot".
-_NO_HOST = r"(?!(?:the|an?|this|that|these|those|each|every|any|no|one|some|its?|his|her|their|our|your|my|which|what|another)\s+dot\b)"
-_LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:\s+dot\s+[a-z0-9_%+-]+)*"
-_DOMAIN = r"[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*"
-#: What prose lacks: a sign, a spoken dot or digits among letters; in a domain a hyphen, digits or a third part.
-_LOCAL_SHAPE = r"(?=[a-z0-9_%+-]*[a-z0-9](?:\s+dot\s+|[._%+-])[a-z0-9]|[a-z]+[0-9]|[0-9]+[a-z])"
-_DOMAIN_SHAPE = r"(?=[a-z0-9]+-[a-z0-9]|[a-z]+[0-9]|[0-9]+[a-z]|[a-z0-9-]+(?:\s+dot\s+|\.)[a-z0-9-]+\s+dot\s)"
-#: An address or a dotted number in bare words, whole.
-_SPOKEN = re.compile(
-    "|".join([
-        rf"{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN}\s+dot\s+(?:{'|'.join(MORE_ENDINGS)})(?![a-z0-9])",
-        rf"{_LOCAL}\s+at\s+{_DOMAIN}(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})(?![a-z0-9])",
-        rf"(?<![a-z0-9._%+-]){_LOCAL_SHAPE}{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN}\s+dot\s+[a-z]{{2,}}(?![a-z0-9])",
-        rf"{_LOCAL}\s+at\s+{_NO_HOST}{_DOMAIN_SHAPE}{_DOMAIN}\s+dot\s+[a-z]{{2,}}(?![a-z0-9])",
-        r"[0-9]+(?:(?:\s+dot\s+|\.)[0-9]+){3}",
-    ]),
-    re.I,
-)
-_HINT = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-_WINDOW = 120
+_DIGITS = re.compile(rf"(?:\bplus\s++)?(?<![A-Za-z])(?:{_WORD})(?:[\s,.-]++(?:dot|dash|plus|{_WORD}|[0-9]++)\b){{3,}}+", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(at|dot)\s*+[\])}>]", re.I)
+# Endings of more than two letters that tell an address in bare words from prose. Any two letters count as a country's.
+ENDINGS = frozenset("com org net edu gov mil int info biz app dev name pro mobi shop online site store tech cloud xyz page blog news wiki museum example test".split())
+# Words of two letters that are no country's ending, and words that stand before "dot" in prose.
+NO_ENDING = frozenset("an go he hi if oh ok on of or ox up we".split())
+NO_HOST = frozenset("the a an this that these those each every any no one some it its his her their our your my which what another".split())
+_TOKEN = re.compile(r"[A-Za-z0-9._%+@-]++|[^\sA-Za-z0-9._%+@-]++")
+_LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_LOCAL_LABEL = re.compile(r"[A-Za-z0-9._%+-]+")
+_SPOKEN_IP = re.compile(r"(?<![0-9])[0-9]++(?:(?:\s++dot\s++|\.)[0-9]++){3}", re.I)
+_SPOKEN_DOT = re.compile(r"\s++dot\s++", re.I)
+_HINT = re.compile(r"[\[({<]\s*+(?:at|dot)\s*+[\])}>]|(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -91,7 +79,7 @@ def find_emails(text: str) -> list[tuple[int, int]]:
 
 
 def find_ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in IP.finditer(text) if all(len(p) < 20 and int(p) < 256 for p in m.group().split("."))] if text.count(".") > 2 else []
+    return [m.span() for m in _IP.finditer(text) if all(len(p) < 20 and int(p) < 256 for p in m.group().split("."))] if text.count(".") > 2 else []
 
 
 def find_cards(text: str) -> list[tuple[int, int]]:
@@ -126,24 +114,40 @@ def plain_letter(c: str) -> str | None:
 
 
 class Rewritten:
-    """Text with, for each of its characters, the source range it stands for."""
+    """Text and what was replaced in it, so that every stretch of it can be found in the source."""
 
-    def __init__(self, text: str, start: int = 0):
-        self.text, self.begin, self.end = text, list(range(start, start + len(text))), list(range(start + 1, start + len(text) + 1))
+    def __init__(self, text: str):
+        self.text = text
+        #: Per round of edits: where each replacement begins and ends now, and where what it replaced did.
+        self.rounds: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def edited(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace ranges of the current text; a replacement stands for the whole range."""
-        out, begin, end, at = [], [], [], 0
+        """Replace ranges (in order, apart) of the current text; a replacement stands for the whole range."""
+        if not edits:
+            return
+        out, at, now, marks = [], 0, 0, ([], [], [], [])
         for s, e, new in edits:
+            now += s - at
+            for values, x in zip(marks, (now, now + len(new), s, e), strict=True):
+                values.append(x)
             out += [self.text[at:s], new]
-            begin += self.begin[at:s] + [self.begin[s]] * len(new)
-            end += self.end[at:s] + [self.end[e - 1]] * len(new)
-            at = e
+            now, at = now + len(new), e
         self.text = "".join([*out, self.text[at:]])
-        self.begin, self.end = begin + self.begin[at:], end + self.end[at:]
+        self.rounds.append(marks)
 
     def source(self, span: tuple[int, int]) -> tuple[int, int]:
-        return self.begin[span[0]], self.end[span[1] - 1]
+        """The source range of a range that is not empty."""
+        first, last = span[0], span[1] - 1
+        for starts, ends, olds, old_ends in reversed(self.rounds):
+            a, b = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+            while a >= 0 and starts[a] == ends[a]:  # removed before it
+                a -= 1
+            while b >= 0 and starts[b] == ends[b]:
+                b -= 1
+            i, j = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+            first = olds[a] if a >= 0 and first < ends[a] else first - ends[i] + old_ends[i] if i >= 0 else first
+            last = old_ends[b] - 1 if b >= 0 and last < ends[b] else last - ends[j] + old_ends[j] if j >= 0 else last
+        return first, last + 1
 
 
 def _unspelled(m: re.Match) -> list[tuple[int, int, str]]:
@@ -156,47 +160,128 @@ def _unspelled(m: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
-def rewrite(text: str, start: int = 0) -> Rewritten:
-    """The three transducers one after another; ``start``: where the stretch begins in its source."""
-    out = Rewritten(text, start)
-    out.edited([(i, i + 1, new) for i, c in enumerate(out.text) if ord(c) > 127 and (new := plain_letter(c)) is not None])
-    out.edited([x for m in _DIGITS.finditer(out.text) for x in _unspelled(m)])
-    if _HINT.search(out.text):
-        out.edited([(m.start(), m.end(), SIGNS[m[1].lower()]) for m in _BRACKETED.finditer(out.text)])
-        out.edited([(m.start() + w.start(), m.start() + w.end(), SIGNS[w[1].lower()]) for m in _SPOKEN.finditer(out.text) for w in _BARE.finditer(m[0])])
-    return out
-
-
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around anything that looks like a disguise, widened to whole words and merged."""
-    marks = [] if text.isascii() else [m.span() for m in _FOREIGN.finditer(text)]
-    marks += [m.span() for hint in (_HINT, _DIGITS) for m in hint.finditer(text)]
-    out: list[list[int]] = []
-    for a, b in sorted(marks):
-        s, e = max(0, a - _WINDOW), min(len(text), b + _WINDOW)
-        while s > 0 and not text[s - 1].isspace():
+def _unbracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits for "at" and "dot" in brackets, with the white space around them."""
+    edits, done = [], 0
+    for m in _BRACKETED.finditer(text):
+        s, e = m.span()
+        while s > done and text[s - 1].isspace():
             s -= 1
-        while e < len(text) and not text[e].isspace():
+        while e < len(text) and text[e].isspace():
             e += 1
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+        edits.append((s, e, SIGNS[m[1].lower()]))
+        done = e
+    return edits
+
+
+def _is_ending(label: str) -> bool:
+    low = label.lower()
+    return low in ENDINGS or len(low) == 2 and low.isalpha() and low.isascii() and low not in NO_ENDING
+
+
+def _shaped(local: list[str], domain: list[str]) -> bool:
+    """What prose lacks: a sign, a spoken dot or digits among letters; in a domain a hyphen, digits or a third part."""
+    mixed = any(re.search("[A-Za-z]", x) and re.search("[0-9]", x) for x in (*local, *domain))
+    return mixed or len(local) > 1 or any(re.search(r"[A-Za-z0-9][._%+-]+[A-Za-z0-9]", x) for x in local) or any(re.search("[A-Za-z0-9]-[A-Za-z0-9]", x) for x in domain) or len(".".join(domain).split(".")) > 2
+
+
+def _spoken_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits for addresses in bare words: the whole chain of labels on both sides of an "at" is read, then judged.
+
+    A chain is labels with "dot" between them; the domain's must hold a spoken dot, unless "at"
+    is spoken and its ending is a known one. Where "at" is written as a sign, only dots are spoken.
+    """
+    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+    n, done, edits = len(tokens), 0, []
+
+    def is_dot(i: int) -> bool:
+        return 0 < i < n - 1 and tokens[i][2].lower() == "dot" and tokens[i - 1][1] < tokens[i][0] and tokens[i][1] < tokens[i + 1][0]
+
+    def label(i: int, pattern: re.Pattern) -> str | None:
+        """The token as a label; a last one may carry the stop of its sentence."""
+        m = pattern.fullmatch(tokens[i][2].rstrip(".")) if i < n else None
+        return m[0] if m else None
+
+    def domain_from(i: int, first: str | None) -> tuple[list[str], int, list[int]]:
+        """Labels from token ``i`` on, where the last ends, and the places of the dots between."""
+        found, dots = [first or ""], []
+        end = tokens[i][0] + len(tokens[i][2].rstrip("."))
+        while tokens[i][2][-1] != "." and is_dot(i + 1) and (x := label(i + 2, _LABEL)):
+            found.append(x)
+            dots.append(i + 1)
+            i += 2
+            end = tokens[i][0] + len(tokens[i][2].rstrip("."))
+        return found, end, dots
+
+    for i, (s, e, word) in enumerate(tokens):
+        if i < done:
+            continue
+        spoken = word.lower() == "at" and 0 < i < n - 1 and tokens[i - 1][1] < s and e < tokens[i + 1][0]
+        if spoken:
+            first, local, k = label(i + 1, _LABEL), [], i - 1
+            if not first or first.lower() in NO_HOST:
+                continue
+            while k >= done and (m := _LOCAL_LABEL.fullmatch(tokens[k][2])):
+                local.insert(0, m[0])
+                if k - 2 < done or not is_dot(k - 1):
+                    break
+                k -= 2
+            if not local:
+                continue
+            domain, end, dots = domain_from(i + 1, first)
+            place = i + 1 + 2 * len(dots)
+        elif "@" in word and 0 < word.index("@") == word.rindex("@") and (first := _LABEL.fullmatch(word[word.index("@") + 1 :])) and "." not in first[0] and is_dot(i + 1):
+            local, k = [word[: word.index("@")]], i
+            domain, end, dots = domain_from(i, first[0])
+            place = i + 2 * len(dots)
         else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+            continue
+        last = ".".join(domain).rsplit(".", 1)
+        if len(last) < 2 or not (last[1].isalpha() and last[1].isascii() and len(last[1]) > 1):
+            continue
+        known = _is_ending(last[1])
+        if not (known if not spoken else known and (dots or last[1].lower() in ENDINGS or len(last[1]) == 2 and _shaped(local, domain)) or dots and _shaped(local, domain)):
+            continue
+        # "plus", "dot" and "at" between labels become their signs
+        for j in range(k, i):
+            if tokens[j][2].lower() == "dot" and (j - k) % 2:
+                edits.append((tokens[j - 1][1], tokens[j + 1][0], "."))
+        if spoken:
+            edits.append((tokens[i - 1][1], tokens[i + 1][0], "@"))
+        edits += [(tokens[j - 1][1], tokens[j + 1][0], ".") for j in dots]
+        done = place + 1
+    return edits
+
+
+def rewrite(text: str) -> Rewritten:
+    """The three transducers one after another."""
+    out = Rewritten(text)
+    if not text.isascii():
+        out.edited([(m.start(), m.end(), new) for m in _FOREIGN.finditer(text) if (new := plain_letter(m[0])) is not None])
+    out.edited([x for m in _DIGITS.finditer(out.text) for x in _unspelled(m)])
+    if _HINT.search(out.text):
+        out.edited(_unbracketed(out.text))
+        out.edited(_spoken_addresses(out.text))
+        out.edited([(m.start() + w.start(), m.start() + w.end(), ".") for m in _SPOKEN_IP.finditer(out.text) for w in _SPOKEN_DOT.finditer(m[0])])
+    return out
 
 
 def disguised_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Spans that only the rewritten text shows, also around the plain rest of one; none inside another of its kind."""
+    new = rewrite(text)
+    if not new.rounds:
+        return []
     found = []
-    for s, e in _windows(text):
-        new = rewrite(text[s:e], s)
-        if new.text == text[s:e]:
-            continue
-        for kind, find in FINDERS.items():
-            for hit in find(new.text):
-                a, b = new.source(hit)
-                if text[a:b] != new.text[hit[0] : hit[1]] and not any(k == kind and x <= a and b <= y for x, k, y in (*taken, *found)):
-                    found.append((a, kind, b))
+    for kind, find in FINDERS.items():
+        plain = [(s, e) for s, k, e in taken if k == kind]  # apart, in order
+        starts = [s for s, _ in plain]
+        until = 0
+        for hit in find(new.text):
+            a, b = new.source(hit)
+            k = bisect_right(starts, a) - 1
+            if b > until and text[a:b] != new.text[hit[0] : hit[1]] and not (k >= 0 and b <= plain[k][1]):
+                found.append((a, kind, b))
+                until = b
     return found
 
 
@@ -230,7 +315,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             out = {name: [] for name in _SPANS.names}
             for text in batch.column("text").to_pylist():
                 base, spans = all_spans(text or "")
@@ -250,7 +335,7 @@ def redact(documents: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             texts = [t and redacted(t, all_spans(t)[1]) for t in batch.column("text").to_pylist()]
             columns = {f.name: batch.column(f.name) for f in batch.schema}
             columns["text"] = pa.array(texts, batch.schema.field("text").type)
