@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlematch.llm.common import blocks, held_out, record_batch
-from settlematch.llm.quality import labelled_sample
+from settlematch.llm.common import byte_blocks, held_out, record_batch
+from settlematch.llm.quality import sample_texts
 from settlematch.storage import written
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.list_(pa.int32())))])
@@ -52,36 +52,37 @@ def log_odds(word_t: np.ndarray, word_c: np.ndarray, total_t: float, total_c: fl
 
 
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a text's tokens, in one pass.
+    """All maximal scoring segments (start, end, score) of a text's tokens, in linear time.
 
     scores: position and value of the tokens that have a score; the others have ``drift`` (< 0).
-    Candidates are kept with the running totals before and after them; a new one is joined with
-    the nearest earlier candidate that starts from a lower total, as long as that makes it larger.
+    Candidates are kept with the running totals before and after them, and the place of the
+    nearest earlier one that starts from a lower total. A new one is joined with that one, as long
+    as this makes it larger. Following places skips all between, so every candidate is passed once.
     """
-    kept: list[list[float]] = []  # start, end, total before, total after
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, place of the lower one
     total, last = 0.0, 0
     for at, value in scores:
         total += drift * (at - last)
+        last = at + 1
         if value <= 0:
-            total, last = total + value, at + 1
+            total += value
             continue
-        new = [at, at + 1, total, total + value]
-        total, last = total + value, at + 1
-        while kept:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+        start, before = at, total
+        total += value
+        j = len(kept) - 1
+        while j >= 0 and kept[j][2] >= before:
+            j = kept[j][4]
+        while j >= 0 and kept[j][3] < total:
+            start, _, before, _, lower = kept[j]
             del kept[j:]
-        kept.append(new)
-    return [(int(s), int(e), after - before) for s, e, before, after in kept]
+            j = lower
+        kept.append((start, at + 1, before, total, j))
+    return [(s, e, after - before) for s, e, before, after, _ in kept]
 
 
 @dataclass
 class Scorer:
-    """The broadcast model: at most ``vocabulary`` scored words and five numbers."""
+    """The broadcast model: the scored words of at most 2 x ``per_class`` texts and five numbers."""
 
     words: dict[bytes, float]
     drift: float
@@ -136,12 +137,19 @@ class Scorer:
         return round(1 / (1 + math.exp(-max(min(self.slope * math.log1p(evidence) + self.intercept, 60), -60))), 6)
 
 
-def fit_words(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int, *, strength: float, least_z: float, least_odds: float) -> dict[bytes, float]:
-    if not counts or not n_toxic or not n_clean:
+def telling_words(counts: DataFrame, n_toxic: int, n_clean: int, *, strength: float, least_z: float, least_odds: float) -> dict[bytes, float]:
+    """Log-odds of the words (word, t, c: texts of each class that hold it) that pass both tests, worked out by Spark.
+
+    The prior's counts follow the word's share of both classes (:func:`log_odds`).
+    """
+    if not n_toxic or not n_clean:
         return {}
-    t, c = (np.array([x[i] for x in counts], np.float64) for i in (1, 2))
-    odds, z = log_odds(t, c, n_toxic, n_clean, strength)
-    return {w: float(o) for (w, *_), o, z_ in zip(counts, odds, z, strict=True) if abs(z_) >= least_z and abs(o) >= least_odds}
+    prior = F.lit(strength) * (F.col("t") + F.col("c")) / F.lit(float(max(n_toxic + n_clean, 1)))
+    t, c = F.col("t") + prior, F.col("c") + prior
+    odds = F.log(t / F.greatest(F.lit(n_toxic + strength) - t, F.lit(1e-9))) - F.log(c / F.greatest(F.lit(n_clean + strength) - c, F.lit(1e-9)))
+    rows = counts.select("word", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
+    found = rows.where((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).select("word", "odds").collect()
+    return {bytes(r["word"]): r["odds"] for r in found}
 
 
 def calibrate(words: dict[bytes, float], texts: list[tuple[list[float], int, int]], drift: float, significance: float) -> Scorer:
@@ -191,33 +199,32 @@ def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, flo
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, vocabulary: int = 20000, strength: float = 50.0, least_z: float = 4.5, least_odds: float = 1.0, drift: float = -0.05, significance: float = 0.05) -> Scorer:
+def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, strength: float = 50.0, least_z: float = 4.5, least_odds: float = 1.0, drift: float = -0.05, significance: float = 0.05) -> Scorer:
     """Fit on at most 2 x ``per_class`` labelled texts, near copies counting once.
 
-    Words are counted by Spark; the driver sees the ``vocabulary`` most telling ones, and for the
-    sample's texts the scores of their scored tokens.
+    Words are counted and tested by Spark; the driver sees those that pass, and for the sample's
+    texts the scores of their scored tokens. Both are bounded by the sample. An id with several
+    texts counts with the first in order.
     """
     totals = {r["y"]: r["n"] for r in labels.where(F.col(column).isin(0, 1) & ~held_out()).groupBy(F.col(column).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n")).collect()}
-    sample = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column, per_class)), "doc_id")
+    sample = sample_texts(documents, labels, column, per_class)
     schema = pa.schema([("y", pa.int32()), ("key", pa.int64()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             found = [tokens(t) for t in batch.column("text").to_pylist()]
             yield record_batch(schema, {"y": batch.column("y"), "key": [cluster_key(w) for w in found], "words": [list({x for w in set(f) for x in (w, *stems(w))}) for f in found]})
 
     one = written(sample.mapInArrow(run, "y int, key long, words array<binary>").dropDuplicates(["y", "key"]))
     sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
-    by_word = one.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.col("t") + F.col("c") >= 3)
-    gap = F.abs(F.col("t") / max(n_t, 1) - F.col("c") / max(n_c, 1)) / F.sqrt(F.col("t") + F.col("c"))
-    counts = [(bytes(r["word"]), r["t"], r["c"]) for r in by_word.orderBy(gap.desc(), "word").limit(vocabulary).collect()]
-    words = fit_words(counts, n_t, n_c, strength=strength, least_z=least_z, least_odds=least_odds)
+    by_word = one.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    words = telling_words(by_word, n_t, n_c, strength=strength, least_z=least_z, least_odds=least_odds)
 
     lookup = Scorer(words, drift, 1.0, 1.0, 1.0, 0.0, significance)
 
     def scan(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             found = [tokens(t) for t in batch.column("text").to_pylist()]
             flat = [[float(v) for pair in lookup.scored(x) for v in pair] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([cluster_key(x) for x in found], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["y", "key", "n", "flat"])
@@ -240,7 +247,7 @@ def score(documents: DataFrame, model: Scorer, threshold: float = 0.5) -> DataFr
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             found = [shared.value.evidence(tokens(t)) for t in batch.column("text").to_pylist()]
             yield record_batch(SCORES, {"doc_id": batch.column("doc_id"), "score": [shared.value.score(e) for e, _ in found], "passages": [[[s, e] for s, e, _ in segments] for _, segments in found]})
 
@@ -253,7 +260,7 @@ def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             yield batch.filter(pa.array([shared.value.score(shared.value.evidence(tokens(t))[0]) < threshold for t in batch.column("text").to_pylist()]))
 
     return documents.mapInArrow(run, documents.schema)
