@@ -15,18 +15,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlematch.llm.common import blocks, held_out, record_batch
+from settlematch.llm.common import byte_blocks, held_out, record_batch
 
 DIMS = 2048
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+#: Bytes of text that are counted at a time; the work arrays take some thirty bytes for each.
+CHUNK = 1 << 20
+
+
 def trigram_counts(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
     """One row per text: counts of its byte trigrams, hashed to ``dims`` (a power of two). Digits count alike."""
+    out = np.zeros((len(texts), dims), np.float32)
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if len(t) > CHUNK:
+            for at in range(0, len(t) - 2, CHUNK):
+                out[i] += _counted([t[at : at + CHUNK + 2]], dims)[0]
+        elif held + len(t) > CHUNK:
+            out[first:i] += _counted([x if len(x) <= CHUNK else b"" for x in texts[first:i]], dims)
+            first, held = i, len(t)
+        else:
+            held += len(t)
+    if first < len(texts):
+        out[first:] += _counted([x if len(x) <= CHUNK else b"" for x in texts[first:]], dims)
+    return out
+
+
+def _counted(texts: list[bytes], dims: int) -> np.ndarray:
     joined = np.frombuffer(b"".join(texts), np.uint8)
     joined = np.where((joined >= 48) & (joined < 58), 48, joined).astype(np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     if len(joined) < 3:
         return np.zeros((len(texts), dims), np.float32)
     code = joined[:-2] << 16 | joined[1:-1] << 8 | joined[2:]
@@ -53,16 +73,20 @@ class Neighbours:
         return _unit(terms(counts, self.idf) @ self.axes)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability-like score of label 1; the prior where nothing is similar (empty texts too)."""
+        """Probability-like score of label 1; the prior where nothing is similar (empty texts too).
+
+        All neighbours as near as the last of the ``near`` nearest vote, so ties need no order.
+        """
         z = self.embed(trigram_counts([(t or "").encode() for t in texts]))
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
         cosine = z @ self.vectors.T
         k = min(self.near, cosine.shape[1])
-        top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, top, 1), 0).astype(np.float64) ** self.sharpness * self.mass[top]
-        total = weight.sum(axis=1)
-        return np.round(np.where(total > 0, (weight * self.votes[top]).sum(axis=1) / np.where(total > 0, total, 1), self.prior), 6)
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        row, col = np.nonzero(cosine >= last[:, None])
+        weight = np.maximum(cosine[row, col], 0).astype(np.float64) ** self.sharpness * self.mass[col]
+        total, good = np.bincount(row, weight, len(texts)), np.bincount(row, weight * self.votes[col], len(texts))
+        return np.round(np.where(total > 0, good / np.where(total > 0, total, 1), self.prior), 6)
 
 
 def terms(counts: np.ndarray, idf: np.ndarray, weight: float = 1.0) -> np.ndarray:
@@ -115,13 +139,19 @@ def labelled_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame
     return picked[0].unionByName(picked[1])
 
 
+def sample_texts(documents: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """doc_id, text and y of the labelled sample; an id with several texts has the first in order."""
+    picked = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column, per_class)), "doc_id")  # at most 2 x per_class rows
+    return picked.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def train(documents: DataFrame, labels: DataFrame, *, column: str = "quality", per_class: int = 2048, rank: int = 64, near: int = 24, sharpness: float = 64.0) -> Neighbours:
     """Fit on at most 2 x ``per_class`` labelled texts; their trigram counts, not their texts, reach the driver."""
     totals = {r["y"]: r["n"] for r in labels.where(F.col(column).isin(0, 1) & ~held_out()).groupBy(F.col(column).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n")).collect()}
-    sample = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column, per_class)), "doc_id")
+    sample = sample_texts(documents, labels, column, per_class)
 
     def run(batches):
-        for batch in blocks(batches, 128):
+        for batch in byte_blocks(batches, rows=128):
             counts = trigram_counts([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], names=["doc_id", "y", "counts"])
 
@@ -139,7 +169,7 @@ def score(documents: DataFrame, model: Neighbours, threshold: float = 0.3) -> Da
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in blocks(batches, 128):
+        for batch in byte_blocks(batches, rows=128):
             yield record_batch(SCORES, {"doc_id": batch.column("doc_id"), "score": shared.value.score(batch.column("text").to_pylist())})
 
     scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -151,7 +181,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(batches):
-        for batch in blocks(batches, 128):
+        for batch in byte_blocks(batches, rows=128):
             yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) >= threshold))
 
     return documents.mapInArrow(run, documents.schema)
