@@ -10,6 +10,8 @@ arrived. Shard sizes are exact by construction.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +35,7 @@ def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict
         drawn, left, pool = [], counts[part], int(open_places.sum())
         for places in open_places.tolist():
             pool -= places
-            # numpy's sampler takes less than 1e9 of a kind; a normal of the same mean and variance serves beyond
-            n = _hypergeometric(rng, places, pool, left)
+            n = hypergeometric(rng, places, pool, left)
             drawn.append(n)
             left -= n
         open_places = open_places - np.array(drawn, np.int64)
@@ -42,35 +43,71 @@ def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict
     return matrix
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` draws without replacement are good; numpy's sampler where it takes the numbers."""
     if not sample or not good:
         return 0
     if max(good, bad) < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, sample))
-    total = good + bad
-    mean = sample * good / total
-    spread = (mean * (bad / total) * (total - sample) / (total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), sample - bad, 0), good, sample))
+    return by_ratio_of_uniforms(rng, good, bad, sample)
+
 
+def by_ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """The same by rejection from a ratio of uniforms, for counts of any size.
 
-def shuffle_into_shards(rows: DataFrame, shards: int, *, key: Column, seed: int = 20, parts: int = 256, lanes: int = 16) -> DataFrame:
+    Proposals are accepted by the exact probability over that of the mode. Factorials enter only as
+    quotients of near ones (:func:`_log_quotient`), so nothing large cancels.
+    """
+    total = good + bad
+    low, high = max(0, sample - bad), min(good, sample)
+    if low == high:
+        return low
+    mean, share = sample * good / total, good / total
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(sample * share * (bad / total) * ((total - sample) / (total - 1)) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    mode = min(max((sample + 1) * (good + 1) // (total + 2), low), high)
+    while True:
+        u, v = rng.random(2)
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u) if u else low - 1
+        if not low <= x <= high:
+            continue
+        d = x - mode
+        log_ratio = -(_log_quotient(mode, d) + _log_quotient(good - mode, -d) + _log_quotient(sample - mode, -d) + _log_quotient(bad - sample + mode, d))
+        if 2 * math.log(u) <= log_ratio:
+            return x
+
+
+def _log_quotient(n: int, d: int) -> float:
+    """log((n + d)! / n!): a sum where it is short or n is small, else Stirling's series term by term."""
+    if abs(d) < 64 or min(n, n + d) < 1000:
+        lo, hi = sorted((n, n + d))
+        part = float(np.log(np.arange(lo + 1, hi + 1, dtype=np.float64)).sum())
+        return part if d >= 0 else -part
+    m = n + d
+    return (m + 0.5) * math.log1p(d / n) + d * (math.log(n) - 1) + (1 / m - 1 / n) / 12 - (1 / m**3 - 1 / n**3) / 360
+
+
+def shuffle_into_shards(rows: DataFrame, shards: int, *, key: Column, seed: int = 20, most_parts: int = 16_384, most_lanes: int = 4096, each: int = 1_000_000) -> DataFrame:
     """``rows`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
     rows   the slim rows to place: ids and sizes, not texts. They are written once to the shared
            folder, which pins the source partitions.
     key    column mixed into the random order; rows may share it, repeat or have nulls there.
-    parts  number of source partitions told apart; the driver sees ``parts`` x ``shards`` counts.
-    lanes  every shard's last permutation is cut into this many ranges of the random order, so
-           that a shard is not one task.
+    each   rows that one task should permute: the number of source partitions told apart (256 to
+           ``most_parts``) and of lanes (16 to ``most_lanes``), the ranges of the random order that a
+           shard's last permutation is cut into, follow from it and the number of rows.
 
-    An empty table gives an empty result. Repeated rows are placed one by one. The same files
-    and split size give the same placement.
+    The driver sees at most ``most_parts`` x ``shards`` counts. An empty table gives an empty
+    result. Repeated rows are placed one by one. Columns of ``rows`` that are named shard or slot,
+    in any case, are replaced. The same files and split size give the same placement.
     """
-    names = rows.columns
-    here = written(rows.withColumns({"_part": F.spark_partition_id() % parts, "_at": F.monotonically_increasing_id()}).withColumn("_key", key))
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    here = written(rows.select(names).withColumns({"_raw": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_key": key}))
+    total = here.count()
+    parts, lanes = min(max(total // each, 256), most_parts), min(max(total // (each * shards), 16), most_lanes)
+    here = here.withColumn("_part", F.col("_raw") % parts).drop("_raw")
     counts = {r["_part"]: r["n"] for r in here.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix(counts, shards, seed)
-    # at most parts x shards numbers: a bound that does not grow with the rows
+    # at most most_parts x shards numbers: a bound that does not grow with the rows
     until = F.broadcast(here.sparkSession.createDataFrame([(p, np.cumsum(m).tolist()) for p, m in matrix.items()], "_part int, _until array<long>"))
 
     def draw(stage: int) -> Column:
@@ -82,4 +119,5 @@ def shuffle_into_shards(rows: DataFrame, shards: int, *, key: Column, seed: int
     lane = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = sent.groupBy("shard", "_lane").agg(F.count("*").alias("_n")).select("shard", "_lane", F.coalesce(F.sum("_n").over(lane), F.lit(0)).alias("_start"))
     slot = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy("_draw", "_at"))
+    # at most shards x most_lanes rows
     return sent.withColumn("_slot", slot).join(F.broadcast(starts), ["shard", "_lane"]).select(*names, "shard", (F.col("_start") + F.col("_slot") - 1).alias("slot"))
