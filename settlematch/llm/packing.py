@@ -107,7 +107,7 @@ def encoder(path: str):
 
     The file's merges run in tiktoken, about four times as fast; a text that names a special
     token, or that tiktoken refuses, goes to the tokenizers library itself. The two agree
-    (``tests/llm/test_packing.py``).
+    (``tests/llm/test_small_operators.py``).
     """
     if path not in _ENCODERS:
         import json
@@ -146,26 +146,31 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def pack(pieces: DataFrame, capacity: int, *, lanes: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, *, each: int = 500_000) -> DataFrame:
     """``pieces`` (needs ``doc_id``, ``piece``, ``length``) with ``sequence_id`` and ``offset``.
 
-    lanes: the ranking within one length is cut into so many hash lanes; no length is one task.
-    The driver sees ``capacity`` counts; the plan sent back has at most a few rows per length
-    and class. Empty input gives an empty result; repeated rows are packed one by one.
+    each: the ranking within one length is cut into hash lanes of about so many pieces; no length
+    is one task. The driver sees ``capacity`` counts; the plan sent back has at most a few rows per
+    length and class, and the lanes' table one row for each ``each`` pieces beside ``capacity``.
+    Empty input gives an empty result; repeated rows are packed one by one. A piece longer than
+    the capacity, or without a positive length, is an error. Columns of ``pieces`` that are named
+    sequence_id or offset, in any case, are replaced.
     """
-    names = pieces.columns
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     spark = pieces.sparkSession
-    lane = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)).cast("int")
-    pieces = written(pieces.withColumn("_lane", lane))
-    by_lane = written(pieces.groupBy("length", "_lane").agg(F.count("*").alias("_n")))  # at most capacity x lanes rows
-    counts = {r["length"]: r["n"] for r in by_lane.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    fits = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.concat(F.lit("no piece of this length fits: "), F.coalesce(F.col("length").cast("string"), F.lit("null")))).cast("long"))
+    pieces = written(pieces.select(names).withColumn("length", fits))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    lanes = F.broadcast(spark.createDataFrame([(size, n // each + 1) for size, n in counts.items()], "length long, _lanes long"))  # at most capacity rows
+    pieces = pieces.join(lanes, "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_lanes")))
+    by_lane = pieces.groupBy("length", "_lane").agg(F.count("*").alias("_n"))
     rows, base, taken = [], 0, dict.fromkeys(counts, 0)
     for bins, content in plan_bins(counts, capacity):
         offset = 0
-        for size, each in content:
-            rows.append((size, taken[size], taken[size] + bins * each, base, each, offset))
-            taken[size] += bins * each
-            offset += size * each
+        for size, per_bin in content:
+            rows.append((size, taken[size], taken[size] + bins * per_bin, base, per_bin, offset))
+            taken[size] += bins * per_bin
+            offset += size * per_bin
         base += bins
     plan = F.broadcast(spark.createDataFrame(rows, "length long, _from long, _to long, _base long, _each long, _offset long"))
     before = Window.partitionBy("length").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
