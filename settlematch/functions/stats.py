@@ -19,6 +19,7 @@ RULE_CONFIDENCE = {
     "l2_order_id_fuzzy": 0.95,
     "l2_invoice_amount_date_window": 0.80,
 }
+L3_BANK, L3_INVOICE = "l3_llm_batch_disambiguation", "l3_llm_invoice_disambiguation"
 UNKNOWN_RULE = 0.5
 CEILING = 0.85
 THRESHOLD = 0.70

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+# How a bank reference and an invoice number look.
 UTR = r"\b[A-Z]{4}\d{6,12}\b"
 INVOICE = r"INV-\d{4}-\d{4,6}"
 #: A token shorter than this is no evidence of a longer one.

@@ -1,17 +1,23 @@
 """Third layer: candidates offered to a model, and its recorded answers joined back.
 
 The model itself is not called here. Its answers come as a transcript table keyed by a hash of
-the question.
+the question. A question lists what is still free when its subject's turn comes, so which question
+was asked depends on the answers before it (:func:`decide_in_turn`).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlematch.functions.ids import content_key
 from settlematch.functions.money import format_rupees
 from settlematch.functions.stats import CEILING
+from settlematch.operators.components import components
+from settlematch.operators.runs import solve_runs
+from settlematch.storage import written
 
 DAYS, ISSUE_DAYS, SHORTFALL_PCT, SPREAD, OFFERED = 4, 21, 5.0, 0.15, 12
 
@@ -20,8 +26,12 @@ def l3_bank_candidates(batches: DataFrame, bank: DataFrame) -> DataFrame:
     """Credits within DAYS of a batch, not above its total by more than 10 paise and short by at most SHORTFALL_PCT."""
     probes = batches.where("settled_date is not null and expected_credit_dedup > 0").select("settlement_id", "settled_date", F.col("expected_credit_dedup").alias("total"))
     probes = probes.withColumn("value_date", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))))
+    # amounts on a log scale whose step is wider than the shortfall: a credit is on the total's level or next to it
+    level = _level(F.col("total"), 0.06)
+    probes = probes.withColumn("level", F.explode(F.array(level - 1, level, level + 1)))
     short = F.col("total") - F.col("credit")
-    found = probes.join(bank.select("txn_id", "value_date", "credit"), "value_date").where((F.col("credit") <= F.col("total") + 10) & (100 * short / F.col("total") <= SHORTFALL_PCT))
+    rows = bank.select("txn_id", "value_date", "credit", _level(F.col("credit"), 0.06).alias("level"))
+    found = probes.join(rows, ["value_date", "level"]).where((F.col("credit") <= F.col("total") + 10) & (100 * short / F.col("total") <= SHORTFALL_PCT))
     return found.select("settlement_id", "txn_id", "total", "credit", "value_date")
 
 
@@ -32,24 +42,33 @@ def l3_competing_batches(batches: DataFrame) -> DataFrame:
     return left.join(right, "settled_date").where("settlement_id <> other_id").select("settlement_id", "other_id")
 
 
-def l3_invoice_candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """The first OFFERED invoices, by id, issued within ISSUE_DAYS of capture and within SPREAD of the amount.
+def _level(amount: Column, step: float) -> Column:
+    """A whole number on a log scale; what is below 30 paise, where ten paise are much, is one level."""
+    return F.floor(F.log(F.greatest(amount, F.lit(300)).cast("double")) / step).cast("int")
+
+
+def invoices_in_reach(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Invoices issued within ISSUE_DAYS of a payment's capture and within SPREAD of its amount.
 
     A range join on buckets: days in steps of ISSUE_DAYS, amounts on a log scale whose step is
     wider than the spread.
     """
-    step = 0.18
 
     def level(x: Column) -> Column:
-        return F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) / step).cast("int")
+        return _level(x, 0.18)
 
     day = F.floor(F.datediff(F.col("captured_on"), F.lit("1970-01-01").cast("date")) / ISSUE_DAYS).cast("int")
     left = payments.where("captured_on is not null").select("payment_id", "captured_on", "gross")
     left = left.withColumn("day", F.explode(F.array(day - 1, day, day + 1))).withColumn("level", F.explode(F.array(level(F.col("gross")) - 1, level(F.col("gross")), level(F.col("gross")) + 1)))
     right = invoices.select("invoice_id", "invoice_amount", "issue_date", F.floor(F.datediff("issue_date", F.lit("1970-01-01").cast("date")) / ISSUE_DAYS).cast("int").alias("day"), level(F.col("invoice_amount")).alias("level"))
     near = (F.abs(F.datediff("issue_date", "captured_on")) <= ISSUE_DAYS) & (F.abs(F.col("invoice_amount") - F.col("gross")) <= F.col("gross") * F.lit(SPREAD))
+    return left.join(right, ["day", "level"]).where(near).select("payment_id", "invoice_id", "gross", "captured_on", "invoice_amount", "issue_date")
+
+
+def l3_invoice_candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The first OFFERED invoices in reach, by id."""
     place = F.row_number().over(Window.partitionBy("payment_id").orderBy("invoice_id"))
-    return left.join(right, ["day", "level"]).where(near).withColumn("place", place).where(F.col("place") <= OFFERED).select("payment_id", "invoice_id", "place", "gross", "invoice_amount")
+    return invoices_in_reach(payments, invoices).withColumn("place", place).where(F.col("place") <= OFFERED).select("payment_id", "invoice_id", "place", "gross", "invoice_amount")
 
 
 def percent_text(part: Column, whole: Column) -> Column:
@@ -58,15 +77,43 @@ def percent_text(part: Column, whole: Column) -> Column:
     return F.concat((hundredths.cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string"), F.lit("%"))
 
 
-def l3_render_questions(candidates: DataFrame) -> DataFrame:
-    """subject_id, question and its key for each batch with candidates; candidates in id order."""
-    line = F.concat_ws(" | ", F.concat(F.lit("credit "), "txn_id"), format_rupees(F.col("credit")), F.concat(F.lit("on "), F.col("value_date").cast("string")), F.concat(F.lit("short by "), format_rupees(F.col("total") - F.col("credit")), F.lit(" ("), percent_text(F.col("total") - F.col("credit"), F.col("total")), F.lit(")")))
-    grouped = candidates.groupBy("settlement_id", "total").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("txn_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("offered"))
-    question = F.concat(F.lit("batch "), "settlement_id", F.lit(" total "), format_rupees(F.col("total")), F.lit("\n"), "lines")
-    return grouped.select(F.col("settlement_id").alias("subject_id"), "offered", question.alias("question"), content_key(F.lit(SYSTEM), question).alias("prompt_hash"))
+SYSTEM = "Name the credit that pays the batch, or none."
+INVOICE_SYSTEM = "Name the invoice that the payment settles, or none."
 
 
-SYSTEM = "Name the credit that pays the batch, or none."
+def bank_choices(batches: DataFrame, bank: DataFrame) -> DataFrame:
+    """subject_id, head, tail, counterpart_id, line: what the question of each batch is made of.
+
+    The head names the batch and its total, each line one credit, and the tail other open batches
+    near in time, which may want the same credits.
+    """
+    found = l3_bank_candidates(batches, bank)
+    short = F.col("total") - F.col("credit")
+    line = F.concat_ws(" | ", F.concat(F.lit("credit "), "txn_id"), format_rupees(F.col("credit")), F.concat(F.lit("on "), F.col("value_date").cast("string")), F.concat(F.lit("short by "), format_rupees(short), F.lit(" ("), percent_text(short, F.col("total")), F.lit(")")))
+    rivals = l3_competing_batches(batches).join(batches.select(F.col("settlement_id").alias("other_id"), "expected_credit_dedup"), "other_id")
+    told = F.concat(F.col("other_id"), F.lit(" "), format_rupees(F.col("expected_credit_dedup")))
+    rivals = rivals.groupBy("settlement_id").agg(F.array_join(F.sort_array(F.collect_list(told)), ", ").alias("rivals"))
+    rows = found.join(rivals, "settlement_id", "left")
+    head = F.concat(F.lit("batch "), "settlement_id", F.lit(" total "), format_rupees(F.col("total")))
+    tail = F.coalesce(F.concat(F.lit("\nother open batches: "), "rivals"), F.lit(""))
+    return rows.select(F.col("settlement_id").alias("subject_id"), head.alias("head"), tail.alias("tail"), F.col("txn_id").alias("counterpart_id"), line.alias("line"))
+
+
+def invoice_choices(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The same for each payment and the invoices in reach; offered are the first OFFERED that are free."""
+    found = invoices_in_reach(payments, invoices).join(payments.select("payment_id", "order_id", "order_receipt"), "payment_id")
+    off = F.col("invoice_amount") - F.col("gross")
+    line = F.concat_ws(" | ", F.concat(F.lit("invoice "), "invoice_id"), format_rupees(F.col("invoice_amount")), F.concat(F.lit("differs by "), format_rupees(off)), F.concat(F.lit("issued "), F.col("issue_date").cast("string")))
+    head = F.concat(F.lit("payment "), "payment_id", F.lit(" of "), format_rupees(F.col("gross")), F.lit(" captured "), F.col("captured_on").cast("string"), F.lit(" order "), F.coalesce("order_id", F.lit("none")), F.lit(" receipt "), F.coalesce("order_receipt", F.lit("none")))
+    return found.select(F.col("payment_id").alias("subject_id"), head.alias("head"), F.lit("").alias("tail"), F.col("invoice_id").alias("counterpart_id"), line.alias("line"))
+
+
+def l3_render_questions(choices: DataFrame, system: str = SYSTEM, most: int | None = None) -> DataFrame:
+    """subject_id, question and its key for each subject with choices, as if it were the first to be asked; lines in id order."""
+    lines = F.sort_array(F.collect_list(F.struct("counterpart_id", "line")))
+    grouped = choices.groupBy("subject_id", "head", "tail").agg((F.slice(lines, 1, most) if most else lines).alias("lines"))
+    question = F.concat("head", F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), "tail")
+    return grouped.select("subject_id", F.size("lines").cast("long").alias("offered"), question.alias("question"), content_key(F.lit(system), question).alias("prompt_hash"))
 
 
 def latest_answers(transcript: DataFrame) -> DataFrame:
@@ -86,7 +133,7 @@ def l3_validate_decision(answers: DataFrame) -> DataFrame:
     parsed = answers.withColumn("d", F.from_json("response_text", "chosen_id string, confidence double, reasoning string, inferred_deduction_paise long"))
     keys = F.json_object_keys("response_text")
     ok = keys.isNotNull() & (F.size(F.array_except(keys, known)) == 0) & F.col("d.confidence").between(0, 1) & F.col("d.reasoning").isNotNull() & (F.length("d.reasoning") <= 1200)
-    return parsed.withColumn("valid", F.coalesce(ok, F.lit(False))).select(*answers.columns, "d.chosen_id", F.col("d.confidence").alias("raw_confidence"), "d.reasoning", "valid")
+    return parsed.withColumn("valid", F.coalesce(ok, F.lit(False))).select(*answers.columns, "d.chosen_id", F.col("d.confidence").alias("raw_confidence"), "d.reasoning", "d.inferred_deduction_paise", "valid")
 
 
 def l3_accept(decisions: DataFrame, offered: DataFrame) -> DataFrame:
@@ -108,3 +155,47 @@ def l3_accept(decisions: DataFrame, offered: DataFrame) -> DataFrame:
 def l3_resume_plan(questions: DataFrame, transcript: DataFrame) -> DataFrame:
     """Questions without a good answer."""
     return questions.join(latest_answers(transcript).select("prompt_hash"), "prompt_hash", "left_anti")
+
+
+OUTCOMES = "subject_id string, prompt_hash string, offered int, outcome string, chosen_id string, raw_confidence double, reasoning string, inferred_deduction_paise long"
+
+
+def decide_in_turn(choices: DataFrame, transcript: DataFrame, *, system: str = SYSTEM, most: int | None = None) -> DataFrame:
+    """The recorded answers applied in id order, each to the question its subject would have been asked.
+
+    choices: subject_id, head, tail, counterpart_id, line. A question offers what no subject before
+    has been given, the first ``most`` by id. Its answer is looked up by the question's key, and is
+    accepted (the counterpart is taken), declined, not_offered (it names something else, and
+    counts as declined), invalid or missed. ``purpose`` of a record (kind:subject) tells whom it is
+    about; subjects without a record take nothing and stand in nobody's way, so parts of the graph
+    of the others are solved one by one. Their size is bounded by the records, not by the data.
+    """
+    answers = l3_validate_decision(latest_answers(transcript).select("purpose", "prompt_hash", "response_text"))
+    answers = answers.select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id"), F.struct("prompt_hash", "chosen_id", "raw_confidence", "reasoning", "inferred_deduction_paise", "valid").alias("answer"))
+    asked = answers.groupBy("subject_id").agg(F.collect_list("answer").alias("answers"))
+    own = written(choices.join(asked.select("subject_id"), "subject_id", "left_semi"))
+    node = F.xxhash64(F.lit("s"), "subject_id")
+    part = components(own.select(node.alias("a"), F.xxhash64(F.lit("c"), "counterpart_id").alias("b")))
+    rows = own.groupBy("subject_id", "head", "tail").agg(F.sort_array(F.collect_list(F.struct("counterpart_id", "line"))).alias("lines"))
+    rows = rows.join(asked, "subject_id").withColumn("node", node).join(part, "node")
+
+    def solve(part: dict[str, list]) -> list[tuple]:
+        taken, out = set(), []
+        for subject, head, tail, lines, known in zip(*(part[c] for c in ("subject_id", "head", "tail", "lines", "answers")), strict=True):
+            free = [x for x in lines if x["counterpart_id"] not in taken][:most]
+            if not free:
+                continue
+            question = head + "\n" + "\n".join(x["line"] for x in free) + tail
+            key = hashlib.sha256(f"{system}\0{question}".encode()).hexdigest()[:20]
+            answer = next((a for a in known if a["prompt_hash"] == key), None)
+            if answer is None or not answer["valid"]:
+                out.append((subject, key, len(free), "missed" if answer is None else "invalid", None, None, None, None))
+                continue
+            chosen = answer["chosen_id"]
+            outcome = "declined" if chosen is None else "accepted" if any(x["counterpart_id"] == chosen for x in free) else "not_offered"
+            if outcome == "accepted":
+                taken.add(chosen)
+            out.append((subject, key, len(free), outcome, chosen, answer["raw_confidence"], answer["reasoning"], answer["inferred_deduction_paise"]))
+        return out
+
+    return solve_runs(rows.select("component", "subject_id", "head", "tail", "lines", "answers"), "component", ["subject_id"], solve, OUTCOMES)

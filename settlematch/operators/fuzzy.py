@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from settlematch.functions.text import SHORTEST_PREFIX, extract_utrs, find_id_like, is_truncation_of, normalise_id, one_edit_keys
+from settlematch.functions.text import SHORTEST_PREFIX, extract_utrs, find_id_like, is_truncation_of, normalise_id, one_edit_apart, one_edit_keys
 from settlematch.operators.assign import DayWindow, greedy_assign
 
 TOLERANCE, DATE_WINDOW, ISSUE_WINDOW = 10, 2, 14
@@ -35,9 +35,14 @@ def narration_utr_truncated(batches: DataFrame, bank: DataFrame) -> DataFrame:
 
 def _one_edit(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (subject_id, value) and right (counterpart_id, value): values of one length, one substitution or swap apart."""
-    a = left.select("subject_id", F.col("value").alias("x"), F.explode(one_edit_keys(F.col("value"))).alias("key"))
-    b = right.select("counterpart_id", F.col("value").alias("y"), F.explode(one_edit_keys(F.col("value"))).alias("key"))
-    return a.join(b, "key").where((F.col("x") != F.col("y")) & (F.length("x") == F.length("y"))).select("subject_id", "counterpart_id").distinct()
+    def keys(value: str) -> Column:  # hashes travel, not strings; what shares one is checked
+        return F.explode(F.transform(one_edit_keys(F.col(value)), lambda k: F.xxhash64(k))).alias("key")
+
+    a = left.select("subject_id", F.col("value").alias("x"), keys("value"))
+    b = right.select("counterpart_id", F.col("value").alias("y"), keys("value"))
+    near = (F.length("x") == F.length("y")) & (F.col("x") != F.col("y"))
+    pairs = a.join(b, "key").where(near).select("subject_id", "counterpart_id", "x", "y").distinct()
+    return pairs.where(one_edit_apart(F.col("x"), F.col("y"))).select("subject_id", "counterpart_id").distinct()
 
 
 def utr_fuzzy(batches: DataFrame, bank: DataFrame) -> DataFrame:
@@ -76,11 +81,9 @@ def order_id_fuzzy(payments: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def invoice_amount_window(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Exact amount, issued at most ISSUE_WINDOW days before capture."""
-    left = payments.where("captured_on is not null").select("payment_id", "captured_on", F.col("gross").alias("invoice_amount"))
-    on = left.join(invoices.select("invoice_id", "invoice_amount", "issue_date"), "invoice_amount")
-    late = F.datediff("captured_on", "issue_date")
-    return on.where((late >= 0) & (late <= ISSUE_WINDOW)).select(F.col("payment_id").alias("subject_id"), F.col("invoice_id").alias("counterpart_id"))
+    """Exact amount, issued at most ISSUE_WINDOW days before capture: an equi-join on amount and each day of the window."""
+    left = payments.where("captured_on is not null").select(F.col("payment_id").alias("subject_id"), F.col("gross").alias("invoice_amount"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(ISSUE_WINDOW)), lambda i: F.date_sub("captured_on", i))).alias("issue_date"))
+    return left.join(invoices.select("invoice_id", "invoice_amount", "issue_date"), ["invoice_amount", "issue_date"]).select("subject_id", F.col("invoice_id").alias("counterpart_id"))
 
 
 Rule = tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]

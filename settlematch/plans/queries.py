@@ -63,13 +63,61 @@ class Inputs:
     def orphans(self) -> DataFrame:
         return self["orphan_bank"].select(F.lit("bank_txn").alias("subject_type"), F.col("txn_id").alias("subject_id")).unionByName(self["orphan_invoices"].select(F.lit("invoice").alias("subject_type"), F.col("invoice_id").alias("subject_id")))
 
+    @property
+    def found_bank(self) -> DataFrame:
+        """Links of the first two layers."""
+        return self.once("found_bank", lambda: assemble.two_layers(assemble.BANK_LEG, self.batches, self.bank))
+
+    @property
+    def found_invoice(self) -> DataFrame:
+        return self.once("found_invoice", lambda: assemble.two_layers(assemble.INVOICE_LEG, self.payments, self.invoices))
+
+    @property
+    def choices(self) -> DataFrame:
+        """What is left on both legs, as questions are made of it."""
+
+        def make() -> DataFrame:
+            bank = decisions.bank_choices(*assemble.open_rows(assemble.BANK_LEG, self.batches, self.bank, self.found_bank))
+            ledger = decisions.invoice_choices(*assemble.open_rows(assemble.INVOICE_LEG, self.payments, self.invoices, self.found_invoice))
+            return written(bank.withColumn("leg", F.lit("bank")).unionByName(ledger.withColumn("leg", F.lit("invoice"))))
+
+        return self.once("choices", make)
+
+    @property
+    def questions(self) -> DataFrame:
+        """Of every open subject the question if it were the first to be asked."""
+        return self.once("questions", lambda: written(_questions(self.choices)))
+
+    @property
+    def transcript(self) -> DataFrame:
+        """Recorded answers to these questions, and to those without the first choice."""
+
+        def make() -> DataFrame:
+            first = self.choices.groupBy("leg", "subject_id").agg(F.min("counterpart_id").alias("counterpart_id"))
+            return written(_transcript(self.questions.unionByName(_questions(self.choices.join(first, ["leg", "subject_id", "counterpart_id"], "left_anti")))))
+
+        return self.once("transcript", make)
+
+    @property
+    def by_batch(self) -> tuple[DataFrame, DataFrame]:
+        """Links and declines of all layers."""
+        return self.once("by_batch", lambda: assemble.resolve(assemble.BANK_LEG, self.batches, self.bank, self.transcript, self.found_bank))
+
+    @property
+    def by_payment(self) -> tuple[DataFrame, DataFrame]:
+        return self.once("by_payment", lambda: assemble.resolve(assemble.INVOICE_LEG, self.payments, self.invoices, self.transcript, self.found_invoice))
+
     @property
     def layered(self) -> tuple[DataFrame, DataFrame]:
         if "matches" not in self.kept:
-            self.kept["matches"], open_ = assemble.run_layered(self.payments, self.batches, self.bank, self.invoices)
+            self.kept["matches"], open_ = assemble.assembled(self.payments, self.by_batch, self.by_payment, self.bank, self.invoices)
             self.kept["exceptions"] = written(open_)
         return self.kept["matches"], self.kept["exceptions"]
 
+    @property
+    def layered_edges(self) -> DataFrame:
+        return baselines.as_edges(self.layered[0])
+
     @property
     def id_join(self) -> DataFrame:
         """The identifier join's edges: an answer that SQL can reproduce whole."""
@@ -332,7 +380,7 @@ def read_manifest(t: Inputs) -> DataFrame:
 def _read_transcript(t: Inputs) -> DataFrame:
     """The derived call log as JSON lines; the last good record of each key."""
     folder = _folder(t)
-    _transcript(_questions(t)).write.json(folder)
+    t.transcript.write.json(folder)
     return decisions.latest_answers(files.read_transcript(t.spark, folder)).select("prompt_hash", "seq", "response_text")
 
 
@@ -500,14 +548,22 @@ ORACLE_SQL["l2_greedy_assign_invoice"] = RECURSIVE + GREEDY_INVOICE + f" SELECT
 # --- recorded decisions ----------------------------------------------------------------------
 
 
+def _questions(choices: DataFrame) -> DataFrame:
+    """Questions of both legs."""
+    legs = (("bank", decisions.SYSTEM, None), ("invoice", decisions.INVOICE_SYSTEM, decisions.OFFERED))
+    parts = [decisions.l3_render_questions(choices.where(F.col("leg") == leg), system, most).withColumn("leg", F.lit(leg)) for leg, system, most in legs]
+    return parts[0].unionByName(parts[1])
+
+
 def _transcript(questions: DataFrame) -> DataFrame:
     """A call log derived from the questions: most answered, some broken, failed or asked twice."""
     n = F.conv(F.substring("prompt_hash", 1, 6), 16, 10).cast("long")
-    pick = F.regexp_extract("question", r"credit (\S+)", 1)
+    pick = F.regexp_extract("question", r"\n(?:credit|invoice) (\S+)", 1)
     good = F.to_json(F.struct(pick.alias("chosen_id"), F.lit(0.9).alias("confidence"), F.lit("closest total").alias("reasoning")))
     body = F.when(n % 7 == 0, F.lit("not json")).when(n % 7 == 1, F.lit('{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}')).when(n % 7 == 2, F.lit('{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}')).otherwise(good)
-    first = questions.select("prompt_hash", F.lit(1).alias("seq"), body.alias("response_text"), F.when(n % 5 == 0, "timeout").alias("error"))
-    again = questions.where(n % 11 == 0).select("prompt_hash", F.lit(2).alias("seq"), good.alias("response_text"), F.lit(None).cast("string").alias("error"))
+    purpose = F.concat("leg", F.lit(":"), "subject_id").alias("purpose")
+    first = questions.select(purpose, "prompt_hash", F.lit(1).alias("seq"), body.alias("response_text"), F.when(n % 5 == 0, "timeout").alias("error"))
+    again = questions.where(n % 11 == 0).select(purpose, "prompt_hash", F.lit(2).alias("seq"), good.alias("response_text"), F.lit(None).cast("string").alias("error"))
     return first.unionByName(again)
 
 
@@ -533,86 +589,158 @@ def l3_invoice_candidates(t: Inputs) -> DataFrame:
     return decisions.l3_invoice_candidates(t.payments.where("order_id is null"), t.invoices.where("order_id is null")).select("payment_id", "invoice_id", "place")
 
 
-def _questions(t: Inputs) -> DataFrame:
-    return t.once("questions", lambda: written(decisions.l3_render_questions(decisions.l3_bank_candidates(t.batches, t.bank))))
-
-
 def _rupees(x: str) -> str:
     return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(abs({x}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0')"
 
 
+CONFIDENCE = "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + f" ELSE CAST(0.9 AS DOUBLE) * {stats.CEILING} END"
 _SHORT = "(total - credit)"
 _HUNDREDTHS = f"(CASE WHEN {_SHORT} < 0 THEN -1 ELSE 1 END * ((2 * abs({_SHORT}) * 10000 + total) // (2 * total)))"
-QUESTIONS = "--with " + BATCHES + "," + L3_BANK + f""",
-qs AS (SELECT settlement_id AS subject_id, count(*) AS offered, 'batch ' || settlement_id || ' total ' || {_rupees('total')} || chr(10) || string_agg('credit ' || txn_id || ' | ' || {_rupees('credit')} || ' | on ' || CAST(value_date AS VARCHAR) || ' | short by ' || {_rupees(_SHORT)} || ' (' || {_rupees(_HUNDREDTHS)} || '%)', chr(10) ORDER BY txn_id) AS question, min(txn_id) AS first FROM l3c GROUP BY settlement_id, total),
-q AS (SELECT *, substr(sha256('{decisions.SYSTEM}' || chr(0) || question), 1, 20) AS prompt_hash FROM qs),
+#: What two layers leave, the questions about it, and the derived answers.
+RESIDUE = RECURSIVE + GREEDY_BANK + "," + GREEDY_INVOICE + f""",
+two_bank AS MATERIALIZED (SELECT settlement_id, txn_id, 'l1_utr_column_join' AS rule, 'l1_exact' AS layer FROM l1b UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.BANK_RULES, 'g.rank')}, 'l2_fuzzy' FROM grb g JOIN edb e ON e.i = g.i WHERE g.got IS NOT NULL),
+two_inv AS MATERIALIZED (SELECT payment_id, counterpart_id AS invoice_id, 'l1_order_id_join' AS rule, 'l1_exact' AS layer FROM l1i UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')}, 'l2_fuzzy' FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL),
+ob AS MATERIALIZED (SELECT * FROM batches WHERE settlement_id NOT IN (SELECT settlement_id FROM two_bank)), fb AS MATERIALIZED (SELECT * FROM bank WHERE txn_id NOT IN (SELECT txn_id FROM two_bank)),
+op AS MATERIALIZED (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM two_inv)), fi AS MATERIALIZED (SELECT * FROM invoices WHERE invoice_id NOT IN (SELECT invoice_id FROM two_inv)),
+rivals AS (SELECT a.settlement_id, string_agg(b.settlement_id || ' ' || {_rupees('b.expected_credit_dedup')}, ', ' ORDER BY b.settlement_id) AS said FROM ob a JOIN ob b ON a.settlement_id <> b.settlement_id AND abs(datediff('day', a.settled_date, b.settled_date)) <= 4 GROUP BY 1),
+cb AS (SELECT settlement_id, txn_id, expected_credit_dedup AS total, credit, value_date FROM ob JOIN fb ON abs(datediff('day', settled_date, value_date)) <= 4 AND credit <= expected_credit_dedup + 10 AND 100 * (expected_credit_dedup - credit) / CAST(expected_credit_dedup AS DOUBLE) <= 5.0 WHERE expected_credit_dedup > 0),
+ch AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY leg, subject_id ORDER BY c) AS rn FROM (
+    SELECT 'bank' AS leg, settlement_id AS subject_id, 'batch ' || settlement_id || ' total ' || {_rupees('total')} AS head, coalesce(chr(10) || 'other open batches: ' || said, '') AS tail, txn_id AS c,
+        'credit ' || txn_id || ' | ' || {_rupees('credit')} || ' | on ' || CAST(value_date AS VARCHAR) || ' | short by ' || {_rupees(_SHORT)} || ' (' || {_rupees(_HUNDREDTHS)} || '%)' AS line FROM cb LEFT JOIN rivals USING (settlement_id)
+    UNION ALL SELECT 'invoice', payment_id, 'payment ' || payment_id || ' of ' || {_rupees('gross')} || ' captured ' || CAST(captured_on AS VARCHAR) || ' order ' || coalesce(p.order_id, 'none') || ' receipt ' || coalesce(order_receipt, 'none'), '', invoice_id,
+        'invoice ' || invoice_id || ' | ' || {_rupees('invoice_amount')} || ' | differs by ' || {_rupees('(invoice_amount - gross)')} || ' | issued ' || CAST(issue_date AS VARCHAR)
+        FROM op p JOIN fi i ON abs(datediff('day', captured_on, issue_date)) <= 21 AND abs(invoice_amount - gross) <= gross * CAST(0.15 AS DOUBLE)) x),
+sy AS (SELECT * FROM (VALUES ('bank', '{decisions.SYSTEM}', 1000000000), ('invoice', '{decisions.INVOICE_SYSTEM}', {decisions.OFFERED})) v(leg, system, most)),
+qs AS (SELECT leg, subject_id, v, count(*) AS offered, min(head) || chr(10) || string_agg(line, chr(10) ORDER BY c) || min(tail) AS question, min(c) AS first FROM ch JOIN sy USING (leg), (VALUES (0), (1)) w(v) WHERE rn > v AND rn <= most + v GROUP BY 1, 2, 3),
+q AS MATERIALIZED (SELECT qs.*, substr(sha256(system || chr(0) || question), 1, 20) AS prompt_hash FROM qs JOIN sy USING (leg)),
 tn AS (SELECT *, CAST('0x' || substr(prompt_hash, 1, 6) AS BIGINT) AS n, '{{"chosen_id":"' || first || '","confidence":0.9,"reasoning":"closest total"}}' AS good FROM q),
-ta AS (SELECT *, CASE WHEN n % 11 = 0 OR n % 7 > 2 THEN 'good' WHEN n % 7 = 0 THEN 'broken' WHEN n % 7 = 1 THEN 'unknown' ELSE 'none' END AS kind, n % 11 <> 0 AND n % 5 = 0 AS missed FROM tn)
+ta AS MATERIALIZED (SELECT *, CASE WHEN n % 11 = 0 OR n % 7 > 2 THEN 'good' WHEN n % 7 = 0 THEN 'broken' WHEN n % 7 = 1 THEN 'unknown' ELSE 'none' END AS kind, n % 11 <> 0 AND n % 5 = 0 AS missed FROM tn)
 """
+RESPONSE = """CASE WHEN missed THEN NULL WHEN kind = 'good' THEN good WHEN kind = 'broken' THEN 'not json' WHEN kind = 'unknown' THEN '{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}' ELSE '{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}' END"""
 
 
-@query(QUESTIONS + "SELECT subject_id, offered, question, prompt_hash FROM q")
-def l3_render_questions(t: Inputs) -> DataFrame:
-    return _questions(t).select("subject_id", "offered", "question", "prompt_hash")
+def in_turn_sql(leg: str) -> str:
+    """The answers applied one subject after another, as a recursion that carries what is taken."""
+    ed, out = f"l3e_{leg}", f"l3r_{leg}"
+    return f"""{ed} AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY subject_id) AS i, subject_id, head, tail, c, line FROM ch WHERE leg = '{leg}' AND subject_id IN (SELECT subject_id FROM ta WHERE leg = '{leg}' AND NOT missed)),
+{out} AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS claimed, CAST(NULL AS VARCHAR) AS h, CAST(0 AS BIGINT) AS offered, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS first
+  UNION ALL SELECT g.i + 1, CASE WHEN w.kind = 'good' THEN list_append(g.claimed, w.first) ELSE g.claimed END, w.h, w.offered, w.kind, w.first
+  FROM {out} g LEFT JOIN LATERAL (SELECT y.h, y.offered, a.kind, a.first FROM (
+      SELECT substr(sha256((SELECT system FROM sy WHERE leg = '{leg}') || chr(0) || min(head) || chr(10) || string_agg(line, chr(10) ORDER BY c) || min(tail)), 1, 20) AS h, count(*) AS offered
+      FROM (SELECT head, tail, c, line FROM (SELECT x.*, row_number() OVER (ORDER BY c) AS rn FROM {ed} x WHERE x.i = g.i + 1 AND NOT list_contains(g.claimed, x.c)) z WHERE rn <= (SELECT most FROM sy WHERE leg = '{leg}')) o) y
+      LEFT JOIN (SELECT prompt_hash, kind, first FROM ta WHERE leg = '{leg}' AND NOT missed) a ON a.prompt_hash = y.h WHERE y.offered > 0) w ON TRUE
+  WHERE g.i < (SELECT max(i) FROM {ed})),
+l3_{leg} AS MATERIALIZED (SELECT DISTINCT e.subject_id, r.h, r.offered, r.first, r.kind, CASE WHEN r.kind IS NULL THEN 'missed' WHEN r.kind = 'broken' THEN 'invalid' WHEN r.kind = 'good' THEN 'accepted' WHEN r.kind = 'none' THEN 'declined' ELSE 'not_offered' END AS outcome FROM {out} r JOIN {ed} e ON e.i = r.i WHERE r.h IS NOT NULL)"""
 
 
-@query(QUESTIONS + """SELECT subject_id, prompt_hash, missed, CASE WHEN missed THEN NULL WHEN kind = 'good' THEN good WHEN kind = 'broken' THEN 'not json' WHEN kind = 'unknown' THEN '{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}' ELSE '{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}' END AS response_text FROM ta""")
-def l3_replay_join(t: Inputs) -> DataFrame:
-    q = _questions(t)
-    return decisions.l3_replay_join(q, _transcript(q)).select("subject_id", "prompt_hash", "response_text", "missed")
+IN_TURN = RESIDUE + "," + in_turn_sql("bank") + "," + in_turn_sql("invoice")
 
 
-@query(QUESTIONS + "SELECT subject_id, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence, CASE kind WHEN 'good' THEN 'closest total' WHEN 'unknown' THEN 'guess' WHEN 'none' THEN 'none fits' END AS reasoning, kind <> 'broken' AS valid FROM ta WHERE NOT missed")
-def l3_validate_decision(t: Inputs) -> DataFrame:
-    q = _questions(t)
-    return decisions.l3_validate_decision(decisions.l3_replay_join(q, _transcript(q)).where("not missed").select("subject_id", "response_text")).drop("response_text")
+@query(name="l3_render_questions")
+def _render(t: Inputs) -> DataFrame:
+    """Questions about what two layers leave open, on both legs."""
+    return t.questions.select("leg", "subject_id", "offered", "question", "prompt_hash")
 
 
-@query(QUESTIONS + "SELECT subject_id, chosen_id, outcome, CASE WHEN outcome = 'accepted' THEN CAST(0.9 AS DOUBLE) * CAST(0.85 AS DOUBLE) END AS confidence FROM (SELECT subject_id, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE WHEN kind = 'none' THEN 'declined' WHEN kind = 'good' AND row_number() OVER (PARTITION BY kind, first ORDER BY subject_id) = 1 THEN 'accepted' ELSE 'not_offered' END AS outcome FROM ta WHERE NOT missed AND kind <> 'broken') x")
-def l3_accept(t: Inputs) -> DataFrame:
-    q = _questions(t)
-    valid = decisions.l3_validate_decision(decisions.l3_replay_join(q, _transcript(q)).where("not missed").select("subject_id", "response_text"))
-    offered = decisions.l3_bank_candidates(t.batches, t.bank).select(F.col("settlement_id").alias("subject_id"), F.col("txn_id").alias("counterpart_id"))
-    return decisions.l3_accept(valid, offered)
+ORACLE_SQL["l3_render_questions"] = RESIDUE + "SELECT leg, subject_id, offered, question, prompt_hash FROM q WHERE v = 0"
 
 
-ORACLE_SQL["read_transcript"] = oracle_prefix() + ", " + QUESTIONS.removeprefix("--with") + """SELECT prompt_hash, CAST(CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS seq, CASE kind WHEN 'good' THEN good WHEN 'broken' THEN 'not json' WHEN 'unknown' THEN '{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}' ELSE '{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}' END AS response_text FROM ta WHERE NOT missed"""
+@query(name="l3_replay_join")
+def _replay(t: Inputs) -> DataFrame:
+    return decisions.l3_replay_join(t.questions, t.transcript).select("subject_id", "prompt_hash", "response_text", "missed")
 
 
-@query(QUESTIONS + "SELECT subject_id, prompt_hash FROM ta WHERE missed")
-def l3_resume_plan(t: Inputs) -> DataFrame:
-    q = _questions(t)
-    return decisions.l3_resume_plan(q, _transcript(q)).select("subject_id", "prompt_hash")
+ORACLE_SQL["l3_replay_join"] = RESIDUE + f"SELECT subject_id, prompt_hash, missed, {RESPONSE} AS response_text FROM ta WHERE v = 0"
 
 
-# --- assembly --------------------------------------------------------------------------------
+@query(name="l3_validate_decision")
+def _validate(t: Inputs) -> DataFrame:
+    answers = decisions.l3_replay_join(t.questions, t.transcript).where("not missed").select("subject_id", "response_text")
+    return decisions.l3_validate_decision(answers).drop("response_text", "inferred_deduction_paise")
+
+
+ORACLE_SQL["l3_validate_decision"] = RESIDUE + "SELECT subject_id, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence, CASE kind WHEN 'good' THEN 'closest total' WHEN 'unknown' THEN 'guess' WHEN 'none' THEN 'none fits' END AS reasoning, kind <> 'broken' AS valid FROM ta WHERE v = 0 AND NOT missed"
+
+
+@query(name="l3_accept")
+def _accept(t: Inputs) -> DataFrame:
+    """Every recorded decision taken in turn: what was asked then, and what came of it."""
+    legs = (("bank", decisions.SYSTEM, None), ("invoice", decisions.INVOICE_SYSTEM, decisions.OFFERED))
+    parts = [decisions.decide_in_turn(t.choices.where(F.col("leg") == leg), t.transcript.where(F.col("purpose").startswith(leg)), system=system, most=most).withColumn("leg", F.lit(leg)) for leg, system, most in legs]
+    return parts[0].unionByName(parts[1]).select("leg", "subject_id", "prompt_hash", "offered", "outcome", "chosen_id", "raw_confidence")
+
+
+ORACLE_SQL["l3_accept"] = IN_TURN + " UNION ALL ".join(f" SELECT '{leg}' AS leg, subject_id, h AS prompt_hash, CAST(offered AS INT) AS offered, outcome, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence FROM l3_{leg}" for leg in ("bank", "invoice"))
+ORACLE_SQL["read_transcript"] = RESIDUE + f"SELECT prompt_hash, CAST(CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS seq, {RESPONSE} AS response_text FROM ta WHERE NOT missed"
+
+
+@query(name="l3_resume_plan")
+def _resume(t: Inputs) -> DataFrame:
+    return decisions.l3_resume_plan(t.questions, t.transcript).select("subject_id", "prompt_hash")
+
 
+ORACLE_SQL["l3_resume_plan"] = RESIDUE + "SELECT subject_id, prompt_hash FROM ta WHERE v = 0 AND missed"
 
-LAYERED = RECURSIVE + GREEDY_BANK + "," + GREEDY_INVOICE + "," + TRUTH + f""",
-res_bank AS (SELECT settlement_id, txn_id, 'l1_utr_column_join' AS rule, 'l1_exact' AS layer FROM l1b UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.BANK_RULES, 'g.rank')}, 'l2_fuzzy' FROM grb g JOIN edb e ON e.i = g.i WHERE g.got IS NOT NULL),
-res_inv AS (SELECT payment_id, counterpart_id AS invoice_id, 'l1_order_id_join' AS rule, 'l1_exact' AS layer FROM l1i UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')}, 'l2_fuzzy' FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL),
+
+# --- assembly --------------------------------------------------------------------------------
+
+_TOKENS = "list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}\\d{6,12}\\b'))"
+_CREDIT = f"'credit ' || txn_id || ' of ' || {_rupees('credit')} || ' on ' || CAST(value_date AS VARCHAR)"
+_HOLDS = "'the batch holds ' || n_payments || ' payment(s)'"
+_ANSWER = "'recorded answer ' || h || ' to a question with ' || offered || ' candidate(s)'"
+_INVOICE = f"'invoice ' || invoice_id || ' of ' || {_rupees('invoice_amount')} || ' issued ' || CAST(issue_date AS VARCHAR)"
+_TOOK = f"[{_ANSWER}, 'its reason: closest total', 'its confidence 0.90 counts as 0.77']"
+
+
+def _total(column: str, how: str) -> str:
+    return f"'batch total {how} is ' || {_rupees(column)}, {_CREDIT} || ', off by ' || (credit - {column}) || ' paise'"
+
+
+LAYERED = IN_TURN + "," + TRUTH + f""",
+res_bank AS (SELECT settlement_id, txn_id, rule, layer, CASE rule
+    WHEN 'l1_utr_column_join' THEN ['UTR ' || b.utr || ' stands in the statement''s column once', {_CREDIT}, {_HOLDS}]
+    WHEN 'l2_narration_utr_exact' THEN ['UTR ' || b.utr || ' stands whole in the narration', 'narration: ' || narration, {_HOLDS}]
+    WHEN 'l2_narration_utr_truncated' THEN ['the narration shows ' || list_filter({_TOKENS}, lambda t: length(t) >= 10 AND length(t) < length(b.utr) AND starts_with(b.utr, t))[1] || ', how ' || b.utr || ' begins', 'narration: ' || narration, {_HOLDS}]
+    WHEN 'l2_utr_fuzzy' THEN ['the statement shows ' || list_filter(list_concat({_TOKENS}, CASE WHEN k.utr IS NULL THEN [] ELSE [k.utr] END), lambda t: length(t) = length(b.utr) AND damerau_levenshtein(t, b.utr) = 1)[1] || ', one edit from ' || b.utr, {_CREDIT}, {_HOLDS}]
+    WHEN 'l2_batch_amount_reconstruction' THEN [{_total('expected_credit', 'as reported')}, {_HOLDS}]
+    WHEN 'l2_batch_amount_reconstruction_deduped' THEN list_concat([{_total('expected_credit_dedup', 'without repeated refunds')}], CASE WHEN has_duplicate_refund_rows THEN ['a refund of one payment and amount is reported twice'] ELSE [] END, [{_HOLDS}]) END AS evidence
+    FROM two_bank JOIN batches b USING (settlement_id) JOIN bank k USING (txn_id) UNION ALL SELECT subject_id, first, '{stats.L3_BANK}', 'l3_llm', {_TOOK} FROM l3_bank WHERE outcome = 'accepted'),
+res_inv AS (SELECT payment_id, invoice_id, rule, layer, CASE rule
+    WHEN 'l1_order_id_join' THEN ['order ' || p.order_id || ' stands on one invoice', {_INVOICE}]
+    WHEN 'l2_receipt_invoice_hint' THEN ['receipt ' || order_receipt || ' names the invoice', {_INVOICE}]
+    WHEN 'l2_order_id_normalised' THEN ['orders ' || p.order_id || ' and ' || i.order_id || ' differ in case and signs only', {_INVOICE}]
+    WHEN 'l2_order_id_fuzzy' THEN ['orders ' || p.order_id || ' and ' || i.order_id || ' are one edit apart', {_INVOICE}]
+    ELSE [{_INVOICE}, 'capture followed on ' || captured_on || ', ' || datediff('day', issue_date, captured_on) || ' day(s) later'] END AS evidence
+    FROM two_inv JOIN payments p USING (payment_id) JOIN invoices i USING (invoice_id) UNION ALL SELECT subject_id, first, '{stats.L3_INVOICE}', 'l3_llm', {_TOOK} FROM l3_invoice WHERE outcome = 'accepted'),
+refused AS (SELECT leg, subject_id, list_concat([{_ANSWER}, 'its reason: ' || CASE kind WHEN 'none' THEN 'none fits' ELSE 'guess' END], CASE kind WHEN 'none' THEN [] ELSE ['it names bank_unknown, which was not on offer'] END, ['its confidence ' || CASE kind WHEN 'none' THEN '0.20' ELSE '0.50' END]) AS said FROM (SELECT 'bank' AS leg, * FROM l3_bank UNION ALL SELECT 'invoice', * FROM l3_invoice) x WHERE outcome IN ('declined', 'not_offered')),
 riders AS (SELECT payment_id, unnest(sids) AS settlement_id, unnest(range(1, len(sids) + 1)) AS pos FROM payments),
-parts AS (SELECT r.payment_id, r.settlement_id, r.pos, b.txn_id, b.rule, b.layer, """ + "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + " END".replace("CASE rule", "CASE b.rule") + """ AS confidence FROM riders r LEFT JOIN res_bank b USING (settlement_id)),
-tied AS (SELECT payment_id, list(txn_id ORDER BY txn_id) FILTER (txn_id IS NOT NULL) AS cs, arg_min(layer, (confidence, pos)) FILTER (txn_id IS NOT NULL) AS layer, min(confidence) AS confidence, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rule, count(txn_id) AS hit, count(*) AS legs FROM parts GROUP BY 1),
-matches AS (SELECT 'payment_to_bank' AS link_type, payment_id, cs, layer, rule, confidence, hit + CASE WHEN hit < legs THEN 1 ELSE 0 END AS lines FROM tied WHERE hit > 0
-    UNION ALL SELECT 'payment_to_invoice', payment_id, [invoice_id], layer, rule, """ + "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + " END" + """, 1 FROM res_inv),
+parts AS (SELECT r.payment_id, r.settlement_id, r.pos, b.txn_id, b.rule, b.layer, b.evidence, {CONFIDENCE.replace('CASE rule', 'CASE b.rule')} AS confidence FROM riders r LEFT JOIN res_bank b USING (settlement_id)),
+tied AS (SELECT payment_id, list(txn_id ORDER BY txn_id) FILTER (txn_id IS NOT NULL) AS cs, arg_min(layer, (confidence, pos)) FILTER (txn_id IS NOT NULL) AS layer, min(confidence) FILTER (txn_id IS NOT NULL) AS confidence, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rule, count(txn_id) AS hit, count(*) AS legs, flatten(list(evidence ORDER BY pos) FILTER (txn_id IS NOT NULL)) AS ev FROM parts GROUP BY 1),
+matches AS (SELECT 'payment_to_bank' AS link_type, payment_id, cs, layer, rule, confidence, list_concat(ev, CASE WHEN hit < legs THEN ['tied: ' || hit || ' of ' || legs || ' payouts of this payment; the others are exceptions'] ELSE [] END) AS evidence FROM tied WHERE hit > 0
+    UNION ALL SELECT 'payment_to_invoice', payment_id, [invoice_id], layer, rule, {CONFIDENCE}, evidence FROM res_inv),
 lay_edges AS (SELECT DISTINCT link_type, payment_id, unnest(cs) AS counterpart_id FROM matches),
-opened AS (SELECT 'payment' AS subject_type, payment_id AS subject_id, 'payment_to_bank' AS link_type, 'no_candidate' AS reason, 'settlement ' || settlement_id || ' could not be tied to a bank credit' AS detail FROM parts WHERE txn_id IS NULL
-    UNION ALL SELECT 'payment', payment_id, 'payment_to_invoice', 'no_candidate', 'no invoice could be tied to this payment' FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM res_inv)
-    UNION ALL SELECT 'bank_txn', txn_id, 'payment_to_bank', 'unmatched_counterpart', 'bank credit claimed by no settlement batch' FROM bank WHERE txn_id NOT IN (SELECT counterpart_id FROM lay_edges)
-    UNION ALL SELECT 'invoice', invoice_id, 'payment_to_invoice', 'unmatched_counterpart', 'invoice claimed by no payment' FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM lay_edges))
+opened AS (SELECT 'payment' AS subject_type, payment_id AS subject_id, link_type, CASE WHEN said IS NULL THEN 'no_candidate' ELSE 'llm_declined' END AS reason, CASE WHEN said IS NULL THEN missing ELSE 'a recorded answer refused to link it' END AS detail, 'l3_llm' AS layer_reached, list_concat([missing], coalesce(said, [])) AS evidence FROM (
+        SELECT payment_id, 'payment_to_bank' AS link_type, said, 'no bank credit is tied to payout ' || settlement_id AS missing FROM parts p LEFT JOIN refused d ON d.leg = 'bank' AND d.subject_id = p.settlement_id WHERE txn_id IS NULL
+        UNION ALL SELECT payment_id, 'payment_to_invoice', said, 'no invoice is tied to the payment' FROM payments p LEFT JOIN refused d ON d.leg = 'invoice' AND d.subject_id = p.payment_id WHERE payment_id NOT IN (SELECT payment_id FROM res_inv)) x
+    UNION ALL SELECT 'bank_txn', txn_id, 'payment_to_bank', 'unmatched_counterpart', 'no payout uses this credit', 'l3_llm', ['credit of ' || {_rupees('credit')} || ' on ' || value_date, 'narration: ' || narration] FROM bank WHERE txn_id NOT IN (SELECT counterpart_id FROM lay_edges)
+    UNION ALL SELECT 'invoice', invoice_id, 'payment_to_invoice', 'unmatched_counterpart', 'no payment uses this invoice', 'l3_llm', ['invoice of ' || {_rupees('invoice_amount')} || ' issued ' || issue_date, 'customer ' || customer_id] FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM lay_edges))
 """
-ORACLE_SQL["run_layered"] = LAYERED + "SELECT 'm_' || substr(sha1(link_type || '|' || payment_id || '|' || array_to_string(cs, ',') || '|' || rule), 1, 12) AS match_id, link_type, payment_id, array_to_string(cs, ',') AS counterparts, layer, rule, CAST(confidence AS DOUBLE) AS confidence, CAST(lines AS INT) AS lines FROM matches"
+_MATCH_ID = "'m_' || substr(sha1(link_type || '|' || payment_id || '|' || array_to_string(cs, ',') || '|' || rule), 1, 12)"
+ORACLE_SQL["run_layered"] = LAYERED + f"SELECT {_MATCH_ID} AS match_id, link_type, payment_id, array_to_string(cs, ',') AS counterparts, layer, rule, round(CAST(confidence AS DOUBLE), 6) AS confidence, CAST(len(evidence) AS INT) AS lines, CASE link_type WHEN 'payment_to_bank' THEN 'bank,gateway,settlement' ELSE 'erp,gateway' END AS record_kinds FROM matches"
 ORACLE_SQL["run_layered_summary"] = LAYERED + "SELECT link_type, layer, rule, count(*) AS payments, CAST(sum(len(cs)) AS BIGINT) AS edges FROM matches GROUP BY ALL"
-ORACLE_SQL["build_exceptions"] = LAYERED + "SELECT 'x_' || substr(sha1(subject_type || '|' || subject_id || '|' || link_type || '|' || reason), 1, 12) AS exception_id, * FROM opened"
+ORACLE_SQL["build_exceptions"] = LAYERED + "SELECT 'x_' || substr(sha1(subject_type || '|' || subject_id || '|' || link_type || '|' || reason), 1, 12) AS exception_id, * EXCLUDE (evidence), CAST(0 AS INT) AS candidates_considered, array_to_string(evidence, ' | ') AS evidence FROM opened"
 ORACLE_SQL["layer3_payment_count"] = LAYERED + "SELECT count(DISTINCT payment_id) AS payments FROM matches WHERE layer = 'l3_llm'"
 ORACLE_SQL["write_results"] = LAYERED + "SELECT link_type AS part, count(*) AS count FROM matches GROUP BY 1 UNION ALL SELECT reason, count(*) FROM opened GROUP BY 1"
+ORACLE_SQL["rule_counts"] = LAYERED + "SELECT rule, count(*) AS n FROM (SELECT rule FROM parts WHERE txn_id IS NOT NULL UNION ALL SELECT rule FROM res_inv) x GROUP BY 1"
+ORACLE_SQL["evidence_lines"] = LAYERED + "SELECT link_type, payment_id, unnest(range(len(evidence))) AS place, unnest(evidence) AS line FROM matches"
+ORACLE_SQL["propagate_bank_matches"] = LAYERED + f"SELECT {_MATCH_ID} AS match_id, payment_id, array_to_string(cs, ',') AS counterparts, len(cs) AS tied, layer, rule FROM matches WHERE link_type = 'payment_to_bank'"
+ORACLE_SQL["invoice_matches"] = LAYERED + f"SELECT {_MATCH_ID} AS match_id, payment_id, rule FROM matches WHERE link_type = 'payment_to_invoice'"
 
 
 @query()
 def run_layered(t: Inputs) -> DataFrame:
     matches, _ = t.layered
-    return matches.select("match_id", "link_type", "payment_id", joined("counterpart_ids").alias("counterparts"), "layer", "rule", "confidence", F.size("evidence").alias("lines"))
+    return matches.select("match_id", "link_type", "payment_id", joined("counterpart_ids").alias("counterparts"), "layer", "rule", F.round("confidence", 6).alias("confidence"), F.size("evidence").alias("lines"), F.array_join(F.sort_array(F.map_keys("source_records")), ",").alias("record_kinds"))
 
 
 @query()
@@ -624,38 +752,41 @@ def run_layered_summary(t: Inputs) -> DataFrame:
 
 @query()
 def build_exceptions(t: Inputs) -> DataFrame:
-    return t.layered[1].select("exception_id", "subject_type", "subject_id", "link_type", "reason", "detail")
+    return t.layered[1].select("exception_id", "subject_type", "subject_id", "link_type", "reason", "detail", "layer_reached", "candidates_considered", F.array_join("evidence", " | ").alias("evidence"))
 
 
-_PROP = ID_JOIN + ", " + BATCHES + ", res AS (SELECT b.settlement_id, o.txn_id FROM batches b JOIN one_utr o USING (utr)), pl AS (SELECT payment_id, unnest(sids) AS settlement_id FROM payments)"
-
-
-@query("--with " + _PROP + " SELECT payment_id, string_agg(txn_id, ',' ORDER BY txn_id) AS counterparts, count(*) AS tied FROM pl JOIN res USING (settlement_id) GROUP BY 1")
+@query()
 def propagate_bank_matches(t: Inputs) -> DataFrame:
-    """Riders of the batches that the UTR join resolves."""
-    found = assemble.propagate_bank_matches(t.payments, exact.l1_utr_column_join(t.batches, t.bank))
-    return found.select("payment_id", joined("counterpart_ids").alias("counterparts"), F.size("counterpart_ids").cast("long").alias("tied"))
+    """Riders of the batches that any layer resolves."""
+    found = assemble.propagate_bank_matches(t.payments, t.by_batch[0])
+    return found.select("match_id", "payment_id", joined("counterpart_ids").alias("counterparts"), F.size("counterpart_ids").cast("long").alias("tied"), "layer", "rule")
 
 
-@query("--with " + ID_JOIN + " SELECT 'm_' || substr(sha1('payment_to_invoice|' || payment_id || '|' || counterpart_id || '|l1_order_id_join'), 1, 12) AS match_id, payment_id FROM id_edges WHERE link_type = 'payment_to_invoice'")
+@query()
 def invoice_matches(t: Inputs) -> DataFrame:
-    return assemble.invoice_matches(exact.l1_order_id_join(t.payments, t.invoices)).select("match_id", "payment_id")
+    return assemble.invoice_matches(t.by_payment[0]).select("match_id", "payment_id", "rule")
 
 
 @query(LAYERED + "SELECT settlement_id AS subject_id, txn_id AS counterpart_id, layer, rule FROM res_bank")
 def resolve_bank_leg(t: Inputs) -> DataFrame:
-    return assemble.resolve_bank_leg(t.batches, t.bank).select("subject_id", "counterpart_id", "layer", "rule")
+    return t.by_batch[0].select("subject_id", "counterpart_id", "layer", "rule")
 
 
 @query(LAYERED + "SELECT payment_id AS subject_id, invoice_id AS counterpart_id, layer, rule FROM res_inv")
 def resolve_invoice_leg(t: Inputs) -> DataFrame:
-    return assemble.resolve_invoice_leg(t.payments, t.invoices).select("subject_id", "counterpart_id", "layer", "rule")
+    return t.by_payment[0].select("subject_id", "counterpart_id", "layer", "rule")
 
 
-@query("--with " + ID_JOIN + " SELECT payment_id, counterpart_id || ': the ledger''s order id equals the payment''s on one invoice only' AS line FROM id_edges WHERE link_type = 'payment_to_invoice'")
+@query()
 def evidence_lines(t: Inputs) -> DataFrame:
-    """Evidence of the order id join, a line per match."""
-    return assemble.invoice_matches(exact.l1_order_id_join(t.payments, t.invoices)).select("payment_id", F.explode("evidence").alias("line"))
+    """Every line of every match."""
+    return t.layered[0].select("link_type", "payment_id", F.posexplode("evidence").alias("place", "line")).withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def rule_counts(t: Inputs) -> DataFrame:
+    """Parts of payments that each rule ties."""
+    return assemble.rule_counts(t.payments, t.by_batch[0], t.by_payment[0])
 
 
 # --- scoring: the identifier join against the truth ------------------------------------------
