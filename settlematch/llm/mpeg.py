@@ -1,9 +1,10 @@
 """MPEG audio as a binary column: writing payload frames, and probing any stream.
 
-``probe`` reads a stream the way a player must: it skips tags, resynchronises on frame headers,
-confirms each by its successor, verifies the 16-bit checksum of protected frames, reads the
-variable-bitrate table, and gives exact durations (samples over rate) and the byte offset of
-every frame. ``wrap`` stores bytes losslessly as the main data of Layer III frames.
+``probe`` reads a stream the way a player must: it skips tags (ID3v1, ID3v2.2 to 2.4, APE),
+resynchronises on frame headers, confirms each by its successor, verifies the 16-bit checksum of
+protected frames of all three layers, reads the variable-bitrate table (Xing, Info or VBRI) and
+the encoder's delay and padding, and gives exact durations (samples over rate) and the byte offset
+of every frame. ``wrap`` stores bytes losslessly as the main data of Layer III frames.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from settlematch.llm.common import blocks, record_batch
+from settlematch.llm.common import byte_blocks, record_batch
 
 # Fixed values of the format: bitrates in kbit/s by index, and sampling rates in Hz.
 BITRATES = {
@@ -63,6 +64,51 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(bits: int, n: int, crc: int = 0xFFFF) -> int:
+    """The same over the ``n`` bits of a number."""
+    for i in range(n - 1, -1, -1):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ bits >> i) & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
+# Fixed values of the format: width in bits of each subband's allocation in Layer II, by table.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def guarded_bits(data: bytes, at: int) -> tuple[int, int]:
+    """The bits that a protected frame's checksum covers, and how many: half the header, then side information or bit allocation."""
+    b1, b2, b3 = data[at + 1 : at + 4]
+    version, layer, mode = b1 >> 3 & 3, 4 - (b1 >> 1 & 3), b3 >> 6
+    channels, head = (1 if mode == 3 else 2), b2 << 8 | b3
+    if layer == 3:
+        n = side_bytes(b1, b3)
+        return head << 8 * n | int.from_bytes(data[at + 6 : at + 6 + n].ljust(n, b"\0"), "big"), 16 + 8 * n
+    bound = 4 * (b3 >> 4 & 3) + 4 if mode == 1 else 32  # from there on both channels share what is said
+    if layer == 1:
+        widths = (4,) * 32
+    elif version != 3:
+        widths = ALLOCATION["low"]
+    else:
+        each, rate = BITRATES[1, 2][b2 >> 4] // channels, RATES[3][b2 >> 2 & 3]
+        widths = ALLOCATION[("d" if rate == 32000 else "c") if each <= 48 else "a" if rate == 48000 or each <= 80 else "b"]
+    size = 8 * 64
+    body, used, chosen = int.from_bytes(data[at + 6 : at + 6 + size // 8].ljust(size // 8, b"\0"), "big"), 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            used += width
+            if body >> (size - used) & ((1 << width) - 1):
+                chosen += channels if band >= bound else 1
+    if layer == 2:
+        used += 2 * chosen
+    return head << used | body >> (size - used), 16 + used
+
+
 def side_bytes(b1: int, b3: int) -> int:
     """Length of Layer III side information by version and channel mode."""
     mono = b3 >> 6 == 3
@@ -118,28 +164,107 @@ class Probe:
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
     toc: bytes = b""
+    delay: int = 0
+    padding: int = 0
+
+    @property
+    def heard(self) -> int:
+        """Samples without the encoder's delay and padding."""
+        return max(self.samples - self.delay - self.padding, 0)
+
+
+def _syncsafe(raw: bytes) -> int:
+    n = 0
+    for b in raw:
+        n = n << 7 | b & 127
+    return n
+
+
+def _tag_text(raw: bytes) -> str:
+    """Text of an ID3v2 frame by its encoding byte."""
+    if not raw:
+        return ""
+    name = {1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1")
+    return raw[1:].decode(name, "replace").strip("\0")
+
+
+def _id3v2(body: bytes, major: int, flags: int) -> dict:
+    """Text frames of an ID3v2 tag: three-letter names before version 3, sizes of seven bits a byte from 4 on."""
+    tags, at = {}, 0
+    if flags & 128 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 64 and major > 2 and len(body) >= 4:  # extended header
+        at = _syncsafe(body[:4]) if major > 3 else 4 + int.from_bytes(body[:4], "big")
+    letters, head = (3, 6) if major < 3 else (4, 10)
+    while at + head <= len(body) and body[at : at + letters].isalnum():
+        raw = body[at + letters : at + 2 * letters]
+        n = _syncsafe(raw) if major > 3 else int.from_bytes(raw, "big")
+        value = body[at + head : at + head + n]
+        if major > 3 and body[at + 9] & 2:
+            value = value.replace(b"\xff\0", b"\xff")
+        if major > 3 and body[at + 9] & 1:  # a length stands before the text
+            value = value[4:]
+        if body[at] == ord("T"):
+            tags[body[at : at + letters].decode("latin-1")] = _tag_text(value)
+        at += head + n
+    return tags
+
+
+def _ape(body: bytes) -> dict:
+    """Text items of an APE tag's body."""
+    tags, at = {}, 0
+    while at + 9 <= len(body):
+        n, flags = int.from_bytes(body[at : at + 4], "little"), int.from_bytes(body[at + 4 : at + 8], "little")
+        stop = body.find(b"\0", at + 8)
+        if stop < 0:
+            break
+        if not flags & 6:
+            tags[body[at + 8 : stop].decode("latin-1")] = body[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
+        at = stop + 1 + n
+    return tags
 
 
 def _tags(data: bytes) -> tuple[int, int, dict]:
     """First and last byte position of the audio, and the tags around it."""
     start, end, tags = 0, len(data), {}
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10 and max(data[start + 6 : start + 10]) < 128:
-        n = 0
-        for b in data[start + 6 : start + 10]:
-            n = n << 7 | b
-        at, stop = start + 10, min(start + 10 + n, len(data))
-        while at + 10 <= stop and data[at : at + 4].isalnum():
-            size = int.from_bytes(data[at + 4 : at + 8], "big")
-            if data[at] == ord("T"):
-                tags[data[at : at + 4].decode("latin-1")] = data[at + 11 : min(at + 10 + size, stop)].decode("latin-1").strip("\0")
-            at += 10 + size
-        start += 10 + n + (10 if data[start + 5] & 16 else 0)
+        n, flags = _syncsafe(data[start + 6 : start + 10]), data[start + 5]
+        tags |= _id3v2(data[start + 10 : start + 10 + n], data[start + 3], flags)
+        start += 10 + n + (10 if flags & 16 else 0)
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         tags |= {k: v for k, at, n in (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30)) if (v := data[end - 128 + at : end - 128 + at + n].decode("latin-1").rstrip("\0 "))}
         end -= 128
+    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        n, flags = int.from_bytes(data[end - 20 : end - 16], "little"), int.from_bytes(data[end - 12 : end - 8], "little")
+        tags |= _ape(data[max(end - n, start) : end - 32])
+        end = max(end - n - (32 if flags >> 31 else 0), start)
     return min(start, end), end, tags
 
 
+def _table(out: Probe, data: bytes, first: int) -> bool:
+    """Read the variable-bitrate table of a Layer III stream's first frame; False where it has none."""
+    at = first + 4 + (0 if data[first + 1] & 1 else 2) + side_bytes(data[first + 1], data[first + 3])
+    if data[at : at + 4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8
+        if flags & 1:
+            out.vbr_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 2:
+            out.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 4:
+            out.toc, p = data[p : p + 100], p + 100
+        p += 4 if flags & 8 else 0
+        if data[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):
+            gaps = int.from_bytes(data[p + 21 : p + 24], "big")
+            out.delay, out.padding = gaps >> 12, gaps & 0xFFF
+        return True
+    at = first + 36
+    if data[at : at + 4] == b"VBRI":
+        out.delay = int.from_bytes(data[at + 6 : at + 8], "big")
+        out.vbr_bytes, out.vbr_frames = int.from_bytes(data[at + 10 : at + 14], "big"), int.from_bytes(data[at + 14 : at + 18], "big")
+        return True
+    return False
+
+
 def probe(data: bytes) -> Probe:
     """Parse any byte string; garbage, truncated frames and empty input give what frames there are.
 
@@ -183,27 +308,18 @@ def probe(data: bytes) -> Probe:
     offs, key = np.array(offsets, np.int64), np.array(found)
     size = SIZE[key].astype(np.int64)
     out.skipped = int(end - start - size.sum())
-    first = offsets[0]
-    b1, b3 = data[first + 1], data[first + 3]
-    if 4 - (b1 >> 1 & 3) == 3:
-        at = first + 4 + (0 if b1 & 1 else 2) + side_bytes(b1, b3)
-        if data[at : at + 4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8
-            if flags & 1:
-                out.vbr_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 2:
-                out.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 4:
-                out.toc = data[p : p + 100]
-            offs, key, size = offs[1:], key[1:], size[1:]  # the table's frame is not sound
-        guarded = [o for o, k in zip(offs.tolist(), key.tolist(), strict=True) if not k >> 8 & 1]
-        out.protected = len(guarded)
-        sums: dict[bytes, int] = {}
-        for o in guarded:
-            covered = data[o + 2 : o + 4] + data[o + 6 : o + 6 + side_bytes(data[o + 1], data[o + 3])]
-            if covered not in sums:
-                sums[covered] = crc16(covered)
-            out.bad_checksums += sums[covered] != int.from_bytes(data[o + 4 : o + 6], "big")
+    layer = 4 - (data[offsets[0] + 1] >> 1 & 3)
+    if layer == 3 and _table(out, data, offsets[0]):
+        offs, key, size = offs[1:], key[1:], size[1:]  # the table's frame is not sound
+    guarded = [o for o, k in zip(offs.tolist(), key.tolist(), strict=True) if not k >> 8 & 1]
+    out.protected = len(guarded)
+    sums: dict[bytes, int] = {}
+    for o in guarded:
+        n = side_bytes(data[o + 1], data[o + 3]) if layer == 3 else 64
+        covered = data[o + 1 : o + 4] + data[o + 6 : o + 6 + n]
+        if covered not in sums:
+            sums[covered] = crc16_bits(*guarded_bits(data, o))
+        out.bad_checksums += sums[covered] != int.from_bytes(data[o + 4 : o + 6], "big")
     out.offsets, out.sizes = offs, size
     out.samples, out.rate = int(SAMPLES[key].sum()), int(RATE[found[0]])
     return out
@@ -228,10 +344,13 @@ FACTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_by
 
 
 def store_text(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes`` and the MPEG stream ``media`` of every text (null: empty)."""
+    """``doc_id``, ``n_bytes`` and the MPEG stream ``media`` of every text (null: empty).
+
+    Rows are handled one by one, so repeats stay repeats; other columns are left out.
+    """
 
     def run(batches):
-        for batch in blocks(batches, 256):
+        for batch in byte_blocks(batches, rows=256):
             made = [payload_of(t) for t in batch.column("text").to_pylist()]
             yield record_batch(MEDIA, {"doc_id": batch.column("doc_id"), "n_bytes": [n for n, _ in made], "media": [wrap(p) for _, p in made]})
 
@@ -247,13 +366,13 @@ def probe_column(media: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in blocks(batches, 256):
+        for batch in byte_blocks(batches, rows=256, column="media"):
             out = {name: [] for name in FACTS.names}
             for doc, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 data = data or b""
                 seen = probe(data)
                 payload = unwrap(data, seen)
-                for name, value in zip(FACTS.names, (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(seen), len(seen.offsets), seen.samples, seen.rate, seen.offsets), strict=True):
+                for name, value in zip(FACTS.names, (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(seen), len(seen.offsets), seen.heard, seen.rate, seen.offsets), strict=True):
                     out[name].append(value)
             yield record_batch(FACTS, out)
 

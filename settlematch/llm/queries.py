@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from settlematch.llm import iblt, jaccard, mpeg, packing, pii, quality, segmentations, sharding, sitetree, toxicity
 from settlematch.llm.common import table, text_of
+from settlematch.storage import written
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG frames, read back and probed."""
-    return mpeg.probe_column(mpeg.store_text(table(spark, sf_dir, "documents")))
+    return mpeg.probe_column(written(mpeg.store_text(table(spark, sf_dir, "documents"))))
 
 
 def op3_nearest_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
