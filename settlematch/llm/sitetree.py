@@ -198,9 +198,13 @@ def observations(page: str) -> tuple[int, dict[int, tuple[int, int, str, bool]],
 _SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("place", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("name", pa.string()), ("inside", pa.bool_()), ("kind", pa.int32()), ("value", pa.int64())])
 
 
-def compose(depth: list[int], place: list[int], parent: list[int], pages: list[int], layouts: list[int], once: list[int], layout: list[float], content: list[float | None], damping: float) -> dict[int, float]:
-    """Composite importance of every place of one host, worked out from the deepest up."""
-    value: dict[int, float] = {}
+def compose(depth: list[int], place: list[int], parent: list[int], pages: list[int], layouts: list[int], once: list[int], layout: list[float], content: list[float | None], inside: list[bool], damping: float) -> dict[int, tuple[float, float]]:
+    """Composite importance of every place of one host, worked out from the deepest up, and the highest at or below it.
+
+    The highest is taken with the prior of main content, where a place lies in it.
+    """
+    value: dict[int, tuple[float, float]] = {}
+    highest: dict[int, float] = {}
     below: dict[int, tuple[float, float]] = {}  # weight, weighted sum of what lies directly below
     for i in sorted(range(len(place)), key=lambda i: (-depth[i], place[i])):
         weight, total = below.get(place[i], (0.0, 0.0))
@@ -209,14 +213,17 @@ def compose(depth: list[int], place: list[int], parent: list[int], pages: list[i
         weight, total = weight + once[i], total + once[i]
         share = damping ** layouts[i] if weight else 1.0
         inner = total / weight if weight else 0.0
-        value[place[i]] = min(max((1 - share) * inner + share * max(layout[i], inner if weight else 0.0), 0.0), 1.0)
+        own = min(max((1 - share) * inner + share * max(layout[i], inner if weight else 0.0), 0.0), 1.0)
+        known = (pages[i] * own + PRIOR) / (pages[i] + PRIOR) if inside[i] else own
+        value[place[i]] = own, max(known, highest.get(place[i], 0.0), 1.0 if once[i] else 0.0)
         w, t = below.get(parent[i], (0.0, 0.0))
-        below[parent[i]] = (w + pages[i], t + pages[i] * value[place[i]])
+        below[parent[i]] = (w + pages[i], t + pages[i] * own)
+        highest[parent[i]] = max(highest.get(parent[i], 0.0), value[place[i]][1])
     return value
 
 
 def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
-    """The trees: host, place, parent, depth, name, inside, pages and composite importance (0 to 1) of every place on two or more pages of a host.
+    """The trees: host, place, parent, depth, name, inside, pages, composite importance (0 to 1) and the highest at or below it, of every place on two or more pages of a host.
 
     Pages of a host that say the same count once: copies are no template. A place seen on one
     page has importance 1; it is only summed into its parent. Layouts: entropy over the pages'
@@ -256,17 +263,20 @@ def importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
     )
 
     def solve(host: dict[str, list]) -> list[tuple]:
-        value = compose(*(host[c] for c in ("depth", "place", "parent", "pages", "layouts", "once", "layout", "content")), damping)
-        return [(*row, value[row[1]]) for row in zip(*(host[c] for c in (*where, "pages")), strict=True)]
+        value = compose(*(host[c] for c in ("depth", "place", "parent", "pages", "layouts", "once", "layout", "content", "inside")), damping)
+        return [(*row, *value[row[1]]) for row in zip(*(host[c] for c in (*where, "pages")), strict=True)]
 
     # one row per place that pages of a host share; places of a single page (ids in names) are summed above
-    return solve_runs(facts, "host", [], solve, "host string, place long, parent long, depth int, name string, inside boolean, pages long, importance double")
+    return solve_runs(facts, "host", [], solve, "host string, place long, parent long, depth int, name string, inside boolean, pages long, importance double, highest double")
 
 
 def judged(tree: DataFrame, least: float) -> DataFrame:
-    """Of every host, the places of :func:`importance` that are removed, and the ones that stay beside an article or main element."""
+    """Of every host, the places of :func:`importance` that are removed, and the ones that stay beside an article or main element.
+
+    A branch goes where neither its root nor anything below is important.
+    """
     seen, prior = F.col("pages") * F.col("importance"), F.col("pages") + PRIOR
-    removed = F.when(F.col("inside"), (seen + PRIOR) / prior).otherwise(F.col("importance")) < least
+    removed = F.col("highest") < least
     beside = ~F.col("inside") & (seen / prior >= least)
     return tree.groupBy("host").agg(F.collect_set(F.when(removed, F.col("place"))).alias("removed"), F.collect_set(F.when(beside, F.col("place"))).alias("beside")).where((F.size("removed") > 0) | (F.size("beside") > 0))
 
