@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -48,10 +49,40 @@ def test_matrix_sums_and_is_uniform():
     assert abs(first - 5) < 0.1  # hypergeometric mean; its deviation is 1.15
 
 
-def test_every_slot_is_equally_likely(spark):
-    df = spark.range(40).withColumnRenamed("id", "doc_id").repartition(3, "doc_id")
-    at = [next((r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, 4, key=F.xxhash64("doc_id"), seed=s, lanes=2).collect() if r["doc_id"] == 0) for s in range(12)]
-    assert len(set(at)) > 6
+def test_every_shard_is_equally_likely(spark):
+    df = spark.range(60).withColumnRenamed("id", "doc_id").repartition(3, "doc_id")
+    seen = np.zeros((60, 4))
+    for seed in range(24):
+        for r in sharding.shuffle_into_shards(df, 4, key=F.xxhash64("doc_id"), seed=seed).collect():
+            seen[r["doc_id"], r["shard"]] += 1
+    assert (seen.sum(axis=0) == 24 * 15).all()
+    # 60 documents over 24 draws: the chi-square of 180 free cells has a deviation of 19
+    assert abs(((seen - 6) ** 2 / 6).sum() - 180) < 90
+
+
+def test_large_urns_are_drawn_exactly():
+    rng = np.random.default_rng(1)
+    for good, bad, sample in ((40, 60, 30), (7, 500, 100), (300, 300, 599)):
+        want = np.bincount(rng.hypergeometric(good, bad, sample, 40_000), minlength=sample + 1)
+        got = np.bincount([sharding.by_ratio_of_uniforms(rng, good, bad, sample) for _ in range(40_000)], minlength=sample + 1)
+        often = want + got > 40
+        chi = ((want - got)[often] ** 2 / (want + got)[often]).sum()
+        assert chi < often.sum() + 5 * (2 * often.sum()) ** 0.5
+    n, good, bad = 10**12, 4 * 10**12, 20 * 10**12
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(400)], np.float64)
+    mean, share = n / 6, 1 / 6
+    spread = (n * share * (1 - share) * (1 - n / (good + bad))) ** 0.5
+    assert abs(drawn.mean() - mean) < 5 * spread / 20 and 0.8 < drawn.std() / spread < 1.2
+    for a, d in ((5, 3), (900, 200), (10**6, -5000), (10**12, 10**6), (10**12, -30)):
+        exact = float(np.sum(np.log1p(np.arange(1, abs(d) + 1) / (a if d > 0 else a + d)))) if abs(d) < 10**7 else 0
+        exact += abs(d) * np.log(a if d > 0 else a + d)
+        assert sharding._log_quotient(a, d) == pytest.approx(exact if d > 0 else -exact, rel=1e-12)
+    assert sum(sharding.communication_matrix({0: 3 * 10**12, 1: 10**12}, 7, 1)[0]) == 3 * 10**12
+
+
+def test_shard_columns_of_the_input_are_replaced(spark):
+    got = sharding.shuffle_into_shards(frame(spark).select("doc_id", "shard", "slot", F.lit(1).alias("Shard2")), 3, key=F.xxhash64("doc_id"))
+    assert got.columns == ["doc_id", "Shard2", "shard", "slot"] and got.select("shard").distinct().count() == 3
 
 
 # --- media ---
@@ -97,6 +128,106 @@ def test_frame_sizes_of_the_standard():
     assert mpeg.SIZE[0xFF << 8 | 0x14] == 32 and mpeg.SAMPLES[0xF3 << 8 | 0x90] == 576
 
 
+def crc_of_bits(bits):
+    """The checksum by long division, bit by bit."""
+    register = [1] * 16
+    for b in bits:
+        out = register.pop(0) ^ b
+        register.append(0)
+        for place in (0, 13, 15):  # x^16 + x^15 + x^2 + 1
+            register[place] ^= out
+    return int("".join(map(str, register)), 2)
+
+
+def bits_of(raw):
+    return [b >> i & 1 for b in raw for i in range(7, -1, -1)]
+
+
+def layer_frames(b1, b2, b3, covered_bits, body, n=3):
+    """Frames of one header; ``covered_bits`` of the body are under the checksum."""
+    size = int(mpeg.SIZE[b1 << 8 | b2])
+    sum_ = crc_of_bits(bits_of(bytes([b2, b3])) + bits_of(body)[:covered_bits])
+    return (bytes([0xFF, b1, b2, b3]) + sum_.to_bytes(2, "big") + body).ljust(size, b"\0") * n
+
+
+@pytest.mark.parametrize(
+    ("b1", "b2", "b3", "covered"),
+    [
+        (0xFE, 0x84, 0xC0, 128),  # layer I, 256 kbit/s at 48 kHz, mono: 32 x 4 bits
+        (0xFE, 0x84, 0x00, 256),  # stereo
+        (0xFE, 0x84, 0x40, 144),  # joint stereo from band 4 on
+    ],
+)
+def test_layer_one_checksums(b1, b2, b3, covered):
+    body = bytes(range(7, 47))
+    data = layer_frames(b1, b2, b3, covered, body)
+    seen = mpeg.probe(data)
+    assert (len(seen.offsets), seen.protected, seen.bad_checksums, seen.samples) == (3, 3, 0, 3 * 384)
+    broken = bytearray(data)
+    broken[6] ^= 128
+    assert mpeg.probe(bytes(broken)).bad_checksums == 1
+    broken = bytearray(data)
+    broken[6 + covered // 8] ^= 1  # behind what is covered
+    assert mpeg.probe(bytes(broken)).bad_checksums == 0
+
+
+def test_layer_two_checksums():
+    # 48 kHz, mono, 64 kbit/s: 11 bands of 4 bits, 12 of 3, 4 of 2 make 88; bands 0 and 11 are used, so 4 more bits say how
+    body = bytes([0xF0, 0, 0, 0, 0, 0b00001110, 0, 0, 0, 0, 0, 0xA5, 0xFF])
+    data = layer_frames(0xFC, 0x44, 0xC0, 88 + 4, body)
+    seen = mpeg.probe(data)
+    assert (len(seen.offsets), seen.bad_checksums, seen.samples) == (3, 0, 3 * 1152)
+    broken = bytearray(data)
+    broken[6 + 11] ^= 0x10
+    assert mpeg.probe(bytes(broken)).bad_checksums == 1
+    broken[6 + 11] ^= 0x10 ^ 0x08  # the next bit is not covered
+    assert mpeg.probe(bytes(broken)).bad_checksums == 0
+
+
+def synchsafe(n):
+    return bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+
+
+def test_tags_of_all_versions():
+    _, payload = mpeg.payload_of("x")
+    audio = mpeg.wrap(payload)
+    audio = audio[10 + mpeg._syncsafe(audio[6:10]) :]  # without its own tag
+
+    def tag(major, frames):
+        return b"ID3" + bytes([major, 0, 0]) + synchsafe(len(frames)) + frames
+
+    two = b"TT2" + (4).to_bytes(3, "big") + b"\0abc"
+    text = "\u00e9t\u00e9".encode("utf-16")
+    three = b"TIT2" + (1 + len(text)).to_bytes(4, "big") + b"\0\0" + b"\1" + text
+    long = b"\3" + b"y" * 200
+    four = b"TIT2" + synchsafe(len(long)) + b"\0\0" + long
+    for major, frames, name, value in ((2, two, "TT2", "abc"), (3, three, "TIT2", "\u00e9t\u00e9"), (4, four, "TIT2", "y" * 200)):
+        seen = mpeg.probe(tag(major, frames) + audio)
+        assert seen.tags[name] == value and seen.skipped == 0 and len(seen.offsets) == 1
+    item = (3).to_bytes(4, "little") + bytes(4) + b"Artist\0" + b"abc"
+    foot = b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little")
+    ape = foot + (1 << 31 | 1 << 29).to_bytes(4, "little") + bytes(8) + item + foot + (1 << 31).to_bytes(4, "little") + bytes(8)
+    seen = mpeg.probe(audio + ape + b"TAG" + b"t".ljust(125, b"\0"))
+    assert seen.tags["Artist"] == "abc" and seen.tags["title"] == "t" and seen.skipped == 0
+
+
+def test_other_tables_and_gaps():
+    frame_ = bytes([0xFF, 0xFB, 0x90, 0xC4]).ljust(417, b"\0")
+    vbri = bytearray(frame_)
+    vbri[36:40] = b"VBRI"
+    vbri[42:44] = (1105).to_bytes(2, "big")
+    vbri[46:50], vbri[50:54] = (417 * 4).to_bytes(4, "big"), (3).to_bytes(4, "big")
+    seen = mpeg.probe(bytes(vbri) + frame_ * 3)
+    assert (seen.vbr_frames, seen.vbr_bytes, len(seen.offsets), seen.heard) == (3, 1668, 3, 3 * 1152 - 1105)
+    info = bytearray(frame_)
+    info[21:29] = b"Info" + (1).to_bytes(4, "big")
+    info[29:33] = (3).to_bytes(4, "big")
+    info[33:37] = b"LAME"
+    info[54:57] = (576 << 12 | 1000).to_bytes(3, "big")
+    seen = mpeg.probe(bytes(info) + frame_ * 3)
+    assert (seen.vbr_frames, seen.delay, seen.padding, seen.heard) == (3, 576, 1000, 3 * 1152 - 1576)
+
+
 def test_media_query_rows(spark):
     got = {r["doc_id"]: r for r in mpeg.probe_column(mpeg.store_text(frame(spark))).collect()}
     for r in rows():
@@ -162,6 +293,17 @@ def test_packed_rows(spark):
     assert packing.pack(packing.token_pieces(empty(spark), TOKENIZER, 64, 2), 64).count() == 0
 
 
+def test_packing_names_and_limits(spark):
+    rows_ = spark.createDataFrame([(1, 0, 3, 9, 9)], "doc_id long, piece int, length long, offset long, Sequence_ID long")
+    got = packing.pack(rows_, 4)
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"] and got.head()["offset"] == 0
+    for bad in (5, 0, None):
+        with pytest.raises(Exception, match="no piece of this length fits"):
+            packing.pack(spark.createDataFrame([(1, 0, bad)], "doc_id long, piece int, length long"), 4).collect()
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(2).cast("long").alias("length"))
+    assert packing.pack(many, 4, each=100).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).head()[0:3] == (4, 4, 2500)
+
+
 def test_fast_ids_are_the_files_own():
     from tokenizers import Tokenizer
 
@@ -255,6 +397,33 @@ def test_disguises_are_not_lost_to_pre_checks(text, kind, shown):
     assert (shown, kind) in [(text[s:e], k) for s, k, e in pii.all_spans(text)[1]]
 
 
+@pytest.mark.parametrize(
+    ("text", "shown"),
+    [
+        ("jo at x dot co dot jp", "jo at x dot co dot jp"),
+        ("x@y dot com", "x@y dot com"),
+        ("x [at] y dot com", "x [at] y dot com"),
+        ("write to jo at" + " " * 300 + "firma dot it", "jo at" + " " * 300 + "firma dot it"),
+        ("jo at firma dot it. Then go", "jo at firma dot it"),
+    ],
+)
+def test_whole_chains_of_labels(text, shown):
+    assert [(text[s:e], k) for s, k, e in pii.all_spans(text)[1]] == [(shown, "email")]
+
+
+def test_hostile_texts_take_linear_time():
+    shapes = ["1{} . . .", "x{} [dot] com", " {}[dot] com", "a dot {}", "a at b dot {}", "a@{} [dot] ", "one {}", "+1 ( {}", "\u043e{}", "( {}[at]", "1.{} [dot] ", "at {}[dot]", "[{} at [dot]"]
+    for shape in shapes:
+        unit, rest = shape.split("{}")
+        spent = []
+        for n in (100_000, 400_000):
+            text = unit * (n // len(unit)) + rest
+            t = time.process_time()
+            pii.all_spans(text)
+            spent.append(time.process_time() - t)
+        assert spent[1] < 9 * spent[0] + 0.5, (shape, spent)
+
+
 def test_prose_with_at_and_dot_is_left_alone():
     for text in ("Look at the dot in the middle", "a point at every dot on it", "We met at noon. The dot is red", "end. at a dot to", "one 1 two"):
         assert pii.all_spans(text)[1] == []
