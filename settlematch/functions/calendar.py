@@ -41,3 +41,8 @@ def add_business_days(rows: DataFrame, day: str, count: str, calendar: DataFrame
 
 def drift_days(captured: Column, settled: Column) -> Column:
     return F.datediff(settled, captured)
+
+
+def weekend_drift(captured: Column, settled: Column, lag: int) -> Column:
+    """Whether closed days came between: settled more than ``lag`` calendar days after capture."""
+    return drift_days(captured, settled) > lag

@@ -32,5 +32,5 @@ def audit_rows(matches: DataFrame, payments: DataFrame, bank: DataFrame, invoice
 def trace_payment(matches: DataFrame, exceptions: DataFrame, payment_id: str) -> DataFrame:
     """Every match, evidence line and exception of one payment."""
     found = matches.where(F.col("payment_id") == payment_id).select(F.lit("match").alias("kind"), "link_type", F.col("rule").alias("about"), F.posexplode("evidence").alias("line", "text"))
-    open_ = exceptions.where((F.col("subject_type") == "payment") & (F.col("subject_id") == payment_id)).select(F.lit("exception").alias("kind"), "link_type", F.col("reason").alias("about"), F.lit(0).alias("line"), F.col("detail").alias("text"))
+    open_ = exceptions.where((F.col("subject_type") == "payment") & (F.col("subject_id") == payment_id)).select(F.lit("exception").alias("kind"), "link_type", F.col("reason").alias("about"), F.posexplode("evidence").alias("line", "text"))
     return found.unionByName(open_)

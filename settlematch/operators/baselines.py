@@ -72,5 +72,8 @@ def unmatched_counterparts(edges: DataFrame, bank: DataFrame, invoices: DataFram
     return rest(bank, "txn_id", "bank_txn", BANK).unionByName(rest(invoices, "invoice_id", "invoice", INVOICE))
 
 
-def as_edges(matches: DataFrame, ids: str | Column = "counterpart_ids") -> DataFrame:
+def as_edges(matches: DataFrame, ids: str | Column = "counterpart_ids", threshold: float | None = None) -> DataFrame:
+    """Links one by one; with a ``threshold`` those of matches at least so confident."""
+    if threshold is not None:
+        matches = matches.where(F.col("confidence") >= threshold)
     return matches.select("payment_id", "link_type", F.explode(ids).alias("counterpart_id"))

@@ -59,8 +59,8 @@ def exception_breakdown(judged: DataFrame) -> DataFrame:
     return judged.groupBy("reason", "subject_type").agg(n.alias("total"), right.alias("correctly_raised"), (n - right).alias("missed"), F.round(right / n, 6).alias("precision"))
 
 
-def cost_breakdown(calls: DataFrame, prices: DataFrame, records: int, miss: str = "no recorded answer") -> DataFrame:
-    """Totals of a call log, per hundred records where a rate is meant."""
+def cost_breakdown(calls: DataFrame, prices: DataFrame, records: int, reaching: int = 0, miss: str = "no recorded answer") -> DataFrame:
+    """Totals of a call log, per hundred records where a rate is meant; ``reaching``: records that came to the third layer."""
     rows = calls.join(F.broadcast(prices), "model", "left")  # a price list
     cost = call_cost_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_tokens"), F.col("cache_write_tokens"), F.col("in_rate"), F.col("out_rate"))
     per = 100.0 / records
@@ -68,7 +68,7 @@ def cost_breakdown(calls: DataFrame, prices: DataFrame, records: int, miss: str
         F.count("*").alias("calls"), (F.count("*") - F.count(F.when(F.col("error") == miss, 1))).alias("answered"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.round(F.sum(cost), 6).alias("cost_usd"), F.round(F.sum(cost) * per, 6).alias("cost_per_100"), F.round(F.count("*") * F.lit(per), 6).alias("calls_per_100"),
-        F.round(F.sum("latency_ms") / 1000 * per, 6).alias("seconds_per_100"), F.bool_and("replayed").alias("all_replayed"),
+        F.round(F.sum("latency_ms") / 1000 * per, 6).alias("seconds_per_100"), F.round(F.avg("latency_ms"), 6).alias("latency_ms_mean"), F.lit(reaching).cast("long").alias("records_reaching_layer3"), F.bool_and("replayed").alias("all_replayed"),
         F.count(F.when(~F.col("schema_valid"), 1)).alias("schema_failures"), F.count("error").alias("errors"),
     )
 

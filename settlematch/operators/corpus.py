@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlematch.operators.components import components
+from settlematch.operators.runs import solve_runs
+from settlematch.operators.views import running_balance
+from settlematch.storage import written
 
 
-def corpus_counts(tables: dict[str, DataFrame], tags: DataFrame) -> DataFrame:
-    """kind, name, n: rows per table, and payments per own and per batch tag."""
+def corpus_counts(tables: dict[str, DataFrame], tags: DataFrame, batch_tags: DataFrame) -> DataFrame:
+    """kind, name, n: rows per table, payments per own and per batch tag, and batches per tag."""
     out = tags.groupBy(F.concat(F.lit("tag_"), "kind").alias("kind"), F.col("tag").alias("name")).agg(F.count_distinct("payment_id").alias("n"))
+    out = out.unionByName(batch_tags.groupBy(F.lit("tag_of_batches").alias("kind"), F.col("tag").alias("name")).agg(F.count_distinct("batch").alias("n")))
     for name, rows in tables.items():
         out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit("rows").alias("kind"), F.lit(name).alias("name"), "n"))
     return out
@@ -39,45 +45,109 @@ def batch_components(payment_batches: DataFrame) -> DataFrame:
     return payment_batches.select("batch").distinct().join(found, "batch", "left").select("batch", F.coalesce("component", "batch").alias("component"))
 
 
-def stratified_component_split(profile: DataFrame, quotas: dict[str, float], payment_weight: float = 8.0) -> DataFrame:
-    """component, stratum, n -> component, split.
+def dealt(total: int, costs: dict[str, Callable[[int], float]]) -> dict[str, int]:
+    """How many of ``total`` equal items each bin gets when every item goes where the cost after it is least (first name on ties).
 
-    Components, largest first, go to the split that least raises the weighted squares of its
-    fill over its quota. The loop is over components and strata, in one group: its input is the
-    aggregate, not the rows behind it.
+    costs: of each bin with so many more items, never falling. Giving items one by one merges the
+    bins' rising costs, so the counts are found by bisection of each bin's place in the merged order.
     """
+    names = sorted(costs)
+
+    def before(name: str, n: int) -> int:
+        """Items of all bins that come before this bin's n-th."""
+        own, count = costs[name](n), n - 1
+        for other in names:
+            if other != name:
+                ahead = (lambda c: c <= own) if other < name else (lambda c: c < own)
+                lo, hi = 0, total
+                while lo < hi:
+                    mid = (lo + hi + 1) // 2
+                    lo, hi = (mid, hi) if ahead(costs[other](mid)) else (lo, mid - 1)
+                count += lo
+        return count
+
+    out = {}
+    for name in names:
+        lo, hi = 0, total
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if before(name, mid) < total else (lo, mid - 1)
+        out[name] = lo
+    return out
+
 
-    def deal(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot_table(index="component", columns="stratum", values="n", aggfunc="sum", fill_value=0)
-        total = wide.sum()
-        weights = pd.Series({c: payment_weight if c == "payments" else 1.0 for c in wide.columns})
-        filled = {s: total * 0.0 for s in quotas}
-        order = wide.assign(_size=wide.get("payments", wide.sum(axis=1))).sort_values(["_size"], ascending=False, kind="stable").index
-        rows = []
-        for component in order:
-            add = wide.loc[component]
-            best = min(sorted(quotas), key=lambda s: float((weights * (((filled[s] + add) / (total * quotas[s]).clip(lower=1e-9)) ** 2 - (filled[s] / (total * quotas[s]).clip(lower=1e-9)) ** 2)).sum()))
-            filled[best] = filled[best] + add
-            rows.append((component, best))
-        return pd.DataFrame(rows, columns=["component", "split"])
+def stratified_component_split(profile: DataFrame, quotas: dict[str, float], payment_weight: float = 8.0, each: int = 500_000) -> DataFrame:
+    """component, stratum, n -> component, split.
 
+    Components, largest first, go to the split that is left least over its quota, by weighted
+    squares of its fill. Components of one profile are alike, so the greedy rule is worked out on
+    classes of equal profiles with their counts (:func:`dealt`): one small row per class reaches
+    the task that runs it. Within a class components take their splits in order of a hash lane of
+    about ``each`` rows and the id.
+    """
     kind = dict(profile.dtypes)["component"]
-    return profile.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"component {kind}, split string")
+    line = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "stratum", F.col("n").cast("string")))), ";")
+    summed = profile.groupBy("component", "stratum").agg(F.sum("n").alias("n")).where("n > 0")
+    rows = written(summed.groupBy("component").agg(line.alias("profile")))
+    classes = rows.groupBy("profile").agg(F.count("*").alias("m")).withColumn("all", F.lit(1))
+
+    def deal(part: dict[str, list]) -> list[tuple]:
+        vectors = [{k: float(v) for k, v in (x.split("=") for x in p.split(";"))} for p in part["profile"]]
+        total: dict[str, float] = {}
+        for vector, m in zip(vectors, part["m"], strict=True):
+            for k, v in vector.items():
+                total[k] = total.get(k, 0.0) + v * m
+        filled = {s: dict.fromkeys(total, 0.0) for s in quotas}
+        out = []
+        for i in sorted(range(len(vectors)), key=lambda i: (-vectors[i].get("payments", sum(vectors[i].values())), part["profile"][i])):
+
+            def cost(split: str, n: int, vector: dict[str, float] = vectors[i]) -> float:
+                return sum((payment_weight if k == "payments" else 1.0) * ((filled[split][k] + n * vector.get(k, 0.0)) / (t * quotas[split])) ** 2 for k, t in total.items() if t * quotas[split] > 0)
+
+            counts, at = dealt(part["m"][i], {s: functools.partial(cost, s) for s in quotas}), 0
+            for split, n in sorted(counts.items()):
+                if n:
+                    out.append((part["profile"][i], at, at + n, split))
+                    at += n
+                    for k, v in vectors[i].items():
+                        filled[split][k] += n * v
+        return out
+
+    plan = written(solve_runs(classes, "all", [], deal, "profile string, lo long, hi long, split string"))
+    lanes = classes.select("profile", (F.floor(F.col("m") / each) + 1).alias("lanes"))
+    rows = rows.join(lanes, "profile").withColumn("lane", F.pmod(F.xxhash64("component"), F.col("lanes")))
+    before = Window.partitionBy("profile").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("profile", "lane").agg(F.count("*").alias("k")).select("profile", "lane", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("profile", "lane").orderBy("component"))
+    ranked = rows.withColumn("rank", rank).join(starts, ["profile", "lane"]).withColumn("rank", F.col("rank") + F.col("start") - 1)
+    return ranked.join(plan, "profile").where("rank >= lo and rank < hi").select(F.col("component").cast(kind).alias("component"), "split")
 
 
 def deal_extras(rows: DataFrame, key: str, shares: dict[str, int], seed: int = 0) -> DataFrame:
     """``rows`` with a split drawn by a hash of the key, in proportion to integer shares."""
     total, at, split = sum(shares.values()), 0, None
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(total))
+    draw = F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary")), 1, 8), 16, 10).cast("long") % total
     for name, share in sorted(shares.items()):
         at += share
         split = F.when(draw < at, name) if split is None else split.when(draw < at, name)
     return rows.withColumn("split", split)
 
 
-def apply_split(gateway: DataFrame, batch_split: DataFrame) -> DataFrame:
-    """Report rows with the split of their batch."""
-    return gateway.join(batch_split, "settlement_id")
+def apply_split(tables: dict[str, DataFrame], batch_split: DataFrame, links: dict[str, DataFrame], extras: dict[str, DataFrame], opening: int) -> dict[str, DataFrame]:
+    """The tables of every split, told apart by ``split``.
+
+    Report rows follow their batch (``batch_split``: settlement_id, split). Credits follow the batch
+    that they pay (``links["bank"]``: settlement_id, txn_id), and each split's statement has a
+    balance of its own from ``opening`` on. Invoices follow the payments that ride in a split's
+    batches (``links["invoices"]``: payment_id, invoice_id). ``extras`` (txn_id or invoice_id, split)
+    are the dealt records without a batch.
+    """
+    gateway = tables["gateway"].join(batch_split, "settlement_id")
+    riding = gateway.where("payment_id is not null").select("payment_id", "split").distinct()
+    credits = links["bank"].join(batch_split, "settlement_id").select("txn_id", "split").unionByName(extras["bank"].select("txn_id", "split")).distinct()
+    ledger = links["invoices"].join(riding, "payment_id").select("invoice_id", "split").unionByName(extras["invoices"].select("invoice_id", "split")).distinct()
+    bank = running_balance(tables["bank"].join(credits, "txn_id"), opening, by=["split"])
+    return {"gateway": gateway, "bank": bank, "invoices": tables["invoices"].join(ledger, "invoice_id")}
 
 
 def propagate_batch_tags(payment_batches: DataFrame, batch_tags: DataFrame, never: tuple[str, ...] = ("no_bank_credit", "split_settlement")) -> DataFrame:

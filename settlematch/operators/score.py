@@ -39,7 +39,10 @@ def score_links(edges: DataFrame) -> DataFrame:
         F.count(F.when((F.col("n_truth") > 0) & (F.col("n_pred") > 0), 1)).alias("matched"),
     )
     tp, p, t = F.col("true_positives"), F.col("predicted_edges"), F.col("truth_edges")
-    return total.select(*total.columns, *_rate(tp, p, "precision"), *_rate(tp, t, "recall"), F.round(safe_div(2 * tp, p + t), 6).alias("f1"), F.round(safe_div(F.col("matched"), F.col("resolvable")), 6).alias("match_rate"))
+    return total.select(
+        *total.columns, *_rate(tp, p, "precision"), *_rate(tp, t, "recall"), F.round(safe_div(2 * tp, p + t), 6).alias("f1"),
+        *_rate(F.col("exactly_resolved"), F.col("resolvable"), "exact_rate"), F.round(safe_div(F.col("matched"), F.col("resolvable")), 6).alias("match_rate"),
+    )
 
 
 def score_honesty(payments: DataFrame, edges: DataFrame, payment_exceptions: DataFrame, link: str) -> DataFrame:

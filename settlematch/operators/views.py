@@ -65,15 +65,12 @@ def duplicate_refund_rows(gateway: DataFrame) -> DataFrame:
 def running_balance(bank: DataFrame, opening: int, by: list[str] | None = None) -> DataFrame:
     """``bank`` with the balance after each row in order of value date and id.
 
-    With ``by`` each account or split runs by itself. Without, daily sums give every day its
-    start, and rows add up within their day, so that no task sees the whole statement.
+    With ``by`` each account or split runs by itself. Daily sums give every day its start, and
+    rows add up within their day, so that no task sees a whole statement.
     """
-    change = F.col("credit") - F.col("debit")
-    if by:
-        line = Window.partitionBy(*by).orderBy("value_date", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
-        return bank.withColumn("balance", F.lit(opening) + F.sum(change).over(line))
-    days = bank.groupBy("value_date").agg(F.sum(change).alias("moved"))  # one row per day
-    before = Window.orderBy("value_date").rowsBetween(Window.unboundedPreceding, -1)
-    starts = days.select("value_date", (F.lit(opening) + F.coalesce(F.sum("moved").over(before), F.lit(0))).alias("start"))
-    line = Window.partitionBy("value_date").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return bank.join(starts, "value_date").withColumn("balance", F.col("start") + F.sum(change).over(line)).drop("start")
+    change, keys = F.col("credit") - F.col("debit"), by or []
+    days = bank.groupBy(*keys, "value_date").agg(F.sum(change).alias("moved"))  # one row per day
+    before = Window.partitionBy(*keys).orderBy("value_date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select(*keys, "value_date", (F.lit(opening) + F.coalesce(F.sum("moved").over(before), F.lit(0))).alias("start"))
+    line = Window.partitionBy(*keys, "value_date").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, 0)
+    return bank.join(starts, [*keys, "value_date"]).withColumn("balance", F.col("start") + F.sum(change).over(line)).drop("start")

@@ -22,6 +22,8 @@ from settlematch.storage import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The questions as functions of :class:`Inputs`; several may share one.
+MAKERS: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 class Inputs:
@@ -134,6 +136,7 @@ def query(sql: str | None = None, name: str | None = None):
 
     def add(make: Callable[[Inputs], DataFrame]):
         key = name or make.__name__
+        MAKERS[key] = make
         QUERIES[key] = lambda spark, sf_dir: make(Inputs(spark, sf_dir))
         QUERIES[key].__doc__ = make.__doc__
         if sql and sql.startswith("WITH"):
@@ -180,12 +183,6 @@ TRUTH = """
 truth_edges AS (SELECT DISTINCT 'payment_to_bank' AS link_type, payment_id, counterpart_id FROM truth_bank UNION ALL SELECT 'payment_to_invoice', payment_id, counterpart_id FROM truth_invoice),
 orphans AS (SELECT 'bank_txn' AS subject_type, txn_id AS subject_id FROM orphan_bank UNION ALL SELECT 'invoice', invoice_id FROM orphan_invoices)
 """
-SCORED = ID_JOIN + "," + TRUTH + """,
-edges AS (SELECT link_type, payment_id, counterpart_id, t IS NOT NULL AS in_truth, p IS NOT NULL AS in_pred FROM (SELECT DISTINCT *, 1 AS t FROM truth_edges) a FULL JOIN (SELECT DISTINCT *, 1 AS p FROM id_edges) b USING (link_type, payment_id, counterpart_id)),
-per_payment AS (SELECT link_type, payment_id, count(*) FILTER (in_truth) AS n_truth, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth AND in_pred) AS n_both, bool_and(in_truth = in_pred) AS exact FROM edges GROUP BY 1, 2)
-"""
-
-
 def wilson(k: str, n: str, name: str) -> str:
     p, z = f"({k} * 1.0 / {n})", "1.96"
     base, mid = f"(1 + {z} * {z} / {n})", f"({p} + {z} * {z} / (2 * {n}))"
@@ -224,12 +221,15 @@ def pct_of(t: Inputs) -> DataFrame:
     return t["base_paid"].select("k", money.pct_of(g, F.lit("2.36")).alias("up"), money.pct_of(g, F.lit("0.25"), half_even=True).alias("even"), money.net_of(g, F.col("fee"), F.col("tax"), F.col("tds")).alias("net"))
 
 
-@query("SELECT k, TRUE AS reproduces_net FROM base_paid WHERE k % 20 < 11 AND k % 7 <> 0")
+@query("SELECT k, TRUE AS reproduces_net FROM base_paid")
 def reconstruct_gross(t: Inputs) -> DataFrame:
-    """Gross rebuilt from the net of UPI payments; it must lead to the same net."""
-    rows = t["base_paid"].where("k % 20 < 11 and k % 7 <> 0").withColumn("g", money.reconstruct_gross(F.col("net"), F.lit("0.90"), F.lit("18"), F.lit("0")))
-    fee = money.pct_of(F.col("g"), F.lit("0.90"))
-    return rows.select("k", (F.col("g") - fee - money.pct_of(fee, F.lit("18")) == F.col("net")).alias("reproduces_net"))
+    """Gross rebuilt from the net at each payment's rates; it must lead to the same net."""
+    at = F.col("k") % 20
+    rate = F.when(at < 11, "0.90").when(at < 16, "2.36").when(at < 19, "1.80").otherwise("2.00")
+    cut = F.when(F.col("k") % 7 == 0, "1").otherwise("0")
+    rows = t["base_paid"].withColumn("g", money.reconstruct_gross(F.col("net"), rate, F.lit("18"), cut))
+    fee = money.pct_of(F.col("g"), rate)
+    return rows.select("k", (F.col("g") - fee - money.pct_of(fee, F.lit("18")) - money.pct_of(F.col("g"), cut) == F.col("net")).alias("reproduces_net"))
 
 
 @query("--with tok AS (SELECT txn_id, list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}\\d{6,12}\\b')) AS l FROM bank) SELECT txn_id, CAST(len(l) AS INT) AS n, l[1] AS first FROM tok")
@@ -243,10 +243,10 @@ def normalise_id(t: Inputs) -> DataFrame:
     return t["invoices"].select("invoice_id", text.normalise_id(F.col("order_id")).alias("norm"))
 
 
-@query("SELECT i.invoice_id, damerau_levenshtein(i.order_id, 'order_' || lpad(CAST(k * 100003 % 100000000000000 AS VARCHAR), 14, '0')) AS distance FROM invoices i JOIN truth t USING (invoice_id) WHERE i.order_id IS NOT NULL AND k % 12 <> 2")
+@query("SELECT i.invoice_id, damerau_levenshtein(i.order_id, 'order_' || lpad(CAST(k * 100003 % 100000000000000 AS VARCHAR), 14, '0')) AS distance FROM invoices i JOIN truth t USING (invoice_id) WHERE i.order_id IS NOT NULL")
 def damerau_levenshtein(t: Inputs) -> DataFrame:
-    """Ledger order ids against the gateway's (case kept apart)."""
-    rows = t["invoices"].join(t["truth"], "invoice_id").where("order_id is not null and k % 12 <> 2").withColumn("want", F.concat(F.lit("order_"), F.lpad((F.col("k") * 100003 % 100000000000000).cast("string"), 14, "0")))
+    """Ledger order ids against the gateway's."""
+    rows = t["invoices"].join(t["truth"], "invoice_id").where("order_id is not null").withColumn("want", F.concat(F.lit("order_"), F.lpad((F.col("k") * 100003 % 100000000000000).cast("string"), 14, "0")))
     return rows.select("invoice_id", text.damerau_levenshtein(F.col("order_id"), F.col("want"), 30).cast("long").alias("distance"))
 
 
@@ -255,16 +255,17 @@ def find_id_like(t: Inputs) -> DataFrame:
     return t["gateway"].select("payment_id", F.explode(text.find_id_like(F.col("order_receipt"))).alias("hint"))
 
 
-CAL = "--with days AS (SELECT d, NOT (dayofweek(d) = 0 OR (dayofweek(d) = 6 AND (day(d) - 1) // 7 + 1 IN (2, 4)) OR d IN (" + ", ".join(f"DATE '{d}'" for d in calendar.HOLIDAYS) + ")) AS open FROM (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2003-12-31', INTERVAL 1 DAY)) AS DATE) AS d) x), num AS (SELECT *, sum(CAST(open AS INT)) OVER (ORDER BY d) AS n FROM days) "
+CAL = "--with days AS (SELECT d, NOT (dayofweek(d) = 0 OR (dayofweek(d) = 6 AND (day(d) - 1) // 7 + 1 IN (2, 4)) OR d IN (" + ", ".join(f"DATE '{d}'" for d in calendar.HOLIDAYS) + ")) AS open FROM (SELECT CAST(unnest(generate_series(DATE '2025-12-01', DATE '2027-02-28', INTERVAL 1 DAY)) AS DATE) AS d) x), num AS (SELECT *, sum(CAST(open AS INT)) OVER (ORDER BY d) AS n FROM days), asked AS (SELECT DISTINCT CAST(DATE '2026-01-01' + CAST(n % 365 AS INT) AS DATE) AS day, CAST(k % 5 AS INT) AS count FROM base_orders) "
 
 
-@query(CAL + "SELECT DISTINCT o.d AS day, num.open AS open, g.d AS due, datediff('day', o.d, g.d) AS drift FROM base_orders o JOIN num ON num.d = o.d JOIN num g ON g.open AND g.n = num.n + 2")
+@query(CAL + "SELECT a.day, a.count, num.open AS open, CASE WHEN a.count = 0 THEN a.day ELSE g.d END AS due, datediff('day', a.day, CASE WHEN a.count = 0 THEN a.day ELSE g.d END) AS drift, datediff('day', a.day, CASE WHEN a.count = 0 THEN a.day ELSE g.d END) > 2 AS drifted FROM asked a JOIN num ON num.d = a.day LEFT JOIN num g ON g.open AND g.n = num.n + a.count AND a.count > 0")
 def add_business_days(t: Inputs) -> DataFrame:
-    """Second working day after each order day."""
-    cal = calendar.business_calendar(t.spark, date(1994, 1, 1), date(2003, 12, 31))
-    days = t["base_orders"].select(F.col("d").alias("day")).distinct().withColumn("count", F.lit(2))
+    """None to four working days after every order's day, moved into the year of the holidays."""
+    cal = calendar.business_calendar(t.spark, date(2025, 12, 1), date(2027, 2, 28))
+    days = t["base_orders"].select(F.date_add(F.lit(date(2026, 1, 1)), (F.col("n") % 365).cast("int")).alias("day"), (F.col("k") % 5).cast("int").alias("count")).distinct()
     out = calendar.add_business_days(days, "day", "count", cal, "due")
-    return out.select("day", calendar.is_business_day(F.col("day")).alias("open"), "due", calendar.drift_days(F.col("day"), F.col("due")).cast("long").alias("drift"))
+    day, due = F.col("day"), F.col("due")
+    return out.select("day", "count", calendar.is_business_day(day).alias("open"), "due", calendar.drift_days(day, due).cast("long").alias("drift"), calendar.weekend_drift(day, due, 2).alias("drifted"))
 
 
 @query("SELECT payment_id, 'm_' || substr(sha1('payment_to_invoice|' || payment_id || '|' || counterpart_id || '|l1_order_id_join'), 1, 12) AS match_id, substr(sha256('a' || chr(0) || payment_id), 1, 20) AS content_key FROM truth_invoice")
@@ -789,45 +790,75 @@ def rule_counts(t: Inputs) -> DataFrame:
     return assemble.rule_counts(t.payments, t.by_batch[0], t.by_payment[0])
 
 
-# --- scoring: the identifier join against the truth ------------------------------------------
+# --- scoring: the layered answer against the truth -------------------------------------------
+
+SCORED = LAYERED + """,
+edges AS (SELECT link_type, payment_id, counterpart_id, t IS NOT NULL AS in_truth, p IS NOT NULL AS in_pred FROM (SELECT DISTINCT *, 1 AS t FROM truth_edges) a FULL JOIN (SELECT *, 1 AS p FROM lay_edges) b USING (link_type, payment_id, counterpart_id)),
+per_payment AS (SELECT link_type, payment_id, count(*) FILTER (in_truth) AS n_truth, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth AND in_pred) AS n_both, bool_and(in_truth = in_pred) AS exact FROM edges GROUP BY 1, 2)
+"""
+TOTALS = "CAST(sum(n_truth) AS BIGINT) AS truth_edges, CAST(sum(n_pred) AS BIGINT) AS predicted_edges, CAST(sum(n_both) AS BIGINT) AS true_positives, count(*) FILTER (n_truth > 0) AS resolvable, count(*) FILTER (n_truth > 0 AND exact) AS exactly_resolved, count(*) FILTER (n_truth > 0 AND n_pred > 0) AS matched"
+RATES = ", ".join((ratio("true_positives", "predicted_edges", "precision"), wilson("true_positives", "predicted_edges", "precision"), ratio("true_positives", "truth_edges", "recall"), wilson("true_positives", "truth_edges", "recall"), ratio("2 * true_positives", "(predicted_edges + truth_edges)", "f1"), ratio("exactly_resolved", "resolvable", "exact_rate"), wilson("exactly_resolved", "resolvable", "exact_rate"), ratio("matched", "resolvable", "match_rate")))
 
 
 def _edges(t: Inputs) -> DataFrame:
-    return score.edge_frame(t.truth_edges, t.id_edges)
+    return score.edge_frame(t.truth_edges, t.layered_edges)
+
+
+@query(name="score_links")
+def _score_links(t: Inputs) -> DataFrame:
+    """At two thresholds of confidence."""
+    parts = [score.score_links(score.edge_frame(t.truth_edges, baselines.as_edges(t.layered[0], threshold=x))).withColumn("threshold", F.lit(x)) for x in (0.0, 0.96)]
+    return parts[0].unionByName(parts[1])
+
+
+ORACLE_SQL["score_links"] = LAYERED + f""",
+sure AS (SELECT DISTINCT threshold, link_type, payment_id, unnest(cs) AS counterpart_id FROM matches, (VALUES (0.0), (0.96)) v(threshold) WHERE confidence >= threshold),
+pp AS (SELECT threshold, link_type, payment_id, count(*) FILTER (in_truth) AS n_truth, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth AND in_pred) AS n_both, bool_and(in_truth = in_pred) AS exact FROM (
+    SELECT threshold, link_type, payment_id, t IS NOT NULL AS in_truth, p IS NOT NULL AS in_pred FROM (SELECT DISTINCT threshold, x.*, 1 AS t FROM truth_edges x, (VALUES (0.0), (0.96)) v(threshold)) a FULL JOIN (SELECT *, 1 AS p FROM sure) b USING (threshold, link_type, payment_id, counterpart_id)) e GROUP BY 1, 2, 3),
+s AS (SELECT threshold, link_type, {TOTALS} FROM pp GROUP BY 1, 2)
+SELECT CAST(threshold AS DOUBLE) AS threshold, * EXCLUDE (threshold), {RATES} FROM s"""
+
+
+@query(name="score_honesty")
+def _score_honesty(t: Inputs) -> DataFrame:
+    """Payments without a counterpart, on both legs."""
+    open_ = t.layered[1].where("subject_type = 'payment'").select("subject_id", "link_type")
+    return score.score_honesty(t.payments, _edges(t), open_, BANK).unionByName(score.score_honesty(t.payments, _edges(t), open_, INVOICE))
 
 
-@query("--with " + SCORED + ", s AS (SELECT link_type, CAST(sum(n_truth) AS BIGINT) AS truth_edges, CAST(sum(n_pred) AS BIGINT) AS predicted_edges, CAST(sum(n_both) AS BIGINT) AS true_positives, count(*) FILTER (n_truth > 0) AS resolvable, count(*) FILTER (n_truth > 0 AND exact) AS exactly_resolved, count(*) FILTER (n_truth > 0 AND n_pred > 0) AS matched FROM per_payment GROUP BY 1) SELECT *, " + ", ".join((ratio("true_positives", "predicted_edges", "precision"), wilson("true_positives", "predicted_edges", "precision"), ratio("true_positives", "truth_edges", "recall"), wilson("true_positives", "truth_edges", "recall"), ratio("2 * true_positives", "(predicted_edges + truth_edges)", "f1"), ratio("matched", "resolvable", "match_rate"))) + " FROM s")
-def score_links(t: Inputs) -> DataFrame:
-    return score.score_links(_edges(t))
+ORACLE_SQL["score_honesty"] = SCORED + ", none AS (SELECT l.link_type, payment_id FROM payments, (VALUES ('payment_to_bank'), ('payment_to_invoice')) l(link_type) WHERE (l.link_type, payment_id) NOT IN (SELECT (link_type, payment_id) FROM truth_edges)), s AS (SELECT link_type, count(*) AS unresolvable, count(*) FILTER ((link_type, payment_id) IN (SELECT (link_type, subject_id) FROM opened WHERE subject_type = 'payment')) AS routed_to_exceptions, count(*) FILTER ((link_type, payment_id) IN (SELECT (link_type, payment_id) FROM lay_edges)) AS falsely_matched FROM none GROUP BY 1) SELECT *, " + ratio("falsely_matched", "unresolvable", "false_match_rate") + ", " + wilson("falsely_matched", "unresolvable", "false_match_rate") + " FROM s"
 
 
-@query("--with " + SCORED + ", none AS (SELECT payment_id FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM truth_edges WHERE link_type = 'payment_to_invoice')), s AS (SELECT count(*) AS unresolvable, count(*) FILTER (payment_id IN (SELECT payment_id FROM id_open WHERE link_type = 'payment_to_invoice')) AS routed_to_exceptions, count(*) FILTER (payment_id IN (SELECT payment_id FROM id_edges WHERE link_type = 'payment_to_invoice')) AS falsely_matched FROM none) SELECT 'payment_to_invoice' AS link_type, *, " + ratio("falsely_matched", "unresolvable", "false_match_rate") + ", " + wilson("falsely_matched", "unresolvable", "false_match_rate") + " FROM s")
-def score_honesty(t: Inputs) -> DataFrame:
-    open_ = t.id_join.where("reason is not null").select(F.col("payment_id").alias("subject_id"), "link_type")
-    return score.score_honesty(t.payments, _edges(t), open_, INVOICE)
+@query(name="score_counterparts")
+def _score_counterparts(t: Inputs) -> DataFrame:
+    return score.score_counterparts(t.layered[1].where("subject_type <> 'payment'"), t.orphans)
 
 
-@query("--with " + SCORED + ", fl AS (SELECT 'bank_txn' AS subject_type, txn_id AS subject_id FROM bank WHERE txn_id NOT IN (SELECT counterpart_id FROM id_edges) UNION ALL SELECT 'invoice', invoice_id FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM id_edges)), s AS (SELECT subject_type, count(f) AS flagged, count(o) AS orphans, count(*) FILTER (f = 1 AND o = 1) AS correct FROM (SELECT *, 1 AS f FROM fl) a FULL JOIN (SELECT *, 1 AS o FROM orphans) b USING (subject_type, subject_id) GROUP BY 1) SELECT *, " + ratio("correct", "flagged", "precision") + ", " + ratio("correct", "orphans", "recall") + " FROM s")
-def score_counterparts(t: Inputs) -> DataFrame:
-    return score.score_counterparts(baselines.unmatched_counterparts(t.id_edges, t.bank, t.invoices), t.orphans)
+ORACLE_SQL["score_counterparts"] = SCORED + ", fl AS (SELECT subject_type, subject_id FROM opened WHERE subject_type <> 'payment'), s AS (SELECT subject_type, count(f) AS flagged, count(o) AS orphans, count(*) FILTER (f = 1 AND o = 1) AS correct FROM (SELECT *, 1 AS f FROM fl) a FULL JOIN (SELECT *, 1 AS o FROM orphans) b USING (subject_type, subject_id) GROUP BY 1) SELECT *, " + ratio("correct", "flagged", "precision") + ", " + ratio("correct", "orphans", "recall") + " FROM s"
 
 
-@query("--with " + SCORED + ", s AS (SELECT count(*) AS payments, count(*) FILTER (payment_id NOT IN (SELECT payment_id FROM per_payment WHERE NOT exact)) AS fully_reconciled FROM payments) SELECT *, " + ratio("fully_reconciled", "payments", "rate") + ", " + wilson("fully_reconciled", "payments", "rate") + " FROM s")
-def score_fully_reconciled(t: Inputs) -> DataFrame:
+@query(name="score_fully_reconciled")
+def _score_fully(t: Inputs) -> DataFrame:
     return score.score_fully_reconciled(t.payments, _edges(t))
 
 
-@query("--with " + ID_JOIN + " SELECT reason, count(*) AS n FROM id_open GROUP BY 1")
-def exception_reasons(t: Inputs) -> DataFrame:
-    return score.exception_reasons(t.id_join.where("reason is not null"))
+ORACLE_SQL["score_fully_reconciled"] = SCORED + ", s AS (SELECT count(*) AS payments, count(*) FILTER (payment_id NOT IN (SELECT payment_id FROM per_payment WHERE NOT exact)) AS fully_reconciled FROM payments) SELECT *, " + ratio("fully_reconciled", "payments", "rate") + ", " + wilson("fully_reconciled", "payments", "rate") + " FROM s"
+
+
+@query(name="exception_reasons")
+def _exception_reasons(t: Inputs) -> DataFrame:
+    return score.exception_reasons(t.layered[1])
+
+
+ORACLE_SQL["exception_reasons"] = LAYERED + " SELECT reason, count(*) AS n FROM opened GROUP BY 1"
 
 
 CARD = LAYERED + ", answers AS (SELECT DISTINCT 'identifier_join' AS matcher, link_type, payment_id, counterpart_id FROM id_edges UNION ALL SELECT 'layered', link_type, payment_id, counterpart_id FROM lay_edges" + "".join(f" UNION ALL SELECT matcher, link_type, payment_id, counterpart_id FROM ({_baseline_sql(d).split(PAYMENTS, 1)[1]}) z{int(d)} WHERE counterpart_id IS NOT NULL" for d in (True, False)) + """),
 asked AS (SELECT matcher, link_type, payment_id, counterpart_id FROM truth_edges, (SELECT DISTINCT matcher FROM answers) m),
 joint AS (SELECT matcher, link_type, payment_id, t IS NOT NULL AS in_truth, p IS NOT NULL AS in_pred FROM (SELECT *, 1 AS t FROM asked) a FULL JOIN (SELECT *, 1 AS p FROM answers) b USING (matcher, link_type, payment_id, counterpart_id)),
 pp AS (SELECT matcher, link_type, payment_id, count(*) FILTER (in_truth) AS n_truth, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth AND in_pred) AS n_both, bool_and(in_truth = in_pred) AS exact FROM joint GROUP BY 1, 2, 3),
-s AS (SELECT matcher, link_type, CAST(sum(n_truth) AS BIGINT) AS truth_edges, CAST(sum(n_pred) AS BIGINT) AS predicted_edges, CAST(sum(n_both) AS BIGINT) AS true_positives, count(*) FILTER (n_truth > 0) AS resolvable, count(*) FILTER (n_truth > 0 AND exact) AS exactly_resolved, count(*) FILTER (n_truth > 0 AND n_pred > 0) AS matched FROM pp GROUP BY 1, 2)
-SELECT *, """ + ", ".join((ratio("true_positives", "predicted_edges", "precision"), wilson("true_positives", "predicted_edges", "precision"), ratio("true_positives", "truth_edges", "recall"), wilson("true_positives", "truth_edges", "recall"), ratio("2 * true_positives", "(predicted_edges + truth_edges)", "f1"), ratio("matched", "resolvable", "match_rate"))) + " FROM s"
+s AS (SELECT matcher, link_type, """ + TOTALS + """ FROM pp GROUP BY 1, 2)
+SELECT *, """ + RATES + " FROM s"
 
 
 @query(CARD)
@@ -847,46 +878,39 @@ def scorecard(t: Inputs) -> DataFrame:
 # --- breakdowns ------------------------------------------------------------------------------
 
 
-def _id_matches(t: Inputs) -> DataFrame:
-    rule = F.when(F.col("link_type") == BANK, "l1_utr_column_join").otherwise("l1_order_id_join")
-    return t.id_join.where("counterpart_ids is not null").select("payment_id", "link_type", "counterpart_ids", F.lit("l1_exact").alias("layer"), rule.alias("rule"), F.lit(0.99).alias("confidence"), ids.match_id(F.col("link_type"), F.col("payment_id"), F.col("counterpart_ids"), rule).alias("match_id"))
-
-
-@query("--with " + SCORED + ", tg AS (SELECT DISTINCT payment_id, tag FROM truth_tags WHERE tag <> 'bundled_payout'), nt AS (SELECT payment_id, count(*) AS c FROM tg GROUP BY 1), v AS (SELECT link_type, payment_id, CAST(exact AS INT) AS r FROM per_payment WHERE n_truth > 0), cl AS (SELECT link_type, avg(r) AS clean FROM v WHERE payment_id NOT IN (SELECT payment_id FROM nt) GROUP BY 1), s AS (SELECT link_type, tag, count(*) AS n, CAST(sum(r) AS BIGINT) AS resolved, count(*) FILTER (c = 1) AS isolated_n, CAST(coalesce(sum(r) FILTER (c = 1), 0) AS BIGINT) AS isolated_resolved FROM v JOIN tg USING (payment_id) JOIN nt USING (payment_id) GROUP BY 1, 2) SELECT link_type, tag, n, resolved, " + ratio("resolved", "n", "rate") + ", isolated_n, isolated_resolved, round(isolated_resolved / nullif(isolated_n, 0), 6) AS isolated_rate, " + wilson("isolated_resolved", "isolated_n", "isolated") + ", round(100 * (isolated_resolved / nullif(isolated_n, 0) - clean), 4) AS lift_points FROM s LEFT JOIN cl USING (link_type)")
-def defect_breakdown(t: Inputs) -> DataFrame:
+@query(name="defect_breakdown")
+def _defect_breakdown(t: Inputs) -> DataFrame:
     pay = score.payment_frame(_edges(t)).where("n_truth > 0").select("link_type", "payment_id", F.col("exact").alias("resolved"))
     return breakdown.defect_breakdown(pay, t["truth_tags"])
 
 
-LAYERS = "ly AS (SELECT 'l1_exact' AS layer, CASE WHEN link_type = 'payment_to_bank' THEN 'l1_utr_column_join' ELSE 'l1_order_id_join' END AS rule, link_type, count(*) AS asserted, count(DISTINCT CASE WHEN t = 1 THEN payment_id || counterpart_id END) AS correct FROM id_edges LEFT JOIN (SELECT *, 1 AS t FROM truth_edges) x USING (link_type, payment_id, counterpart_id) GROUP BY ALL)"
+ORACLE_SQL["defect_breakdown"] = SCORED + ", tg AS (SELECT DISTINCT payment_id, tag FROM truth_tags WHERE tag <> 'bundled_payout'), nt AS (SELECT payment_id, count(*) AS c FROM tg GROUP BY 1), v AS (SELECT link_type, payment_id, CAST(exact AS INT) AS r FROM per_payment WHERE n_truth > 0), cl AS (SELECT link_type, avg(r) AS clean FROM v WHERE payment_id NOT IN (SELECT payment_id FROM nt) GROUP BY 1), s AS (SELECT link_type, tag, count(*) AS n, CAST(sum(r) AS BIGINT) AS resolved, count(*) FILTER (c = 1) AS isolated_n, CAST(coalesce(sum(r) FILTER (c = 1), 0) AS BIGINT) AS isolated_resolved FROM v JOIN tg USING (payment_id) JOIN nt USING (payment_id) GROUP BY 1, 2) SELECT link_type, tag, n, resolved, " + ratio("resolved", "n", "rate") + ", isolated_n, isolated_resolved, round(isolated_resolved / nullif(isolated_n, 0), 6) AS isolated_rate, " + wilson("isolated_resolved", "isolated_n", "isolated") + ", round(100 * (isolated_resolved / nullif(isolated_n, 0) - clean), 4) AS lift_points FROM s LEFT JOIN cl USING (link_type)"
+LAYERS = LAYERED + ", ly AS (SELECT layer, rule, link_type, count(*) AS asserted, count(DISTINCT CASE WHEN t = 1 THEN payment_id || counterpart_id END) AS correct FROM (SELECT layer, rule, link_type, payment_id, unnest(cs) AS counterpart_id FROM matches) m LEFT JOIN (SELECT DISTINCT *, 1 AS t FROM truth_edges) x USING (link_type, payment_id, counterpart_id) GROUP BY ALL)"
 
 
-@query("--with " + SCORED + ", " + LAYERS + " SELECT *, " + ratio("correct", "asserted", "precision") + ", " + wilson("correct", "asserted", "precision") + " FROM ly")
+@query(LAYERS + " SELECT *, " + ratio("correct", "asserted", "precision") + ", " + wilson("correct", "asserted", "precision") + " FROM ly")
 def layer_breakdown(t: Inputs) -> DataFrame:
-    return breakdown.layer_breakdown(_id_matches(t), t.truth_edges)
+    return breakdown.layer_breakdown(t.layered[0], t.truth_edges)
 
 
-@query("--with " + SCORED + ", " + LAYERS + " SELECT rule, least(floor(round(correct / asserted, 6) * 100) / 100, 0.99) AS confidence FROM ly")
+@query(LAYERS + " SELECT rule, least(floor(round(correct / asserted, 6) * 100) / 100, 0.99) AS confidence FROM ly")
 def rule_calibration(t: Inputs) -> DataFrame:
-    return score.rule_calibration(breakdown.layer_breakdown(_id_matches(t), t.truth_edges))
+    return score.rule_calibration(breakdown.layer_breakdown(t.layered[0], t.truth_edges))
 
 
-_JUDGED = SCORED + ", ex AS (SELECT 'payment' AS subject_type, payment_id AS subject_id, link_type, reason FROM id_open UNION ALL SELECT 'bank_txn', txn_id, 'payment_to_bank', 'unmatched_counterpart' FROM bank WHERE txn_id NOT IN (SELECT counterpart_id FROM id_edges) UNION ALL SELECT 'invoice', invoice_id, 'payment_to_invoice', 'unmatched_counterpart' FROM invoices WHERE invoice_id NOT IN (SELECT counterpart_id FROM id_edges)), ju AS (SELECT ex.*, CASE WHEN subject_type = 'payment' THEN (link_type, subject_id) NOT IN (SELECT (link_type, payment_id) FROM truth_edges) ELSE (subject_type, subject_id) IN (SELECT (subject_type, subject_id) FROM orphans) END AS ok FROM ex)"
+_JUDGED = LAYERED + ", ju AS (SELECT subject_type, subject_id, link_type, reason, CASE WHEN subject_type = 'payment' THEN (link_type, subject_id) NOT IN (SELECT (link_type, payment_id) FROM truth_edges) ELSE (subject_type, subject_id) IN (SELECT (subject_type, subject_id) FROM orphans) END AS ok FROM opened)"
 
 
 def _judged(t: Inputs) -> DataFrame:
-    open_ = t.id_join.where("reason is not null").select(F.lit("payment").alias("subject_type"), F.col("payment_id").alias("subject_id"), "link_type", "reason")
-    every = open_.unionByName(baselines.unmatched_counterparts(t.id_edges, t.bank, t.invoices))
-    every = every.withColumn("exception_id", ids.exception_id(F.col("subject_type"), F.col("subject_id"), F.col("link_type"), F.col("reason")))
-    return breakdown.judged_exceptions(every, t.truth_edges, t["truth"], t.orphans)
+    return breakdown.judged_exceptions(t.layered[1].select("exception_id", "subject_type", "subject_id", "link_type", "reason"), t.truth_edges, t["truth"], t.orphans)
 
 
-@query("--with " + _JUDGED + " SELECT reason, subject_type, count(*) AS total, count(*) FILTER (ok) AS correctly_raised, count(*) FILTER (NOT ok) AS missed, round(count(*) FILTER (ok) / count(*), 6) AS precision FROM ju GROUP BY 1, 2")
+@query(_JUDGED + " SELECT reason, subject_type, count(*) AS total, count(*) FILTER (ok) AS correctly_raised, count(*) FILTER (NOT ok) AS missed, round(count(*) FILTER (ok) / count(*), 6) AS precision FROM ju GROUP BY 1, 2")
 def exception_breakdown(t: Inputs) -> DataFrame:
     return breakdown.exception_breakdown(_judged(t))
 
 
-@query("SELECT count(*) AS calls, count(*) - count(*) FILTER (b % 10 = 3) AS answered, CAST(sum(100 + b % 50) AS BIGINT) AS input_tokens, CAST(sum(20 + b % 7) AS BIGINT) AS output_tokens, round(sum(CASE WHEN b % 4 = 3 THEN 0.0 ELSE ((100 + b % 50 + 0.10 * (b % 30) + 1.25 * (b % 20)) * 0.5 + (20 + b % 7) * 4.0) / 1000000 END), 6) AS cost_usd, round(sum(CASE WHEN b % 4 = 3 THEN 0.0 ELSE ((100 + b % 50 + 0.10 * (b % 30) + 1.25 * (b % 20)) * 0.5 + (20 + b % 7) * 4.0) / 1000000 END) * 0.1, 6) AS cost_per_100, round(count(*) * 0.1, 6) AS calls_per_100, round(sum(300 + b % 900) / 1000 * 0.1, 6) AS seconds_per_100, bool_and(b % 6 <> 1) AS all_replayed, count(*) FILTER (b % 13 = 2) AS schema_failures, count(*) FILTER (b % 10 IN (3, 4)) AS errors FROM base_batches")
+@query("SELECT count(*) AS calls, count(*) - count(*) FILTER (b % 10 = 3) AS answered, CAST(sum(100 + b % 50) AS BIGINT) AS input_tokens, CAST(sum(20 + b % 7) AS BIGINT) AS output_tokens, round(sum(CASE WHEN b % 4 = 3 THEN 0.0 ELSE ((100 + b % 50 + 0.10 * (b % 30) + 1.25 * (b % 20)) * 0.5 + (20 + b % 7) * 4.0) / 1000000 END), 6) AS cost_usd, round(sum(CASE WHEN b % 4 = 3 THEN 0.0 ELSE ((100 + b % 50 + 0.10 * (b % 30) + 1.25 * (b % 20)) * 0.5 + (20 + b % 7) * 4.0) / 1000000 END) * 0.1, 6) AS cost_per_100, round(count(*) * 0.1, 6) AS calls_per_100, round(sum(300 + b % 900) / 1000 * 0.1, 6) AS seconds_per_100, round(avg(300 + b % 900), 6) AS latency_ms_mean, CAST(77 AS BIGINT) AS records_reaching_layer3, bool_and(b % 6 <> 1) AS all_replayed, count(*) FILTER (b % 13 = 2) AS schema_failures, count(*) FILTER (b % 10 IN (3, 4)) AS errors FROM base_batches")
 def cost_breakdown(t: Inputs) -> DataFrame:
     """A call log derived from the batches, at a price list of one known model."""
     b = F.col("b")
@@ -895,7 +919,7 @@ def cost_breakdown(t: Inputs) -> DataFrame:
         (300 + b % 900).alias("latency_ms"), F.when(b % 10 == 3, "no recorded answer").when(b % 10 == 4, "timeout").alias("error"), (b % 6 != 1).alias("replayed"), (b % 13 != 2).alias("schema_valid"),
     )
     prices = t.spark.createDataFrame([("known", 0.5, 4.0)], "model string, in_rate double, out_rate double")
-    return breakdown.cost_breakdown(calls, prices, 1000)
+    return breakdown.cost_breakdown(calls, prices, 1000, 77)
 
 
 @query()
@@ -919,53 +943,76 @@ def ablation_summary(t: Inputs) -> DataFrame:
 # --- audit and quality -----------------------------------------------------------------------
 
 
-@query("--with " + SCORED + ", te AS (SELECT link_type, payment_id, list(DISTINCT counterpart_id ORDER BY counterpart_id) AS want FROM truth_edges GROUP BY 1, 2), ge AS (SELECT link_type, payment_id, list(counterpart_id ORDER BY counterpart_id) AS got FROM id_edges GROUP BY 1, 2) SELECT link_type, payment_id, array_to_string(got, ',') AS counterparts, coalesce(array_to_string(want, ','), '') AS expected, CASE WHEN list_has_all(coalesce(want, []), got) AND list_has_all(got, coalesce(want, [])) THEN 'correct' WHEN list_has_all(coalesce(want, []), got) THEN 'partial' ELSE 'incorrect' END AS verdict FROM ge LEFT JOIN te USING (link_type, payment_id)")
+@query(LAYERED + ", te AS (SELECT link_type, payment_id, list(DISTINCT counterpart_id ORDER BY counterpart_id) AS want FROM truth_edges GROUP BY 1, 2) SELECT link_type, payment_id, array_to_string(cs, ',') AS counterparts, coalesce(array_to_string(want, ','), '') AS expected, CASE WHEN list_has_all(coalesce(want, []), cs) AND list_has_all(cs, coalesce(want, [])) THEN 'correct' WHEN list_has_all(coalesce(want, []), cs) THEN 'partial' ELSE 'incorrect' END AS verdict FROM matches LEFT JOIN te USING (link_type, payment_id)")
 def match_verdicts(t: Inputs) -> DataFrame:
-    return audit.match_verdicts(_id_matches(t), t.truth_edges).select("link_type", "payment_id", "counterparts", "expected", "verdict")
+    return audit.match_verdicts(t.layered[0], t.truth_edges).select("link_type", "payment_id", "counterparts", "expected", "verdict")
 
 
-@query("--with " + _JUDGED + " SELECT subject_type, subject_id, link_type, reason, CASE WHEN ok THEN 'rightly_open' ELSE 'missed' END AS verdict FROM ju")
+@query(_JUDGED + " SELECT subject_type, subject_id, link_type, reason, CASE WHEN ok THEN 'rightly_open' ELSE 'missed' END AS verdict FROM ju")
 def exception_verdicts(t: Inputs) -> DataFrame:
     return audit.exception_verdicts(_judged(t)).drop("exception_id")
 
 
-@query("--with " + ID_JOIN + ", ct AS (SELECT txn_id AS counterpart_id, credit AS counterpart_amount, value_date AS counterpart_date, narration AS said FROM bank UNION ALL SELECT invoice_id, invoice_amount, issue_date, coalesce(order_id, '') FROM invoices) SELECT link_type, payment_id, counterpart_id, counterpart_amount, counterpart_date, lower(payment_id || ' ' || coalesce(order_id, '') || ' ' || counterpart_id || ' ' || CASE WHEN link_type = 'payment_to_bank' THEN 'l1_utr_column_join' ELSE 'l1_order_id_join' END || ' ' || said) AS searchable FROM id_edges JOIN ct USING (counterpart_id) JOIN payments USING (payment_id)")
+@query(LAYERED + ", ct AS (SELECT txn_id AS counterpart_id, credit AS counterpart_amount, value_date AS counterpart_date, narration AS said FROM bank UNION ALL SELECT invoice_id, invoice_amount, issue_date, coalesce(order_id, '') FROM invoices) SELECT link_type, payment_id, counterpart_id, counterpart_amount, counterpart_date, lower(payment_id || ' ' || coalesce(order_id, '') || ' ' || counterpart_id || ' ' || rule || ' ' || said) AS searchable FROM (SELECT link_type, payment_id, rule, unnest(cs) AS counterpart_id FROM matches) m JOIN ct USING (counterpart_id) JOIN payments USING (payment_id)")
 def audit_rows(t: Inputs) -> DataFrame:
-    return audit.audit_rows(_id_matches(t), t.payments, t.bank, t.invoices).select("link_type", "payment_id", "counterpart_id", "counterpart_amount", "counterpart_date", "searchable")
+    return audit.audit_rows(t.layered[0], t.payments, t.bank, t.invoices).select("link_type", "payment_id", "counterpart_id", "counterpart_amount", "counterpart_date", "searchable")
 
 
-@query()
+TRACED = "pay_00000000000003"
+
+
+@query(LAYERED + f" SELECT 'match' AS kind, link_type, rule AS about, CAST(unnest(range(len(evidence))) AS INT) AS line, unnest(evidence) AS text FROM matches WHERE payment_id = '{TRACED}' UNION ALL SELECT 'exception', link_type, reason, CAST(unnest(range(len(evidence))) AS INT), unnest(evidence) FROM opened WHERE subject_type = 'payment' AND subject_id = '{TRACED}'")
 def trace_payment(t: Inputs) -> DataFrame:
-    return audit.trace_payment(*t.layered, "pay_00000000000003")
+    return audit.trace_payment(*t.layered, TRACED)
 
 
-@query("--with " + PAYMENTS + " SELECT 'net_of_deductions' AS rule, payment_id AS subject_id, CAST(gross - fee - tax - tds - net AS VARCHAR) AS detail FROM payments WHERE gross - fee - tax - tds <> net UNION ALL SELECT 'gross_positive', payment_id, CAST(gross AS VARCHAR) FROM payments WHERE gross <= 0")
+_HURT = "hurt AS (SELECT payment_id, CASE WHEN payment_id LIKE '%9' THEN -gross ELSE gross END AS gross, fee, tax, tds, CASE WHEN payment_id LIKE '%7' THEN net + 1 ELSE net END AS net FROM payments)"
+
+
+@query("--with " + PAYMENTS + "," + _HURT + " SELECT 'net_of_deductions' AS rule, payment_id AS subject_id, CAST(gross - fee - tax - tds - net AS VARCHAR) AS detail FROM hurt WHERE gross - fee - tax - tds <> net UNION ALL SELECT 'gross_positive', payment_id, CAST(gross AS VARCHAR) FROM hurt WHERE gross <= 0")
 def check_money_invariants(t: Inputs) -> DataFrame:
-    return quality.check_money_invariants(t.payments)
+    """Over payments of which some are spoiled: gross negative, net a paisa off."""
+    hurt = t.payments.withColumns({"gross": F.when(F.col("payment_id").endswith("9"), -F.col("gross")).otherwise(F.col("gross")), "net": F.when(F.col("payment_id").endswith("7"), F.col("net") + 1).otherwise(F.col("net"))})
+    return quality.check_money_invariants(hurt)
 
 
-@query("--with " + BATCHES + ", pr AS (SELECT DISTINCT settlement_id, counterpart_id AS txn_id FROM truth_bank), tg AS (SELECT DISTINCT settlement_id FROM batches WHERE has_duplicate_refund_rows) SELECT 'credit_is_total' AS rule, settlement_id AS subject_id, CAST(credit - greatest(0, expected_credit) AS VARCHAR) AS detail FROM pr JOIN bank USING (txn_id) JOIN batches USING (settlement_id) LEFT JOIN (SELECT *, 1 AS t FROM tg) g USING (settlement_id) WHERE abs(credit - greatest(0, expected_credit)) > CASE WHEN t = 1 THEN 5 ELSE 0 END")
+@query("--with " + BATCHES + "," + PAYMENTS + ", early AS (SELECT * REPLACE (CAST(CASE WHEN expected_credit % 3 = 0 THEN settled_date - 3 ELSE settled_date END AS DATE) AS settled_date) FROM batches), pr AS (SELECT DISTINCT settlement_id, counterpart_id AS txn_id FROM truth_bank), tg AS (SELECT DISTINCT settlement_id FROM batches WHERE has_duplicate_refund_rows), lc AS (SELECT settlement_id, max(captured_on) AS last FROM (SELECT unnest(sids) AS settlement_id, captured_on FROM payments) x GROUP BY 1) SELECT 'credit_is_total' AS rule, settlement_id AS subject_id, CAST(credit - greatest(0, expected_credit) AS VARCHAR) AS detail FROM pr JOIN bank USING (txn_id) JOIN early USING (settlement_id) LEFT JOIN (SELECT *, 1 AS t FROM tg) g USING (settlement_id) WHERE abs(credit - greatest(0, expected_credit)) > CASE WHEN t = 1 THEN 5 ELSE 0 END UNION ALL SELECT 'settled_after_capture', settlement_id, CAST(last AS VARCHAR) FROM early JOIN lc USING (settlement_id) WHERE settled_date < last")
 def check_batch_tieout(t: Inputs) -> DataFrame:
-    return quality.check_batch_tieout(t.batches, t.bank, t["truth_bank"], t.batches.where("has_duplicate_refund_rows").select("settlement_id"))
+    """Over batches of which some are said to settle three days earlier."""
+    early = t.batches.withColumn("settled_date", F.when(F.col("expected_credit") % 3 == 0, F.date_sub("settled_date", 3)).otherwise(F.col("settled_date")))
+    return quality.check_batch_tieout(early, t.bank, t["truth_bank"], t.batches.where("has_duplicate_refund_rows").select("settlement_id"), t.payments)
 
 
-@query("--with " + PAYMENTS + ", " + TRUTH + " SELECT 'counterpart_exists' AS rule, counterpart_id AS subject_id, payment_id AS detail FROM truth_edges WHERE counterpart_id NOT IN (SELECT txn_id FROM bank UNION ALL SELECT invoice_id FROM invoices) UNION ALL SELECT 'payment_in_report', payment_id, '' FROM truth WHERE payment_id NOT IN (SELECT payment_id FROM payments) UNION ALL SELECT 'payment_in_truth', payment_id, '' FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM truth)")
+@query("--with " + PAYMENTS + ", " + TRUTH + ", kb AS (SELECT * FROM bank WHERE credit % 10 <> 3), ki AS (SELECT * FROM invoices WHERE invoice_amount % 10 <> 3), kp AS (SELECT * FROM payments WHERE gross % 10 <> 3), kt AS (SELECT * FROM truth WHERE gross % 10 <> 4) SELECT 'counterpart_exists' AS rule, counterpart_id AS subject_id, payment_id AS detail FROM truth_edges WHERE counterpart_id NOT IN (SELECT txn_id FROM kb UNION ALL SELECT invoice_id FROM ki) UNION ALL SELECT 'orphan_exists', subject_id, subject_type FROM orphans WHERE subject_id NOT IN (SELECT txn_id FROM kb UNION ALL SELECT invoice_id FROM ki) UNION ALL SELECT 'payment_in_report', payment_id, '' FROM kt WHERE payment_id NOT IN (SELECT payment_id FROM kp) UNION ALL SELECT 'payment_in_truth', payment_id, '' FROM kp WHERE payment_id NOT IN (SELECT payment_id FROM kt) UNION ALL SELECT 'one_split', payment_id, '' FROM kt WHERE gross % 100 = 50")
 def check_references(t: Inputs) -> DataFrame:
-    return quality.check_references(t.payments, t["truth"], t.truth_edges, t.bank, t.invoices)
+    """Over tables of which some rows are taken away, and a truth that puts some payments into a second split."""
+    truth = t["truth"].where("gross % 10 <> 4")
+    truth = truth.unionByName(truth.where("gross % 100 = 50").withColumn("split", F.lit("third")))
+    return quality.check_references(t.payments.where("gross % 10 <> 3"), truth, t.truth_edges.distinct(), t.bank.where("credit % 10 <> 3"), t.invoices.where("invoice_amount % 10 <> 3"), t.orphans)
+
+
+_BATCH_TAGS = "bt AS (SELECT b AS batch, 'narration_opaque' AS tag FROM base_batches WHERE b % 11 IN (0, 3, 4, 5) UNION ALL SELECT b, 'phantom_refund' FROM base_batches WHERE b % 11 = 5 UNION ALL SELECT b, 'no_bank_credit' FROM base_batches WHERE b % 37 = 9)"
+_WANTED = ("narration_opaque", "fx_adjustment", "order_id_case", "phantom_refund", "late_invoice")
 
 
-@query("SELECT w.tag FROM (VALUES ('narration_opaque'), ('fx_adjustment'), ('order_id_case')) w(tag) WHERE w.tag NOT IN (SELECT tag FROM truth_tags)")
+def _batch_tags(t: Inputs) -> DataFrame:
+    b = F.col("b")
+    tags = F.array_compact(F.array(F.when((b % 11).isin(0, 3, 4, 5), "narration_opaque"), F.when(b % 11 == 5, "phantom_refund"), F.when(b % 37 == 9, "no_bank_credit")))
+    return t["base_batches"].select(b.alias("batch"), F.explode(tags).alias("tag"))
+
+
+@query("--with " + _BATCH_TAGS + " SELECT w.tag FROM (VALUES " + ", ".join(f"('{x}')" for x in _WANTED) + ") w(tag) WHERE w.tag NOT IN (SELECT tag FROM truth_tags UNION ALL SELECT tag FROM bt)")
 def check_defect_coverage(t: Inputs) -> DataFrame:
-    wanted = t.spark.createDataFrame([("narration_opaque",), ("fx_adjustment",), ("order_id_case",)], "tag string")
-    return quality.check_defect_coverage(t["truth_tags"], wanted)
+    wanted = t.spark.createDataFrame([(x,) for x in _WANTED], "tag string")
+    return quality.check_defect_coverage([t["truth_tags"].where("kind = 'own'"), _batch_tags(t), t["truth_tags"].where("kind = 'batch'")], wanted)
 
 
 # --- corpora ---------------------------------------------------------------------------------
 
 
-@query("SELECT 'tag_' || kind AS kind, tag AS name, count(DISTINCT payment_id) AS n FROM truth_tags GROUP BY 1, 2 UNION ALL SELECT 'rows', 'gateway', count(*) FROM gateway UNION ALL SELECT 'rows', 'bank', count(*) FROM bank UNION ALL SELECT 'rows', 'invoices', count(*) FROM invoices")
+@query("--with " + _BATCH_TAGS + " SELECT 'tag_' || kind AS kind, tag AS name, count(DISTINCT payment_id) AS n FROM truth_tags GROUP BY 1, 2 UNION ALL SELECT 'tag_of_batches', tag, count(DISTINCT batch) FROM bt GROUP BY 2 UNION ALL SELECT 'rows', 'gateway', count(*) FROM gateway UNION ALL SELECT 'rows', 'bank', count(*) FROM bank UNION ALL SELECT 'rows', 'invoices', count(*) FROM invoices")
 def corpus_counts(t: Inputs) -> DataFrame:
-    return corpus.corpus_counts({n: t[n] for n in ("gateway", "bank", "invoices")}, t["truth_tags"])
+    return corpus.corpus_counts({n: t[n] for n in ("gateway", "bank", "invoices")}, t["truth_tags"], _batch_tags(t))
 
 
 MIX = "mx AS (SELECT split, tag, n, round(n / p, 6) AS share FROM (SELECT split, tag, count(DISTINCT payment_id) AS n FROM truth_tags JOIN truth USING (payment_id) GROUP BY 1, 2) a JOIN (SELECT split, count(DISTINCT payment_id) AS p FROM truth GROUP BY 1) b USING (split))"
@@ -1001,19 +1048,26 @@ def stratified_component_split(t: Inputs) -> DataFrame:
     return corpus.stratified_component_split(profile.unionByName(tags), {"dev": 0.6, "holdout": 0.4})
 
 
-@query("SELECT entity_id, settlement_id, CASE WHEN batch_no % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split FROM gateway")
+_DRAW = "CASE WHEN CAST('0x' || substr(sha1('0|' || {0}), 1, 8) AS BIGINT) % 10 < 6 THEN 'dev' ELSE 'holdout' END"
+
+
+@query("--with sp AS (SELECT DISTINCT settlement_id, CASE WHEN batch_no % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split FROM gateway), rd AS (SELECT DISTINCT payment_id, split FROM gateway JOIN sp USING (settlement_id) WHERE payment_id IS NOT NULL), cr AS (SELECT DISTINCT counterpart_id AS txn_id, split FROM truth_bank JOIN sp USING (settlement_id) UNION SELECT txn_id, " + _DRAW.format("txn_id") + " FROM orphan_bank), iv AS (SELECT counterpart_id AS invoice_id, split FROM truth_invoice JOIN rd USING (payment_id) UNION SELECT invoice_id, " + _DRAW.format("invoice_id") + " FROM orphan_invoices) SELECT 'gateway' AS part, entity_id AS id, split, settlement_id AS detail FROM gateway JOIN sp USING (settlement_id) UNION ALL SELECT 'bank', txn_id, split, CAST(CAST(1000000 + sum(credit - debit) OVER (PARTITION BY split ORDER BY value_date, txn_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS VARCHAR) FROM bank JOIN cr USING (txn_id) UNION ALL SELECT 'invoices', invoice_id, split, customer_id FROM invoices JOIN iv USING (invoice_id)")
 def apply_split(t: Inputs) -> DataFrame:
+    """Report, statement with a fresh balance, and ledger of both splits; batches of even number are in one."""
     split = t["gateway"].select("settlement_id", F.when(F.col("batch_no") % 2 == 0, "dev").otherwise("holdout").alias("split")).distinct()
-    return corpus.apply_split(t["gateway"], split).select("entity_id", "settlement_id", "split")
+    shares = {"dev": 6, "holdout": 4}
+    links = {"bank": t["truth_bank"].select("settlement_id", F.col("counterpart_id").alias("txn_id")), "invoices": t["truth_invoice"].select("payment_id", F.col("counterpart_id").alias("invoice_id"))}
+    extras = {"bank": corpus.deal_extras(t["orphan_bank"], "txn_id", shares), "invoices": corpus.deal_extras(t["orphan_invoices"], "invoice_id", shares)}
+    parts = corpus.apply_split({n: t[n] for n in ("gateway", "bank", "invoices")}, split, links, extras, 1_000_000)
+    shown = [parts[n].select(F.lit(n).alias("part"), F.col(i).alias("id"), "split", F.col(d).cast("string").alias("detail")) for n, i, d in (("gateway", "entity_id", "settlement_id"), ("bank", "txn_id", "balance"), ("invoices", "invoice_id", "customer_id"))]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
-@query()
+@query("SELECT txn_id, " + _DRAW.format("txn_id") + " AS split FROM orphan_bank")
 def deal_extras(t: Inputs) -> DataFrame:
     return corpus.deal_extras(t["orphan_bank"], "txn_id", {"dev": 6, "holdout": 4})
 
 
-@query("SELECT DISTINCT payment_id, tag FROM (SELECT payment_id, b1 AS b FROM truth UNION ALL SELECT payment_id, b2 FROM truth WHERE b2 IS NOT NULL) x JOIN (SELECT b, 'narration_opaque' AS tag FROM base_batches WHERE b % 11 IN (0, 3, 4, 5) UNION ALL SELECT b, 'phantom_refund' FROM base_batches WHERE b % 11 = 5) y USING (b)")
+@query("--with " + _BATCH_TAGS + " SELECT DISTINCT payment_id, tag FROM (SELECT payment_id, b1 AS batch FROM truth UNION ALL SELECT payment_id, b2 FROM truth WHERE b2 IS NOT NULL) x JOIN bt USING (batch) WHERE tag <> 'no_bank_credit'")
 def propagate_batch_tags(t: Inputs) -> DataFrame:
-    b = F.col("b")
-    tags = F.array_compact(F.array(F.when((b % 11).isin(0, 3, 4, 5), "narration_opaque"), F.when(b % 11 == 5, "phantom_refund"), F.when(b % 37 == 9, "no_bank_credit")))
-    return corpus.propagate_batch_tags(_payment_batches(t), t["base_batches"].select(b.alias("batch"), F.explode(tags).alias("tag")))
+    return corpus.propagate_batch_tags(_payment_batches(t), _batch_tags(t))

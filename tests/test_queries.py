@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from settlematch.plans.queries import ORACLE_SQL, QUERIES
+from settlematch.plans.queries import MAKERS, ORACLE_SQL, QUERIES, Inputs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -35,9 +35,15 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def inputs(spark):
+    """Tables that the queries build on are made once for all of them."""
+    return Inputs(spark, SF)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+def test_query(inputs, duck, name):
+    df = MAKERS[name](inputs)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(columns).collect()), key=order)
     if name not in ORACLE_SQL:
