@@ -1,19 +1,22 @@
 import datetime as dt
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from settlematch.operators import assemble, baselines, breakdown, decisions, exact, fuzzy, score, views
-from settlematch.operators.assign import greedy, greedy_assign
+from settlematch import storage
+from settlematch.operators import assemble, baselines, breakdown, corpus, decisions, exact, fuzzy, score, views
+from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
 
 DAY = dt.date(2026, 2, 5)
 UTR = "HDFC000000000001"
 PAY = "payment_id string, order_id string, order_receipt string, gross long, net long, settlement_ids array<string>, settlement_utrs array<string>, settled_dates array<date>, captured_on date"
-BATCH = "settlement_id string, utr string, settled_date date, expected_credit long, expected_credit_dedup long"
+BATCH = "settlement_id string, utr string, settled_date date, expected_credit long, expected_credit_dedup long, payment_ids array<string>, has_duplicate_refund_rows boolean"
 BANK = "txn_id string, value_date date, narration string, utr string, credit long, debit long"
-INV = "invoice_id string, order_id string, invoice_amount long, issue_date date"
+INV = "invoice_id string, order_id string, invoice_amount long, issue_date date, customer_id string"
 
 
 def payment(spark, *rows):
@@ -22,7 +25,7 @@ def payment(spark, *rows):
 
 
 def batch(spark, *rows):
-    base = {"settlement_id": "setl_1", "utr": UTR, "settled_date": DAY, "expected_credit": 97000, "expected_credit_dedup": 97000}
+    base = {"settlement_id": "setl_1", "utr": UTR, "settled_date": DAY, "expected_credit": 97000, "expected_credit_dedup": 97000, "payment_ids": ["pay_1"], "has_duplicate_refund_rows": False}
     return spark.createDataFrame([tuple((base | r).values()) for r in rows], BATCH)
 
 
@@ -32,7 +35,7 @@ def bank(spark, *rows):
 
 
 def invoice(spark, *rows):
-    base = {"invoice_id": "INV-2026-00001", "order_id": "order_1", "invoice_amount": 100000, "issue_date": dt.date(2026, 2, 3)}
+    base = {"invoice_id": "INV-2026-00001", "order_id": "order_1", "invoice_amount": 100000, "issue_date": dt.date(2026, 2, 3), "customer_id": "cust_0001"}
     return spark.createDataFrame([tuple((base | r).values()) for r in rows], INV)
 
 
@@ -87,6 +90,37 @@ def test_window_without_pairs_is_the_same_assignment(spark):
     assert pairs(fuzzy.assign_invoices(pay, inv)) == by_pairs and len(by_pairs) > 20
 
 
+def test_window_narrowing_is_exact_on_common_prices(spark):
+    for seed, days, sold in ((1, 40, 400), (2, 200, 150), (3, 12, 300)):
+        rng = random.Random(seed)
+        subjects = {f"p{i:03}": (rng.randrange(2), rng.randrange(days)) for i in range(300)}
+        rows = {f"c{i:03}": (rng.randrange(2), rng.randrange(days)) for i in range(sold)}
+        edges = {(rng.choice(list(subjects)), rng.randrange(3), c) for c in rows if rng.random() < 0.7}
+        want = sorted((s, c) for s, _, c in greedy(list(edges), subjects, rows, 3, 14))
+        window = DayWindow("r3", 3, 14, spark.createDataFrame([(k, *v) for k, v in subjects.items()], "subject_id string, amount long, day int"), spark.createDataFrame([(k, *v) for k, v in rows.items()], "counterpart_id string, amount long, day int"))
+        pairs_ = spark.createDataFrame([(s, r, f"r{r}", c) for s, r, c in edges], "subject_id string, rank int, rule string, counterpart_id string")
+        assert pairs(greedy_assign(pairs_, window)) == want
+
+
+def test_a_price_sold_daily_leaves_few_live_subjects():
+    """Ten years of one price: the more a day, the fewer subjects can win by the window, and none is more than a short run."""
+    for per_day in (1, 3, 20):
+        rng = random.Random(per_day)
+        ids = [f"{rng.random():.9f}" for _ in range(3650 * per_day)]
+        subjects, firsts = {}, {}
+        for i, own in enumerate(ids):
+            subjects.setdefault(i // per_day, []).append(own)
+            firsts.setdefault(i // per_day - rng.randrange(15), []).append(own if rng.random() < 0.75 else NEVER)
+        top = [{d: sorted(x, reverse=True)[:TOP] for d, x in side.items()} for side in (firsts, subjects)]
+        size = latest_winners(*top, 14)
+        live = sorted(d for d, n in size.items() if n)
+        run, longest = 0, 0
+        for a, b in zip([-99, *live], live, strict=False):
+            run = run + size[b] if b - a <= 14 else size[b]
+            longest = max(longest, run)
+        assert longest <= 20 and sum(size.values()) < 100
+
+
 def test_assignment_of_nothing(spark):
     assert pairs(greedy_assign(spark.createDataFrame([], "subject_id string, rank int, rule string, counterpart_id string"))) == []
 
@@ -115,7 +149,8 @@ def test_split_payment_is_tied_in_part(spark):
     matches, open_ = assemble.run_layered(pay, batch(spark, {}, {"settlement_id": "setl_2", "utr": "HDFC000000000002", "expected_credit": 1, "expected_credit_dedup": 1}), bank(spark, {}), invoice(spark, {}))
     found = {r["link_type"]: r for r in matches.collect()}
     assert found[baselines.BANK]["counterpart_ids"] == ["bank_1"]
-    assert found[baselines.BANK]["evidence"][-1].startswith("only 1 of 2")
+    assert found[baselines.BANK]["evidence"][-1].startswith("tied: 1 of 2")
+    assert found[baselines.BANK]["source_records"] == {"gateway": ["pay_1"], "settlement": ["setl_1", "setl_2"], "bank": ["bank_1"]}
     assert [(r["subject_id"], r["reason"]) for r in open_.collect()] == [("pay_1", "no_candidate")]
     whole = baselines.baseline_id_join(pay, bank(spark, {}), invoice(spark, {})).where(F.col("link_type") == baselines.BANK).head()
     assert (whole["counterpart_ids"], whole["reason"]) == (None, "ambiguous_candidates")
@@ -150,13 +185,83 @@ def test_views(spark):
     assert [r["entity_id"] for r in views.duplicate_refund_rows(gateway).collect()] == ["r2"]
 
 
-def test_decisions(spark):
-    rows = [("a", '{"chosen_id":"x","confidence":1.0,"reasoning":"r"}'), ("b", '{"chosen_id":"x","confidence":1.0,"reasoning":"r"}'), ("c", '{"chosen_id":null,"confidence":0.1,"reasoning":"r"}'), ("d", "oops"), ("e", '{"chosen_id":"z","confidence":0.5,"reasoning":"r"}'), ("f", '{"chosen_id":"x","confidence":2,"reasoning":"r"}'), ("g", '{"chosen_id":"x","confidence":0.5,"reasoning":"r","more":1}')]
+def answered(spark, questions, *replies):
+    """A transcript of (subject, reply) for questions by subject, each reply the fields of a decision or a raw text."""
+    rows = [(f"bank:{s}", q, i, r if isinstance(r, str) else json.dumps({"reasoning": "r"} | r), None) for i, (s, q, r) in enumerate((s, questions[s], r) for s, r in replies)]
+    return spark.createDataFrame(rows, "purpose string, prompt_hash string, seq int, response_text string, error string")
+
+
+def asked(choices, **kw):
+    return {r["subject_id"]: r["prompt_hash"] for r in decisions.l3_render_questions(choices, **kw).collect()}
+
+
+def test_decisions_are_checked(spark):
+    rows = [("a", '{"chosen_id":"x","confidence":1.0,"reasoning":"r"}'), ("d", "oops"), ("f", '{"chosen_id":"x","confidence":2,"reasoning":"r"}'), ("g", '{"chosen_id":"x","confidence":0.5,"reasoning":"r","more":1}'), ("h", '{"chosen_id":null,"confidence":0.5,"reasoning":"' + "r" * 1201 + '"}')]
     valid = decisions.l3_validate_decision(spark.createDataFrame(rows, "subject_id string, response_text string"))
-    assert {r["subject_id"] for r in valid.where("not valid").collect()} == {"d", "f", "g"}
-    offered = spark.createDataFrame([(s, "x") for s in "abcde"], "subject_id string, counterpart_id string")
-    out = {r["subject_id"]: (r["outcome"], r["confidence"]) for r in decisions.l3_accept(valid, offered).collect()}
-    assert out == {"a": ("accepted", 0.85), "b": ("not_offered", None), "c": ("declined", None), "e": ("not_offered", None)}
+    assert {r["subject_id"] for r in valid.where("not valid").collect()} == {"d", "f", "g", "h"}
+
+
+def test_decisions_take_turns(spark):
+    """One credit, several batches: the first named has it, and the next is asked without it."""
+    batches = batch(spark, *[{"settlement_id": f"setl_{i}", "utr": None} for i in range(1, 7)])
+    credits = bank(spark, {"utr": None, "credit": 96500}, {"txn_id": "bank_2", "utr": None, "credit": 96400}, {"txn_id": "bank_3", "credit": 98000}, {"txn_id": "bank_4", "credit": 77000})
+    choices = decisions.bank_choices(batches, credits)
+    assert {r["counterpart_id"] for r in choices.collect()} == {"bank_1", "bank_2"}  # above the total or far below it: not offered
+    assert "short by 5.00 (0.52%)" in choices.where("counterpart_id = 'bank_1'").head()["line"] and "setl_2 970.00" in choices.where("subject_id = 'setl_1'").head()["tail"]
+    full, rest = asked(choices), asked(choices.where("counterpart_id <> 'bank_1'"))
+    log = answered(spark, full, ("setl_1", {"chosen_id": "bank_1", "confidence": 1.0}), ("setl_2", {"chosen_id": "bank_1", "confidence": 1.0}))
+    log = log.unionByName(answered(spark, rest, ("setl_3", {"chosen_id": None, "confidence": 0.2}), ("setl_4", {"chosen_id": "bank_9", "confidence": 0.6}), ("setl_5", "no answer")))
+    got = {r["subject_id"]: r for r in decisions.decide_in_turn(choices, log).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"setl_1": "accepted", "setl_2": "missed", "setl_3": "declined", "setl_4": "not_offered", "setl_5": "invalid"}
+    assert got["setl_1"]["offered"] == 2 and got["setl_2"]["offered"] == 1
+    links, declines = assemble.decided(decisions.decide_in_turn(choices, log), "rule")
+    assert [(r["subject_id"], r["counterpart_id"], r["confidence"]) for r in links.collect()] == [("setl_1", "bank_1", 0.85)]
+    told = {r["subject_id"]: " ".join(r["declined"]) for r in declines.collect()}
+    assert told.keys() == {"setl_3", "setl_4"} and "bank_9, which was not on offer" in told["setl_4"]
+
+
+def test_turns_equal_one_pass(spark):
+    """Against a plain loop over all subjects, whatever the partitions."""
+    rng = random.Random(4)
+    pay = payment(spark, *[{"payment_id": f"p{i:02}", "order_id": None, "gross": rng.choice([1000, 1010, 5000]), "captured_on": DAY + dt.timedelta(rng.randrange(60))} for i in range(40)])
+    inv = invoice(spark, *[{"invoice_id": f"INV-2026-{i:05}", "order_id": None, "invoice_amount": rng.choice([1000, 1100, 5100]), "issue_date": DAY + dt.timedelta(rng.randrange(60))} for i in range(60)])
+    choices = decisions.invoice_choices(pay, inv)
+    rows, text = {}, {}
+    for r in choices.collect():
+        rows.setdefault(r["subject_id"], []).append((r["counterpart_id"], r["line"]))
+        text[r["subject_id"]] = r["head"]
+    taken, log, want = set(), [], {}
+    for s in sorted(rows):
+        free = [x for x in sorted(rows[s]) if x[0] not in taken][:12]
+        if not free:
+            continue
+        key = hashlib.sha256((decisions.INVOICE_SYSTEM + "\0" + text[s] + "\n" + "\n".join(x for _, x in free)).encode()).hexdigest()[:20]
+        kind = rng.randrange(4)
+        if kind == 0 and rng.random() < 0.5:
+            continue  # never asked
+        chosen = rng.choice(free)[0] if kind else None
+        log.append((f"invoice:{s}", key if kind < 3 else f"another {s}", len(log), json.dumps({"chosen_id": chosen, "confidence": 0.5, "reasoning": ""}), None))
+        want[s] = "missed" if kind == 3 else "declined" if chosen is None else chosen
+        if kind in (1, 2):
+            taken.add(chosen)
+    log = spark.createDataFrame(log, "purpose string, prompt_hash string, seq int, response_text string, error string").repartition(5)
+    got = decisions.decide_in_turn(choices.repartition(7), log, system=decisions.INVOICE_SYSTEM, most=12).collect()
+    assert {r["subject_id"]: r["chosen_id"] if r["outcome"] == "accepted" else r["outcome"] for r in got} == want and len(taken) > 8
+
+
+def test_declines_reach_the_exceptions(spark):
+    pay, batches, credits, ledger = payment(spark, {"order_id": None}), batch(spark, {"utr": None}), bank(spark, {"utr": None, "narration": "x", "credit": 96000}), invoice(spark, {"order_id": None, "invoice_amount": 500000})
+    log = answered(spark, asked(decisions.bank_choices(batches, credits)), ("setl_1", {"chosen_id": None, "confidence": 0.3}))
+    matches, open_ = assemble.run_layered(pay, batches, credits, ledger, transcript=log)
+    assert matches.count() == 0
+    found = {(r["subject_type"], r["link_type"]): r for r in open_.collect()}
+    refused = found["payment", baselines.BANK]
+    assert (refused["reason"], refused["layer_reached"], refused["candidates_considered"]) == ("llm_declined", "l3_llm", 0) and "its confidence 0.30" in refused["evidence"][-1]
+    assert found["payment", baselines.INVOICE]["reason"] == "no_candidate" and found["bank_txn", baselines.BANK]["layer_reached"] == "l3_llm"
+    log = answered(spark, asked(decisions.bank_choices(batches, credits)), ("setl_1", {"chosen_id": "bank_1", "confidence": 0.9, "inferred_deduction_paise": 1000}))
+    matches, _ = assemble.run_layered(pay, batches, credits, ledger, transcript=log)
+    r = matches.head()
+    assert (r["layer"], r["rule"], round(r["confidence"], 4)) == ("l3_llm", "l3_llm_batch_disambiguation", 0.765) and "it explains a shortfall of 10.00" in r["evidence"]
 
 
 def test_transcript_keeps_the_last_good_answer(spark):
@@ -186,3 +291,53 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     pay = payment(spark, *[{"payment_id": f"p{i}", "order_id": None, "gross": 100} for i in range(5)]).repartition(parts)
     inv = invoice(spark, *[{"invoice_id": f"INV-2026-0000{i}", "order_id": None, "invoice_amount": 100} for i in range(1)]).repartition(parts)
     assert pairs(fuzzy.assign_invoices(pay, inv)) == [("p0", "INV-2026-00000")]
+
+
+def test_balances_run_by_split(spark):
+    rows = [(f"t{i}", s, DAY + dt.timedelta(i % 3), 10 * i, i) for i in range(9) for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "txn_id string, split string, value_date date, credit long, debit long")
+    got = {(r["txn_id"], r["split"]): r["balance"] for r in views.running_balance(df, 100, by=["split"]).collect()}
+    for split in ("a", "b"):
+        balance = 100
+        for t, _, _, credit, debit in sorted((r for r in rows if r[1] == split), key=lambda r: (r[2], r[0])):
+            balance += credit - debit
+            assert got[t, split] == balance
+
+
+def test_component_split_is_the_greedy_one(spark):
+    rng = random.Random(7)
+    profile = {i: {"payments": rng.choice([1, 1, 1, 2, 5, 9]), "tag": rng.choice([0, 0, 1])} for i in range(120)}
+    rows = [(i, k, v) for i, p in profile.items() for k, v in p.items()]
+    quotas = {"dev": 0.63, "holdout": 0.37}
+    got = {r["component"]: r["split"] for r in corpus.stratified_component_split(spark.createDataFrame(rows, "component long, stratum string, n long"), quotas, each=7).collect()}
+    assert got.keys() == profile.keys()
+    total = {k: sum(p[k] for p in profile.values()) for k in ("payments", "tag")}
+    filled, want = {s: dict.fromkeys(total, 0) for s in quotas}, {}
+    text = {i: ";".join(f"{k}={v}" for k, v in sorted(p.items()) if v) for i, p in profile.items()}
+    for i in sorted(profile, key=lambda i: (-profile[i]["payments"], text[i])):
+        cost = {s: sum((8 if k == "payments" else 1) * ((filled[s][k] + profile[i][k]) / (t * quotas[s])) ** 2 for k, t in total.items()) for s in quotas}
+        best = min(sorted(cost), key=lambda s: cost[s])
+        want.setdefault(text[i], []).append(best)
+        for k in total:
+            filled[best][k] += profile[i][k]
+    for t, splits in want.items():
+        assert sorted(splits) == sorted(got[i] for i in profile if text[i] == t)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
