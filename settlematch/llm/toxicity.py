@@ -199,7 +199,7 @@ def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, flo
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, strength: float = 50.0, least_z: float = 4.5, least_odds: float = 1.0, drift: float = -0.05, significance: float = 0.05) -> Scorer:
+def train(documents: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, strength: float = 50.0, least_z: float = 3.5, least_odds: float = 1.0, drift: float = -0.05, significance: float = 0.05) -> Scorer:
     """Fit on at most 2 x ``per_class`` labelled texts, near copies counting once.
 
     Words are counted and tested by Spark; the driver sees those that pass, and for the sample's
