@@ -27,7 +27,7 @@ class Leg:
     row: str
     first: Callable[[DataFrame, DataFrame], DataFrame]
     second: Callable[[DataFrame, DataFrame], DataFrame]
-    choices: Callable[[DataFrame, DataFrame], DataFrame]
+    choices: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
     system: str
     most: int | None
     third_rule: str
@@ -129,7 +129,7 @@ def resolve(leg: Leg, subjects: DataFrame, rows: DataFrame, transcript: DataFram
     found = two_layers(leg, subjects, rows) if found is None else found
     if transcript is None:
         return found, found.sparkSession.createDataFrame([], "subject_id string, declined array<string>")
-    choices = written(leg.choices(*open_rows(leg, subjects, rows, found)))
+    choices = written(leg.choices(*open_rows(leg, subjects, rows, found), decisions.recorded_subjects(transcript)))
     links, declines = decided(written(decisions.decide_in_turn(choices, transcript, system=leg.system, most=leg.most)), leg.third_rule)
     return found.unionByName(links), declines
 

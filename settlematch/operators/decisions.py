@@ -35,9 +35,9 @@ def l3_bank_candidates(batches: DataFrame, bank: DataFrame) -> DataFrame:
     return found.select("settlement_id", "txn_id", "total", "credit", "value_date")
 
 
-def l3_competing_batches(batches: DataFrame) -> DataFrame:
-    """Other unresolved batches settling within DAYS."""
-    left = batches.where("settled_date is not null").select("settlement_id", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))).alias("settled_date"))
+def l3_competing_batches(batches: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Other unresolved batches settling within DAYS, of each batch or of those ``asked`` about."""
+    left = (batches if asked is None else asked).where("settled_date is not null").select("settlement_id", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))).alias("settled_date"))
     right = batches.select(F.col("settlement_id").alias("other_id"), "settled_date")
     return left.join(right, "settled_date").where("settlement_id <> other_id").select("settlement_id", "other_id")
 
@@ -81,16 +81,21 @@ SYSTEM = "Name the credit that pays the batch, or none."
 INVOICE_SYSTEM = "Name the invoice that the payment settles, or none."
 
 
-def bank_choices(batches: DataFrame, bank: DataFrame) -> DataFrame:
-    """subject_id, head, tail, counterpart_id, line: what the question of each batch is made of.
+def _asked(subjects: DataFrame, name: str, asked: DataFrame | None) -> DataFrame:
+    return subjects if asked is None else subjects.join(asked.select(F.col("subject_id").alias(name)), name, "left_semi")
+
+
+def bank_choices(batches: DataFrame, bank: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """subject_id, head, tail, counterpart_id, line: what the question of each batch, or of those ``asked`` about, is made of.
 
     The head names the batch and its total, each line one credit, and the tail other open batches
     near in time, which may want the same credits.
     """
-    found = l3_bank_candidates(batches, bank)
+    about = _asked(batches, "settlement_id", asked)
+    found = l3_bank_candidates(about, bank)
     short = F.col("total") - F.col("credit")
     line = F.concat_ws(" | ", F.concat(F.lit("credit "), "txn_id"), format_rupees(F.col("credit")), F.concat(F.lit("on "), F.col("value_date").cast("string")), F.concat(F.lit("short by "), format_rupees(short), F.lit(" ("), percent_text(short, F.col("total")), F.lit(")")))
-    rivals = l3_competing_batches(batches).join(batches.select(F.col("settlement_id").alias("other_id"), "expected_credit_dedup"), "other_id")
+    rivals = l3_competing_batches(batches, about).join(batches.select(F.col("settlement_id").alias("other_id"), "expected_credit_dedup"), "other_id")
     told = F.concat(F.col("other_id"), F.lit(" "), format_rupees(F.col("expected_credit_dedup")))
     rivals = rivals.groupBy("settlement_id").agg(F.array_join(F.sort_array(F.collect_list(told)), ", ").alias("rivals"))
     rows = found.join(rivals, "settlement_id", "left")
@@ -99,8 +104,9 @@ def bank_choices(batches: DataFrame, bank: DataFrame) -> DataFrame:
     return rows.select(F.col("settlement_id").alias("subject_id"), head.alias("head"), tail.alias("tail"), F.col("txn_id").alias("counterpart_id"), line.alias("line"))
 
 
-def invoice_choices(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+def invoice_choices(payments: DataFrame, invoices: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """The same for each payment and the invoices in reach; offered are the first OFFERED that are free."""
+    payments = _asked(payments, "payment_id", asked)
     found = invoices_in_reach(payments, invoices).join(payments.select("payment_id", "order_id", "order_receipt"), "payment_id")
     off = F.col("invoice_amount") - F.col("gross")
     line = F.concat_ws(" | ", F.concat(F.lit("invoice "), "invoice_id"), format_rupees(F.col("invoice_amount")), F.concat(F.lit("differs by "), format_rupees(off)), F.concat(F.lit("issued "), F.col("issue_date").cast("string")))
@@ -160,6 +166,11 @@ def l3_resume_plan(questions: DataFrame, transcript: DataFrame) -> DataFrame:
 OUTCOMES = "subject_id string, prompt_hash string, offered int, outcome string, chosen_id string, raw_confidence double, reasoning string, inferred_deduction_paise long"
 
 
+def recorded_subjects(transcript: DataFrame) -> DataFrame:
+    """subject_id of everything that a good record is about."""
+    return transcript.where("error is null").select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id")).distinct()
+
+
 def decide_in_turn(choices: DataFrame, transcript: DataFrame, *, system: str = SYSTEM, most: int | None = None) -> DataFrame:
     """The recorded answers applied in id order, each to the question its subject would have been asked.
 
