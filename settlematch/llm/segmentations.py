@@ -15,6 +15,8 @@ nodes, and a step of every walk under way is drawn at once.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -29,7 +31,8 @@ SPACE = "▁"
 LITERAL = 0x110000
 #: Bytes of text worked on together; their words' lattices take some sixty times as much.
 BLOCK = 1 << 21
-SHORT = 100
+#: Nodes so near to their word's end are summed without logarithms; pieces so short are looked at first.
+SHORT, NEAR = 100, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,10 +67,11 @@ class Table:
         out = np.full(len(keys), -1, np.int32)
         left, step = np.arange(len(keys)), 0
         while len(left):
-            at = self._place(keys[left], step)
-            found = self.keys[at]
-            hit = found == keys[left]
-            out[left[hit]] = self.values[at[hit]]
+            wanted = keys.take(left)
+            at = self._place(wanted, step)
+            found = self.keys.take(at)
+            hit = found == wanted
+            out[left[hit]] = self.values.take(at[hit])
             left, step = left[~hit & (found >= 0)], step + 1
         return out
 
@@ -115,8 +119,8 @@ class Lattice:
     """The lattices of a block's distinct words: a node for each place of a word and one behind it.
 
     No piece goes from a letter over a space, so a text is a chain of words that do not depend on
-    each other. ``rest`` is the log-sum over the ways from a node to its word's end; ``odds`` has the
-    running probabilities of the next piece by length; ``unit`` names it.
+    each other. ``rest`` is the log-sum over the ways from a node to its word's end; ``unit`` names the
+    pieces from it by length, and ``odds`` has their running probabilities.
     """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
@@ -140,13 +144,13 @@ class Lattice:
         n, pieces = len(code), len(v.raw)
         at, state, found = np.flatnonzero(inner), np.zeros(int(inner.sum()), np.int64), []
         for length in range(1, v.longest + 1):
-            fits = left[at] >= length
+            fits = left.take(at) >= length
             at, state = at[fits], state[fits]
-            state = v.steps.get(state << 21 | code[at + length - 1]).astype(np.int64)
+            state = v.steps.get(state << 21 | code.take(at + length - 1)).astype(np.int64)
             at, state = at[state >= 0], state[state >= 0]
             if not len(at):
                 break
-            piece = v.piece_at[state]
+            piece = v.piece_at.take(state)
             found.append((at[piece >= 0], piece[piece >= 0]))
         self.width = max(len(found), 1)
         self.unit = np.full((n, self.width), -1, np.int32)
@@ -163,65 +167,81 @@ class Lattice:
         self.first_id = np.cumsum(self.n_ids) - self.n_ids
 
     def _sums(self, left: np.ndarray) -> None:
-        """``rest`` and ``odds``, from the words' ends backwards; as plain sums near the end, as log-sums beyond SHORT places."""
+        """``rest`` and the odds, from the words' ends backwards; as plain sums near the end, as log-sums beyond SHORT places.
+
+        Nodes alike in distance and in whether all their pieces are short go together; odds are
+        kept in that order (``rank``), those of the first NEAR lengths apart.
+        """
         n, width = self.unit.shape
-        self.rest, self.odds = np.zeros(n + width), np.ones((n, width), np.float32)
-        plain, weights = np.ones(n + width), np.exp(self.scores)
-        order = np.argsort(left.astype(np.int32), kind="stable")
-        order = order[left[order] > 0]
-        steps = np.arange(1, width + 1)
-        for nodes in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(order) else []:
-            far = int(left[nodes[0]])
-            w = min(width, far)
-            unit, to = self.unit[nodes, :w], nodes[:, None] + steps[:w]
-            if far <= SHORT:
-                running = np.cumsum(weights[unit] * plain[to], axis=1)
-                plain[nodes] = running[:, -1]
-                self.rest[nodes] = np.log(running[:, -1])
+        self.rest, plain, weights = np.zeros(n + width), np.ones(n + width), np.exp(self.scores)
+        most = width - np.argmax((self.unit >= 0)[:, ::-1], axis=1)
+        kind = left * 2 + (most > NEAR)
+        order = np.flatnonzero(left > 0)
+        order = order[np.argsort(kind.take(order), kind="stable")]
+        self.rank = np.zeros(n, np.int64)
+        self.rank[order] = np.arange(len(order))
+        unit, kind, far, most = self.unit.take(order, axis=0), kind.take(order), left.take(order), most.take(order)
+        self.near, self.odds = np.ones((len(order), NEAR), np.float32), np.ones((len(order), width), np.float32)
+        cuts = np.flatnonzero(np.diff(kind)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+            if lo == hi:
+                continue
+            nodes, w = order[lo:hi], min(width, int(far[lo]), width if kind[lo] & 1 else NEAR)
+            columns = [(unit[lo:hi, k], nodes + (k + 1)) for k in range(w)]
+            if far[lo] <= SHORT:
+                parts = [weights.take(u) * plain.take(to) for u, to in columns]
+                top = 0.0
             else:
-                values = self.scores[unit] + self.rest[to]
-                top = values.max(axis=1)
-                running = np.cumsum(np.exp(values - top[:, None]), axis=1)
-                self.rest[nodes] = top + np.log(running[:, -1])
-            running /= running[:, -1:].copy()
-            self.odds[nodes, :w] = running
-        last = width - 1 - np.argmax((self.unit >= 0)[:, ::-1], axis=1)
-        self.odds[np.arange(n), last] = np.inf  # rounding never leaves a draw without a piece
+                values = [self.scores.take(u) + self.rest.take(to) for u, to in columns]
+                top = functools.reduce(np.maximum, values)
+                parts = [np.exp(v - top) for v in values]
+            running = list(itertools.accumulate(parts))
+            self.rest[nodes] = top + np.log(running[-1])
+            if far[lo] <= SHORT:
+                plain[nodes] = running[-1]
+            for k, r in enumerate(running):
+                share = r / running[-1]
+                if k < NEAR:
+                    self.near[lo:hi, k] = share
+                self.odds[lo:hi, k] = share
+        # rounding never leaves a draw without a piece
+        self.odds[np.arange(len(order)), most - 1] = np.inf
+        short = np.flatnonzero(most <= NEAR)
+        self.near[short, most[short] - 1] = np.inf
 
     def score(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return self.scores[self.unit[nodes, lengths - 1]]
+        return self.scores.take(self.unit.ravel().take(nodes * self.width + lengths - 1))
 
     def chance(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probability of the piece of that length at each node."""
-        return np.exp(self.score(nodes, lengths) + self.rest[nodes + lengths] - self.rest[nodes])
-
-    def spelled(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Ids of a path."""
-        units = self.unit[nodes, lengths - 1]
-        n = self.n_ids[units]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return self.ids[np.repeat(self.first_id[units], n) + inside].astype(np.int32)
-
+        return np.exp(self.score(nodes, lengths) + self.rest.take(nodes + lengths) - self.rest.take(nodes))
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+    def spelled(self, paths: list[_Path]) -> list[np.ndarray]:
+        """Ids of each path."""
+        node, length = (np.concatenate([getattr(p, c) for p in paths]) for c in ("node", "length"))
+        units = self.unit.ravel().take(node * self.width + length - 1)
+        n = self.n_ids.take(units)
+        ends = np.cumsum(n)
+        inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        ids = self.ids.take(np.repeat(self.first_id.take(units), n) + inside).astype(np.int32)
+        return np.split(ids, ends[np.cumsum([len(p.node) for p in paths])[:-1] - 1])
 
 
 class Block:
     """Texts side by side: which words they consist of, and the walks drawn for them."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str]):
-        self.v, numbers, chains = vocabulary, _Numbers(), []
+        self.v, chains = vocabulary, []
         for text in texts:
             parts = text.split(" ") if text else []
             if parts and ("  " in text or not parts[0] or not parts[-1]):
                 parts = _spaced(parts)
-            chains.append([numbers[p] for p in parts])
-        self.lattice = x = Lattice(vocabulary, list(numbers)) if numbers else None
-        self.words = np.array([w for c in chains for w in c], np.int64)
-        count = np.array([len(c) for c in chains], np.int64)
+            chains.append(parts)
+        count = np.fromiter(map(len, chains), np.int64, len(chains))
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(chains)))
+        numbers = dict(zip(distinct, range(len(distinct)), strict=True))
+        self.words = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(chains)), np.int64, int(count.sum()))
+        self.lattice = x = Lattice(vocabulary, distinct) if distinct else None
         self.text_of = np.repeat(np.arange(len(texts)), count)
         self.first_word = np.concatenate([[0], np.cumsum(count)])
         if not x:
@@ -245,11 +265,17 @@ class Block:
         live = live[at < behind]
         at = at[at < behind]
         while len(live):
-            u = uniform(seed[live], stream, offset[live] + at)
-            length = (x.odds[at] <= u[:, None]).sum(axis=1) + 1
+            u = uniform(seed.take(live), stream, offset.take(live) + at).astype(np.float32)
+            row = x.rank.take(at)
+            near = x.near.take(row, axis=0)  # most pieces are short
+            length = np.ones(len(at), np.int64)
+            for k in range(NEAR):
+                length += near[:, k] <= u
+            if len(rare := np.flatnonzero(length > NEAR)):
+                length[rare] = (x.odds.take(row[rare], axis=0) <= u[rare, None]).sum(axis=1) + 1
             rounds.append((live, at, length))
             at = at + length
-            more = at < behind[live]
+            more = at < behind.take(live)
             live, at = live[more], at[more]
         steps = np.zeros(len(words), np.int64)
         for who, _, _ in rounds:
@@ -276,10 +302,10 @@ def _spaced(parts: list[str]) -> list[str]:
 class _Path:
     """One drawn segmentation: its steps and the sums of scores before each."""
 
-    __slots__ = ("before", "length", "node", "word")
+    __slots__ = ("before", "length", "node", "scores", "word")
 
     def __init__(self, word: np.ndarray, node: np.ndarray, length: np.ndarray, scores: np.ndarray):
-        self.word, self.node, self.length = word, node, length
+        self.word, self.node, self.length, self.scores = word, node, length, scores
         self.before = np.concatenate([[0.0], np.cumsum(scores)])
 
 
@@ -302,9 +328,10 @@ def draw(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) ->
     word, node, length = block.walk(every, x.first[block.words], seed, 2)
     bounds = np.searchsorted(block.text_of[word], np.arange(len(texts) + 1))
     paths: dict[int, list[_Path]] = {}
+    scores = x.score(node, length)
     for i in busy:
         s = slice(bounds[i], bounds[i + 1])
-        paths[i] = [_Path(word[s], node[s], length[s], x.score(node[s], length[s]))]
+        paths[i] = [_Path(word[s], node[s], length[s], scores[s])]
     sets: dict[int, list[tuple]] = {i: [] for i in busy}  # value, path, step, lengths left out
     fresh = [(i, 0) for i in busy]  # text, first step that may be left
     for t in range(k):
@@ -318,9 +345,10 @@ def draw(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) ->
             turns.append((i, path, step, without))
         _turn(block, paths, sets, turns, value, seed, 4 + 4 * t)
         fresh = [(i, step + 1) for i, _, step, _ in turns]
+    ids = iter(x.spelled([p for i in busy for p in paths[i]]))
     for i in busy:
         total = float(block.total[i])
-        out[i][0].extend((float(p.before[-1]) - total, x.spelled(p.node, p.length)) for p in paths[i])
+        out[i][0].extend((float(p.before[-1]) - total, next(ids)) for p in paths[i])
         if sets[i]:
             out[i] = (out[i][0], max(s[0] for s in sets[i]) - total)
     return out
@@ -340,21 +368,19 @@ def _open(block: Block, paths: dict, sets: dict, fresh: list, value: dict, seed:
     count = np.array([len(p.node) - f for _, f, p in rows])
     with np.errstate(divide="ignore", invalid="ignore"):
         left = 1.0 - x.chance(node, length)
-        place = before + x.rest[node] + np.where(left > 1e-12, np.log(np.maximum(left, 1e-300)), -np.inf) + block.after[word]
-    owner = block.text_of[word]
-    u = uniform(seed[owner], stream, block.place[word] + node - x.first[block.words[word]])
-    limit = np.repeat([value[i] for i, _, _ in rows], count)
-    noisy = np.where(np.isneginf(place), -np.inf, _noisy(place, limit, u))
+        place = before + x.rest.take(node) + np.where(left > 1e-12, np.log(np.maximum(left, 1e-300)), -np.inf) + block.after.take(word)
+    u = uniform(seed.take(block.text_of.take(word)), stream, block.place.take(word) + node - x.first.take(block.words.take(word)))
+    late = np.log(-np.log(u)) - place  # under one limit, the smaller, the higher the noisy score
     start = np.cumsum(count) - count
     for _ in range(keep):
-        best = np.maximum.reduceat(noisy, start)
-        at = np.flatnonzero(noisy == np.repeat(best, count))
+        best = np.minimum.reduceat(late, start)
+        at = np.flatnonzero(late == np.repeat(best, count))
         at = at[np.concatenate([[True], np.diff(np.searchsorted(start, at, side="right")) > 0])]
-        for j, (i, first, _) in zip(at.tolist(), rows, strict=True):
-            if noisy[j] > -math.inf:
-                step = first + j - int(start[np.searchsorted(start, j, side="right") - 1])
-                sets[i].append((float(noisy[j]), len(paths[i]) - 1, step, (int(length[j]),)))
-        noisy[at] = -np.inf
+        for j, b, (i, first, _) in zip(at.tolist(), start.tolist(), rows, strict=True):
+            if late[j] < math.inf:
+                noisy = _noisy(place[j : j + 1], np.array([value[i]]), u[j : j + 1])
+                sets[i].append((float(noisy[0]), len(paths[i]) - 1, first + j - b, (int(length[j]),)))
+        late[at] = np.inf
 
 
 def _turn(block: Block, paths: dict, sets: dict, turns: list, value: dict, seed: np.ndarray, stream: int) -> None:
@@ -386,7 +412,7 @@ def _turn(block: Block, paths: dict, sets: dict, turns: list, value: dict, seed:
     for (i, p, step, at, w, own), lo, hi in zip(heads, begin.tolist(), behind.tolist(), strict=True):
         s = slice(lo, hi)
         steps = [np.concatenate([a[:step], [b], c[s]]) for a, b, c in ((p.word, w, word), (p.node, at, node), (p.length, own, length))]
-        paths[i].append(_Path(*steps, x.score(steps[1], steps[2])))
+        paths[i].append(_Path(*steps, np.concatenate([p.scores[:step], x.score(steps[1][step:], steps[2][step:])])))
 
 
 def inclusion(log_probability: float, threshold: float) -> float:
