@@ -149,9 +149,10 @@ def byte_letters() -> dict[int, str]:
 def pack(pieces: DataFrame, capacity: int, *, each: int = 500_000) -> DataFrame:
     """``pieces`` (needs ``doc_id``, ``piece``, ``length``) with ``sequence_id`` and ``offset``.
 
-    each: the ranking within one length is cut into hash lanes of about so many pieces; no length
-    is one task. The driver sees ``capacity`` counts; the plan sent back has at most a few rows per
-    length and class, and the lanes' table one row for each ``each`` pieces beside ``capacity``.
+    each: the ranking within one length is cut into hash lanes of at most about so many pieces, and
+    into up to 64 where there are fewer; no length is one task. The driver sees ``capacity`` counts;
+    the plan sent back has at most a few rows per length and class, and the lanes' table one row
+    for each ``each`` pieces beside 64 x ``capacity``.
     Empty input gives an empty result; repeated rows are packed one by one. A piece longer than
     the capacity, or without a positive length, is an error. Columns of ``pieces`` that are named
     sequence_id or offset, in any case, are replaced.
@@ -161,7 +162,7 @@ def pack(pieces: DataFrame, capacity: int, *, each: int = 500_000) -> DataFrame:
     fits = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.concat(F.lit("no piece of this length fits: "), F.coalesce(F.col("length").cast("string"), F.lit("null")))).cast("long"))
     pieces = written(pieces.select(names).withColumn("length", fits))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    lanes = F.broadcast(spark.createDataFrame([(size, n // each + 1) for size, n in counts.items()], "length long, _lanes long"))  # at most capacity rows
+    lanes = F.broadcast(spark.createDataFrame([(size, n // each + min(n // 64, 63) + 1) for size, n in counts.items()], "length long, _lanes long"))  # at most capacity rows
     pieces = pieces.join(lanes, "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_lanes")))
     by_lane = pieces.groupBy("length", "_lane").agg(F.count("*").alias("_n"))
     rows, base, taken = [], 0, dict.fromkeys(counts, 0)
