@@ -384,7 +384,10 @@ def _linked_components(docs: DataFrame, sets: DataFrame, width: int, num: int, d
 
 
 def keep_one_of_each(documents: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``documents`` without those that link, directly or through others, to one of a smaller doc_id."""
+    """``documents`` without those that link, directly or through others, to one of a smaller doc_id.
+
+    Rows of one id stay or go together; rows without an id stay.
+    """
     found = jaccard_components(documents, width=width, num=num, den=den)
     extra = found.where("component_id < doc_id").select("doc_id")
     return documents.join(extra, "doc_id", "left_anti").select(documents.columns)
