@@ -152,6 +152,8 @@ def test_texts_of_one_id_are_one_node(spark):
     assert len(got) == len(texts)
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [27, 27, 27]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string"), width=4, num=85, den=100)
+    assert sorted(kept.collect(), key=str) == sorted([t for t in texts if t[0] in (1, 4, None)], key=str)
 
 
 def test_bitmap_bound_never_cuts_a_link():
