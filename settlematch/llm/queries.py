@@ -1,13 +1,13 @@
-"""The registered queries of the ten operators: each over the whole of its table."""
+"""The registered queries of the operators: each over the whole of its table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlematch.llm import iblt, jaccard, mpeg, packing, pii, quality, segmentations, sharding, sitetree, toxicity
+from settlematch.llm import iblt, infill, jaccard, mpeg, packing, pii, quality, segmentations, sharding, sitetree, token_files, toxicity, whitening
 from settlematch.llm.common import table, text_of
-from settlematch.storage import written
+from settlematch.storage import new_path, written
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,50 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op4_iblt_fingerprints, op5_ngram_jaccard, op6_gumbel_segmentations, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 16 principal components of the distinct ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as byte-level BPE ids in Parquet lists, checked from the files."""
+    import public_tokenizers
+
+    path = new_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return token_files.checksums(spark, path)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two of its lines and put in another order, and put back."""
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+
+    def digest(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+
+    output, form = F.col("output"), F.col("form")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output).alias("output_sha256"), digest(infill.restored(output, form)).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shards, op2_mpeg_audio, op3_nearest_neighbour_quality, op4_iblt_fingerprints, op5_ngram_jaccard, op6_gumbel_segmentations, op7_toxic_segments, op8_site_style_tree, op9_large_item_packing, op10_pii_deobfuscation, op11_bit_sliced_whitening, op12_token_lists, op13_fill_in_middle)}
+
+FILL_IN_MIDDLE_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+cut AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM hashed
+),
+placed AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut
+),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
