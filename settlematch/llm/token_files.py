@@ -34,6 +34,7 @@ def layout(encoding: str, row_group: int, page: int, page_rows: int) -> dict[str
         "parquet.writer.version": "PARQUET_2_0",  # whole numbers without a dictionary are delta encoded
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
         "parquet.dictionary.page.size": str(4 << 20),  # room for every id of a large vocabulary
+        "parquet.block.size.row.check.min": "10", "parquet.page.size.row.check.min": "10",  # rows differ much in size
         "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.page.row.count.limit": str(page_rows), "compression": "zstd",
     }
 
