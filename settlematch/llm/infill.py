@@ -102,7 +102,7 @@ class Lines:
 
     def __init__(self, data: bytes, memo: Memo):
         ends = chunk_ends(np.frombuffer(data, np.uint8))
-        self.starts, self.size = [0, *ends[:-1]], len(data)
+        self.starts, self.size = [0, *ends][:-1], len(data)
         self.parts = [memo.of(data[a:b]) for a, b in zip(self.starts, ends, strict=True)]
         self.breaks = np.cumsum([0, *(len(p.bytes_at) for p in self.parts)])
         self.chars = np.cumsum([0, *(p.chars for p in self.parts)])
