@@ -1,9 +1,15 @@
-"""Claim-once assignment in subject order, solved per connected component.
+"""Claim-once assignment in subject order, settled for all subjects together in rounds of joins.
 
 Subjects are taken in id order and rules in rank order; the first rule that leaves a subject
-exactly one unclaimed candidate wins and claims it. A decision depends only on who else wants the
-same counterparts, so components of the candidate graph are independent: most are a single
-subject and are settled by an aggregate; the rest are solved one component at a time.
+exactly one unclaimed candidate wins and claims it. A decision depends only on what earlier
+subjects may still claim, so a round asks of every candidate who is the first that may claim it:
+for that subject and all before it the candidate is *sure* to be free at their turn. A rule with
+two sure candidates can never be unique and is struck out; one whose only candidate is sure wins
+where no rule before it is open. Struck rules, and candidates beside a sure one, are no longer
+claims, which makes more candidates sure in the next round. So a counterpart that very many
+subjects name is settled in a few rounds, whatever their number, and no task holds its subjects.
+What is left after ``ROUNDS`` rounds are chains of claims that wait for each other; their
+first ``SLICE`` edges in subject order are settled in one task, and rounds go on from there.
 
 A rule by amount and date links everything of a common price over its whole history, so its
 subjects are first narrowed to those that can win by it at all. Before the time (subject id) at
@@ -12,8 +18,8 @@ subject that sees u counterparts not yet open to other rules needs u - 1 earlier
 within reach, and the first winner of all needs u = 1. The set that follows from this rule, grown
 from nothing, holds every winner. On one amount and day it is always the latest ids, so a task
 needs only the top few ids of each day of an amount: its input is bounded by the calendar. On a
-common price next to nothing is left; on a rare one windows seldom meet. The parts of the other
-rules' graph that no such subject can disturb are settled first, on their own.
+common price next to nothing is left; on a rare one windows seldom meet. Only what is left is
+paired with the counterparts it sees.
 """
 
 from __future__ import annotations
@@ -22,18 +28,21 @@ import functools
 from bisect import bisect_left
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlematch.functions.stats import confidence_for
-from settlematch.operators.components import components
+from settlematch.operators.components import MANY
 from settlematch.operators.runs import solve_runs
-from settlematch.storage import written
+from settlematch.storage import discard, written
 
 #: Ids of one amount and day, from the latest on, that narrowing looks at; any number gives the same result.
 TOP = 16
 #: Amounts with fewer subjects are not narrowed.
 COMMON = 8
+#: Rounds of joins before a slice is taken, and the edges of a slice; any numbers give the same result.
+ROUNDS, SLICE = 8, 200_000
 #: Stands for a counterpart that no other rule can claim: behind every id.
 NEVER = "\U0010ffff"
 
@@ -92,39 +101,74 @@ def greedy(edges: list[tuple[str, int, str]], wanted: dict[str, tuple[int, int]]
     return won
 
 
-def _parts(edges: DataFrame) -> DataFrame:
-    """``edges`` with ``part``, a number that linked edges share, and ``alone``: the part is one subject."""
-    shared = edges.groupBy("counterpart_id").agg((F.min("subject_id") != F.max("subject_id")).alias("shared"))
-    contested = edges.join(shared, "counterpart_id").groupBy("subject_id").agg((~F.max("shared")).alias("alone"))
-    flagged = written(edges.join(contested, "subject_id"))
-    disputed = flagged.where("not alone")
-    pair = disputed.select(F.xxhash64(F.lit("s"), "subject_id").alias("a"), F.xxhash64(F.lit("c"), "counterpart_id").alias("b"))
-    label = components(pair).select("node", "component")
-    own = F.xxhash64(F.lit("s"), "subject_id")
-    joined = disputed.withColumn("node", own).join(label, "node").drop("node").withColumnRenamed("component", "part")
-    return flagged.where("alone").withColumn("part", own).unionByName(joined)
+def _round(now: DataFrame, ranks: list[int], n: int) -> DataFrame:
+    """One round: the rows of new winners (``won``), and of what stays open.
 
-
-def _settled(edges: DataFrame) -> DataFrame:
-    """Winning edges of whole parts."""
-    n = edges.where("alone").groupBy("subject_id", "rank", "rule").agg(F.count("*").alias("n"), F.min("counterpart_id").alias("counterpart_id")).where("n = 1")
-    first = F.min_by(F.struct("rank", "rule", "counterpart_id"), "rank").alias("won")
-    alone = n.groupBy("subject_id").agg(first).select("subject_id", "won.*")
-    none = {"kind": F.lit("e"), "amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}
-    return alone.unionByName(_solved(edges.where("not alone").withColumns(none), "part", 0, 0))
-
-
-def _solved(work: DataFrame, group: str, rank: int, length: int) -> DataFrame:
-    """Each group solved in memory: edges (kind e), and both sides of the window (kinds s and c)."""
-
-    def solve(part: dict[str, list]) -> list[tuple]:
-        rows = list(zip(*(part[c] for c in ("kind", "subject_id", "rank", "rule", "counterpart_id", "amount", "day")), strict=True))
-        rules = {r: rule for _, _, r, rule, *_ in rows}
-        pairs = [(s, r, c) for k, s, r, _, c, _, _ in rows if k == "e"]
-        wanted, stock = {s: (a, d) for k, s, _, _, _, a, d in rows if k == "s"}, {c: (a, d) for k, _, _, _, c, a, d in rows if k == "c"}
-        return [(s, r, rules[r], c) for s, r, c in greedy(pairs, wanted, stock, rank, length)]
-
-    return solve_runs(work.select(group, "kind", "subject_id", "rank", "rule", "counterpart_id", "amount", "day"), group, [], solve, "subject_id string, rank int, rule string, counterpart_id string")
+    now: edges with ``may`` (the subject may still claim the counterpart by this rule) and ``won``.
+    Where a hub may be among ``n`` edges, the two small tables that edges are joined with are written
+    first, so that adaptive execution splits the joins.
+    """
+    claims = now.groupBy("counterpart_id").agg(F.min(F.when(F.col("may") & ~F.col("won"), F.col("subject_id"))).alias("first"), F.max("won").alias("gone"))
+    claims = written(claims) if n >= MANY else claims
+    sure = F.col("first").isNull() | (F.col("subject_id") <= F.col("first"))
+    rows = now.where("not won").join(claims, "counterpart_id").where("not gone").select("subject_id", "rank", "rule", "counterpart_id", sure.alias("sure"))
+    counts = [x for r in ranks for mine in [F.col("rank") == r] for x in (F.count(F.when(mine, 1)).alias(f"all{r}"), F.count(F.when(mine & F.col("sure"), 1)).alias(f"sure{r}"), F.min(F.when(mine & F.col("sure"), F.col("counterpart_id"))).alias(f"one{r}"))]
+    held = rows.groupBy("subject_id").agg(*counts)
+    dead = {r: (F.col(f"all{r}") == 0) | (F.col(f"sure{r}") > 1) for r in ranks}
+    alone = {r: (F.col(f"all{r}") == 1) & (F.col(f"sure{r}") == 1) for r in ranks}
+
+    def first_of(kind: dict[int, Column], *, otherwise: int | None) -> Column:
+        return F.coalesce(*[F.when(kind[r], F.lit(r)) for r in ranks], F.lit(otherwise).cast("int"))
+
+    next_, last = first_of({r: ~dead[r] for r in ranks}, otherwise=None), first_of(alone, otherwise=ranks[-1])
+    pick = F.coalesce(*[F.when((F.col("next") == r) & alone[r], F.col(f"one{r}")) for r in ranks])
+    struck = F.array_compact(F.array(*[F.when(dead[r], F.lit(r)) for r in ranks]))
+    settled = F.array_compact(F.array(*[F.when(F.col(f"sure{r}") == 1, F.lit(r)) for r in ranks]))
+    verdict = held.withColumn("next", next_).select("subject_id", "next", last.alias("last"), pick.alias("pick"), struck.alias("struck"), settled.alias("settled")).where("next is not null")
+    verdict = written(verdict) if n >= MANY else verdict
+    won = F.col("pick").isNotNull()
+    kept = F.when(won, (F.col("rank") == F.col("next")) & (F.col("counterpart_id") == F.col("pick"))).otherwise((F.col("rank") <= F.col("last")) & ~F.array_contains("struck", F.col("rank")))
+    may = F.col("sure") | ~F.array_contains("settled", F.col("rank"))
+    return rows.join(verdict, "subject_id").where(kept).select("subject_id", "rank", "rule", "counterpart_id", may.alias("may"), won.alias("won"))
+
+
+def _sliced(now: DataFrame, n: int) -> DataFrame:
+    """``now`` with the first SLICE edges in subject order settled in one task; a subject is taken whole or not at all."""
+    taken = now.where("won").select("counterpart_id")
+    left = now.where("not won").join(taken, "counterpart_id", "left_anti")
+    head = left.select("subject_id").orderBy("subject_id").limit(SLICE).agg(F.min("subject_id").alias("a"), F.max("subject_id").alias("b")).head()
+    if head["a"] is None or n > SLICE and head["a"] == head["b"]:
+        return left  # the next round settles the very first subject
+    inside, names = F.col("subject_id") < head["b"] if n > SLICE else F.lit(True), now.columns
+
+    def solve(batches):
+        table = pa.Table.from_batches(list(batches)).to_pydict()
+        rules = dict(zip(table["rank"], table["rule"], strict=True))
+        won = [(s, r, rules[r], c, True, True) for s, r, c in greedy(list(zip(table["subject_id"], table["rank"], table["counterpart_id"], strict=True)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*won, strict=True)) or [[]] * 6, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=names)
+
+    won = left.where(inside).coalesce(1).mapInArrow(solve, now.schema)
+    return won.unionByName(left.where(~inside))
+
+
+def settle(edges: DataFrame) -> DataFrame:
+    """Winning edges of subject_id, rank, rule, counterpart_id."""
+    now = written(edges.select("subject_id", F.col("rank").cast("int").alias("rank"), "rule", "counterpart_id").distinct().withColumns({"may": F.lit(True), "won": F.lit(False)}))
+    size = now.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("rank")).alias("ranks")).head()  # as many ranks as rules
+    n, ranks, steps, turn = size["n"], size["ranks"], [], 0
+    while n:
+        turn += 1
+        after = written(_sliced(now, n) if turn % (ROUNDS + 1) == 0 else _round(now, ranks, n))
+        if not steps:
+            discard(now)
+        steps.append(after)
+        now, n = after, after.where("not won").count()
+    if not steps:
+        return now.drop("may", "won")
+    won = written(functools.reduce(DataFrame.unionByName, [x.where("won").drop("may", "won") for x in steps]))
+    for x in steps:
+        discard(x)
+    return won
 
 
 def _days(length: int, sign: int) -> Column:
@@ -181,41 +225,24 @@ def live_subjects(edges: DataFrame, window: DayWindow) -> DataFrame:
     return rare.unionByName(window.subjects.join(since, ["amount", "day"]).where("subject_id >= since").drop("since"))
 
 
+def _in_window(window: DayWindow, live: DataFrame) -> DataFrame:
+    """Edges of the window's rule for the subjects that may win by it."""
+    sees = live.select("subject_id", "amount", _days(window.length, -1).alias("day"))
+    return sees.join(window.rows, ["amount", "day"]).select("subject_id", F.lit(window.rank).alias("rank"), F.lit(window.rule).alias("rule"), "counterpart_id")
+
+
 def greedy_assign(edges: DataFrame, window: DayWindow | None = None) -> DataFrame:
     """subject_id, rank, rule, counterpart_id (candidate edges), and a last rule by ``window`` -> at most one row per subject and counterpart."""
-    edges = written(_parts(written(edges.select("subject_id", "rank", "rule", "counterpart_id").distinct())))
+    edges = edges.select("subject_id", "rank", "rule", "counterpart_id")
     if window is None:
-        return _dressed(_settled(edges))
+        return _dressed(settle(edges))
     known = F.col("amount").isNotNull() & F.col("day").isNotNull()
     window = replace(window, subjects=written(window.subjects.where(known)), rows=written(window.rows.where(known)))
-    live = written(live_subjects(edges, window))
-    seen = live.groupBy("amount", "day").agg(F.min("subject_id").alias("by")).select("amount", _days(window.length, -1).alias("day"), "by").groupBy("amount", "day").agg(F.min("by").alias("by"))
-    stock = written(window.rows.join(seen, ["amount", "day"]))
-    last = edges.groupBy("part").agg(F.max("subject_id").alias("last"))
-    late = edges.join(stock.select("counterpart_id", "by"), "counterpart_id").groupBy("part").agg(F.min("by").alias("by")).join(last, "part").where("by <= last").select("part")
-    edges = written(edges.join(late.withColumn("late", F.lit(True)), "part", "left"))
-    done = written(_settled(edges.where("late is null").drop("late")))
-    rest = replace(window, subjects=live.join(done, "subject_id", "left_anti"), rows=stock.drop("by").join(done, "counterpart_id", "left_anti"))
-    return _dressed(done.unionByName(_rest(edges.where("late").drop("late"), rest)))
-
-
-def _rest(edges: DataFrame, window: DayWindow) -> DataFrame:
-    """Live subjects with the counterparts they see, and the edges tied to them."""
-    days = window.subjects.select("amount", "day").distinct()
-    line = Window.partitionBy("amount").orderBy("day")  # one row a day
-    cut = F.coalesce((F.col("day") - F.lag("day").over(line) > window.length).cast("int"), F.lit(0))
-    days = days.withColumn("cut", cut).withColumn("run", F.sum("cut").over(line)).select("amount", "day", F.xxhash64(F.lit("w"), "amount", "run").alias("node"))
-    buyers = written(window.subjects.join(days, ["amount", "day"]))
-    sold = written(window.rows.join(days.select("amount", _days(window.length, -1).alias("day"), "node").distinct(), ["amount", "day"]))
-    tied = edges.join(buyers.select("subject_id", "node"), "subject_id").select("part", "node").unionByName(edges.join(sold.select("counterpart_id", "node"), "counterpart_id").select("part", "node"))
-    label = components(tied.distinct(), "part", "node")
-    rule = {"rank": F.lit(window.rank), "rule": F.lit(window.rule)}
-    no = {"subject_id": F.lit(""), "counterpart_id": F.lit("")}
-    sides = [x.withColumns(rule | {k: v for k, v in no.items() if k not in x.columns}).withColumn("kind", F.lit(kind)) for x, kind in ((buyers, "s"), (sold, "c"))]
-    pairs = edges.withColumnRenamed("part", "node").drop("alone").withColumns({"kind": F.lit("e"), "amount": F.lit(None).cast("long"), "day": F.lit(None).cast("int")})
-    work = functools.reduce(DataFrame.unionByName, [*sides, pairs])
-    work = work.join(label, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    return _solved(work, "group", window.rank, window.length)
+    edges = written(edges.distinct())
+    won = settle(edges.unionByName(_in_window(window, live_subjects(edges, window))))
+    for x in (edges, window.subjects, window.rows):
+        discard(x)
+    return _dressed(won)
 
 
 def _dressed(won: DataFrame) -> DataFrame:

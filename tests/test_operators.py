@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlematch import storage
-from settlematch.operators import assemble, baselines, breakdown, corpus, decisions, exact, fuzzy, score, views
+from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, score, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
 
@@ -82,6 +82,38 @@ def test_assignment_is_the_sequential_one(spark):
     assert len({c for _, c in got}) == len(got)
 
 
+def test_chains_longer_than_the_rounds_are_settled_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(assign, "ROUNDS", 2)
+    monkeypatch.setattr(assign, "SLICE", 7)
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = {(f"s{i:02}", 0, f"c{i + d:02}") for i in range(30) for d in range(rng.randrange(1, 3))}  # a claim frees or takes the next one's
+        edges |= {(f"s{rng.randrange(30):02}", rng.randrange(3), f"c{rng.randrange(40):02}") for _ in range(25)}
+        rows = spark.createDataFrame([(s, r, f"rule{r}", c) for s, r, c in edges], "subject_id string, rank int, rule string, counterpart_id string")
+        got = sorted((r["subject_id"], r["rule"], r["counterpart_id"]) for r in greedy_assign(rows).collect())
+        assert got == sorted((s, f"rule{r}", c) for s, r, c in greedy(list(edges)))
+
+
+def test_a_counterpart_named_by_very_many_is_settled_in_a_few_rounds(spark, monkeypatch):
+    """100,000 payments whose receipts name one invoice, half of them another one beside it."""
+    turns, plain = [], assign._round
+    monkeypatch.setattr(assign, "_round", lambda *a: turns.append(a[2]) or plain(*a))
+    monkeypatch.setattr(assign, "_sliced", None)
+    monkeypatch.setattr(assign, "MANY", 1)  # as with millions of edges
+    n = 100_000
+    ids = spark.range(n).select(F.format_string("pay_%07d", "id").alias("subject_id"), "id")
+    hot = ids.select("subject_id", F.lit(0).alias("rank"), F.lit("hint").alias("rule"), F.lit("INV-hot").alias("counterpart_id"))
+    own = ids.where("id % 2 = 1").select("subject_id", F.lit(0).alias("rank"), F.lit("hint").alias("rule"), F.concat(F.lit("INV-"), "id").alias("counterpart_id"))
+    won = greedy_assign(hot.unionByName(own))
+    assert won.count() == 1 + n // 2 and won.where("counterpart_id = 'INV-hot'").head()["subject_id"] == "pay_0000000"
+    assert len(turns) <= 3
+    turns.clear()
+    # all name both: the hint is never unique, and a later rule settles each
+    own = ids.select("subject_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("rank"), F.concat(F.lit("INV-"), "id").alias("counterpart_id")).withColumn("rule", F.concat(F.lit("rule"), "rank"))
+    won = greedy_assign(hot.unionByName(own))
+    assert won.where("rule = 'rule1'").count() == won.count() == n and len(turns) <= 4
+
+
 def test_window_without_pairs_is_the_same_assignment(spark):
     rng = random.Random(3)
     pay = payment(spark, *[{"payment_id": f"p{i:03}", "order_id": rng.choice([None, f"order_{rng.randrange(12)}"]), "gross": rng.choice([100, 200, 300]), "captured_on": DAY + dt.timedelta(rng.randrange(150))} for i in range(90)])
