@@ -17,13 +17,6 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def blocks(batches, rows: int = 512):
-    """Arrow batches cut into slices of at most ``rows`` rows, so that work arrays stay small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def byte_blocks(batches, size: int = 4 << 20, rows: int = 512, column: str = "text"):
     """Arrow batches cut into slices of at most ``rows`` rows and about ``size`` bytes of text; a longer text comes alone."""
     for batch in batches:

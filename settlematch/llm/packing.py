@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from settlematch.llm.common import blocks, record_batch
+from settlematch.llm.common import byte_blocks, record_batch
 from settlematch.storage import written
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -87,7 +87,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: in
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in blocks(batches):
+        for batch in byte_blocks(batches):
             out = {name: [] for name in PIECES.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
@@ -160,7 +160,9 @@ def pack(pieces: DataFrame, capacity: int, *, each: int = 500_000) -> DataFrame:
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     spark = pieces.sparkSession
     fits = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.concat(F.lit("no piece of this length fits: "), F.coalesce(F.col("length").cast("string"), F.lit("null")))).cast("long"))
-    pieces = written(pieces.select(names).withColumn("length", fits))
+    # other columns travel in one struct, so that no name of theirs can be one of the names used here
+    other = [c for c in names if c.lower() not in ("doc_id", "piece", "length")]
+    pieces = written(pieces.select("doc_id", "piece", fits.alias("length"), *([F.struct(*other).alias("_row")] if other else [])))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     lanes = F.broadcast(spark.createDataFrame([(size, n // each + min(n // 64, 63) + 1) for size, n in counts.items()], "length long, _lanes long"))  # at most capacity rows
     pieces = pieces.join(lanes, "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_lanes")))
@@ -180,4 +182,4 @@ def pack(pieces: DataFrame, capacity: int, *, each: int = 500_000) -> DataFrame:
     ranked = pieces.withColumn("_in", inside).join(starts, ["length", "_lane"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
     placed = ranked.join(plan, "length").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
-    return placed.select(*names, F.expr("_base + (_rank - _from) div _each").alias("sequence_id"), (F.col("_offset") + (nth % F.col("_each")) * F.col("length")).cast("long").alias("offset"))
+    return placed.select(*[F.col(f"_row.`{c}`") if c in other else F.col(c).alias(c) for c in names], F.expr("_base + (_rank - _from) div _each").alias("sequence_id"), (F.col("_offset") + (nth % F.col("_each")) * F.col("length")).cast("long").alias("offset"))

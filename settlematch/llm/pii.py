@@ -78,8 +78,14 @@ def find_emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a number is at most 255, whatever zeros it begins with."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or 0) < 256
+
+
 def find_ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(len(p) < 20 and int(p) < 256 for p in m.group().split("."))] if text.count(".") > 2 else []
+    return [m.span() for m in _IP.finditer(text) if all(map(_is_byte, m.group().split(".")))] if text.count(".") > 2 else []
 
 
 def find_cards(text: str) -> list[tuple[int, int]]:

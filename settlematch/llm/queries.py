@@ -44,7 +44,7 @@ def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     drawn = segmentations.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
-    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "log_prob", "inclusion", "decodes")
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "log_prob", "inclusion", "log_inclusion", "decodes")
 
 
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,6 +420,12 @@ def inclusion(log_probability: float, threshold: float) -> float:
     return 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(log_probability - threshold, 700.0)))
 
 
+def log_inclusion(log_probability: float, threshold: float) -> float:
+    """Its logarithm, which long texts need: one of their segmentations has next to no probability."""
+    above = log_probability - threshold
+    return above if above < -36.0 else math.log(inclusion(log_probability, threshold))  # 1 - exp(-x) is x where x is small
+
+
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """Text of a segmentation: byte pieces are joined as UTF-8, spaces restored, the leading one dropped."""
     return b"".join(map(vocabulary.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -438,12 +444,13 @@ def vocabulary(model: str, sharpness: float) -> Vocabulary:
 def sample_segmentations(rows: DataFrame, model: str, keys: list[str], *, k: int = 2, sharpness: float = 0.5, seed: int = 6) -> DataFrame:
     """Up to ``k`` distinct segmentations of every ``text``, seeded by the key columns (of type long).
 
-    One row each: keys, sample (0: drawn first), ids, log_prob, inclusion, and whether the ids
-    decode to the text. Texts with fewer segmentations give all of them, with inclusion 1; null
+    One row each: keys, sample (0: drawn first), ids, log_prob, inclusion, log_inclusion, and whether the ids
+    decode to the text. ``log_inclusion`` is the logarithm of ``inclusion``, which is 0 for most long texts.
+    Texts with fewer segmentations give all of them, with inclusion 1; null
     and empty texts give one, without pieces. Rows that share a key and a text give the same.
     Other columns are left out; one of the names above can be no key.
     """
-    schema = pa.schema([*((c, pa.int64()) for c in keys), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("decodes", pa.bool_())])
+    schema = pa.schema([*((c, pa.int64()) for c in keys), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("decodes", pa.bool_())])
 
     def run(batches):
         pieces = vocabulary(model, sharpness)
@@ -454,9 +461,10 @@ def sample_segmentations(rows: DataFrame, model: str, keys: list[str], *, k: int
             seeds = [xxhash.xxh64_intdigest(repr((seed, list(key)))) for key in own]
             for text, key, (drawn, threshold) in zip(texts, own, draw(pieces, texts, seeds, k), strict=True):
                 for i, (log_probability, ids) in enumerate(drawn):
-                    values = (*key, i, ids, round(log_probability, 6), round(inclusion(log_probability, threshold), 9), decode(pieces, ids) == text if len(ids) else not text)
+                    chance = round(log_inclusion(log_probability, threshold), 6)  # rounded, as sums of a block end in its own last digits
+                    values = (*key, i, ids, round(log_probability, 6), math.exp(chance), chance, decode(pieces, ids) == text if len(ids) else not text)
                     for name, value in zip(schema.names, values, strict=True):
                         out[name].append(value)
             yield record_batch(schema, out)
 
-    return rows.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), "sample int, ids array<int>, log_prob double, inclusion double, decodes boolean"]))
+    return rows.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), "sample int, ids array<int>, log_prob double, inclusion double, log_inclusion double, decodes boolean"]))

@@ -101,7 +101,9 @@ def shuffle_into_shards(rows: DataFrame, shards: int, *, key: Column, seed: int
     in any case, are replaced. The same files and split size give the same placement.
     """
     names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
-    here = written(rows.select(names).withColumns({"_raw": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_key": key}))
+    # the rows travel in one struct, so that no name of theirs can be one of the names used here
+    row = [F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row")] if names else []
+    here = written(rows.select(*row, F.spark_partition_id().alias("_raw"), F.monotonically_increasing_id().alias("_at"), key.alias("_key")))
     total = here.count()
     parts, lanes = min(max(total // each, 256), most_parts), min(max(total // (each * shards), 16), most_lanes)
     here = here.withColumn("_part", F.col("_raw") % parts).drop("_raw")
@@ -115,9 +117,9 @@ def shuffle_into_shards(rows: DataFrame, shards: int, *, key: Column, seed: int
 
     ranked = here.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(draw(1), "_at")))
     sent = ranked.join(until, "_part").withColumn("shard", F.size(F.filter("_until", lambda x: x < F.col("_rank"))))
-    sent = written(sent.withColumn("_draw", draw(2)).withColumn("_lane", F.pmod(F.shiftright("_draw", 48), F.lit(lanes)).cast("int")).select(*names, "shard", "_lane", "_draw", "_at"))
+    sent = written(sent.withColumn("_draw", draw(2)).withColumn("_lane", F.pmod(F.shiftright("_draw", 48), F.lit(lanes)).cast("int")).select(*(["_row"] if names else []), "shard", "_lane", "_draw", "_at"))
     lane = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = sent.groupBy("shard", "_lane").agg(F.count("*").alias("_n")).select("shard", "_lane", F.coalesce(F.sum("_n").over(lane), F.lit(0)).alias("_start"))
     slot = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy("_draw", "_at"))
     # at most shards x most_lanes rows
-    return sent.withColumn("_slot", slot).join(F.broadcast(starts), ["shard", "_lane"]).select(*names, "shard", (F.col("_start") + F.col("_slot") - 1).alias("slot"))
+    return sent.withColumn("_slot", slot).join(F.broadcast(starts), ["shard", "_lane"]).select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], "shard", (F.col("_start") + F.col("_slot") - 1).alias("slot"))

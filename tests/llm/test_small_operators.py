@@ -85,6 +85,19 @@ def test_shard_columns_of_the_input_are_replaced(spark):
     assert got.columns == ["doc_id", "Shard2", "shard", "slot"] and got.select("shard").distinct().count() == 3
 
 
+def test_no_name_of_a_column_matters_to_sharding_or_packing(spark):
+    ours = ["_part", "_draw", "_at", "_key", "_lane", "_raw", "_rank", "_row", "_slot", "_n", "_start", "_until"]
+    df = spark.range(200).select(F.col("id").alias("doc_id"), *[(F.col("id") * 10 + i).alias(c) for i, c in enumerate(ours)])
+    got = sharding.shuffle_into_shards(df, 3, key=F.xxhash64("doc_id"))
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(map(tuple, df.collect()))
+    theirs = ["_lane", "_lanes", "_in", "_before", "_rank", "_n", "_from", "_to", "_base", "_each", "_offset", "_row"]
+    pieces = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 50 + 1).alias("length"), *[(F.col("id") * 10 + i).alias(c) for i, c in enumerate(theirs)])
+    packed = packing.pack(pieces, 64)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:-2] for r in packed.collect()) == sorted(map(tuple, pieces.collect()))
+
+
 # --- media ---
 
 
