@@ -21,15 +21,13 @@ NO_LINES = "cast(array() as array<string>)"
 
 @dataclass
 class Leg:
-    """How one leg is resolved: ids, the two first layers, the questions of the third, and what is said about a link."""
+    """How one leg is resolved: ids, the two first layers, the recorded decisions of the third, and what is said about a link."""
 
     subject: str
     row: str
     first: Callable[[DataFrame, DataFrame], DataFrame]
     second: Callable[[DataFrame, DataFrame], DataFrame]
-    choices: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
-    system: str
-    most: int | None
+    third: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
     third_rule: str
     evidence: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
@@ -103,8 +101,13 @@ def decided(outcomes: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
     return links, declines
 
 
-BANK_LEG = Leg("settlement_id", "txn_id", exact.l1_utr_column_join, fuzzy.assign_batches, decisions.bank_choices, decisions.SYSTEM, None, L3_BANK, bank_evidence)
-INVOICE_LEG = Leg("payment_id", "invoice_id", exact.l1_order_id_join, fuzzy.assign_invoices, decisions.invoice_choices, decisions.INVOICE_SYSTEM, decisions.OFFERED, L3_INVOICE, invoice_evidence)
+def bank_decisions(batches: DataFrame, bank: DataFrame, transcript: DataFrame) -> DataFrame:
+    choices = decisions.bank_choices(batches, bank, decisions.recorded_subjects(transcript))
+    return decisions.decide_in_turn(written(choices), transcript)
+
+
+BANK_LEG = Leg("settlement_id", "txn_id", exact.l1_utr_column_join, fuzzy.assign_batches, bank_decisions, L3_BANK, bank_evidence)
+INVOICE_LEG = Leg("payment_id", "invoice_id", exact.l1_order_id_join, fuzzy.assign_invoices, decisions.decide_invoices_in_turn, L3_INVOICE, invoice_evidence)
 
 
 def open_rows(leg: Leg, subjects: DataFrame, rows: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,8 +132,7 @@ def resolve(leg: Leg, subjects: DataFrame, rows: DataFrame, transcript: DataFram
     found = two_layers(leg, subjects, rows) if found is None else found
     if transcript is None:
         return found, found.sparkSession.createDataFrame([], "subject_id string, declined array<string>")
-    choices = written(leg.choices(*open_rows(leg, subjects, rows, found), decisions.recorded_subjects(transcript)))
-    links, declines = decided(written(decisions.decide_in_turn(choices, transcript, system=leg.system, most=leg.most)), leg.third_rule)
+    links, declines = decided(written(leg.third(*open_rows(leg, subjects, rows, found), transcript)), leg.third_rule)
     return found.unionByName(links), declines
 
 

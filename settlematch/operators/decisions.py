@@ -8,6 +8,7 @@ was asked depends on the answers before it (:func:`decide_in_turn`).
 from __future__ import annotations
 
 import hashlib
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from settlematch.functions.ids import content_key
 from settlematch.functions.money import format_rupees
 from settlematch.functions.stats import CEILING
+from settlematch.operators import shelves
 from settlematch.operators.components import components
 from settlematch.operators.runs import solve_runs
 from settlematch.storage import written
 
-DAYS, ISSUE_DAYS, SHORTFALL_PCT, SPREAD, OFFERED = 4, 21, 5.0, 0.15, 12
+DAYS, SHORTFALL_PCT, OFFERED = 4, 5.0, 12
 
 
 def l3_bank_candidates(batches: DataFrame, bank: DataFrame) -> DataFrame:
@@ -27,48 +29,65 @@ def l3_bank_candidates(batches: DataFrame, bank: DataFrame) -> DataFrame:
     probes = batches.where("settled_date is not null and expected_credit_dedup > 0").select("settlement_id", "settled_date", F.col("expected_credit_dedup").alias("total"))
     probes = probes.withColumn("value_date", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))))
     # amounts on a log scale whose step is wider than the shortfall: a credit is on the total's level or next to it
-    level = _level(F.col("total"), 0.06)
+    level = shelves.level(F.col("total"), 0.06)
     probes = probes.withColumn("level", F.explode(F.array(level - 1, level, level + 1)))
     short = F.col("total") - F.col("credit")
-    rows = bank.select("txn_id", "value_date", "credit", _level(F.col("credit"), 0.06).alias("level"))
+    rows = bank.select("txn_id", "value_date", "credit", shelves.level(F.col("credit"), 0.06).alias("level"))
     found = probes.join(rows, ["value_date", "level"]).where((F.col("credit") <= F.col("total") + 10) & (100 * short / F.col("total") <= SHORTFALL_PCT))
     return found.select("settlement_id", "txn_id", "total", "credit", "value_date")
 
 
-def l3_competing_batches(batches: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """Other unresolved batches settling within DAYS, of each batch or of those ``asked`` about."""
-    left = (batches if asked is None else asked).where("settled_date is not null").select("settlement_id", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))).alias("settled_date"))
-    right = batches.select(F.col("settlement_id").alias("other_id"), "settled_date")
-    return left.join(right, "settled_date").where("settlement_id <> other_id").select("settlement_id", "other_id")
+def _told(name: str) -> Column:
+    """How a batch is named to the model among others."""
+    return F.concat(F.col(name), F.lit(" "), format_rupees(F.col("expected_credit_dedup")))
+
+
+def _sign_of(text: Column) -> Column:
+    """A number that stands for a text; numbers of many texts add up in any order."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+#: Sums of signs are told modulo this.
+SIGNS = 10**15
 
 
-def _level(amount: Column, step: float) -> Column:
-    """A whole number on a log scale; what is below 30 paise, where ten paise are much, is one level."""
-    return F.floor(F.log(F.greatest(amount, F.lit(300)).cast("double")) / step).cast("int")
+def rival_days(batches: DataFrame) -> DataFrame:
+    """day, n, total, sign: the open batches of each day as one row, however many they are."""
+    rows = batches.where("settled_date is not null")
+    return rows.groupBy(F.col("settled_date").alias("day")).agg(F.count("*").alias("n"), F.sum("expected_credit_dedup").alias("total"), F.sum(_sign_of(_told("settlement_id"))).alias("sign"))
 
 
-def invoices_in_reach(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Invoices issued within ISSUE_DAYS of a payment's capture and within SPREAD of its amount.
+def rival_blocks(batches: DataFrame, each: int = 1000) -> DataFrame:
+    """day, block, n, said: the open batches of each day by name, in blocks of about ``each``, once for all that are asked about.
 
-    A range join on buckets: days in steps of ISSUE_DAYS, amounts on a log scale whose step is
-    wider than the spread.
+    What a model is shown below a question: the blocks of the days that the question names.
     """
+    rows = batches.where("settled_date is not null").select(F.col("settled_date").alias("day"), F.conv(F.substring(F.sha2("settlement_id", 256), 1, 8), 16, 10).cast("long").alias("lane"), _told("settlement_id").alias("told"))
+    blocks = rows.groupBy("day").agg(F.expr(f"count(*) div {each} + 1").alias("blocks"))
+    rows = rows.join(blocks, "day").withColumn("block", F.pmod(F.col("lane"), F.col("blocks")))
+    return rows.groupBy("day", "block").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("told")), ", ").alias("said"))
 
-    def level(x: Column) -> Column:
-        return _level(x, 0.18)
 
-    day = F.floor(F.datediff(F.col("captured_on"), F.lit("1970-01-01").cast("date")) / ISSUE_DAYS).cast("int")
-    left = payments.where("captured_on is not null").select("payment_id", "captured_on", "gross")
-    left = left.withColumn("day", F.explode(F.array(day - 1, day, day + 1))).withColumn("level", F.explode(F.array(level(F.col("gross")) - 1, level(F.col("gross")), level(F.col("gross")) + 1)))
-    right = invoices.select("invoice_id", "invoice_amount", "issue_date", F.floor(F.datediff("issue_date", F.lit("1970-01-01").cast("date")) / ISSUE_DAYS).cast("int").alias("day"), level(F.col("invoice_amount")).alias("level"))
-    near = (F.abs(F.datediff("issue_date", "captured_on")) <= ISSUE_DAYS) & (F.abs(F.col("invoice_amount") - F.col("gross")) <= F.col("gross") * F.lit(SPREAD))
-    return left.join(right, ["day", "level"]).where(near).select("payment_id", "invoice_id", "gross", "captured_on", "invoice_amount", "issue_date")
+def l3_competing_batches(batches: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """settlement_id, day, n, total, sign: the other open batches settling within DAYS, as at most nine rows a batch.
+
+    Batches of a day are added up once (:func:`rival_days`), and a batch itself is taken off its
+    own day's row, so that rows grow with the batches and not with their pairs.
+    asked: the batches to answer for; all where left out.
+    """
+    own = (batches if asked is None else asked).where("settled_date is not null").select("settlement_id", "settled_date", "expected_credit_dedup", _sign_of(_told("settlement_id")).alias("own"))
+    near = own.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda i: F.date_add("settled_date", i))))
+    home = (F.col("day") == F.col("settled_date")).cast("int")
+    rows = near.join(rival_days(batches), "day").select(
+        "settlement_id", "day", (F.col("n") - home).alias("n"), (F.col("total") - home * F.col("expected_credit_dedup")).alias("total"),
+        F.pmod(F.col("sign") - home * F.col("own"), F.lit(SIGNS)).cast("long").alias("sign"),
+    )
+    return rows.where("n > 0")
 
 
 def l3_invoice_candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
     """The first OFFERED invoices in reach, by id."""
-    place = F.row_number().over(Window.partitionBy("payment_id").orderBy("invoice_id"))
-    return invoices_in_reach(payments, invoices).withColumn("place", place).where(F.col("place") <= OFFERED).select("payment_id", "invoice_id", "place", "gross", "invoice_amount")
+    return shelves.first_in_reach(payments, invoices, OFFERED).join(payments.select("payment_id", "gross"), "payment_id").select("payment_id", "invoice_id", "place", "gross", "invoice_amount")
 
 
 def percent_text(part: Column, whole: Column) -> Column:
@@ -88,30 +107,34 @@ def _asked(subjects: DataFrame, name: str, asked: DataFrame | None) -> DataFrame
 def bank_choices(batches: DataFrame, bank: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """subject_id, head, tail, counterpart_id, line: what the question of each batch, or of those ``asked`` about, is made of.
 
-    The head names the batch and its total, each line one credit, and the tail other open batches
-    near in time, which may want the same credits.
+    The head names the batch and its total, each line one credit, and the tail the days near it on
+    which other open batches settle, which may want the same credits: how many, their total, and a
+    sign of who they are. Their names are in :func:`rival_blocks`.
     """
     about = _asked(batches, "settlement_id", asked)
     found = l3_bank_candidates(about, bank)
     short = F.col("total") - F.col("credit")
     line = F.concat_ws(" | ", F.concat(F.lit("credit "), "txn_id"), format_rupees(F.col("credit")), F.concat(F.lit("on "), F.col("value_date").cast("string")), F.concat(F.lit("short by "), format_rupees(short), F.lit(" ("), percent_text(short, F.col("total")), F.lit(")")))
-    rivals = l3_competing_batches(batches, about).join(batches.select(F.col("settlement_id").alias("other_id"), "expected_credit_dedup"), "other_id")
-    told = F.concat(F.col("other_id"), F.lit(" "), format_rupees(F.col("expected_credit_dedup")))
-    rivals = rivals.groupBy("settlement_id").agg(F.array_join(F.sort_array(F.collect_list(told)), ", ").alias("rivals"))
+    rivals = l3_competing_batches(batches, about.join(found.select("settlement_id").distinct(), "settlement_id", "left_semi"))
+    told = F.concat(F.col("day").cast("string"), F.lit(" "), F.col("n").cast("string"), F.lit(" of "), format_rupees(F.col("total")), F.lit(" #"), F.col("sign").cast("string"))
+    rivals = rivals.groupBy("settlement_id").agg(F.array_join(F.sort_array(F.collect_list(told)), "; ").alias("rivals"))  # at most nine
     rows = found.join(rivals, "settlement_id", "left")
     head = F.concat(F.lit("batch "), "settlement_id", F.lit(" total "), format_rupees(F.col("total")))
-    tail = F.coalesce(F.concat(F.lit("\nother open batches: "), "rivals"), F.lit(""))
+    tail = F.coalesce(F.concat(F.lit("\nother open batches by day: "), "rivals"), F.lit(""))
     return rows.select(F.col("settlement_id").alias("subject_id"), head.alias("head"), tail.alias("tail"), F.col("txn_id").alias("counterpart_id"), line.alias("line"))
 
 
-def invoice_choices(payments: DataFrame, invoices: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """The same for each payment and the invoices in reach; offered are the first OFFERED that are free."""
+def _head_of_payment() -> Column:
+    return F.concat(F.lit("payment "), "payment_id", F.lit(" of "), format_rupees(F.col("gross")), F.lit(" captured "), F.col("captured_on").cast("string"), F.lit(" order "), F.coalesce("order_id", F.lit("none")), F.lit(" receipt "), F.coalesce("order_receipt", F.lit("none")))
+
+
+def invoice_choices(payments: DataFrame, invoices: DataFrame, asked: DataFrame | None = None, *, most: int = OFFERED) -> DataFrame:
+    """The same for each payment and the first ``most`` invoices in reach."""
     payments = _asked(payments, "payment_id", asked)
-    found = invoices_in_reach(payments, invoices).join(payments.select("payment_id", "order_id", "order_receipt"), "payment_id")
+    found = shelves.first_in_reach(payments, invoices, most).join(payments, "payment_id")
     off = F.col("invoice_amount") - F.col("gross")
     line = F.concat_ws(" | ", F.concat(F.lit("invoice "), "invoice_id"), format_rupees(F.col("invoice_amount")), F.concat(F.lit("differs by "), format_rupees(off)), F.concat(F.lit("issued "), F.col("issue_date").cast("string")))
-    head = F.concat(F.lit("payment "), "payment_id", F.lit(" of "), format_rupees(F.col("gross")), F.lit(" captured "), F.col("captured_on").cast("string"), F.lit(" order "), F.coalesce("order_id", F.lit("none")), F.lit(" receipt "), F.coalesce("order_receipt", F.lit("none")))
-    return found.select(F.col("payment_id").alias("subject_id"), head.alias("head"), F.lit("").alias("tail"), F.col("invoice_id").alias("counterpart_id"), line.alias("line"))
+    return found.select(F.col("payment_id").alias("subject_id"), _head_of_payment().alias("head"), F.lit("").alias("tail"), F.col("invoice_id").alias("counterpart_id"), line.alias("line"))
 
 
 def l3_render_questions(choices: DataFrame, system: str = SYSTEM, most: int | None = None) -> DataFrame:
@@ -142,22 +165,6 @@ def l3_validate_decision(answers: DataFrame) -> DataFrame:
     return parsed.withColumn("valid", F.coalesce(ok, F.lit(False))).select(*answers.columns, "d.chosen_id", F.col("d.confidence").alias("raw_confidence"), "d.reasoning", "d.inferred_deduction_paise", "valid")
 
 
-def l3_accept(decisions: DataFrame, offered: DataFrame) -> DataFrame:
-    """Outcome of every valid decision: accepted at a capped confidence, or declined and why.
-
-    Among subjects that chose one counterpart the first in id order has it; for the later ones
-    it was no longer on offer.
-    """
-    valid = decisions.where("valid")
-    asked = valid.join(offered.select("subject_id", F.col("counterpart_id").alias("chosen_id"), F.lit(True).alias("known")), ["subject_id", "chosen_id"], "left")
-    real = F.col("chosen_id").isNotNull() & F.col("known").isNotNull()
-    turn = F.row_number().over(Window.partitionBy("chosen_id").orderBy("subject_id"))
-    taken = asked.where(real).withColumn("turn", turn)
-    rest = asked.where(~real).withColumn("turn", F.lit(0))
-    outcome = F.when(F.col("chosen_id").isNull(), "declined").when(F.col("turn") == 1, "accepted").otherwise("not_offered")
-    return taken.unionByName(rest).select("subject_id", "chosen_id", outcome.alias("outcome"), F.when(outcome == "accepted", F.col("raw_confidence") * CEILING).alias("confidence"))
-
-
 def l3_resume_plan(questions: DataFrame, transcript: DataFrame) -> DataFrame:
     """Questions without a good answer."""
     return questions.join(latest_answers(transcript).select("prompt_hash"), "prompt_hash", "left_anti")
@@ -171,6 +178,24 @@ def recorded_subjects(transcript: DataFrame) -> DataFrame:
     return transcript.where("error is null").select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id")).distinct()
 
 
+def _known_answers(transcript: DataFrame) -> DataFrame:
+    """subject_id, answers: the checked answers that are recorded about each subject."""
+    answers = l3_validate_decision(latest_answers(transcript).select("purpose", "prompt_hash", "response_text"))
+    answers = answers.select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id"), F.struct("prompt_hash", "chosen_id", "raw_confidence", "reasoning", "inferred_deduction_paise", "valid").alias("answer"))
+    return answers.groupBy("subject_id").agg(F.collect_list("answer").alias("answers"))
+
+
+def _outcome(subject: str, question: str, system: str, free: list[str], known: list) -> tuple:
+    """A row of OUTCOMES: the recorded answer to the question, where there is one, and whether it takes what was free."""
+    key = hashlib.sha256(f"{system}\0{question}".encode()).hexdigest()[:20]
+    answer = next((a for a in known if a["prompt_hash"] == key), None)
+    if answer is None or not answer["valid"]:
+        return (subject, key, len(free), "missed" if answer is None else "invalid", None, None, None, None)
+    chosen = answer["chosen_id"]
+    outcome = "declined" if chosen is None else "accepted" if chosen in free else "not_offered"
+    return (subject, key, len(free), outcome, chosen, answer["raw_confidence"], answer["reasoning"], answer["inferred_deduction_paise"])
+
+
 def decide_in_turn(choices: DataFrame, transcript: DataFrame, *, system: str = SYSTEM, most: int | None = None) -> DataFrame:
     """The recorded answers applied in id order, each to the question its subject would have been asked.
 
@@ -181,9 +206,7 @@ def decide_in_turn(choices: DataFrame, transcript: DataFrame, *, system: str = S
     about; subjects without a record take nothing and stand in nobody's way, so parts of the graph
     of the others are solved one by one. Their size is bounded by the records, not by the data.
     """
-    answers = l3_validate_decision(latest_answers(transcript).select("purpose", "prompt_hash", "response_text"))
-    answers = answers.select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id"), F.struct("prompt_hash", "chosen_id", "raw_confidence", "reasoning", "inferred_deduction_paise", "valid").alias("answer"))
-    asked = answers.groupBy("subject_id").agg(F.collect_list("answer").alias("answers"))
+    asked = _known_answers(transcript)
     own = written(choices.join(asked.select("subject_id"), "subject_id", "left_semi"))
     node = F.xxhash64(F.lit("s"), "subject_id")
     part = components(own.select(node.alias("a"), F.xxhash64(F.lit("c"), "counterpart_id").alias("b")))
@@ -196,17 +219,56 @@ def decide_in_turn(choices: DataFrame, transcript: DataFrame, *, system: str = S
             free = [x for x in lines if x["counterpart_id"] not in taken][:most]
             if not free:
                 continue
-            question = head + "\n" + "\n".join(x["line"] for x in free) + tail
-            key = hashlib.sha256(f"{system}\0{question}".encode()).hexdigest()[:20]
-            answer = next((a for a in known if a["prompt_hash"] == key), None)
-            if answer is None or not answer["valid"]:
-                out.append((subject, key, len(free), "missed" if answer is None else "invalid", None, None, None, None))
-                continue
-            chosen = answer["chosen_id"]
-            outcome = "declined" if chosen is None else "accepted" if any(x["counterpart_id"] == chosen for x in free) else "not_offered"
-            if outcome == "accepted":
-                taken.add(chosen)
-            out.append((subject, key, len(free), outcome, chosen, answer["raw_confidence"], answer["reasoning"], answer["inferred_deduction_paise"]))
+            out.append(_outcome(subject, head + "\n" + "\n".join(x["line"] for x in free) + tail, system, [x["counterpart_id"] for x in free], known))
+            if out[-1][3] == "accepted":
+                taken.add(out[-1][4])
         return out
 
     return solve_runs(rows.select("component", "subject_id", "head", "tail", "lines", "answers"), "component", ["subject_id"], solve, OUTCOMES)
+
+
+def _rupees(paise: int) -> str:
+    return f"{'-' if paise < 0 else ''}{abs(paise) // 100}.{abs(paise) % 100:02d}"
+
+
+def decide_invoices_in_turn(payments: DataFrame, invoices: DataFrame, transcript: DataFrame, *, system: str = INVOICE_SYSTEM, most: int = OFFERED) -> DataFrame:
+    """:func:`decide_in_turn` for payments and the first ``most`` free invoices in reach, without their pairs.
+
+    Only invoices that a recorded answer names can ever be taken, so what the buckets of two
+    payments have in common matters only where such an invoice lies between them: buckets linked by
+    them are one part, solved in id order over its shelves. Of invoices that nobody names the first
+    ``most`` of one date and amount are enough. Rows grow with the records and the invoices, a part
+    with the records in reach of each other and what is sold around them.
+    """
+    asked = _known_answers(transcript)
+    about = written(shelves.payment_rows(payments).join(asked, asked["subject_id"] == F.col("id")).drop("subject_id").join(payments.select(F.col("payment_id").alias("id"), _head_of_payment().alias("head")), "id"))
+    named = written(about.select(F.explode("answers").alias("a")).where("a.valid and a.chosen_id is not null").select(F.col("a.chosen_id").alias("invoice_id")).distinct())
+    takeable = invoices.join(named, "invoice_id", "left_semi")
+    on_shelf = written(shelves.invoice_rows(shelves.enough_of_each(invoices.join(named, "invoice_id", "left_anti"), most).unionByName(takeable)))
+    homes = about.select("bucket").distinct()
+    between = shelves.invoice_rows(takeable).select(F.col("bucket").alias("b")).distinct().withColumn("bucket", F.explode(shelves.around(F.col("b")))).join(homes, "bucket")
+    part = components(between.select((2 * F.col("bucket")).alias("a"), (2 * F.col("b") + 1).alias("b")))
+    homes = written(homes.join(part.select(F.expr("node div 2").alias("bucket"), "component").where("pmod(node, 2) = 0"), "bucket", "left").select("bucket", F.coalesce("component", 2 * F.col("bucket")).alias("part")))
+    none = {"head": F.lit(None).cast("string"), "answers": F.lit(None).cast(about.schema["answers"].dataType)}
+    columns = ("part", "kind", "bucket", "id", "amount", "day", "head", "answers")
+    shelved = on_shelf.withColumn("home", F.explode(shelves.around(F.col("bucket")))).join(homes.withColumnRenamed("bucket", "home"), "home").drop("home").distinct().withColumns(none)
+    rows = about.join(homes, "bucket").select(*columns).unionByName(shelved.select(*columns))
+
+    def solve(part: dict[str, list]) -> list[tuple]:
+        rows, out = list(zip(*(part[c] for c in columns[1:]), strict=True)), []
+        stock = shelves.Shelves((b, i, a, d) for k, b, i, a, d, _, _ in rows if k == "i")
+        for _, number, subject, gross, day, head, known in sorted((r for r in rows if r[0] == "p"), key=lambda r: r[2]):
+            free = stock.first(number, gross, day, most)
+            if not free:
+                continue
+            lines = [f"invoice {i} | {_rupees(a)} | differs by {_rupees(a - gross)} | issued {date.fromordinal(d + EPOCH)}" for i, a, d in free]
+            out.append(_outcome(subject, "\n".join([head, *lines]), system, [i for i, _, _ in free], known))
+            if out[-1][3] == "accepted":
+                stock.take(number, out[-1][4])
+        return out
+
+    return solve_runs(rows, "part", [], solve, OUTCOMES)
+
+
+#: Ordinal of the first of January 1970.
+EPOCH = date(1970, 1, 1).toordinal()

@@ -80,7 +80,8 @@ class Inputs:
 
         def make() -> DataFrame:
             bank = decisions.bank_choices(*assemble.open_rows(assemble.BANK_LEG, self.batches, self.bank, self.found_bank))
-            ledger = decisions.invoice_choices(*assemble.open_rows(assemble.INVOICE_LEG, self.payments, self.invoices, self.found_invoice))
+            # one more than is offered: the transcript below also asks without the first
+            ledger = decisions.invoice_choices(*assemble.open_rows(assemble.INVOICE_LEG, self.payments, self.invoices, self.found_invoice), most=decisions.OFFERED + 1)
             return written(bank.withColumn("leg", F.lit("bank")).unionByName(ledger.withColumn("leg", F.lit("invoice"))))
 
         return self.once("choices", make)
@@ -576,11 +577,31 @@ def l3_bank_candidates(t: Inputs) -> DataFrame:
     return decisions.l3_bank_candidates(t.batches, t.bank).select("settlement_id", "txn_id", (F.col("total") - F.col("credit")).alias("short"))
 
 
-@query("--with " + BATCHES + "SELECT a.settlement_id, b.settlement_id AS other_id FROM batches a JOIN batches b ON a.settlement_id <> b.settlement_id AND abs(datediff('day', a.settled_date, b.settled_date)) <= 4")
+def _sign(told: str) -> str:
+    return f"CAST('0x' || substr(sha256({told}), 1, 15) AS HUGEINT)"
+
+
+def _rupees(x: str) -> str:
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(abs({x}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0')"
+
+
+def _rivals_sql(batches: str) -> str:
+    """All pairs of batches within four days, added up by batch and day."""
+    told = f"b.settlement_id || ' ' || {_rupees('b.expected_credit_dedup')}"
+    return f"SELECT a.settlement_id, b.settled_date AS day, count(*) AS n, CAST(sum(b.expected_credit_dedup) AS BIGINT) AS total, CAST(sum({_sign(told)}) % {decisions.SIGNS} AS BIGINT) AS sign FROM {batches} a JOIN {batches} b ON a.settlement_id <> b.settlement_id AND abs(datediff('day', a.settled_date, b.settled_date)) <= 4 GROUP BY 1, 2"
+
+
+@query("--with " + BATCHES + _rivals_sql("batches"))
 def l3_competing_batches(t: Inputs) -> DataFrame:
     return decisions.l3_competing_batches(t.batches)
 
 
+@query("--with " + BATCHES + f"SELECT settled_date AS day, CAST(0 AS BIGINT) AS block, count(*) AS n, string_agg(settlement_id || ' ' || {_rupees('expected_credit_dedup')}, ', ' ORDER BY settlement_id) AS said FROM batches WHERE settled_date IS NOT NULL GROUP BY 1")
+def l3_rival_blocks(t: Inputs) -> DataFrame:
+    """Open batches of each day by name; a day of the derived tables is one block."""
+    return decisions.rival_blocks(t.batches)
+
+
 _L3_SUBJECTS = "l3p AS (SELECT p.* FROM payments p WHERE p.order_id IS NULL), l3i AS (SELECT * FROM invoices WHERE order_id IS NULL)"
 
 
@@ -590,10 +611,6 @@ def l3_invoice_candidates(t: Inputs) -> DataFrame:
     return decisions.l3_invoice_candidates(t.payments.where("order_id is null"), t.invoices.where("order_id is null")).select("payment_id", "invoice_id", "place")
 
 
-def _rupees(x: str) -> str:
-    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(abs({x}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0')"
-
-
 CONFIDENCE = "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in stats.RULE_CONFIDENCE.items()) + f" ELSE CAST(0.9 AS DOUBLE) * {stats.CEILING} END"
 _SHORT = "(total - credit)"
 _HUNDREDTHS = f"(CASE WHEN {_SHORT} < 0 THEN -1 ELSE 1 END * ((2 * abs({_SHORT}) * 10000 + total) // (2 * total)))"
@@ -603,10 +620,10 @@ two_bank AS MATERIALIZED (SELECT settlement_id, txn_id, 'l1_utr_column_join' AS
 two_inv AS MATERIALIZED (SELECT payment_id, counterpart_id AS invoice_id, 'l1_order_id_join' AS rule, 'l1_exact' AS layer FROM l1i UNION ALL SELECT DISTINCT e.subject_id, g.got, {rule_case(fuzzy.INVOICE_RULES, 'g.rank')}, 'l2_fuzzy' FROM gri g JOIN edi e ON e.i = g.i WHERE g.got IS NOT NULL),
 ob AS MATERIALIZED (SELECT * FROM batches WHERE settlement_id NOT IN (SELECT settlement_id FROM two_bank)), fb AS MATERIALIZED (SELECT * FROM bank WHERE txn_id NOT IN (SELECT txn_id FROM two_bank)),
 op AS MATERIALIZED (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM two_inv)), fi AS MATERIALIZED (SELECT * FROM invoices WHERE invoice_id NOT IN (SELECT invoice_id FROM two_inv)),
-rivals AS (SELECT a.settlement_id, string_agg(b.settlement_id || ' ' || {_rupees('b.expected_credit_dedup')}, ', ' ORDER BY b.settlement_id) AS said FROM ob a JOIN ob b ON a.settlement_id <> b.settlement_id AND abs(datediff('day', a.settled_date, b.settled_date)) <= 4 GROUP BY 1),
+rivals AS (SELECT settlement_id, string_agg(day || ' ' || n || ' of ' || {_rupees('total')} || ' #' || sign, '; ' ORDER BY day) AS said FROM ({_rivals_sql('ob')}) x GROUP BY 1),
 cb AS (SELECT settlement_id, txn_id, expected_credit_dedup AS total, credit, value_date FROM ob JOIN fb ON abs(datediff('day', settled_date, value_date)) <= 4 AND credit <= expected_credit_dedup + 10 AND 100 * (expected_credit_dedup - credit) / CAST(expected_credit_dedup AS DOUBLE) <= 5.0 WHERE expected_credit_dedup > 0),
 ch AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY leg, subject_id ORDER BY c) AS rn FROM (
-    SELECT 'bank' AS leg, settlement_id AS subject_id, 'batch ' || settlement_id || ' total ' || {_rupees('total')} AS head, coalesce(chr(10) || 'other open batches: ' || said, '') AS tail, txn_id AS c,
+    SELECT 'bank' AS leg, settlement_id AS subject_id, 'batch ' || settlement_id || ' total ' || {_rupees('total')} AS head, coalesce(chr(10) || 'other open batches by day: ' || said, '') AS tail, txn_id AS c,
         'credit ' || txn_id || ' | ' || {_rupees('credit')} || ' | on ' || CAST(value_date AS VARCHAR) || ' | short by ' || {_rupees(_SHORT)} || ' (' || {_rupees(_HUNDREDTHS)} || '%)' AS line FROM cb LEFT JOIN rivals USING (settlement_id)
     UNION ALL SELECT 'invoice', payment_id, 'payment ' || payment_id || ' of ' || {_rupees('gross')} || ' captured ' || CAST(captured_on AS VARCHAR) || ' order ' || coalesce(p.order_id, 'none') || ' receipt ' || coalesce(order_receipt, 'none'), '', invoice_id,
         'invoice ' || invoice_id || ' | ' || {_rupees('invoice_amount')} || ' | differs by ' || {_rupees('(invoice_amount - gross)')} || ' | issued ' || CAST(issue_date AS VARCHAR)
@@ -666,9 +683,10 @@ ORACLE_SQL["l3_validate_decision"] = RESIDUE + "SELECT subject_id, CASE kind WHE
 @query(name="l3_accept")
 def _accept(t: Inputs) -> DataFrame:
     """Every recorded decision taken in turn: what was asked then, and what came of it."""
-    legs = (("bank", decisions.SYSTEM, None), ("invoice", decisions.INVOICE_SYSTEM, decisions.OFFERED))
-    parts = [decisions.decide_in_turn(t.choices.where(F.col("leg") == leg), t.transcript.where(F.col("purpose").startswith(leg)), system=system, most=most).withColumn("leg", F.lit(leg)) for leg, system, most in legs]
-    return parts[0].unionByName(parts[1]).select("leg", "subject_id", "prompt_hash", "offered", "outcome", "chosen_id", "raw_confidence")
+    bank = decisions.decide_in_turn(t.choices.where("leg = 'bank'"), t.transcript.where(F.col("purpose").startswith("bank")))
+    ledger = decisions.decide_invoices_in_turn(*assemble.open_rows(assemble.INVOICE_LEG, t.payments, t.invoices, t.found_invoice), t.transcript.where(F.col("purpose").startswith("invoice")))
+    both = bank.withColumn("leg", F.lit("bank")).unionByName(ledger.withColumn("leg", F.lit("invoice")))
+    return both.select("leg", "subject_id", "prompt_hash", "offered", "outcome", "chosen_id", "raw_confidence")
 
 
 ORACLE_SQL["l3_accept"] = IN_TURN + " UNION ALL ".join(f" SELECT '{leg}' AS leg, subject_id, h AS prompt_hash, CAST(offered AS INT) AS offered, outcome, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence FROM l3_{leg}" for leg in ("bank", "invoice"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlematch import storage
-from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, score, views
+from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, score, shelves, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
 
@@ -239,7 +239,7 @@ def test_decisions_take_turns(spark):
     credits = bank(spark, {"utr": None, "credit": 96500}, {"txn_id": "bank_2", "utr": None, "credit": 96400}, {"txn_id": "bank_3", "credit": 98000}, {"txn_id": "bank_4", "credit": 77000})
     choices = decisions.bank_choices(batches, credits)
     assert {r["counterpart_id"] for r in choices.collect()} == {"bank_1", "bank_2"}  # above the total or far below it: not offered
-    assert "short by 5.00 (0.52%)" in choices.where("counterpart_id = 'bank_1'").head()["line"] and "setl_2 970.00" in choices.where("subject_id = 'setl_1'").head()["tail"]
+    assert "short by 5.00 (0.52%)" in choices.where("counterpart_id = 'bank_1'").head()["line"] and "2026-02-05 5 of 4850.00 #" in choices.where("subject_id = 'setl_1'").head()["tail"]
     full, rest = asked(choices), asked(choices.where("counterpart_id <> 'bank_1'"))
     log = answered(spark, full, ("setl_1", {"chosen_id": "bank_1", "confidence": 1.0}), ("setl_2", {"chosen_id": "bank_1", "confidence": 1.0}))
     log = log.unionByName(answered(spark, rest, ("setl_3", {"chosen_id": None, "confidence": 0.2}), ("setl_4", {"chosen_id": "bank_9", "confidence": 0.6}), ("setl_5", "no answer")))
@@ -257,7 +257,7 @@ def test_turns_equal_one_pass(spark):
     rng = random.Random(4)
     pay = payment(spark, *[{"payment_id": f"p{i:02}", "order_id": None, "gross": rng.choice([1000, 1010, 5000]), "captured_on": DAY + dt.timedelta(rng.randrange(60))} for i in range(40)])
     inv = invoice(spark, *[{"invoice_id": f"INV-2026-{i:05}", "order_id": None, "invoice_amount": rng.choice([1000, 1100, 5100]), "issue_date": DAY + dt.timedelta(rng.randrange(60))} for i in range(60)])
-    choices = decisions.invoice_choices(pay, inv)
+    choices = decisions.invoice_choices(pay, inv, most=60)
     rows, text = {}, {}
     for r in choices.collect():
         rows.setdefault(r["subject_id"], []).append((r["counterpart_id"], r["line"]))
@@ -279,6 +279,88 @@ def test_turns_equal_one_pass(spark):
     log = spark.createDataFrame(log, "purpose string, prompt_hash string, seq int, response_text string, error string").repartition(5)
     got = decisions.decide_in_turn(choices.repartition(7), log, system=decisions.INVOICE_SYSTEM, most=12).collect()
     assert {r["subject_id"]: r["chosen_id"] if r["outcome"] == "accepted" else r["outcome"] for r in got} == want and len(taken) > 8
+    shared = decisions.decide_invoices_in_turn(pay.repartition(3), inv.repartition(4), log).collect()
+    assert sorted(shared) == sorted(got)
+
+
+def nearest(payments, invoices, most):
+    """The rule itself: all pairs, then the first by id."""
+    out = {}
+    for p, gross, day in payments:
+        near = sorted(i for i, a, d in invoices if abs(d - day) <= 21 and abs(a - gross) <= gross * 0.15)
+        out[p] = near[:most]
+    return out
+
+
+def test_invoices_in_reach_are_the_first_by_id(spark, monkeypatch):
+    monkeypatch.setattr(shelves, "EACH", 7)  # several lanes of a bucket
+    for seed, prices in ((1, [1000]), (2, [100, 115, 85, 120, 1000]), (3, list(range(290, 400))), (4, [10**k for k in range(2, 12)])):
+        rng = random.Random(seed)
+        pays = [(f"p{i:03}", rng.choice(prices), rng.randrange(80)) for i in range(70)]
+        sold = [(f"INV-2026-{rng.randrange(10**5):05}-{i}", int(rng.choice(prices) * rng.choice([1, 1, 0.85, 1.15, 1.151])), rng.randrange(80)) for i in range(400)]
+        pay = payment(spark, *[{"payment_id": p, "gross": g, "captured_on": DAY + dt.timedelta(d)} for p, g, d in pays], {"payment_id": "undated", "captured_on": None})
+        inv = invoice(spark, *[{"invoice_id": i, "invoice_amount": a, "issue_date": DAY + dt.timedelta(d)} for i, a, d in sold], {"invoice_id": "undated", "issue_date": None})
+        got = {}
+        for r in decisions.l3_invoice_candidates(pay, inv.repartition(5)).orderBy("payment_id", "place").collect():
+            got.setdefault(r["payment_id"], []).append(r["invoice_id"])
+            assert r["place"] == len(got[r["payment_id"]])
+        assert got == {p: x for p, x in nearest(pays, sold, 12).items() if x}
+
+
+def test_one_price_level_is_linear_in_its_rows(spark):
+    """4,000 payments and 40,000 invoices of one price and week: 160 million pairs, and 12 rows a payment."""
+    pay = spark.range(4000).select(F.format_string("p%05d", "id").alias("payment_id"), F.lit(100000).cast("long").alias("gross"), F.date_add(F.lit(DAY), (F.col("id") % 7).cast("int")).alias("captured_on"), F.lit(None).cast("string").alias("order_id"), F.lit("r").alias("order_receipt"))
+    inv = spark.range(40000).select(F.format_string("INV-2026-%06d", "id").alias("invoice_id"), F.lit(100000).cast("long").alias("invoice_amount"), F.date_add(F.lit(DAY), (F.col("id") % 7).cast("int")).alias("issue_date"))
+    got = decisions.l3_invoice_candidates(pay, inv)
+    assert got.count() == 4000 * 12 and {r["invoice_id"] for r in got.select("invoice_id").distinct().collect()} == {f"INV-2026-{i:06}" for i in range(12)}
+    assert shelves.enough_of_each(inv, 12).count() == 7 * 12
+    # answers to the questions in turn: every payment takes the first that is free
+    want, log = 60, []
+    for n in range(want):
+        p, left = f"p{n:05}", [f"INV-2026-{i:06}" for i in range(n, n + 12)]
+        lines = [f"invoice {i} | 1000.00 | differs by 0.00 | issued {DAY + dt.timedelta(int(i[-6:]) % 7)}" for i in left]
+        head = f"payment {p} of 1000.00 captured {DAY + dt.timedelta(n % 7)} order none receipt r"
+        key = hashlib.sha256((decisions.INVOICE_SYSTEM + "\0" + "\n".join([head, *lines])).encode()).hexdigest()[:20]
+        log.append((f"invoice:{p}", key, n, json.dumps({"chosen_id": left[0], "confidence": 1.0, "reasoning": ""}), None))
+    taken = decisions.decide_invoices_in_turn(pay, inv, spark.createDataFrame(log, "purpose string, prompt_hash string, seq int, response_text string, error string")).collect()
+    assert {(r["subject_id"], r["outcome"], r["chosen_id"]) for r in taken} == {(f"p{n:05}", "accepted", f"INV-2026-{n:06}") for n in range(want)}
+
+
+def test_shelves_put_taken_invoices_away():
+    shelf = shelves.Shelf([(f"i{n:05}", 100, 5) for n in range(20_000)])
+    for n in range(15_000):
+        assert shelf.first(100, 5, 1)[0][0] == f"i{n:05}"
+        shelf.take(f"i{n:05}")
+    assert len(shelf.ids) < 10_000 and shelf.first(100, 5, 2) == [("i15000", 100, 5), ("i15001", 100, 5)]
+    shelf.take("i00001")
+    assert shelf.first(100, 40, 1) == [] == shelf.first(10, 5, 1)
+
+
+def test_rivals_are_added_up_by_day(spark):
+    rng = random.Random(6)
+    rows = [(f"setl_{i:02}", DAY + dt.timedelta(rng.randrange(20)) if i else None, rng.randrange(-5, 10**6)) for i in range(40)]
+    batches = batch(spark, *[{"settlement_id": s, "settled_date": d, "expected_credit_dedup": c} for s, d, c in rows])
+    want = {}
+    for s, d, _ in rows:
+        for o, e, c in rows:
+            if d and e and s != o and abs((d - e).days) <= 4:
+                n, total, sign = want.get((s, e), (0, 0, 0))
+                told = f"{o} {'-' if c < 0 else ''}{abs(c) // 100}.{abs(c) % 100:02}"
+                want[s, e] = n + 1, total + c, sign + int(hashlib.sha256(told.encode()).hexdigest()[:15], 16)
+    got = {(r["settlement_id"], r["day"]): (r["n"], r["total"], r["sign"]) for r in decisions.l3_competing_batches(batches.repartition(3)).collect()}
+    assert got == {k: (n, t, s % decisions.SIGNS) for k, (n, t, s) in want.items()}
+    few = decisions.l3_competing_batches(batches, batches.where("settlement_id = 'setl_07'")).collect()
+    assert {(r["settlement_id"], r["day"]): r["n"] for r in few} == {k: v[0] for k, v in want.items() if k[0] == "setl_07"}
+
+
+def test_ten_thousand_batches_of_one_day(spark):
+    n = 10_000
+    batches = spark.range(n).select(F.format_string("setl_%05d", "id").alias("settlement_id"), F.lit(DAY).alias("settled_date"), (F.col("id") * 100).alias("expected_credit_dedup"))
+    got = decisions.l3_competing_batches(batches)
+    assert got.count() == n and got.where(F.col("n") != n - 1).count() == 0  # a row each, not 100 million
+    blocks = decisions.rival_blocks(batches).collect()
+    assert sum(r["n"] for r in blocks) == n and max(r["n"] for r in blocks) < 2000
+    assert sorted(x for r in blocks for x in r["said"].split(", ")) == sorted(f"setl_{i:05} {i}.00" for i in range(n))
 
 
 def test_declines_reach_the_exceptions(spark):
