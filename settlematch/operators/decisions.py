@@ -145,10 +145,15 @@ def l3_render_questions(choices: DataFrame, system: str = SYSTEM, most: int | No
     return grouped.select("subject_id", F.size("lines").cast("long").alias("offered"), question.alias("question"), content_key(F.lit(system), question).alias("prompt_hash"))
 
 
+def _good(transcript: DataFrame) -> DataFrame:
+    """Records without an error; an empty one is none."""
+    return transcript.where(F.coalesce("error", F.lit("")) == "")
+
+
 def latest_answers(transcript: DataFrame) -> DataFrame:
-    """The last good record of each key; records with an error are dropped. Needs a ``seq`` column, since tables keep no line order."""
-    last = Window.partitionBy("prompt_hash").orderBy(F.desc("seq"))
-    return transcript.where("error is null").withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
+    """The last good record of each key, by ``place`` in the files or else by a column ``seq``; records with an error are dropped."""
+    last = Window.partitionBy("prompt_hash").orderBy(F.desc("place" if "place" in transcript.columns else "seq"))
+    return _good(transcript).withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
 def l3_replay_join(questions: DataFrame, transcript: DataFrame) -> DataFrame:
@@ -175,7 +180,7 @@ OUTCOMES = "subject_id string, prompt_hash string, offered int, outcome string,
 
 def recorded_subjects(transcript: DataFrame) -> DataFrame:
     """subject_id of everything that a good record is about."""
-    return transcript.where("error is null").select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id")).distinct()
+    return _good(transcript).select(F.regexp_extract("purpose", "^[^:]*:(.*)$", 1).alias("subject_id")).distinct()
 
 
 def _known_answers(transcript: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from settlematch.operators.order import running_sum
+
 
 def local_date(iso: Column) -> Column:
     """The row's own date: the first ten characters, whatever the offset behind them."""
@@ -65,12 +67,8 @@ def duplicate_refund_rows(gateway: DataFrame) -> DataFrame:
 def running_balance(bank: DataFrame, opening: int, by: list[str] | None = None) -> DataFrame:
     """``bank`` with the balance after each row in order of value date and id.
 
-    With ``by`` each account or split runs by itself. Daily sums give every day its start, and
-    rows add up within their day, so that no task sees a whole statement.
+    With ``by`` each account or split runs by itself. Ranges of the order add up first and rows
+    within their range, so a day of very many rows is many tasks.
     """
-    change, keys = F.col("credit") - F.col("debit"), by or []
-    days = bank.groupBy(*keys, "value_date").agg(F.sum(change).alias("moved"))  # one row per day
-    before = Window.partitionBy(*keys).orderBy("value_date").rowsBetween(Window.unboundedPreceding, -1)
-    starts = days.select(*keys, "value_date", (F.lit(opening) + F.coalesce(F.sum("moved").over(before), F.lit(0))).alias("start"))
-    line = Window.partitionBy(*keys, "value_date").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return bank.join(starts, [*keys, "value_date"]).withColumn("balance", F.col("start") + F.sum(change).over(line)).drop("start")
+    moved = running_sum(bank, by or [], ["value_date", "txn_id"], F.col("credit") - F.col("debit"), "balance")
+    return moved.withColumn("balance", F.col("balance") + F.lit(opening))

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from settlematch.functions import calendar, ids, money, stats, text
-from settlematch.operators import assemble, audit, baselines, breakdown, corpus, decisions, exact, fuzzy, quality, score, views
+from settlematch.operators import assemble, audit, baselines, breakdown, corpus, decisions, exact, fuzzy, order, quality, score, views
 from settlematch.operators.baselines import BANK, INVOICE
-from settlematch.sources import files
+from settlematch.sources import files, results
 from settlematch.sources.testdata import oracle_prefix, sources
 from settlematch.storage import shared_folder, written
 
@@ -31,6 +31,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.at = spark, sources(spark, sf_dir)
+        self.inputs = results.fingerprint(spark, sf_dir)
         self.kept: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -110,12 +111,22 @@ class Inputs:
     def by_payment(self) -> tuple[DataFrame, DataFrame]:
         return self.once("by_payment", lambda: assemble.resolve(assemble.INVOICE_LEG, self.payments, self.invoices, self.transcript, self.found_invoice))
 
+    @property
+    def store(self) -> results.Results:
+        """The layered answer on disk: worked out by the session's first query that needs it, and read by the others."""
+
+        def make() -> results.Results:
+            at = f"{shared_folder(self.spark)}/answer-{self.spark.sparkContext.applicationId}-{self.inputs}"
+            if (kept := results.latest(self.spark, at)) is None:
+                results.save(at, *assemble.assembled(self.payments, self.by_batch, self.by_payment, self.bank, self.invoices))
+                kept = results.latest(self.spark, at)
+            return kept
+
+        return self.once("store", make)
+
     @property
     def layered(self) -> tuple[DataFrame, DataFrame]:
-        if "matches" not in self.kept:
-            self.kept["matches"], open_ = assemble.assembled(self.payments, self.by_batch, self.by_payment, self.bank, self.invoices)
-            self.kept["exceptions"] = written(open_)
-        return self.kept["matches"], self.kept["exceptions"]
+        return self.store.matches, self.store.exceptions
 
     @property
     def layered_edges(self) -> DataFrame:
@@ -380,19 +391,37 @@ def read_manifest(t: Inputs) -> DataFrame:
 
 @query(name="read_transcript")
 def _read_transcript(t: Inputs) -> DataFrame:
-    """The derived call log as JSON lines; the last good record of each key."""
+    """The derived call log as JSON lines in order, without numbers and with a model's own hashes; the last good record of each question."""
     folder = _folder(t)
-    t.transcript.write.json(folder)
-    return decisions.latest_answers(files.read_transcript(t.spark, folder)).select("prompt_hash", "seq", "response_text")
+    lines = t.transcript.repartitionByRange("seq", "prompt_hash").sortWithinPartitions("seq", "prompt_hash")
+    lines.select("purpose", "system", "user", "response_text", F.coalesce("error", F.lit("")).alias("error"), F.lit("of a model").alias("prompt_hash")).write.json(folder)
+    return decisions.latest_answers(files.read_transcript(t.spark, folder)).select("prompt_hash", "response_text")
+
+
+@query("SELECT 'gateway' AS source, row_number() OVER (ORDER BY coalesce(nullif(settled_at, ''), created_at), entity_id) AS line, entity_id AS id FROM gateway UNION ALL SELECT 'bank', row_number() OVER (ORDER BY value_date, txn_id), txn_id FROM bank UNION ALL SELECT 'invoices', row_number() OVER (ORDER BY invoice_id), invoice_id FROM invoices")
+def write_sources(t: Inputs) -> DataFrame:
+    """The three files, and the line on which each row stands when files are read by name."""
+    folder, parts = _as_files(t), []
+    for source, name, names in (("gateway", "gateway_settlements.csv", files.GATEWAY), ("bank", "bank_statement.csv", files.BANK), ("invoices", "erp_invoices.csv", files.INVOICES)):
+        scan = t.spark.read.csv(f"{folder}/{name}", schema=", ".join(f"{c} string" for c in names), header=True)
+        own = {"gateway": "entity_id", "bank": "txn_id", "invoices": "invoice_id"}[source]
+        parts.append(order.line_numbers(order.with_place(scan).select("place", own)).select(F.lit(source).alias("source"), "line", F.col(own).alias("id")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query()
 def write_results(t: Inputs) -> DataFrame:
-    """Matches and exceptions written by leg and by reason, and counted from the files."""
+    """Matches, exceptions, scorecards and the call log published as one version, and all parts counted from the files."""
     folder = _folder(t)
-    files.write_results(folder, *t.layered)
-    a = t.spark.read.parquet(f"{folder}/matches").groupBy(F.col("link_type").alias("part")).count()
-    return a.unionByName(t.spark.read.parquet(f"{folder}/exceptions").groupBy(F.col("reason").alias("part")).count())
+    calls = t.transcript.withColumn("_seq", F.col("seq")).drop("seq")
+    results.save(folder, *t.layered, scorecard(t), calls, order=["_seq", "prompt_hash"])
+    kept = results.latest(t.spark, folder)
+    parts = [
+        kept.matches.groupBy(F.col("link_type").alias("part")).count(), kept.exceptions.groupBy(F.col("reason").alias("part")).count(),
+        kept.part("scorecards").select(F.concat_ws(" ", "matcher", "link_type").alias("part"), F.col("true_positives").alias("count")),
+        kept.part("calls").groupBy(F.when(F.col("error").isNull(), "answered calls").otherwise("failed calls").alias("part")).count(),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 # --- views -----------------------------------------------------------------------------------
@@ -563,9 +592,10 @@ def _transcript(questions: DataFrame) -> DataFrame:
     pick = F.regexp_extract("question", r"\n(?:credit|invoice) (\S+)", 1)
     good = F.to_json(F.struct(pick.alias("chosen_id"), F.lit(0.9).alias("confidence"), F.lit("closest total").alias("reasoning")))
     body = F.when(n % 7 == 0, F.lit("not json")).when(n % 7 == 1, F.lit('{"chosen_id":"bank_unknown","confidence":0.5,"reasoning":"guess"}')).when(n % 7 == 2, F.lit('{"chosen_id":null,"confidence":0.2,"reasoning":"none fits"}')).otherwise(good)
-    purpose = F.concat("leg", F.lit(":"), "subject_id").alias("purpose")
-    first = questions.select(purpose, "prompt_hash", F.lit(1).alias("seq"), body.alias("response_text"), F.when(n % 5 == 0, "timeout").alias("error"))
-    again = questions.where(n % 11 == 0).select(purpose, "prompt_hash", F.lit(2).alias("seq"), good.alias("response_text"), F.lit(None).cast("string").alias("error"))
+    system = F.when(F.col("leg") == "bank", decisions.SYSTEM).otherwise(decisions.INVOICE_SYSTEM).alias("system")
+    about = (F.concat("leg", F.lit(":"), "subject_id").alias("purpose"), "prompt_hash", system, F.col("question").alias("user"))
+    first = questions.select(*about, F.lit(1).alias("seq"), body.alias("response_text"), F.when(n % 5 == 0, "timeout").alias("error"))
+    again = questions.where(n % 11 == 0).select(*about, F.lit(2).alias("seq"), good.alias("response_text"), F.lit(None).cast("string").alias("error"))
     return first.unionByName(again)
 
 
@@ -690,7 +720,7 @@ def _accept(t: Inputs) -> DataFrame:
 
 
 ORACLE_SQL["l3_accept"] = IN_TURN + " UNION ALL ".join(f" SELECT '{leg}' AS leg, subject_id, h AS prompt_hash, CAST(offered AS INT) AS offered, outcome, CASE kind WHEN 'good' THEN first WHEN 'unknown' THEN 'bank_unknown' END AS chosen_id, CASE kind WHEN 'good' THEN 0.9 WHEN 'unknown' THEN 0.5 WHEN 'none' THEN 0.2 END AS raw_confidence FROM l3_{leg}" for leg in ("bank", "invoice"))
-ORACLE_SQL["read_transcript"] = RESIDUE + f"SELECT prompt_hash, CAST(CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS seq, {RESPONSE} AS response_text FROM ta WHERE NOT missed"
+ORACLE_SQL["read_transcript"] = RESIDUE + f"SELECT prompt_hash, {RESPONSE} AS response_text FROM ta WHERE NOT missed"
 
 
 @query(name="l3_resume_plan")
@@ -749,7 +779,6 @@ ORACLE_SQL["run_layered"] = LAYERED + f"SELECT {_MATCH_ID} AS match_id, link_typ
 ORACLE_SQL["run_layered_summary"] = LAYERED + "SELECT link_type, layer, rule, count(*) AS payments, CAST(sum(len(cs)) AS BIGINT) AS edges FROM matches GROUP BY ALL"
 ORACLE_SQL["build_exceptions"] = LAYERED + "SELECT 'x_' || substr(sha1(subject_type || '|' || subject_id || '|' || link_type || '|' || reason), 1, 12) AS exception_id, * EXCLUDE (evidence), CAST(0 AS INT) AS candidates_considered, array_to_string(evidence, ' | ') AS evidence FROM opened"
 ORACLE_SQL["layer3_payment_count"] = LAYERED + "SELECT count(DISTINCT payment_id) AS payments FROM matches WHERE layer = 'l3_llm'"
-ORACLE_SQL["write_results"] = LAYERED + "SELECT link_type AS part, count(*) AS count FROM matches GROUP BY 1 UNION ALL SELECT reason, count(*) FROM opened GROUP BY 1"
 ORACLE_SQL["rule_counts"] = LAYERED + "SELECT rule, count(*) AS n FROM (SELECT rule FROM parts WHERE txn_id IS NOT NULL UNION ALL SELECT rule FROM res_inv) x GROUP BY 1"
 ORACLE_SQL["evidence_lines"] = LAYERED + "SELECT link_type, payment_id, unnest(range(len(evidence))) AS place, unnest(evidence) AS line FROM matches"
 ORACLE_SQL["propagate_bank_matches"] = LAYERED + f"SELECT {_MATCH_ID} AS match_id, payment_id, array_to_string(cs, ',') AS counterparts, len(cs) AS tied, layer, rule FROM matches WHERE link_type = 'payment_to_bank'"
@@ -879,6 +908,9 @@ s AS (SELECT matcher, link_type, """ + TOTALS + """ FROM pp GROUP BY 1, 2)
 SELECT *, """ + RATES + " FROM s"
 
 
+ORACLE_SQL["write_results"] = CARD.rsplit("SELECT *, ", 1)[0] + "SELECT link_type AS part, count(*) AS count FROM matches GROUP BY 1 UNION ALL SELECT reason, count(*) FROM opened GROUP BY 1 UNION ALL SELECT matcher || ' ' || link_type, true_positives FROM s UNION ALL SELECT 'answered calls', count(*) FILTER (n % 5 <> 0) + count(*) FILTER (n % 11 = 0) FROM ta UNION ALL SELECT 'failed calls', count(*) FILTER (n % 5 = 0) FROM ta"
+
+
 @query(CARD)
 def scorecard(t: Inputs) -> DataFrame:
     """All four matchers side by side: precision and recall per leg."""
@@ -981,7 +1013,8 @@ TRACED = "pay_00000000000003"
 
 @query(LAYERED + f" SELECT 'match' AS kind, link_type, rule AS about, CAST(unnest(range(len(evidence))) AS INT) AS line, unnest(evidence) AS text FROM matches WHERE payment_id = '{TRACED}' UNION ALL SELECT 'exception', link_type, reason, CAST(unnest(range(len(evidence))) AS INT), unnest(evidence) FROM opened WHERE subject_type = 'payment' AND subject_id = '{TRACED}'")
 def trace_payment(t: Inputs) -> DataFrame:
-    return audit.trace_payment(*t.layered, TRACED)
+    """From the answer on disk: one bucket of it."""
+    return t.store.trace(TRACED)
 
 
 _HURT = "hurt AS (SELECT payment_id, CASE WHEN payment_id LIKE '%9' THEN -gross ELSE gross END AS gross, fee, tax, tds, CASE WHEN payment_id LIKE '%7' THEN net + 1 ELSE net END AS net FROM payments)"

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from settlematch.functions.ids import content_key
 from settlematch.functions.money import format_rupees, money_or_zero
+from settlematch.operators.order import with_place
 
 # Header names in file order.
 GATEWAY = ("entity_type", "entity_id", "payment_id", "order_id", "order_receipt", "method", "card_network", "amount", "currency", "fee", "tax", "tds", "credit", "debit", "settlement_id", "settlement_utr", "created_at", "captured_at", "settled_at", "description")
@@ -18,7 +20,7 @@ INVOICES = ("invoice_id", "customer_id", "customer_name", "invoice_amount", "tax
 ENTITY_TYPES = ("payment", "refund", "adjustment")
 METHODS = ("upi", "card", "netbanking", "wallet")
 
-TRANSCRIPT_SCHEMA = "seq long, call_id string, purpose string, model string, prompt_hash string, system string, user string, response_text string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, latency_ms double, stop_reason string, request_id string, error string, schema_valid boolean, replayed boolean"
+TRANSCRIPT_SCHEMA = "call_id string, purpose string, model string, prompt_hash string, system string, user string, response_text string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, latency_ms double, stop_reason string, request_id string, error string, schema_valid boolean, replayed boolean, cost_usd double, metadata map<string,string>"
 TRUTH_SCHEMA = (
     "manifest struct<split: string>, orphan_invoice_ids array<string>, orphan_bank_txn_ids array<string>, "
     "links array<struct<payment_id: string, order_id: string, invoice_id: string, settlement_ids: array<string>, utrs: array<string>, bank_txn_ids: array<string>, gross_paise: bigint, net_paise: bigint, defect_tags: array<string>, bundle_defect_tags: array<string>, unresolvable_reason: string>>"
@@ -92,23 +94,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """The call log, one JSON record a line; blank lines are skipped. A ``seq`` field orders the records."""
-    return spark.read.schema(TRANSCRIPT_SCHEMA).json(path).where("prompt_hash is not null")
-
-
-def write_csv(rows: DataFrame, path: str, names: tuple[str, ...], money: tuple[str, ...], order: list[Column]) -> None:
-    """``rows`` with the columns in file order, paise as rupees, null as empty; each file is sorted."""
+    """The call log, one JSON record a line: its fields, ``place`` of the line, and ``prompt_hash`` of what was asked.
+
+    Records are told apart by the question alone, whatever model answered: ``prompt_hash`` is made
+    of ``system`` and ``user``, and the hash that the record holds itself is ``recorded_hash``. Lines come
+    in order of ``place``, over several files in order of their names. Blank lines are skipped, a
+    line that is no JSON is an error, and a path that does not exist gives no rows.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not any(fs.globStatus(at) or []):
+        lines = spark.createDataFrame([], "value string, place struct<file: string, start: long, row: long>")
+    else:
+        lines = with_place(spark.read.text(path)).where(F.trim("value") != "")
+    records = lines.select(F.from_json("value", TRANSCRIPT_SCHEMA, {"mode": "FAILFAST"}).alias("r"), "place").select("r.*", "place").withColumnRenamed("prompt_hash", "recorded_hash")
+    return records.withColumn("prompt_hash", content_key(F.coalesce("system", F.lit("")), F.coalesce("user", F.lit(""))))
+
+
+def write_csv(rows: DataFrame, path: str, names: tuple[str, ...], money: tuple[str, ...], order: list[Column], *, one_file: bool = False) -> None:
+    """``rows`` with the columns in file order, paise as rupees, null as empty, in ``order`` over all files.
+
+    Files are ranges of the order and are named by them, so that reading them by name gives the
+    whole order; nulls come first. ``one_file``: a single file, written by one task.
+    """
     shown = rows.select(*[(format_rupees(F.col(n)) if n in money else F.coalesce(F.col(n).cast("string"), F.lit(""))).alias(n) for n in names])
-    shown.sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True, emptyValue="")
-
-
-def write_sources(folder: str, gateway: DataFrame, bank: DataFrame, invoices: DataFrame) -> None:
-    """The three CSVs, each a folder of part files."""
-    write_csv(gateway, f"{folder}/gateway_settlements.csv", GATEWAY, ("amount", "fee", "tax", "tds", "credit", "debit"), [F.coalesce(F.nullif("settled_at", F.lit("")), F.col("created_at")), F.col("entity_id")])
-    write_csv(bank.withColumnsRenamed({"credit": "credit_amount", "debit": "debit_amount"}), f"{folder}/bank_statement.csv", BANK, ("credit_amount", "debit_amount", "balance"), [F.col("value_date"), F.col("txn_id")])
-    write_csv(invoices, f"{folder}/erp_invoices.csv", INVOICES, ("invoice_amount", "tax_amount"), [F.col("invoice_id")])
+    dealt = shown.repartition(1) if one_file else shown.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
-def write_results(folder: str, matches: DataFrame, exceptions: DataFrame) -> None:
-    matches.write.mode("overwrite").partitionBy("link_type").parquet(f"{folder}/matches")
-    exceptions.write.mode("overwrite").partitionBy("reason").parquet(f"{folder}/exceptions")
+def write_sources(folder: str, gateway: DataFrame, bank: DataFrame, invoices: DataFrame, *, one_file: bool = False) -> None:
+    """The three CSVs, each a folder of part files in order: the report by settlement (else creation) and id, the statement by value date and id, the ledger by id."""
+    write_csv(gateway, f"{folder}/gateway_settlements.csv", GATEWAY, ("amount", "fee", "tax", "tds", "credit", "debit"), [F.coalesce(F.nullif("settled_at", F.lit("")), F.col("created_at")), F.col("entity_id")], one_file=one_file)
+    write_csv(bank.withColumnsRenamed({"credit": "credit_amount", "debit": "debit_amount"}), f"{folder}/bank_statement.csv", BANK, ("credit_amount", "debit_amount", "balance"), [F.col("value_date"), F.col("txn_id")], one_file=one_file)
+    write_csv(invoices, f"{folder}/erp_invoices.csv", INVOICES, ("invoice_amount", "tax_amount"), [F.col("invoice_id")], one_file=one_file)
