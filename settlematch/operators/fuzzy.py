@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from settlematch.functions.text import SHORTEST_PREFIX, extract_utrs, find_id_like, is_truncation_of, normalise_id, one_edit_apart, one_edit_keys
+from settlematch.functions.text import SHORTEST_PREFIX, extract_utrs, find_id_like, is_truncation_of, normalise_id, one_edit_apart
 from settlematch.operators.assign import DayWindow, greedy_assign
+from settlematch.storage import written
 
 TOLERANCE, DATE_WINDOW, ISSUE_WINDOW = 10, 2, 14
 
@@ -33,16 +34,63 @@ def narration_utr_truncated(batches: DataFrame, bank: DataFrame) -> DataFrame:
     return left.join(right, "start").where(is_truncation_of(F.col("token"), F.col("utr"))).select(F.col("settlement_id").alias("subject_id"), F.col("txn_id").alias("counterpart_id")).distinct()
 
 
+#: A group of values is compared within itself where it makes at most so many pairs for each of its values.
+PAIRS_EACH = 16
+
+
+def _cut_keys(value: str) -> Column:
+    """Keys of a value whose edit lies somewhere in the characters ``a`` + 1 to ``b``, for both halves of that stretch.
+
+    An edit lies in one half, and then all else is equal; or it swaps the two characters that meet
+    in the middle. So values one edit apart share the key of a half left out, or the key with the
+    middle pair put in order. A key tells the length, what was left out, and the rest.
+    """
+    text, a, b = F.col(value), F.col("a"), F.col("b")
+    m = a + ((b - a) / 2).cast("int")
+
+    def part(first: Column, last: Column) -> Column:
+        return F.substring(text, first + 1, F.greatest(last - first, F.lit(0)))
+
+    n = F.length(text)
+
+    def left_out(x: Column, y: Column) -> Column:
+        return F.when(y > x, F.struct(F.xxhash64(F.lit("out"), n, x, y, part(F.lit(0), x), part(y, n)).alias("key"), x.alias("a"), y.alias("b")))
+
+    pair = F.array(part(m - 1, m), part(m, m + 1))
+    swap = F.xxhash64(F.lit("swap"), n, m, m, part(F.lit(0), m - 1), F.concat(F.array_min(pair), F.array_max(pair), part(m + 1, n)))
+    return F.array_compact(F.array(left_out(a, m), left_out(m, b), F.when((m > a) & (b > m), F.struct(swap.alias("key"), m.alias("a"), m.alias("b")))))
+
+
+def one_edit_values(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (x of ``left``, y of ``right``) of distinct values of one length, one substitution or swap apart.
+
+    Values are halved where the halves tell them apart, and halved again only where very many
+    share what is left (:func:`_cut_keys`): three keys a value for ids that vary throughout, three more
+    for each halving of a stretch that few of them vary outside of. A stretch of one character ends
+    it. No group that is compared makes more than PAIRS_EACH pairs a value, but for groups of one character's
+    variants and of the two orders of a pair.
+    """
+    sides = left.select("value", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("value", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    values = sides.where(F.length("value") > 0).groupBy("value").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    now, found = written(values.select("*", F.lit(0).alias("a"), F.length("value").alias("b"))), None
+    while found is None or not now.isEmpty():
+        keyed = now.select("value", "l", "r", F.explode(_cut_keys("value")).alias("k")).select("value", "l", "r", "k.*")
+        shared = F.count("*").alias("n"), F.sum("l").alias("nl"), F.sum("r").alias("nr")
+        groups = written(keyed.groupBy("key").agg(*shared).where("n > 1 and nl > 0 and nr > 0").select("key", (F.col("nl") * F.col("nr") <= PAIRS_EACH * F.col("n")).alias("few")))
+        keyed = keyed.join(groups, "key")
+        ready = keyed.where(F.col("few") | (F.col("b") - F.col("a") < 2))
+        x, y = (ready.where(f"{side} = 1").select("key", F.col("value").alias(name)) for side, name in (("l", "x"), ("r", "y")))
+        pairs = x.join(y, "key").where((F.col("x") != F.col("y")) & (F.length("x") == F.length("y"))).select("x", "y")
+        found = pairs if found is None else found.unionByName(pairs)
+        now = written(keyed.where(~F.col("few") & (F.col("b") - F.col("a") > 1)).select("value", "l", "r", "a", "b"))
+    return found.distinct().where(one_edit_apart(F.col("x"), F.col("y")))
+
+
 def _one_edit(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (subject_id, value) and right (counterpart_id, value): values of one length, one substitution or swap apart."""
-    def keys(value: str) -> Column:  # hashes travel, not strings; what shares one is checked
-        return F.explode(F.transform(one_edit_keys(F.col(value)), lambda k: F.xxhash64(k))).alias("key")
-
-    a = left.select("subject_id", F.col("value").alias("x"), keys("value"))
-    b = right.select("counterpart_id", F.col("value").alias("y"), keys("value"))
-    near = (F.length("x") == F.length("y")) & (F.col("x") != F.col("y"))
-    pairs = a.join(b, "key").where(near).select("subject_id", "counterpart_id", "x", "y").distinct()
-    return pairs.where(one_edit_apart(F.col("x"), F.col("y"))).select("subject_id", "counterpart_id").distinct()
+    pairs = written(one_edit_values(left, right))
+    a, b = left.withColumnRenamed("value", "x"), right.withColumnRenamed("value", "y")
+    return pairs.join(a, "x").join(b, "y").select("subject_id", "counterpart_id").distinct()
 
 
 def utr_fuzzy(batches: DataFrame, bank: DataFrame) -> DataFrame:

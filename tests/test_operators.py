@@ -73,6 +73,45 @@ def test_invoice_rules(spark):
         assert len(pairs(fuzzy.invoice_amount_window(payment(spark, {}), invoice(spark, {"issue_date": dt.date(2026, 2, 3) + dt.timedelta(days)})))) == hit
 
 
+def apart(x, y):
+    """One substitution or one swap of neighbours, by the definition."""
+    off = [i for i, (a, b) in enumerate(zip(x, y, strict=True)) if a != b]
+    return len(off) == 1 or len(off) == 2 and off[1] == off[0] + 1 and x[off[0]] == y[off[1]] and x[off[1]] == y[off[0]]
+
+
+def test_values_one_edit_apart_are_all_found(spark, monkeypatch):
+    """Short alphabets, hot beginnings and ends, repeated values, odd characters; large and small groups."""
+    for each, seed in ((16, 1), (0, 2), (1, 3)):
+        monkeypatch.setattr(fuzzy, "PAIRS_EACH", each)
+        rng = random.Random(seed)
+
+        def value(rng=rng):
+            kind = rng.randrange(4)
+            if kind == 0:
+                return "".join(rng.choice("ab") for _ in range(rng.randrange(0, 7)))
+            if kind == 1:
+                return f"order_{rng.randrange(300):014}"
+            if kind == 2:
+                return f"{rng.randrange(200):05}-the same end"
+            return "".join(rng.choice("é\x00🙂x") for _ in range(rng.randrange(1, 5)))
+
+        left, right = [value() for _ in range(250)], [value() for _ in range(250)]
+        got = fuzzy.one_edit_values(spark.createDataFrame([(v,) for v in left], "value string"), spark.createDataFrame([(v,) for v in right], "value string")).collect()
+        want = {(x, y) for x in left for y in right if len(x) == len(y) and x != y and apart(x, y)}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 100
+
+
+def test_ids_with_a_common_beginning_take_few_keys(spark, monkeypatch):
+    """20,000 ids that vary in their last places: the rows that travel, against 39 keys a value."""
+    ids = spark.range(20_000).select(F.format_string("order_%014d", F.col("id") * 7919 % 10_000_000).alias("value"))
+    rows, plain = [], fuzzy.written
+    monkeypatch.setattr(fuzzy, "written", lambda df: (rows.append(df.columns), plain(df))[1])
+    swapped = ids.withColumn("value", F.concat(F.substring("value", 1, 15), F.substring("value", 17, 1), F.substring("value", 16, 1), F.substring("value", 18, 9)))
+    found = fuzzy.one_edit_values(ids, swapped)
+    assert found.where("substring(x, 16, 1) = substring(y, 17, 1) and substring(x, 17, 1) = substring(y, 16, 1) and substring(x, 18, 3) = substring(y, 18, 3)").count() > 15_000
+    assert sum(c == ["value", "l", "r", "a", "b"] for c in rows) <= 4  # the values, and at most three further halvings
+
+
 def test_assignment_is_the_sequential_one(spark):
     rng = random.Random(1)
     edges = {(f"g{g}s{rng.randrange(6)}", rng.randrange(3), f"g{g}c{rng.randrange(6)}") for g in range(60) for _ in range(rng.randrange(1, 12))}
