@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from settlematch.functions.distance import damerau_levenshtein
+
+__all__ = ["damerau_levenshtein", "extract_utrs", "find_id_like", "is_truncation_of", "normalise_id", "one_edit_apart", "one_edit_keys"]
 
 # How a bank reference and an invoice number look.
 UTR = r"\b[A-Z]{4}\d{6,12}\b"
@@ -55,30 +57,3 @@ def one_edit_keys(text: Column) -> Column:
 def one_edit_apart(a: Column, b: Column) -> Column:
     """Different strings of one length that share a key of :func:`one_edit_keys`."""
     return (F.length(a) == F.length(b)) & (a != b) & F.arrays_overlap(one_edit_keys(a), one_edit_keys(b))
-
-
-def _distance(a: str, b: str, cap: int) -> int:
-    if abs(len(a) - len(b)) > cap:
-        return cap + 1
-    older, old = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            best = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
-            if older and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            new.append(best)
-        if min(new) > cap:
-            return cap + 1
-        older, old = old, new
-    return min(old[-1], cap + 1)
-
-
-@F.pandas_udf(IntegerType())
-def _distances(a: pd.Series, b: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _distance(x, y, c) for x, y, c in zip(a, b, cap, strict=True)], dtype="Int32")
-
-
-def damerau_levenshtein(a: Column, b: Column, cap: int = 2) -> Column:
-    """Edits with adjacent swaps as one, up to ``cap`` (beyond: cap + 1). For distance 1 use the built-in keys above."""
-    return _distances(a, b, F.lit(cap))

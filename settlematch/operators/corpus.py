@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlematch.operators.components import components
+from settlematch.operators.order import running_sum
 from settlematch.operators.runs import solve_runs
 from settlematch.operators.views import running_balance
 from settlematch.storage import written
@@ -76,14 +77,15 @@ def dealt(total: int, costs: dict[str, Callable[[int], float]]) -> dict[str, int
     return out
 
 
-def stratified_component_split(profile: DataFrame, quotas: dict[str, float], payment_weight: float = 8.0, each: int = 500_000) -> DataFrame:
+def stratified_component_split(profile: DataFrame, quotas: dict[str, float], payment_weight: float = 8.0) -> DataFrame:
     """component, stratum, n -> component, split.
 
     Components, largest first, go to the split that is left least over its quota, by weighted
     squares of its fill. Components of one profile are alike, so the greedy rule is worked out on
     classes of equal profiles with their counts (:func:`dealt`): one small row per class reaches
-    the task that runs it. Within a class components take their splits in order of a hash lane of
-    about ``each`` rows and the id.
+    the task that runs it, so it grows with the kinds of components and not with their number.
+    Within a class components take their splits in order of their ids, whose places are counted in
+    ranges: a profile that nearly all components share is many tasks.
     """
     kind = dict(profile.dtypes)["component"]
     line = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "stratum", F.col("n").cast("string")))), ";")
@@ -102,7 +104,7 @@ def stratified_component_split(profile: DataFrame, quotas: dict[str, float], pay
         for i in sorted(range(len(vectors)), key=lambda i: (-vectors[i].get("payments", sum(vectors[i].values())), part["profile"][i])):
 
             def cost(split: str, n: int, vector: dict[str, float] = vectors[i]) -> float:
-                return sum((payment_weight if k == "payments" else 1.0) * ((filled[split][k] + n * vector.get(k, 0.0)) / (t * quotas[split])) ** 2 for k, t in total.items() if t * quotas[split] > 0)
+                return sum((payment_weight if k == "payments" else 1.0) * ((filled[split][k] + n * vector.get(k, 0.0)) / (t * quotas[split])) ** 2 for k, t in sorted(total.items()) if t * quotas[split] > 0)
 
             counts, at = dealt(part["m"][i], {s: functools.partial(cost, s) for s in quotas}), 0
             for split, n in sorted(counts.items()):
@@ -114,12 +116,7 @@ def stratified_component_split(profile: DataFrame, quotas: dict[str, float], pay
         return out
 
     plan = written(solve_runs(classes, "all", [], deal, "profile string, lo long, hi long, split string"))
-    lanes = classes.select("profile", (F.floor(F.col("m") / each) + 1).alias("lanes"))
-    rows = rows.join(lanes, "profile").withColumn("lane", F.pmod(F.xxhash64("component"), F.col("lanes")))
-    before = Window.partitionBy("profile").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("profile", "lane").agg(F.count("*").alias("k")).select("profile", "lane", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("profile", "lane").orderBy("component"))
-    ranked = rows.withColumn("rank", rank).join(starts, ["profile", "lane"]).withColumn("rank", F.col("rank") + F.col("start") - 1)
+    ranked = written(running_sum(rows, ["profile"], ["component"], F.lit(1), "rank").withColumn("rank", F.col("rank") - 1))
     return ranked.join(plan, "profile").where("rank >= lo and rank < hi").select(F.col("component").cast(kind).alias("component"), "split")
 
 

@@ -233,15 +233,22 @@ def pct_of(t: Inputs) -> DataFrame:
     return t["base_paid"].select("k", money.pct_of(g, F.lit("2.36")).alias("up"), money.pct_of(g, F.lit("0.25"), half_even=True).alias("even"), money.net_of(g, F.col("fee"), F.col("tax"), F.col("tds")).alias("net"))
 
 
-@query("SELECT k, TRUE AS reproduces_net FROM base_paid")
+GROSS = """--with rated AS (SELECT k, net, CASE WHEN k % 20 < 11 THEN 90 WHEN k % 20 < 16 THEN 236 WHEN k % 20 < 19 THEN 180 ELSE 200 END AS f, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS d FROM base_paid),
+about AS (SELECT *, 1000000 - 118 * f - 10000 * d AS part FROM rated), tried AS (SELECT k, net, f, d, o, (2000000 * net + part) // (2 * part) + o AS g FROM about, (SELECT unnest(range(-4, 5)) AS o) x),
+fees AS (SELECT *, (g * f + 5000) // 10000 AS fee FROM tried), left_over AS (SELECT k, o, g, abs(g - fee - (fee * 18 + 50) // 100 - (g * d + 50) // 100 - net) AS off FROM fees)
+SELECT k, arg_min(g, 10 * off + o) AS gross, CAST(min(off) AS BIGINT) AS off FROM left_over GROUP BY k"""
+
+
+@query(GROSS)
 def reconstruct_gross(t: Inputs) -> DataFrame:
-    """Gross rebuilt from the net at each payment's rates; it must lead to the same net."""
+    """Gross rebuilt from the net at each payment's rates, and how far off the net is that it leads to."""
     at = F.col("k") % 20
     rate = F.when(at < 11, "0.90").when(at < 16, "2.36").when(at < 19, "1.80").otherwise("2.00")
     cut = F.when(F.col("k") % 7 == 0, "1").otherwise("0")
     rows = t["base_paid"].withColumn("g", money.reconstruct_gross(F.col("net"), rate, F.lit("18"), cut))
     fee = money.pct_of(F.col("g"), rate)
-    return rows.select("k", (F.col("g") - fee - money.pct_of(fee, F.lit("18")) - money.pct_of(F.col("g"), cut) == F.col("net")).alias("reproduces_net"))
+    off = F.abs(F.col("g") - fee - money.pct_of(fee, F.lit("18")) - money.pct_of(F.col("g"), cut) - F.col("net"))
+    return rows.select("k", F.col("g").alias("gross"), off.alias("off"))
 
 
 @query("--with tok AS (SELECT txn_id, list_distinct(regexp_extract_all(upper(narration), '\\b[A-Z]{4}\\d{6,12}\\b')) AS l FROM bank) SELECT txn_id, CAST(len(l) AS INT) AS n, l[1] AS first FROM tok")
@@ -1089,8 +1096,8 @@ def batch_components(t: Inputs) -> DataFrame:
     return corpus.batch_components(_payment_batches(t))
 
 
-@query()
-def stratified_component_split(t: Inputs) -> DataFrame:
+@query(name="stratified_component_split")
+def _component_split(t: Inputs) -> DataFrame:
     rides = _payment_batches(t)
     label = written(corpus.batch_components(rides))
     parts = rides.join(label, "batch")
@@ -1099,6 +1106,21 @@ def stratified_component_split(t: Inputs) -> DataFrame:
     return corpus.stratified_component_split(profile.unionByName(tags), {"dev": 0.6, "holdout": 0.4})
 
 
+# one component after another, the fills of both splits carried along; places within a profile go by id
+ORACLE_SQL["stratified_component_split"] = RECURSIVE + """rd AS (SELECT payment_id, b1 AS batch FROM truth UNION ALL SELECT payment_id, b2 FROM truth WHERE b2 IS NOT NULL),
+ba AS (SELECT DISTINCT batch FROM rd), st AS (SELECT batch, CASE WHEN batch IN (SELECT b2 FROM truth WHERE b2 IS NOT NULL) THEN 0 ELSE 1 END AS starts FROM ba),
+ru AS (SELECT batch, sum(starts) OVER (ORDER BY batch) AS run FROM st), la AS MATERIALIZED (SELECT batch, min(batch) OVER (PARTITION BY run) AS component FROM ru),
+pr AS (SELECT component, count(DISTINCT payment_id) AS p FROM rd JOIN la USING (batch) GROUP BY 1), tg AS (SELECT component, count(*) FILTER (batch % 11 IN (0, 3, 4, 5)) AS o FROM la GROUP BY 1),
+od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY p DESC, said, component) AS i FROM (SELECT component, p, o, CASE WHEN o > 0 THEN 'narration_opaque=' || o || ';' ELSE '' END || 'payments=' || p AS said FROM pr JOIN tg USING (component)) x),
+tt AS (SELECT CAST(sum(p) AS DOUBLE) AS tp, CAST(sum(o) AS DOUBLE) AS t_o FROM od),
+fl AS (SELECT CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS dp, 0.0::DOUBLE AS d_o, 0.0::DOUBLE AS hp, 0.0::DOUBLE AS ho, CAST(NULL AS BOOLEAN) AS dev
+  UNION ALL SELECT i, CASE WHEN dev THEN dp + p ELSE dp END, CASE WHEN dev THEN d_o + o ELSE d_o END, CASE WHEN dev THEN hp ELSE hp + p END, CASE WHEN dev THEN ho ELSE ho + o END, dev FROM (
+    SELECT od.i, dp, d_o, hp, ho, od.p, od.o, pow((d_o + od.o) / (t_o * 0.6::DOUBLE), 2) + 8.0::DOUBLE * pow((dp + od.p) / (tp * 0.6::DOUBLE), 2) <= pow((ho + od.o) / (t_o * 0.4::DOUBLE), 2) + 8.0::DOUBLE * pow((hp + od.p) / (tp * 0.4::DOUBLE), 2) AS dev
+    FROM fl JOIN od ON od.i = fl.i + 1, tt) y),
+cl AS (SELECT said, count(*) FILTER (dev) AS n FROM fl JOIN od USING (i) WHERE dev IS NOT NULL GROUP BY 1)
+SELECT component, CASE WHEN row_number() OVER (PARTITION BY said ORDER BY component) <= n THEN 'dev' ELSE 'holdout' END AS split FROM od JOIN cl USING (said)"""
+
+
 _DRAW = "CASE WHEN CAST('0x' || substr(sha1('0|' || {0}), 1, 8) AS BIGINT) % 10 < 6 THEN 'dev' ELSE 'holdout' END"
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,41 @@ def test_edit_distance(spark):
         assert one(spark, text.damerau_levenshtein(F.lit(a), F.lit(b))) == want
 
 
+def row_by_row(a, b, cap):
+    """The table of distances, a row at a time."""
+    older, old = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            best = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
+            if older and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, older[j - 2] + 1)
+            new.append(best)
+        older, old = old, new
+    return min(old[-1], cap + 1)
+
+
+def test_edit_distance_by_vectors_and_in_a_band(spark):
+    rng = random.Random(11)
+
+    def near(a):
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(a) + 1)
+            a = rng.choice([a[:i] + rng.choice("abé🙂") + a[i:], a[:i] + a[i + 1 :], a[: max(i - 1, 0)] + a[i : i + 1] + a[max(i - 1, 0) : i] + a[i + 1 :]])
+        return a
+
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé🙂\n") for _ in range(rng.choice([0, 1, 2, 6, 20, 61, 62, 63, 64, 90])))
+        pairs.append((a, near(a)))
+        pairs.append((a[:12], "".join(rng.choice("abcé🙂\n") for _ in range(rng.randrange(14)))))
+    for cap in (0, 2, 7):
+        rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string").withColumn("d", text.damerau_levenshtein(F.col("a"), F.col("b"), cap))
+        assert rows.schema["d"].dataType.simpleString() == "int"
+        assert all(r["d"] == (None if r["a"] is None or r["b"] is None else row_by_row(r["a"], r["b"], cap)) for r in rows.collect()), cap
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_edit_keys_agree_with_the_distance(spark):
     words = ["".join(w) for n in range(4) for w in itertools.product("abc", repeat=n)]
     rows = spark.createDataFrame([(a, b) for a in words for b in words if len(a) == len(b)], "a string, b string")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlematch import storage
-from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, score, shelves, views
+from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, order, score, shelves, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
 
@@ -462,7 +462,7 @@ def test_component_split_is_the_greedy_one(spark):
     profile = {i: {"payments": rng.choice([1, 1, 1, 2, 5, 9]), "tag": rng.choice([0, 0, 1])} for i in range(120)}
     rows = [(i, k, v) for i, p in profile.items() for k, v in p.items()]
     quotas = {"dev": 0.63, "holdout": 0.37}
-    got = {r["component"]: r["split"] for r in corpus.stratified_component_split(spark.createDataFrame(rows, "component long, stratum string, n long"), quotas, each=7).collect()}
+    got = {r["component"]: r["split"] for r in corpus.stratified_component_split(spark.createDataFrame(rows, "component long, stratum string, n long"), quotas).collect()}
     assert got.keys() == profile.keys()
     total = {k: sum(p[k] for p in profile.values()) for k in ("payments", "tag")}
     filled, want = {s: dict.fromkeys(total, 0) for s in quotas}, {}
@@ -477,6 +477,21 @@ def test_component_split_is_the_greedy_one(spark):
         assert sorted(splits) == sorted(got[i] for i in profile if text[i] == t)
 
 
+def test_one_profile_of_nearly_all_components_is_many_ranges(spark, monkeypatch):
+    rows = spark.range(30_000).select(F.col("id").alias("component"), F.lit("payments").alias("stratum"), F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 2).otherwise(1).cast("long").alias("n"))
+    seen, plain = [], order.in_ranges
+    monkeypatch.setattr(order, "in_ranges", lambda *a: seen.append(plain(*a)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = corpus.stratified_component_split(rows, {"a": 0.75, "b": 0.25})
+        share = got.join(rows, "component").groupBy("split").agg(F.sum("n").alias("n")).collect()
+        assert seen[0].where("profile = 'payments=1'").groupBy("_range").count().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = {r["split"]: r["n"] for r in share}
+    assert got.count() == 30_000 and abs(n["a"] / sum(n.values()) - 0.75) < 0.001
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Conf:
         def get(self, *_):
