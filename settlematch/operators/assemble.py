@@ -39,7 +39,7 @@ def _said(column: str, *parts: str | Column) -> Column:
 
 def bank_evidence(resolved: DataFrame, batches: DataFrame, bank: DataFrame) -> DataFrame:
     """``resolved`` with ``evidence``: what the rule saw, with its values."""
-    rows = resolved.join(batches.select(F.col("settlement_id").alias("subject_id"), F.col("utr").alias("_utr"), F.size("payment_ids").alias("_n"), "expected_credit", "expected_credit_dedup", "has_duplicate_refund_rows"), "subject_id")
+    rows = resolved.join(batches.select(F.col("settlement_id").alias("subject_id"), F.col("utr").alias("_utr"), F.col("n_payments").alias("_n"), "expected_credit", "expected_credit_dedup", "has_duplicate_refund_rows"), "subject_id")
     rows = rows.join(bank.select(F.col("txn_id").alias("counterpart_id"), F.col("utr").alias("_shown"), "narration", "credit", "value_date"), "counterpart_id")
     tokens = extract_utrs(F.col("narration"))
     shown = F.concat(tokens, F.when(F.col("_shown").isNotNull(), F.array("_shown")).otherwise(F.expr(NO_LINES)))

@@ -45,19 +45,48 @@ def _repeats(gateway: DataFrame) -> DataFrame:
 
 
 def settlement_batches(gateway: DataFrame) -> DataFrame:
-    """One row per payout batch, with its total as reported and with repeated refunds left out."""
+    """One row per payout batch: totals as reported and with repeated refunds left out, and how many payments, refunds and adjustments.
+
+    A batch's row does not grow with the batch; who is in it are the rows of :func:`batch_members`.
+    """
     kind = F.col("entity_type")
     grouped = _repeats(gateway).groupBy("settlement_id").agg(
-        F.collect_set("settlement_utr").alias("utrs"),
-        F.sort_array(F.collect_set(F.when(kind == "payment", F.col("payment_id")))).alias("payment_ids"),
+        F.when(F.min("settlement_utr") == F.max("settlement_utr"), F.min("settlement_utr")).alias("utr"),
         F.min(local_date(F.col("settled_at"))).alias("settled_date"),
         (F.sum("credit") - F.sum("debit")).alias("expected_credit"),
         (F.sum("credit") - F.sum(F.when(F.col("repeat"), 0).otherwise(F.col("debit")))).alias("expected_credit_dedup"),
-        F.sort_array(F.collect_list(F.when(kind == "refund", F.col("entity_id")))).alias("refund_entity_ids"),
-        F.sort_array(F.collect_list(F.when(kind == "adjustment", F.col("entity_id")))).alias("adjustment_entity_ids"),
         F.max("repeat").alias("has_duplicate_refund_rows"),
+        F.count_distinct(F.when(kind == "payment", F.col("payment_id"))).alias("n_payments"),
+        F.count(F.when(kind == "refund", 1)).alias("n_refunds"), F.count(F.when(kind == "adjustment", 1)).alias("n_adjustments"),
     )
-    return grouped.withColumn("utr", F.when(F.size("utrs") == 1, F.element_at("utrs", 1))).drop("utrs")
+    return grouped
+
+
+def batch_members(gateway: DataFrame) -> DataFrame:
+    """settlement_id, kind, member_id: a row for each payment, refund and adjustment of each batch; a payment once."""
+    rows = gateway.where(F.col("settlement_id").isNotNull())
+    payments = rows.where("entity_type = 'payment' and payment_id is not null").select("settlement_id", F.lit("payment").alias("kind"), F.col("payment_id").alias("member_id")).distinct()
+    others = rows.where(F.col("entity_type").isin("refund", "adjustment")).select("settlement_id", F.col("entity_type").alias("kind"), F.col("entity_id").alias("member_id"))
+    return payments.unionByName(others)
+
+
+#: Signs of batches are told modulo this.
+SIGNS = 10**15
+
+
+def batch_signs(members: DataFrame) -> DataFrame:
+    """settlement_id, n, sign: how many members a batch has and a number that stands for them, in whatever order they come.
+
+    Batches of the same members have the same sign, so that two reports are compared batch by batch without lists.
+    """
+    one = F.conv(F.substring(F.sha2(F.concat_ws(" ", "kind", "member_id"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return members.groupBy("settlement_id").agg(F.count("*").alias("n"), F.pmod(F.sum(one), F.lit(SIGNS)).cast("long").alias("sign"))
+
+
+def with_member_lists(batches: DataFrame, members: DataFrame) -> DataFrame:
+    """``batches`` with sorted lists of their members, for files that want them so; a list holds the whole batch."""
+    lists = members.groupBy("settlement_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("member_id")))).alias(name) for kind, name in (("payment", "payment_ids"), ("refund", "refund_entity_ids"), ("adjustment", "adjustment_entity_ids"))])
+    return batches.join(lists, "settlement_id", "left")
 
 
 def duplicate_refund_rows(gateway: DataFrame) -> DataFrame:

@@ -446,7 +446,20 @@ def refund_views(t: Inputs) -> DataFrame:
 
 @query("--with " + BATCHES + "SELECT * FROM batches")
 def settlement_batches(t: Inputs) -> DataFrame:
-    return t.batches.select("settlement_id", "utr", "settled_date", "expected_credit", "expected_credit_dedup", "has_duplicate_refund_rows", F.size("payment_ids").cast("long").alias("n_payments"), F.size("refund_entity_ids").cast("long").alias("n_refunds"), F.size("adjustment_entity_ids").cast("long").alias("n_adjustments"))
+    return t.batches.select("settlement_id", "utr", "settled_date", "expected_credit", "expected_credit_dedup", "has_duplicate_refund_rows", "n_payments", "n_refunds", "n_adjustments")
+
+
+_MEMBERS = "mb AS (SELECT DISTINCT settlement_id, 'payment' AS kind, payment_id AS member_id FROM gateway WHERE entity_type = 'payment' AND payment_id IS NOT NULL UNION ALL SELECT settlement_id, entity_type, entity_id FROM gateway WHERE entity_type <> 'payment')"
+
+
+@query("--with " + _MEMBERS + " SELECT * FROM mb")
+def batch_members(t: Inputs) -> DataFrame:
+    return views.batch_members(t["gateway"])
+
+
+@query("--with " + _MEMBERS + f" SELECT settlement_id, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(kind || ' ' || member_id), 1, 15) AS HUGEINT)) % {views.SIGNS} AS BIGINT) AS sign FROM mb GROUP BY 1")
+def batch_signs(t: Inputs) -> DataFrame:
+    return views.batch_signs(views.batch_members(t["gateway"]))
 
 
 @query("--with " + BATCHES + "SELECT entity_id, settlement_id, payment_id, debit FROM rep WHERE repeat")

@@ -14,7 +14,7 @@ from settlematch.operators.components import components
 DAY = dt.date(2026, 2, 5)
 UTR = "HDFC000000000001"
 PAY = "payment_id string, order_id string, order_receipt string, gross long, net long, settlement_ids array<string>, settlement_utrs array<string>, settled_dates array<date>, captured_on date"
-BATCH = "settlement_id string, utr string, settled_date date, expected_credit long, expected_credit_dedup long, payment_ids array<string>, has_duplicate_refund_rows boolean"
+BATCH = "settlement_id string, utr string, settled_date date, expected_credit long, expected_credit_dedup long, n_payments long, has_duplicate_refund_rows boolean"
 BANK = "txn_id string, value_date date, narration string, utr string, credit long, debit long"
 INV = "invoice_id string, order_id string, invoice_amount long, issue_date date, customer_id string"
 
@@ -25,7 +25,7 @@ def payment(spark, *rows):
 
 
 def batch(spark, *rows):
-    base = {"settlement_id": "setl_1", "utr": UTR, "settled_date": DAY, "expected_credit": 97000, "expected_credit_dedup": 97000, "payment_ids": ["pay_1"], "has_duplicate_refund_rows": False}
+    base = {"settlement_id": "setl_1", "utr": UTR, "settled_date": DAY, "expected_credit": 97000, "expected_credit_dedup": 97000, "n_payments": 1, "has_duplicate_refund_rows": False}
     return spark.createDataFrame([tuple((base | r).values()) for r in rows], BATCH)
 
 
@@ -254,6 +254,26 @@ def test_views(spark):
     b = {r["settlement_id"]: r for r in views.settlement_batches(gateway).collect()}
     assert (b["s1"]["expected_credit"], b["s1"]["expected_credit_dedup"], b["s1"]["has_duplicate_refund_rows"]) == (50, 55, True)
     assert [r["entity_id"] for r in views.duplicate_refund_rows(gateway).collect()] == ["r2"]
+    assert (b["s1"]["utr"], b["s1"]["n_payments"], b["s1"]["n_refunds"], b["s1"]["n_adjustments"]) == ("U1", 1, 2, 0)
+    members = views.batch_members(gateway.unionByName(gateway.where("entity_id = 'e1'")))  # a payment on two lines is one member
+    assert sorted(map(tuple, members.collect())) == [("s1", "payment", "p"), ("s1", "refund", "r1"), ("s1", "refund", "r2"), ("s2", "payment", "p")]
+    signs = {r["settlement_id"]: r for r in views.batch_signs(members.repartition(5)).collect()}
+    assert signs["s1"]["n"] == 3 and signs["s1"]["sign"] == sum(int(hashlib.sha256(x.encode()).hexdigest()[:15], 16) for x in ("payment p", "refund r1", "refund r2")) % views.SIGNS
+    listed = views.with_member_lists(views.settlement_batches(gateway), members).where("settlement_id = 's1'").head()
+    assert (listed["payment_ids"], listed["refund_entity_ids"], listed["adjustment_entity_ids"]) == (["p"], ["r1", "r2"], [])
+    two = gateway.withColumn("settlement_utr", F.when(F.col("entity_id") == "r1", "U9").when(F.col("entity_id") == "r2", F.lit(None)).otherwise(F.col("settlement_utr")))
+    assert {r["settlement_id"]: r["utr"] for r in views.settlement_batches(two).collect()} == {"s1": None, "s2": "U2"}
+
+
+def test_a_batch_of_very_many_payments_is_one_small_row(spark):
+    n = 60_000
+    columns = {"entity_type": F.lit("payment"), "entity_id": F.concat(F.lit("e"), "id"), "payment_id": F.concat(F.lit("p"), F.expr("id div 2")), "credit": F.lit(3).cast("long"), "debit": F.lit(0).cast("long"), "settlement_id": F.lit("s"), "settlement_utr": F.lit("U"), "created_at": F.lit("2026-01-06T00:10:00+05:30"), "settled_at": F.lit("2026-01-08T00:10:00+05:30")}
+    gateway = spark.range(n).select(*[c.alias(k) for k, c in columns.items()])
+    batches = views.settlement_batches(gateway)
+    r = batches.head()
+    assert (r["n_payments"], r["expected_credit"], r["utr"]) == (n // 2, 3 * n, "U")
+    assert "collect" not in batches._jdf.queryExecution().optimizedPlan().toString()
+    assert views.batch_signs(views.batch_members(gateway)).head()["n"] == n // 2
 
 
 def answered(spark, questions, *replies):
