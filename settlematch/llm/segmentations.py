@@ -97,6 +97,7 @@ class Vocabulary:
             elif not (reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i)):
                 self.ids[piece] = i
         self.longest = max(map(len, self.ids))
+        self.raw = np.array(self.raw, dtype=object)
         self.scores = np.array([self.score(i) for i in range(len(self.raw))])
         steps, ends = {}, {}
         for piece, i in self.ids.items():
@@ -428,7 +429,7 @@ def log_inclusion(log_probability: float, threshold: float) -> float:
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """Text of a segmentation: byte pieces are joined as UTF-8, spaces restored, the leading one dropped."""
-    return b"".join(map(vocabulary.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+    return b"".join(vocabulary.raw.take(ids).tolist()).decode("utf-8", "replace")[1:]
 
 
 _VOCABULARIES: dict[tuple[str, float], Vocabulary] = {}
@@ -465,6 +466,8 @@ def sample_segmentations(rows: DataFrame, model: str, keys: list[str], *, k: int
                     values = (*key, i, ids, round(log_probability, 6), math.exp(chance), chance, decode(pieces, ids) == text if len(ids) else not text)
                     for name, value in zip(schema.names, values, strict=True):
                         out[name].append(value)
+            ends = np.cumsum([0, *map(len, out["ids"])], dtype=np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *out["ids"]])))
             yield record_batch(schema, out)
 
     return rows.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), "sample int, ids array<int>, log_prob double, inclusion double, log_inclusion double, decodes boolean"]))
