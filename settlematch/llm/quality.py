@@ -1,7 +1,8 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts become counts of hashed byte trigrams, log-scaled, weighted by inverse document frequency
-and projected on the leading singular directions of the labelled sample. The sample's vectors are
+Texts become counts of hashed byte trigrams, of their letters and of their shape (runs of small
+letters, capitals, digits and spaces taken as one sign each), log-scaled, weighted by inverse document
+frequency and projected on the leading singular directions of the labelled sample. The sample's vectors are
 broadcast; every document takes its exact cosine with each of them, in blocks, and the nearest
 vote with weights that grow with similarity.
 """
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from settlematch.llm.common import byte_blocks, held_out, record_batch
 
-DIMS = 2048
+DIMS, SHAPES = 2048, 256
+#: What a byte is in a text's shape: a letter's, digit's or space's kind, any other sign itself.
+_KIND = bytes(97 if chr(b).islower() else 65 if chr(b).isupper() else 48 if chr(b).isdigit() else 32 if chr(b).isspace() and b != 10 else b for b in range(128)) + bytes(128)
+_NOT_ASCII = bytes(range(128, 256))
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -43,6 +47,17 @@ def trigram_counts(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
     return out
 
 
+def shape_of(text: bytes) -> bytes:
+    """The text with each run of one kind of sign as a single one; letters beyond ASCII are left out."""
+    kinds = np.frombuffer(text.translate(_KIND, _NOT_ASCII), np.uint8)
+    return kinds[np.append(True, kinds[1:] != kinds[:-1])].tobytes() if len(kinds) else b""
+
+
+def features(texts: list[bytes]) -> np.ndarray:
+    """Counts of the trigrams of texts, and behind them of their shapes."""
+    return np.hstack([trigram_counts(texts), trigram_counts([shape_of(t) for t in texts], SHAPES)])
+
+
 def _counted(texts: list[bytes], dims: int) -> np.ndarray:
     joined = np.frombuffer(b"".join(texts), np.uint8)
     joined = np.where((joined >= 48) & (joined < 58), 48, joined).astype(np.uint32)
@@ -77,7 +92,7 @@ class Neighbours:
 
         All neighbours as near as the last of the ``near`` nearest vote, so ties need no order.
         """
-        z = self.embed(trigram_counts([(t or "").encode() for t in texts]))
+        z = self.embed(features([(t or "").encode() for t in texts]))
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
         cosine = z @ self.vectors.T
@@ -90,20 +105,24 @@ class Neighbours:
 
 
 def terms(counts: np.ndarray, idf: np.ndarray, weight: float = 1.0) -> np.ndarray:
-    """Rows of the term-document matrix: weighted trigrams, and pseudo-terms for how often a text repeats itself.
+    """Rows of the term-document matrix: weighted trigrams of letters and of the shape, and pseudo-terms for how often a text repeats itself.
+
+    Words differ from language to language and text to text; lists, capitals and stray signs have
+    the same shape in all of them, so few labelled texts are enough to know them.
 
     The pseudo-terms are cells of text length against trigrams per distinct trigram, both on a
     log scale, each text shared out between the two nearest cells of the second.
     """
-    x = _unit(np.log1p(counts) * idf)
-    total, distinct = counts.sum(axis=1), (counts > 0).sum(axis=1)
+    weighted = np.log1p(counts) * idf
+    letters = counts[:, :DIMS]
+    total, distinct = letters.sum(axis=1), (letters > 0).sum(axis=1)
     length = np.clip(np.log2(1 + total).astype(int), 0, 15)
     repeats = np.clip(2 * np.log2(np.maximum(total, 1) / np.maximum(distinct, 1)), 0, 22.99)
     cell, part = length * 24 + repeats.astype(int), (repeats % 1).astype(np.float32)
     pseudo = np.zeros((len(counts), 16 * 24), np.float32)
     rows = np.arange(len(counts))
     pseudo[rows, cell], pseudo[rows, cell + 1] = weight * (1 - part), weight * part
-    return np.hstack([x, pseudo])
+    return np.hstack([_unit(weighted[:, :DIMS]), _unit(weighted[:, DIMS:]), pseudo])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -146,20 +165,20 @@ def sample_texts(documents: DataFrame, labels: DataFrame, column: str, per_class
 
 
 def train(documents: DataFrame, labels: DataFrame, *, column: str = "quality", per_class: int = 2048, rank: int = 64, near: int = 24, sharpness: float = 64.0) -> Neighbours:
-    """Fit on at most 2 x ``per_class`` labelled texts; their trigram counts, not their texts, reach the driver."""
+    """Fit on at most 2 x ``per_class`` labelled texts; their counts, not their texts, reach the driver."""
     totals = {r["y"]: r["n"] for r in labels.where(F.col(column).isin(0, 1) & ~held_out()).groupBy(F.col(column).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n")).collect()}
     sample = sample_texts(documents, labels, column, per_class)
 
     def run(batches):
         for batch in byte_blocks(batches, rows=128):
-            counts = trigram_counts([(t or "").encode() for t in batch.column("text").to_pylist()])
+            counts = features([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], names=["doc_id", "y", "counts"])
 
     rows = sorted(sample.mapInArrow(run, "doc_id long, y int, counts binary").collect(), key=lambda r: r["doc_id"])
     unique: dict[bytes, list[int]] = {}
     for r in rows:  # copies count once, with the label most of them have
         unique.setdefault(bytes(r["counts"]), []).append(r["y"])
-    counts = np.array([np.frombuffer(c, "<u4") for c in unique], np.float32).reshape(-1, DIMS)
+    counts = np.array([np.frombuffer(c, "<u4") for c in unique], np.float32).reshape(-1, DIMS + SHAPES)
     y = np.array([int(2 * sum(v) >= len(v)) for v in unique.values()], np.int64)
     return fit(counts, y, totals, rank=rank, near=near, sharpness=sharpness)
 
