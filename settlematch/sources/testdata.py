@@ -1,8 +1,9 @@
 """Settlement report, bank statement, ledger and truth derived from the driver's order tables.
 
 The shipped tables hold no payments, so these are derived from ``orders`` by integer arithmetic
-on the order key: one payment per order, one payout batch per settlement day, one bank credit per
-batch, one invoice per order, with defects planted by remainders. Each table is one SQL text in
+on the order key: one payment per order, one payout batch per settlement day and merchant, one bank
+credit per batch, one invoice per order, with defects planted by remainders. A merchant stands for
+1500 customers, so merchants, batches and credits grow with the orders, and a batch stays as large as it is. Each table is one SQL text in
 the dialect that Spark and DuckDB share, so that both engines see the same rows.
 """
 
@@ -36,6 +37,8 @@ def pick(n: str, *values: str) -> str:
     return "CASE " + f"({n}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
+#: Batches are numbered as merchant * DAYS + day.
+DAYS = 10_000
 _SETL = "'setl_' || " + pad("{0}", 14)
 _UTR = pick("{0}", "'HDFC'", "'ICIC'", "'SBIN'", "'AXIS'", "'UTIB'") + " || " + pad("({0} * 7919104729) % 1000000000000", 12)
 
@@ -72,15 +75,16 @@ def tables(since: str) -> list[tuple[str, str]]:
             FROM {src} WHERE {where}"""
 
     no = "CAST(NULL AS STRING)"
+    paid_out = f"{div('c', 1500)} * {DAYS} + n + 2"
     pay = "'pay_' || " + pad("k", 14)
     settled, later = stamp(day("n + 2"), "11"), stamp(day("n + 3"), "11")
     refund = div("gross * 30", 100)
     gateway = " UNION ALL ".join((
-        row("payment", pay, pay, order_id, receipt, method, "gross", "fee", "tax", "tds", "CASE WHEN k % 17 = 3 THEN part ELSE net END", "0", "n + 2", captured, captured, settled, "TRUE"),
-        row("payment", pay, pay, order_id, receipt, method, "0", "0", "0", "0", "net - part", "0", "n + 3", captured, captured, later, "k % 17 = 3"),
-        row("refund", "'rfnd_' || " + pad("k", 14), pay, no, "''", no, refund, "0", "0", "0", "0", refund, "n + 2", stamp("d", "13"), no, settled, "k % 13 = 5"),
-        row("refund", "'rfne_' || " + pad("k", 14), pay, no, "''", no, refund, "0", "0", "0", "0", refund, "n + 2", stamp("d", "14"), no, settled, "k % 39 = 5"),
-        row("adjustment", "'adj_' || " + pad("m", 14), no, no, "''", no, "5000 + m % 100", "0", "0", "0", "0", "5000 + m % 100", "m", stamp(day("m"), "00"), no, stamp(day("m"), "11"), "m % 8 = 3", "(SELECT DISTINCT n + 2 AS m FROM base_orders) z"),
+        row("payment", pay, pay, order_id, receipt, method, "gross", "fee", "tax", "tds", "CASE WHEN k % 17 = 3 THEN part ELSE net END", "0", paid_out, captured, captured, settled, "TRUE"),
+        row("payment", pay, pay, order_id, receipt, method, "0", "0", "0", "0", "net - part", "0", f"{paid_out} + 1", captured, captured, later, "k % 17 = 3"),
+        row("refund", "'rfnd_' || " + pad("k", 14), pay, no, "''", no, refund, "0", "0", "0", "0", refund, paid_out, stamp("d", "13"), no, settled, "k % 13 = 5"),
+        row("refund", "'rfne_' || " + pad("k", 14), pay, no, "''", no, refund, "0", "0", "0", "0", refund, paid_out, stamp("d", "14"), no, settled, "k % 39 = 5"),
+        row("adjustment", "'adj_' || " + pad("m", 14), no, no, "''", no, "5000 + m % 100", "0", "0", "0", "0", "5000 + m % 100", "m", stamp(day(f"m % {DAYS}"), "00"), no, stamp(day(f"m % {DAYS}"), "11"), "m % 8 = 3", f"(SELECT DISTINCT {paid_out} AS m FROM base_orders) z"),
     ))
     batch = """
         SELECT batch_no AS b, SUM(credit) - SUM(debit) AS expected, SUM(credit) - SUM(CASE WHEN entity_id LIKE 'rfne_%' THEN 0 ELSE debit END) AS deduped
@@ -92,7 +96,7 @@ def tables(since: str) -> list[tuple[str, str]]:
     narration = f"CASE WHEN b % 11 IN (0, 3, 4, 5) THEN {blind} WHEN b % 11 = 2 THEN 'NEFT/' || substr({code}, 1, CAST(10 + b % 4 AS INT)) || '/PAYOUT' ELSE {told} END"
     column = f"CASE WHEN b % 11 IN (0, 1, 2, 4, 5) THEN CAST(NULL AS STRING) WHEN b % 11 = 3 THEN {swapped} ELSE {code} END"
     amount = f"CASE WHEN b % 11 = 4 THEN expected - {div('expected * 4', 1000)} WHEN b % 11 = 5 THEN deduped ELSE expected + b % 5 - 2 END"
-    value = day("b + b % 3")
+    value = day(f"b % {DAYS} + b % 3")
 
     def credit(txn, narr, col, amt, valued, where, src="base_batches"):
         return f"SELECT {txn} AS txn_id, {valued} AS value_date, {narr} AS narration, {col} AS utr, CAST({amt} AS BIGINT) AS credit, CAST(0 AS BIGINT) AS debit FROM {src} WHERE {where}"
@@ -100,7 +104,7 @@ def tables(since: str) -> list[tuple[str, str]]:
     bank = " UNION ALL ".join((
         credit("'bank_' || " + pad("b", 12), narration, column, f"greatest(0, {amount})", value, "b % 37 <> 9"),
         credit("'bankd_' || " + pad("b", 12), told, code, "4321", value, "b % 29 = 5"),
-        credit("'bankn_' || " + pad("b", 12), "'NEFT-VENDOR-' || " + pad("b", 6), "CAST(NULL AS STRING)", "123456 + b * 7", day("b + 1"), "b % 9 = 4"),
+        credit("'bankn_' || " + pad("b", 12), "'NEFT-VENDOR-' || " + pad("b", 6), "CAST(NULL AS STRING)", "123456 + b * 7", day(f"b % {DAYS} + 1"), "b % 9 = 4"),
     ))
     plain = "'order_' || " + pad("k * 100003 % 100000000000000", 14)
     ledger_order = f"CASE WHEN k % 12 IN (1, 4) THEN CAST(NULL AS STRING) WHEN k % 12 = 2 THEN upper({plain}) WHEN k % 12 = 3 THEN substr({plain}, 1, 16) || substr({plain}, 18, 1) || substr({plain}, 17, 1) || substr({plain}, 19) ELSE {plain} END"
@@ -115,7 +119,7 @@ def tables(since: str) -> list[tuple[str, str]]:
         invoice("'INV-2028-' || " + pad("k", 6), "CAST(NULL AS STRING)", "77777 + k", day("n"), "k % 40 = 19"),
     ))
     truth = f"""
-        SELECT {pay} AS payment_id, gross, net, 'INV-2026-' || {pad('k', 6)} AS invoice_id, k % 25 <> 11 AS has_invoice, k, n + 2 AS b1, CASE WHEN k % 17 = 3 THEN n + 3 END AS b2,
+        SELECT {pay} AS payment_id, gross, net, 'INV-2026-' || {pad('k', 6)} AS invoice_id, k % 25 <> 11 AS has_invoice, k, {paid_out} AS b1, CASE WHEN k % 17 = 3 THEN {paid_out} + 1 END AS b2,
             CASE WHEN k % 37 < 22 THEN 'dev' ELSE 'holdout' END AS split FROM base_paid"""
     bank_edges = " UNION ALL ".join(f"SELECT payment_id, 'bank_' || {pad(b, 12)} AS counterpart_id, {setl(b)} AS settlement_id FROM truth WHERE {b} IS NOT NULL AND {b} % 37 <> 9" for b in ("b1", "b2"))
     tags = " UNION ALL ".join((
