@@ -117,4 +117,14 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM parts
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+# all pairs that share a shingle, and everything that links reach
+JACCARD_SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM worded),
+one AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled),
+linked AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM one x JOIN one y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p WHERE 100 * k >= 85 * (na + nb - k)),
+reached AS (SELECT doc_id, doc_id AS root FROM shingled UNION SELECT l.b, r.root FROM reached r JOIN linked l ON l.a = r.doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(root) FROM reached r WHERE r.doc_id = d.doc_id) AS component_id FROM shingled d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": JACCARD_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}

@@ -198,3 +198,17 @@ def test_personal_data(spark, documents):
 def test_addresses_with_many_zeros():
     for text in ("000000000000000000000001.1.1.1", "a 1.2.00000000000000000000000255.4 b", "1.1.1.00000000000000000000000256", "0000.0.0.0", "1.1.1.9999999999999999999999999"):
         assert pii.base_spans(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == columns
+    want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
+    assert sorted(repr(tuple(r)) for r in df.select(columns).collect()) == want
