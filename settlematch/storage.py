@@ -9,20 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the sessions that have none, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # Spark lets nobody set this name once a session runs
+        folder = _TEMPORARY.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _TEMPORARY[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession) -> str:
-    """A place in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A place in the shared folder that nothing else uses, among the application's own."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -44,3 +49,13 @@ def discard(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that :func:`written` made in this application, once nothing reads them any more.
+
+    What an application that was killed has left lies under its id and can go in the same way.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from settlematch import storage
 from settlematch.operators import decisions, order, views
 from settlematch.sources import files, results
 
@@ -160,3 +161,35 @@ def test_fingerprints_follow_the_files(spark, tmp_path):
     assert first == results.fingerprint(spark, f"file://{tmp_path}")
     (tmp_path / "b").write_text("2")
     assert results.fingerprint(spark, f"file://{tmp_path}") != first
+
+
+def test_an_application_clears_its_tables_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    (tmp_path / "another-application" / "t").mkdir(parents=True)
+    kept = storage.written(spark.range(5))
+    assert kept.count() == 5 and len(os.listdir(tmp_path)) == 2
+    storage.discard(storage.written(spark.range(3)))
+    assert len(os.listdir(tmp_path / spark.sparkContext.applicationId)) == 1
+    storage.clear(spark)
+    storage.clear(spark)
+    assert os.listdir(tmp_path) == ["another-application"]
+
+
+def test_a_session_without_a_folder_gets_one_for_itself():
+    class Conf(dict):
+        pass
+
+    class Context:
+        master, applicationId = "local[2]", "app-of-this-test"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    folder = storage.shared_folder(Session())
+    assert folder.startswith("file://") and storage.shared_folder(Session()) == folder
+    Context.master = "local-cluster[2,1,1024]"  # executors of their own
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_folder(Session())
