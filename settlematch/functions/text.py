@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from settlematch.functions.distance import damerau_levenshtein
 
-__all__ = ["damerau_levenshtein", "extract_utrs", "find_id_like", "is_truncation_of", "normalise_id", "one_edit_apart", "one_edit_keys"]
+__all__ = ["damerau_levenshtein", "extract_utrs", "find_id_like", "is_truncation_of", "normalise_id", "one_edit_apart"]
 
 # How a bank reference and an invoice number look.
 UTR = r"\b[A-Z]{4}\d{6,12}\b"
@@ -35,25 +35,18 @@ def find_id_like(text: Column, pattern: str = INVOICE) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def one_edit_keys(text: Column) -> Column:
-    """Keys shared by two different strings of one length iff one substitution or one adjacent swap apart.
-
-    For each position the string with that character masked, and for each neighbouring pair the
-    string with the two in order; each key names its kind and place.
-    """
-    n = F.length(text)
-
-    def masked(i: Column) -> Column:
-        return F.concat(F.lit("s"), i.cast("string"), F.lit(":"), text.substr(F.lit(1), i - 1), F.lit("\x00"), text.substr(i + 1, n))
+def one_edit_apart(a: Column, b: Column) -> Column:
+    """Strings of one length that differ in one place, or in two neighbouring ones whose characters are swapped."""
 
-    def swapped(i: Column) -> Column:
-        a, b = text.substr(i, F.lit(1)), text.substr(i + 1, F.lit(1))
-        return F.concat(F.lit("t"), i.cast("string"), F.lit(":"), text.substr(F.lit(1), i - 1), F.least(a, b), F.greatest(a, b), text.substr(i + 2, n))
+    def at(text: Column, i: Column) -> Column:
+        return text.substr(i, F.lit(1))
 
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), swapped)).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.when(n > 0, F.concat(F.transform(F.sequence(F.lit(1), n), masked), pairs)).otherwise(F.expr("cast(array() as array<string>)"))
+    places = F.when(F.length(a) > 0, F.sequence(F.lit(1), F.length(a))).otherwise(F.expr("cast(array() as array<int>)"))
+    off = F.filter(places, lambda i: at(a, i) != at(b, i))
 
+    def one(found: Column) -> Column:
+        i, j = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        swapped = (j == i + 1) & (at(a, i) == at(b, j)) & (at(a, j) == at(b, i))
+        return (F.size(found) == 1) | ((F.size(found) == 2) & swapped)
 
-def one_edit_apart(a: Column, b: Column) -> Column:
-    """Different strings of one length that share a key of :func:`one_edit_keys`."""
-    return (F.length(a) == F.length(b)) & (a != b) & F.arrays_overlap(one_edit_keys(a), one_edit_keys(b))
+    return (F.length(a) == F.length(b)) & (a != b) & F.get(F.transform(F.array(off), one), F.lit(0))

@@ -90,7 +90,7 @@ def test_edit_distance_by_vectors_and_in_a_band(spark):
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
-def test_one_edit_keys_agree_with_the_distance(spark):
+def test_one_edit_agrees_with_the_distance(spark):
     words = ["".join(w) for n in range(4) for w in itertools.product("abc", repeat=n)]
     rows = spark.createDataFrame([(a, b) for a in words for b in words if len(a) == len(b)], "a string, b string")
     wrong = rows.where(text.one_edit_apart(F.col("a"), F.col("b")) != (text.damerau_levenshtein(F.col("a"), F.col("b")) == 1))
