@@ -10,6 +10,7 @@ from settlematch import storage
 from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, order, score, shelves, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
+from settlematch.plans.queries import MAKERS
 
 DAY = dt.date(2026, 2, 5)
 UTR = "HDFC000000000001"
@@ -412,6 +413,23 @@ def test_rivals_are_added_up_by_day(spark):
     assert {(r["settlement_id"], r["day"]): r["n"] for r in few} == {k: v[0] for k, v in want.items() if k[0] == "setl_07"}
 
 
+def test_every_rival_is_named(spark):
+    """The registered query, over 40 batches of twenty days."""
+    rng = random.Random(7)
+    rows = [(f"setl_{i:02}", DAY + dt.timedelta(rng.randrange(20)) if i else None) for i in range(40)]
+    batches = batch(spark, *[{"settlement_id": s, "settled_date": d} for s, d in rows])
+    want = {(s, o) for s, d in rows for o, e in rows if d and e and s != o and abs((d - e).days) <= 4}
+
+    class Given:
+        pass
+
+    Given.batches = batches.repartition(3)
+    got = [tuple(r) for r in MAKERS["l3_competing_batches"](Given).select("settlement_id", "other_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    few = decisions.competing_pairs(batches, batches.where("settlement_id in ('setl_00', 'setl_07')")).collect()
+    assert {tuple(r) for r in few} == {p for p in want if p[0] == "setl_07"}
+
+
 def test_ten_thousand_batches_of_one_day(spark):
     n = 10_000
     batches = spark.range(n).select(F.format_string("setl_%05d", "id").alias("settlement_id"), F.lit(DAY).alias("settled_date"), (F.col("id") * 100).alias("expected_credit_dedup"))
