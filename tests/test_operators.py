@@ -10,7 +10,7 @@ from settlematch import storage
 from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, order, score, shelves, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
-from settlematch.plans.queries import MAKERS
+from settlematch.plans.queries import MAKERS, Inputs
 
 DAY = dt.date(2026, 2, 5)
 UTR = "HDFC000000000001"
@@ -430,6 +430,25 @@ def test_every_rival_is_named(spark):
     assert {tuple(r) for r in few} == {p for p in want if p[0] == "setl_07"}
 
 
+def three_rivals(spark):
+    """What :class:`Inputs` gives the queries about questions: three batches within four days, one far off, and a credit for each of the first two."""
+    given = Inputs.__new__(Inputs)
+    batches = batch(spark, *[{"settlement_id": f"setl_{i}", "utr": None, "settled_date": DAY + dt.timedelta(d), "expected_credit_dedup": c} for i, d, c in ((1, 0, 97000), (2, 4, 97000), (3, 2, -550), (4, 30, 97000))])
+    credits = bank(spark, {"utr": None, "narration": "x", "credit": 96500}, {"txn_id": "bank_2", "utr": None, "narration": "x", "credit": 96400, "value_date": DAY + dt.timedelta(30)})
+    none = spark.createDataFrame([], "subject_id string, counterpart_id string")
+    choices = decisions.bank_choices(batches, credits).withColumn("leg", F.lit("bank"))
+    given.spark, given.kept = spark, {"batches": batches, "bank": credits, "found_bank": none, "choices": choices}
+    return given
+
+
+def test_questions_name_every_rival(spark):
+    asked = {r["subject_id"]: r["question"] for r in MAKERS["l3_render_questions"](three_rivals(spark)).collect()}
+    credit = "credit bank_1 | 965.00 | on 2026-02-05 | short by 5.00 (0.52%)"
+    assert asked["setl_1"] == f"batch setl_1 total 970.00\n{credit}\nother open batches: setl_2 970.00, setl_3 -5.50"
+    assert asked["setl_2"] == f"batch setl_2 total 970.00\n{credit}\nother open batches: setl_1 970.00, setl_3 -5.50"
+    assert asked["setl_4"].endswith("(0.62%)") and len(asked) == 3  # nobody near it
+
+
 def test_ten_thousand_batches_of_one_day(spark):
     n = 10_000
     batches = spark.range(n).select(F.format_string("setl_%05d", "id").alias("settlement_id"), F.lit(DAY).alias("settled_date"), (F.col("id") * 100).alias("expected_credit_dedup"))
