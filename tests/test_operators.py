@@ -449,6 +449,17 @@ def test_questions_name_every_rival(spark):
     assert asked["setl_4"].endswith("(0.62%)") and len(asked) == 3  # nobody near it
 
 
+def test_what_is_asked_again_is_the_whole_question(spark):
+    given = three_rivals(spark)
+    keys = {r["subject_id"]: r["prompt_hash"] for r in MAKERS["l3_render_questions"](given).collect()}
+    given.kept["whole_transcript"] = answered(spark, keys, ("setl_1", {"chosen_id": None, "confidence": 0.3}))
+    want = {s: hashlib.sha256(f"{decisions.SYSTEM}\0batch {s} total 970.00\ncredit {c}{tail}".encode()).hexdigest()[:20] for s, c, tail in (
+        ("setl_2", "bank_1 | 965.00 | on 2026-02-05 | short by 5.00 (0.52%)", "\nother open batches: setl_1 970.00, setl_3 -5.50"),
+        ("setl_4", "bank_2 | 964.00 | on 2026-03-07 | short by 6.00 (0.62%)", ""),
+    )}
+    assert {r["subject_id"]: r["prompt_hash"] for r in MAKERS["l3_resume_plan"](given).collect()} == want
+
+
 def test_ten_thousand_batches_of_one_day(spark):
     n = 10_000
     batches = spark.range(n).select(F.format_string("setl_%05d", "id").alias("settlement_id"), F.lit(DAY).alias("settled_date"), (F.col("id") * 100).alias("expected_credit_dedup"))
