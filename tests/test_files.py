@@ -1,6 +1,7 @@
 """Files: call logs read in order, sources written in order, answers published as one."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 import random
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from settlematch import storage
 from settlematch.operators import decisions, order, views
+from settlematch.plans.queries import MAKERS, Inputs
 from settlematch.sources import files, results
 
 
@@ -36,6 +38,15 @@ def test_the_last_good_record_of_a_question_wins_without_numbers(spark, tmp_path
     assert [x["subject_id"] for x in decisions.l3_resume_plan(questions, read).collect()] == ["b"]  # a failed call is asked again
 
 
+def test_a_read_log_tells_which_record_counts(spark):
+    """The registered query: a question asked twice, one that failed first, one asked once, and one that only failed."""
+    log = [("k", 1, "old", None), ("k", 2, "new", None), ("f", 1, None, "timeout"), ("f", 2, "got", None), ("o", 1, "only", None), ("m", 1, None, "timeout")]
+    given = Inputs.__new__(Inputs)
+    given.spark, given.kept = spark, {"whole_transcript": spark.createDataFrame([("bank:b", "s", q, *more, "noted") for q, *more in log], "purpose string, system string, user string, seq int, response_text string, error string, prompt_hash string")}
+    key = {hashlib.sha256(f"s\0{q}".encode()).hexdigest()[:20]: q for q in "kfom"}
+    assert sorted((key[r["prompt_hash"]], r["seq"], r["response_text"]) for r in MAKERS["read_transcript"](given).collect()) == [("f", 2, "got"), ("k", 2, "new"), ("o", 1, "only")]
+
+
 def test_a_missing_transcript_is_empty(spark, tmp_path):
     assert files.read_transcript(spark, f"file://{tmp_path}/nothing.jsonl").collect() == []
     assert answers(spark, f"file://{tmp_path}/nothing.jsonl") == {}
