@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -106,6 +107,12 @@ class Vocabulary:
                 state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
             ends[state] = i
         self.steps = Table(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32))
+        #: State after a first character, and whether a state goes on.
+        self.begin, self.goes_on = np.full(LITERAL + 1, -1, np.int32), np.zeros(len(steps) + 1, bool)
+        for key, state in steps.items():
+            self.goes_on[key >> 21] = True
+            if key < 1 << 21:
+                self.begin[key] = state
         self.piece_at = np.full(len(steps) + 1, -1, np.int32)
         self.piece_at[list(ends)] = list(ends.values())
 
@@ -147,16 +154,22 @@ class Lattice:
         for length in range(1, v.longest + 1):
             fits = left.take(at) >= length
             at, state = at[fits], state[fits]
-            state = v.steps.get(state << 21 | code.take(at + length - 1)).astype(np.int64)
-            at, state = at[state >= 0], state[state >= 0]
-            if not len(at):
+            letters = code.take(at + length - 1)
+            state = (v.begin.take(letters) if length == 1 else v.steps.get(state << 21 | letters)).astype(np.int64)
+            known = np.flatnonzero(state >= 0)
+            if not len(known):
                 break
+            at, state = at.take(known), state.take(known)
             piece = v.piece_at.take(state)
-            found.append((at[piece >= 0], piece[piece >= 0]))
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at.take(whole), piece.take(whole)))
+            on = np.flatnonzero(v.goes_on.take(state))
+            at, state = at.take(on), state.take(on)
         self.width = max(len(found), 1)
-        self.unit = np.full((n, self.width), -1, np.int32)
+        self.unit, self.most = np.full((n, self.width), -1, np.int32), np.ones(n, np.int64)
         for k, (p, piece) in enumerate(found):
             self.unit[p, k] = piece
+            self.most[p] = k + 1
         # characters without a piece: units of their own behind the pieces
         bare = np.flatnonzero(inner & (self.unit[:, 0] < 0))
         strange, which = np.unique(code[bare], return_inverse=True)
@@ -171,18 +184,20 @@ class Lattice:
         """``rest`` and the odds, from the words' ends backwards; as plain sums near the end, as log-sums beyond SHORT places.
 
         Nodes alike in distance and in whether all their pieces are short go together; odds are
-        kept in that order (``rank``), those of the first NEAR lengths apart.
+        kept in that order (``rank``): ``near`` those of the first NEAR lengths, ``odds`` all those of
+        the nodes with longer pieces (``far_rank``).
         """
         n, width = self.unit.shape
         self.rest, plain, weights = np.zeros(n + width), np.ones(n + width), np.exp(self.scores)
-        most = width - np.argmax((self.unit >= 0)[:, ::-1], axis=1)
+        most = self.most  # length of the longest piece
         kind = left * 2 + (most > NEAR)
         order = np.flatnonzero(left > 0)
         order = order[np.argsort(kind.take(order), kind="stable")]
         self.rank = np.zeros(n, np.int64)
         self.rank[order] = np.arange(len(order))
         unit, kind, far, most = self.unit.take(order, axis=0), kind.take(order), left.take(order), most.take(order)
-        self.near, self.odds = np.ones((len(order), NEAR), np.float32), np.ones((len(order), width), np.float32)
+        self.far_rank = np.cumsum(kind & 1) - 1
+        self.near, self.odds = np.ones((len(order), NEAR), np.float32), np.ones((int((kind & 1).sum()), width), np.float32)
         cuts = np.flatnonzero(np.diff(kind)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
             if lo == hi:
@@ -196,7 +211,7 @@ class Lattice:
                 values = [self.scores.take(u) + self.rest.take(to) for u, to in columns]
                 top = functools.reduce(np.maximum, values)
                 parts = [np.exp(v - top) for v in values]
-            running = list(itertools.accumulate(parts))
+            running, row = list(itertools.accumulate(parts)), int(self.far_rank[lo])
             self.rest[nodes] = top + np.log(running[-1])
             if far[lo] <= SHORT:
                 plain[nodes] = running[-1]
@@ -204,9 +219,10 @@ class Lattice:
                 share = r / running[-1]
                 if k < NEAR:
                     self.near[lo:hi, k] = share
-                self.odds[lo:hi, k] = share
+                if kind[lo] & 1:
+                    self.odds[row : row + hi - lo, k] = share
         # rounding never leaves a draw without a piece
-        self.odds[np.arange(len(order)), most - 1] = np.inf
+        self.odds[np.arange(len(self.odds)), most[kind & 1 == 1] - 1] = np.inf
         short = np.flatnonzero(most <= NEAR)
         self.near[short, most[short] - 1] = np.inf
 
@@ -232,16 +248,8 @@ class Block:
     """Texts side by side: which words they consist of, and the walks drawn for them."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str]):
-        self.v, chains = vocabulary, []
-        for text in texts:
-            parts = text.split(" ") if text else []
-            if parts and ("  " in text or not parts[0] or not parts[-1]):
-                parts = _spaced(parts)
-            chains.append(parts)
-        count = np.fromiter(map(len, chains), np.int64, len(chains))
-        distinct = list(dict.fromkeys(itertools.chain.from_iterable(chains)))
-        numbers = dict(zip(distinct, range(len(distinct)), strict=True))
-        self.words = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(chains)), np.int64, int(count.sum()))
+        self.v = vocabulary
+        self.words, count, distinct = _numbered(texts)
         self.lattice = x = Lattice(vocabulary, distinct) if distinct else None
         self.text_of = np.repeat(np.arange(len(texts)), count)
         self.first_word = np.concatenate([[0], np.cumsum(count)])
@@ -273,7 +281,7 @@ class Block:
             for k in range(NEAR):
                 length += near[:, k] <= u
             if len(rare := np.flatnonzero(length > NEAR)):
-                length[rare] = (x.odds.take(row[rare], axis=0) <= u[rare, None]).sum(axis=1) + 1
+                length[rare] = (x.odds.take(x.far_rank.take(row[rare]), axis=0) <= u[rare, None]).sum(axis=1) + 1
             rounds.append((live, at, length))
             at = at + length
             more = at < behind.take(live)
@@ -289,6 +297,26 @@ class Block:
         return tuple(out)
 
 
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Numbers of the words of all texts in order, how many each text has, and the distinct words by number."""
+    spaced = np.array([bool(t) and (t[0] == " " or t[-1] == " " or "  " in t) for t in texts], bool)
+    order = np.argsort(spaced, kind="stable")  # plain texts are split at every space
+    plain = pc.split_pattern(pa.array([texts[i] for i in order[: len(texts) - int(spaced.sum())]], pa.large_string()), " ")
+    chains = [_spaced(texts[i].split(" ")) for i in np.flatnonzero(spaced)]
+    number = pa.concat_arrays([plain.flatten(), pa.array(list(itertools.chain.from_iterable(chains)), pa.large_string())]).dictionary_encode()
+    found, count = number.indices.to_numpy().astype(np.int64), np.zeros(len(texts), np.int64)
+    count[order] = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False), np.fromiter(map(len, chains), np.int64, len(chains))])
+    empty = np.array([not t for t in texts], bool)
+    if empty.any():  # splits into one empty word
+        found = found[~np.repeat(empty[order], count[order])]
+        count[empty] = 0
+    if len(chains):
+        start = np.zeros(len(texts), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        found = found[np.arange(len(found)) + np.repeat(start - (np.cumsum(count) - count), count)]
+    return found, count, number.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def _spaced(parts: list[str]) -> list[str]:
     """Words of a text with runs of spaces: all spaces before a word belong to it."""
     out, waiting = [], -1
@@ -336,7 +364,7 @@ def draw(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) ->
     sets: dict[int, list[tuple]] = {i: [] for i in busy}  # value, path, step, lengths left out
     fresh = [(i, 0) for i in busy]  # text, first step that may be left
     for t in range(k):
-        _open(block, paths, sets, fresh, value, seed, 3 + 4 * t, k)
+        _open(block, paths, sets, fresh, value, seed, 3 + 4 * t, k - t)  # as many as can still be opened, and the threshold
         if t + 1 == k:
             break
         fresh, turns = [], []
@@ -373,47 +401,57 @@ def _open(block: Block, paths: dict, sets: dict, fresh: list, value: dict, seed:
     u = uniform(seed.take(block.text_of.take(word)), stream, block.place.take(word) + node - x.first.take(block.words.take(word)))
     late = np.log(-np.log(u)) - place  # under one limit, the smaller, the higher the noisy score
     start = np.cumsum(count) - count
+    limit = np.array([value[i] for i, _, _ in rows])
     for _ in range(keep):
         best = np.minimum.reduceat(late, start)
         at = np.flatnonzero(late == np.repeat(best, count))
         at = at[np.concatenate([[True], np.diff(np.searchsorted(start, at, side="right")) > 0])]
-        for j, b, (i, first, _) in zip(at.tolist(), start.tolist(), rows, strict=True):
-            if late[j] < math.inf:
-                noisy = _noisy(place[j : j + 1], np.array([value[i]]), u[j : j + 1])
-                sets[i].append((float(noisy[0]), len(paths[i]) - 1, first + j - b, (int(length[j]),)))
+        noisy, there = _noisy(place[at], limit, u[at]), late[at] < math.inf
+        for (i, first, _), value_of, some, step, own in zip(rows, noisy.tolist(), there.tolist(), (at - start).tolist(), length[at].tolist(), strict=True):
+            if some:
+                sets[i].append((value_of, len(paths[i]) - 1, first + step, (own,)))
         late[at] = np.inf
 
 
 def _turn(block: Block, paths: dict, sets: dict, turns: list, value: dict, seed: np.ndarray, stream: int) -> None:
     """Draw a path of each opened set, and put back what is left of the set without it."""
-    x, heads = block.lattice, []
-    starts, words = [], []
-    for i, path, step, without in turns:
-        p = paths[i][path]
-        at, w = int(p.node[step]), int(p.word[step])
-        choice = [k for k, u in enumerate(x.unit[at].tolist(), 1) if u >= 0 and k not in without]
-        weight = x.chance(np.full(len(choice), at), np.array(choice))
-        mine = np.full(1, seed[i])
-        u = uniform(mine, stream, np.array([0, 1]) + 2 * step)
-        length = choice[min(int(np.searchsorted(np.cumsum(weight), u[0] * weight.sum(), side="right")), len(choice) - 1)]
-        gone = (*without, length)
-        left = float(weight.sum() - weight[choice.index(length)])
-        if len(choice) > 1 and left > 1e-12:
-            place = float(p.before[step]) + x.rest[at] + math.log(left) + block.after[w]
-            sets[i].append((float(_noisy(np.array([place]), np.array([value[i]]), u[1:])[0]), path, step, gone))
-        heads.append((i, p, step, at, w, length))
-        rest = np.arange(w, block.first_word[i + 1])
-        words.append(rest)
-        starts.append(np.concatenate([[at + length], x.first[block.words[rest[1:]]]]))
     if not turns:
         return
-    word, node, length = block.walk(np.concatenate(words), np.concatenate(starts), seed, stream + 1)
-    owner, texts = block.text_of[word], [i for i, *_ in heads]
+    x, texts = block.lattice, np.array([i for i, *_ in turns])
+    of = [paths[i][path] for i, path, *_ in turns]
+    steps = [step for _, _, step, _ in turns]
+    at, w = (np.array([getattr(p, c)[step] for p, step in zip(of, steps, strict=True)]) for c in ("node", "word"))
+    lengths = np.arange(1, x.width + 1)
+    weight = x.chance(at[:, None], lengths[None, :])  # 0 where there is no piece
+    for row, (*_, without) in enumerate(turns):
+        weight[row, np.array(without) - 1] = 0.0
+    running = np.cumsum(weight, axis=1)
+    total, places = running[:, -1], 2 * np.array(steps)
+    above = running > (uniform(seed[texts], stream, places) * total)[:, None]
+    last = x.width - 1 - np.argmax((weight > 0)[:, ::-1], axis=1)
+    index = np.where(above[:, -1], np.argmax(above, axis=1), last)
+    own = lengths[index]
+    chosen = (np.arange(len(turns)), index)
+    left = np.where((weight > 0).sum(axis=1) > 1, total - weight[chosen], 0.0)
+    before = np.array([p.before[step] for p, step in zip(of, steps, strict=True)])
+    place = before + x.rest.take(at) + np.log(np.maximum(left, 1e-300)) + block.after.take(w)
+    noisy = _noisy(place, np.array([value[i] for i, *_ in turns]), uniform(seed[texts], stream, places + 1))
+    for (i, path, step, without), length, some, value_of in zip(turns, own.tolist(), (left > 1e-12).tolist(), noisy.tolist(), strict=True):
+        if some:
+            sets[i].append((value_of, path, step, (*without, length)))
+    # what follows the step in its word, and all later words of the text
+    count = block.first_word[texts + 1] - w
+    start = np.cumsum(count) - count
+    words = np.arange(int(count.sum())) + np.repeat(w - start, count)
+    nodes = x.first.take(block.words.take(words))
+    nodes[start] = at + own
+    word, node, length = block.walk(words, nodes, seed, stream + 1)
+    scores, score = x.score(node, length), x.score(at, own)
+    owner = block.text_of[word]
     begin, behind = np.searchsorted(owner, texts), np.searchsorted(owner, texts, side="right")
-    for (i, p, step, at, w, own), lo, hi in zip(heads, begin.tolist(), behind.tolist(), strict=True):
-        s = slice(lo, hi)
-        steps = [np.concatenate([a[:step], [b], c[s]]) for a, b, c in ((p.word, w, word), (p.node, at, node), (p.length, own, length))]
-        paths[i].append(_Path(*steps, np.concatenate([p.scores[:step], x.score(steps[1][step:], steps[2][step:])])))
+    for row, (i, p, step, lo, hi) in enumerate(zip(texts.tolist(), of, steps, begin.tolist(), behind.tolist(), strict=True)):
+        columns = ((p.word, w, word), (p.node, at, node), (p.length, own, length), (p.scores, score, scores))
+        paths[i].append(_Path(*(np.concatenate([a[:step], b[row : row + 1], c[lo:hi]]) for a, b, c in columns)))
 
 
 def inclusion(log_probability: float, threshold: float) -> float:

@@ -356,6 +356,14 @@ def test_draws_do_not_depend_on_the_block():
     assert all(segmentations.decode(v, i) == text for _, i in drawn)
 
 
+def test_words_are_numbered_in_order():
+    texts = ["a bc a", "", " a", "bc  bc", "x\ny z", "   ", "\u2581 a", "bc a "]
+    words, count, distinct = segmentations._numbered(texts)
+    assert [distinct[i] for i in words] == ["a", "bc", "a", " a", "bc", " bc", "x\ny", "z", "   ", "\u2581", "a", "bc", "a", ""]  # all but the first word of a text begin with one more space
+    assert count.tolist() == [3, 0, 1, 2, 2, 1, 2, 3] and len(set(distinct)) == len(distinct)
+    assert segmentations._numbered([""])[1].tolist() == [0]
+
+
 def test_segmentations_decode(spark):
     texts = [r[1] for r in rows(n=40)] + ["a▁b", "  two  spaces ", "\n", "日本語", "\ue581", " ", "   "]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "conv_id long, text string")
