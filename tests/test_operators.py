@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlematch import storage
-from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, order, score, shelves, views
+from settlematch.operators import assemble, assign, baselines, breakdown, corpus, decisions, exact, fuzzy, order, score, shelves, turns, views
 from settlematch.operators.assign import NEVER, TOP, DayWindow, greedy, greedy_assign, latest_winners
 from settlematch.operators.components import components
 from settlematch.plans.queries import MAKERS, Inputs
@@ -343,6 +343,70 @@ def test_turns_equal_one_pass(spark):
     assert sorted(shared) == sorted(got)
 
 
+def asked_in_turn(choices, most, system, rng, subjects_asked=0.9):
+    """A log that a plain loop over the subjects leaves, with the questions' texts, and what the loop decided."""
+    rows, text = {}, {}
+    for r in choices.collect():
+        rows.setdefault(r["subject_id"], []).append((r["counterpart_id"], r["line"]))
+        text[r["subject_id"]] = (r["head"], r["tail"])
+    taken, log, want = set(), [], {}
+    for s in sorted(rows):
+        free = [x for x in sorted(rows[s]) if x[0] not in taken][:most]
+        head, tail = text[s]
+        # a question of another turn: with one more gone, or with all there
+        old = [sorted(rows[s])[:most], [x for x in sorted(rows[s]) if x[0] not in taken][1:][: most or None]]
+        for shown, picks in [(x, 0.7) for x in old if x != free and rng.random() < 0.7] + [(free, 1.0)] * (rng.random() < subjects_asked):
+            if shown:
+                question = head + "\n" + "\n".join(x for _, x in shown) + tail
+                chosen = rng.choice([*(x for x, _ in shown), None, "nobody"])
+                key = hashlib.sha256(f"{system}\0{question}".encode()).hexdigest()[:20]
+                log.append((f"x:{s}", key, len(log), json.dumps({"chosen_id": chosen, "confidence": 0.5, "reasoning": "r"}), None, system, question))
+                if shown is free:
+                    want[s] = chosen
+                    if chosen in {x for x, _ in free}:
+                        taken.add(chosen)
+    return log, want, taken
+
+
+def test_claims_equal_one_pass(spark, monkeypatch):
+    """Records that hold their questions are settled in rounds, with no part solved one by one; keys alone give the same."""
+    parts = [decisions._decide_by_parts, decisions._decide_invoices_by_parts]
+    for seed, prices, days, most in ((1, [1000], 1, 12), (2, [1000, 1010, 5000], 60, 4)):
+        rng = random.Random(seed)
+        pay = payment(spark, *[{"payment_id": f"p{i:03}", "order_id": None, "order_receipt": "two\nlines", "gross": rng.choice(prices), "captured_on": DAY + dt.timedelta(rng.randrange(days))} for i in range(60)])
+        inv = invoice(spark, *[{"invoice_id": f"INV-2026-{i:05}", "order_id": None, "invoice_amount": rng.choice(prices), "issue_date": DAY + dt.timedelta(rng.randrange(days))} for i in range(70)])
+        choices = decisions.invoice_choices(pay, inv, most=70)
+        log, want, taken = asked_in_turn(choices, most, decisions.INVOICE_SYSTEM, rng)
+        assert len(taken) > 8
+        log = spark.createDataFrame(log, "purpose string, prompt_hash string, seq int, response_text string, error string, system string, user string").repartition(5)
+        by_parts = sorted(decisions.decide_invoices_in_turn(pay, inv, log.drop("user"), most=most).collect())
+        with monkeypatch.context() as m:
+            m.setattr(decisions, "_decide_by_parts", None)
+            m.setattr(decisions, "_decide_invoices_by_parts", None)
+            for rounds, each in ((8, 100_000), (1, 20)):
+                m.setattr(turns, "ROUNDS", rounds)
+                m.setattr(turns, "SLICE", each)
+                got = sorted(decisions.decide_invoices_in_turn(pay.repartition(3), inv.repartition(2), log, most=most).collect())
+                assert got == by_parts
+            assert sorted(decisions.decide_in_turn(choices.repartition(3), log, system=decisions.INVOICE_SYSTEM, most=most).collect()) == by_parts
+        assert {r["subject_id"]: r["chosen_id"] for r in got if r["outcome"] in ("accepted", "not_offered", "declined")} == want
+    assert parts == [decisions._decide_by_parts, decisions._decide_invoices_by_parts]
+
+
+def test_claims_of_credits_equal_one_pass(spark, monkeypatch):
+    rng = random.Random(9)
+    batches = batch(spark, *[{"settlement_id": f"setl_{i:02}", "utr": None, "settled_date": DAY + dt.timedelta(rng.randrange(9)), "expected_credit_dedup": 97000 + rng.randrange(900)} for i in range(40)])
+    credits = bank(spark, *[{"txn_id": f"bank_{i:02}", "utr": None, "credit": 96000 + rng.randrange(900), "value_date": DAY + dt.timedelta(rng.randrange(9))} for i in range(50)])
+    choices = decisions.bank_choices(batches, credits)
+    log, want, taken = asked_in_turn(choices, None, decisions.SYSTEM, rng)
+    log = spark.createDataFrame(log, "purpose string, prompt_hash string, seq int, response_text string, error string, system string, user string")
+    by_parts = sorted(decisions.decide_in_turn(choices, log.drop("user")).collect())
+    monkeypatch.setattr(decisions, "_decide_by_parts", None)
+    got = sorted(decisions.decide_in_turn(choices, log).collect())
+    assert got == by_parts and len(taken) > 8
+    assert {r["subject_id"]: r["chosen_id"] for r in got if r["outcome"] in ("accepted", "not_offered", "declined")} == want
+
+
 def nearest(payments, invoices, most):
     """The rule itself: all pairs, then the first by id."""
     out = {}
