@@ -1,11 +1,14 @@
 import datetime as dt
 import itertools
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from settlematch.functions import calendar, money, stats, text
+from settlematch.functions.distance import distances
 
 
 def one(spark, column):
@@ -118,3 +121,16 @@ def test_wilson_and_confidence(spark):
     assert one(spark, stats.confidence_for(F.lit("l2_utr_fuzzy"))) == 0.95
     assert one(spark, stats.confidence_for(F.lit("?"))) == 0.5
     assert one(spark, stats.call_cost_usd(F.lit(1000), F.lit(10), F.lit(100), F.lit(8), F.lit(2.0), F.lit(5.0))) == pytest.approx((1020 * 2 + 50) / 1e6)
+
+
+def test_distances_of_many_equal_those_of_one(spark):
+    """Batches of pairs against the built-in functions, texts beyond a vector and nulls among them; 200,000 pairs take one pass of a vector each."""
+    rng = random.Random(5)
+    words = ["", "a", "ab\0", "order_00000000012345", "é€\U0001f600b", "x" * 62, "x" * 61 + "y", "x" * 63, "z" * 70 + "b"] + ["".join(rng.choice("abcé") for _ in range(rng.randrange(12))) for _ in range(40)]
+    rows = [(x, y) for x in [*words, None] for y in [*words[::2], None]]
+    for cap in (2, 30):
+        got = spark.createDataFrame(rows, "a string, b string").select(text.damerau_levenshtein(F.col("a"), F.col("b"), cap).alias("one"), text.damerau_levenshtein_of_many(F.col("a"), F.col("b"), cap).alias("many")).collect()
+        assert [r["one"] for r in got] == [r["many"] for r in got] and len({r["many"] for r in got}) > 3
+    a, b = (pa.array([f"order_{rng.randrange(10**14):014}" for _ in range(200_000)]) for _ in range(2))
+    began = time.process_time()
+    assert distances(a, b).max() <= 14 and time.process_time() - began < 20
