@@ -5,12 +5,14 @@ import hashlib
 import json
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from settlematch import storage
 from settlematch.operators import decisions, order, views
+from settlematch.plans import queries
 from settlematch.plans.queries import MAKERS, Inputs
 from settlematch.sources import files, results
 
@@ -47,6 +49,23 @@ def test_a_read_log_tells_which_record_counts(spark):
     assert sorted((key[r["prompt_hash"]], r["seq"], r["response_text"]) for r in MAKERS["read_transcript"](given).collect()) == [("f", 2, "got"), ("k", 2, "new"), ("o", 1, "only")]
 
 
+def test_a_log_is_written_without_tables_of_its_texts(spark, monkeypatch):
+    """Straight from the questions: the texts go into packed lines and nowhere else, and the last good record counts as before."""
+    rows = [("bank", f"b{i:03}", f"head {i}", "", c, f"credit {c} | 1") for i in range(300) for c in ("x", "y")]
+    given, kept = Inputs.__new__(Inputs), []
+    choices = spark.createDataFrame(rows, "leg string, subject_id string, head string, tail string, counterpart_id string, line string")
+    tails = spark.createDataFrame([(f"b{i:03}", "\nother open batches: " + "z 1.00, " * 500) for i in range(300)], "subject_id string, tail string")
+    given.spark, given.kept = spark, {"choices": choices, "rivals": tails}
+    monkeypatch.setattr(queries, "written", lambda df: kept.append(df) or storage.written(df))
+    monkeypatch.setattr(queries, "_folder", lambda t, at=f"{queries.shared_folder(spark)}/log-{uuid.uuid4().hex}": at)
+    got = {tuple(r) for r in MAKERS["read_transcript"](given).collect()}
+    assert kept == [] and all(f.endswith(".json.gz") for f in os.listdir(queries._folder(None).removeprefix("file://")) if f.startswith("part-"))
+    given.kept = {"choices": choices, "rivals": tails}
+    log = given.whole_transcript.where("error is null").select("prompt_hash", F.col("seq").cast("long"), "response_text").collect()
+    last = {h: (h, q, x) for h, q, x in sorted(tuple(r) for r in log)}
+    assert got == set(last.values()) and {q for _, q, _ in got} == {1, 2}
+
+
 def test_a_missing_transcript_is_empty(spark, tmp_path):
     assert files.read_transcript(spark, f"file://{tmp_path}/nothing.jsonl").collect() == []
     assert answers(spark, f"file://{tmp_path}/nothing.jsonl") == {}
