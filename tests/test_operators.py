@@ -407,6 +407,17 @@ def test_claims_of_credits_equal_one_pass(spark, monkeypatch):
     assert {r["subject_id"]: r["chosen_id"] for r in got if r["outcome"] in ("accepted", "not_offered", "declined")} == want
 
 
+def test_the_bank_leg_waits_for_no_invoice(spark):
+    """Only the tables of the bank leg are at hand; payments and invoices would have to be read."""
+    batches = batch(spark, *[{"settlement_id": f"setl_{i}", "utr": None} for i in range(1, 4)])
+    credits = bank(spark, {"utr": None, "credit": 96500}, {"txn_id": "bank_2", "utr": None, "credit": 96400})
+    none = spark.createDataFrame([], "subject_id string, counterpart_id string, layer string, rule string, confidence double, evidence array<string>")
+    given = Inputs.__new__(Inputs)
+    given.spark, given.at, given.kept = spark, {}, {"batches": batches, "bank": credits, "found_bank": none}
+    assert {c for r in MAKERS["resolve_bank_leg"](given).collect() for c in [r["counterpart_id"]]} <= {"bank_1", "bank_2"}
+    assert not any("invoice" in name for name in given.kept)
+
+
 def nearest(payments, invoices, most):
     """The rule itself: all pairs, then the first by id."""
     out = {}
